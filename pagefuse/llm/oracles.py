@@ -37,3 +37,57 @@ h AS (SELECT s.doc_id, s.key, s.size, s.shard, s.grown_shard,
              lambda p: ('0x' || substr(hex(encode(s.text)), p + 1, 2))::UBIGINT)), lambda a, x: xor(a >> 8, c.tab[((xor(a, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM s, c)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(key), text_crc32) - 1 AS slot, grown_shard FROM h
 """
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS g FROM win),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min({'d': doc_id, 'i': i}) OVER (PARTITION BY g) AS f FROM k) WHERE f < {'d': doc_id, 'i': i}),
+gap AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM hit),
+n AS (SELECT doc_id, sum(least(20, coalesce(nxt - i, 20)))::BIGINT AS n_removed, count(*) FILTER (nxt IS NULL OR nxt > i + 20)::BIGINT AS n_spans FROM gap GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS j FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM hit),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.j) AS t FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.j = gone.j GROUP BY word.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+ORACLES["op6_minhash"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS g FROM pos),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM pr JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS m FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, w.doc_id <= coalesce(m, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.x = w.doc_id
+"""
+
+ORACLES["op9_suffix_array"] = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents),
+win AS (SELECT doc_id, t, unnest(range(0, strlen(t) // 2 - 49)) AS i FROM h WHERE strlen(t) >= 100),
+k AS (SELECT doc_id, i, md5_number(substr(t, 2 * i + 1, 100)) AS g FROM win),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM k) WHERE f < doc_id),
+gap AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prv FROM hit),
+n AS (SELECT doc_id, sum(least(50, coalesce(nxt - i, 50)))::BIGINT AS n_removed, count(*) FILTER (nxt IS NULL OR nxt > i + 50)::BIGINT AS n_spans FROM gap GROUP BY doc_id),
+ends AS (SELECT doc_id, i + 50 AS a FROM gap WHERE nxt IS NULL OR nxt > i + 50 UNION ALL SELECT doc_id, 0 FROM h),
+starts AS (SELECT doc_id, i AS b FROM gap WHERE prv IS NULL OR i > prv + 50 UNION ALL SELECT doc_id, strlen(t) // 2 FROM h),
+ea AS (SELECT doc_id, a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM ends),
+sb AS (SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS k FROM starts),
+kept AS (SELECT h.doc_id, string_agg(substr(t, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS t FROM h JOIN ea ON ea.doc_id = h.doc_id JOIN sb ON sb.doc_id = ea.doc_id AND sb.k = ea.k WHERE b > a GROUP BY h.doc_id)
+SELECT h.doc_id, (strlen(h.t) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.t, ''))) AS kept_sha256
+FROM h LEFT JOIN n ON n.doc_id = h.doc_id LEFT JOIN kept ON kept.doc_id = h.doc_id
+"""
+
+ORACLES["op10_embeddings"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS m FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, e.vec_id <= coalesce(m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN c ON c.x = e.vec_id
+"""

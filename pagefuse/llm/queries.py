@@ -5,15 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding
+from . import embeddings, fm_index, minhash, mixing, packing, quality, sharding, suffix_array, token_counts, toxicity
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token over a line's end goes to the line with most of it."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), rule="largest")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels are learnt from three quarters of the ids only."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    model, thresholds = toxicity.fit(toxicity.sample(docs, labels))
+    s = toxicity.scored(docs, model, ["doc_id", "lang"])
+    own = F.lit(0.3)
+    for lang, t in thresholds.items():
+        own = F.when(F.col("lang") == lang, F.lit(t)).otherwise(own)
+    return s.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), (F.col("score") >= own).cast("int").alias("flagged_by_language"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in its length bucket and batch."""
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that 20-word windows with an earlier start cover."""
+    return fm_index.digests(table(spark, sf_dir, "documents"), length=20)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents, with the verdicts of the base rules and of policy v1."""
     rows = quality.ledger(table(spark, sf_dir, "documents"))
@@ -22,6 +45,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept.alias("kept"), "fail_bits", "n_lines", "n_upper")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 85 % of their three-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85, bands=16, rows=4)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the Pfair mix of its sources."""
     m = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -33,4 +61,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_quality_rules, op7_mixing, op8_sharding)}
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 50-byte strings of documents with a smaller id cover."""
+    return suffix_array.digests(table(spark, sf_dir, "documents"), length=50)
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors linked by a cosine of 0.95 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_toxicity, op3_packing, op4_substring_dedup, op5_quality_rules, op6_minhash, op7_mixing, op8_sharding, op9_suffix_array, op10_embeddings)
+}
