@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefuse.llm import mixing, packing, quality
+from pagefuse.llm import minhash, mixing, packing, quality, suffix_array
 from pagefuse.llm.common import table, written
 
 #: Columns of ``documents``; every stage but the last returns them.
@@ -20,6 +20,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs, quality.V1).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8."""
+    return minhash.one_of_each(docs, shingle=5, percent=80, bands=24, rows=4).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 200 bytes or more that a document with a smaller id holds.
+
+    A document stays, with what is left of it; one that is all repeated has an empty text.
+    """
+    return suffix_array.removed(docs.select(*COLUMNS), length=200)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the Pfair mix: the files hold it, first to last."""
     return mixing.in_mix_order(docs.select(*COLUMNS))
@@ -39,6 +52,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", repeated_passages),
     ("mixing sources to target weights", mix_sources),
     ("packing", pack),
 ]
