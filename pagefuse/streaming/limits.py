@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..operators.cache import latest
 
 
-def admitted_stream(calls: DataFrame, key: str = "key", ts: str = "ts", limit: int = 20, seconds: int = 60) -> DataFrame:
+def admitted_stream(calls: DataFrame, key: str = "key", ts: str = "ts", limit: int = 20, seconds: int = 60, forget_idle: bool = False) -> DataFrame:
     """Sliding-window admission for a stream of calls: at most ``limit`` admitted calls of a key in ``seconds``.
 
     State is the admitted times of the open window, ``limit`` numbers a key at
-    most; a key that is quiet for two windows is forgotten.
+    most.  ``forget_idle`` drops a key that is quiet for two windows; such a
+    query keeps running batches, so it does not end on its own.
     """
     d = calls.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("long").alias("ts"))
 
@@ -34,13 +35,14 @@ def admitted_stream(calls: DataFrame, key: str = "key", ts: str = "ts", limit: i
                     window.append(int(t))
             yield pd.DataFrame({"key": k[0], "ts": b["ts"].to_numpy(), "admitted": ok})
         state.update((window,))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        if forget_idle:
+            state.setTimeoutDuration(2 * seconds * 1000)
 
-    return d.groupBy("key").applyInPandasWithState(step, "key string, ts long, admitted boolean", "window array<long>", "append", "ProcessingTimeTimeout")
+    return d.groupBy("key").applyInPandasWithState(step, "key string, ts long, admitted boolean", "window array<long>", "append", "ProcessingTimeTimeout" if forget_idle else "NoTimeout")
 
 
-def token_bucket_stream(calls: DataFrame, key: str = "key", ts: str = "ts", per_minute: int = 20, burst: int | None = None) -> DataFrame:
-    """Token-bucket admission: ``per_minute`` tokens flow in evenly, ``burst`` at most are held."""
+def token_bucket_stream(calls: DataFrame, key: str = "key", ts: str = "ts", per_minute: int = 20, burst: int | None = None, forget_idle: bool = False) -> DataFrame:
+    """Token-bucket admission: ``per_minute`` tokens flow in evenly, ``burst`` at most are held; see ``admitted_stream``."""
     d = calls.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("double").alias("ts"))
     most = float(burst or per_minute)
 
@@ -59,9 +61,10 @@ def token_bucket_stream(calls: DataFrame, key: str = "key", ts: str = "ts", per_
                 tokens -= ok[-1]
             yield pd.DataFrame({"key": k[0], "ts": b["ts"].to_numpy(), "admitted": ok})
         state.update((float(at), float(tokens)))
-        state.setTimeoutDuration(120_000)
+        if forget_idle:
+            state.setTimeoutDuration(120_000)
 
-    return d.groupBy("key").applyInPandasWithState(step, "key string, ts double, admitted boolean", "at double, tokens double", "append", "ProcessingTimeTimeout")
+    return d.groupBy("key").applyInPandasWithState(step, "key string, ts double, admitted boolean", "at double, tokens double", "append", "ProcessingTimeTimeout" if forget_idle else "NoTimeout")
 
 
 def rollup_stream(events: DataFrame, ts: str = "ts", late: str = "10 minutes", size: str = "1 hour", slide: str | None = None, keys: list[str] = ()) -> DataFrame:
