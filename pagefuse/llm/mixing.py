@@ -78,19 +78,20 @@ def schedule(plan: DataFrame, block_rows: int) -> DataFrame:
     return slots.withColumn("dry", F.min(own).over(Window.partitionBy()))
 
 
-def mixed(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_rows: int = 16, resolution: int = 512, id_col: str = "doc_id", source_col: str = "source", sub_bits: int = 10) -> DataFrame:
+def mixed(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_rows: int = 16, resolution: int = 512, id_col: str = "doc_id", source_col: str = "source", sub_digits: int = 3) -> DataFrame:
     """``df`` with its place in the mix: ``block``, ``mix_slot``, ``position`` (gapless from 0), ``target_weight``, ``in_target``.
 
-    Rows of a source come in order of a hash of their id.  The shuffles are one
+    Rows of a source come in order of md5(id), numbered in 16 ** ``sub_digits``
+    ranges of it.  The shuffles are one
     by (source, hash range) and that of the counts; the schedule is broadcast,
     since ``resolution`` and the number of sources bound it.
     """
     keep = df.columns
-    row = df.select(F.struct(*[F.col(c) for c in keep]).alias("__row"), F.coalesce(F.col(source_col), F.lit(NO_SOURCE)).alias("__src"), F.xxhash64(F.col(id_col)).alias("__h"))
-    row = row.withColumn("__sub", F.shiftrightunsigned("__h", 64 - sub_bits))
+    row = df.select(F.struct(*[F.col(c) for c in keep]).alias("__row"), F.coalesce(F.col(source_col), F.lit(NO_SOURCE)).alias("__src"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("__h"), F.col(id_col).alias("__id"))
+    row = row.withColumn("__sub", F.substring("__h", 1, sub_digits))
     sizes = row.groupBy("__src").agg(F.count(F.lit(1)).alias("n"))
     slots = schedule(source_plan(sizes, weights, alpha, resolution), block_rows)
-    r = gapless(row, ["__src"], "__sub", [F.shiftleft("__h", sub_bits), "__h"], "__idx")
+    r = gapless(row, ["__src"], "__sub", ["__h", "__id"], "__idx")
     r = r.withColumn("block", F.floor(F.col("__idx") / block_rows).cast("long"))
     turns = slots.select("__src", "tickets").distinct().select(F.col("__src").alias("__src_t"), F.col("tickets").alias("__tickets"))
     r = r.join(F.broadcast(turns), F.col("__src") == F.col("__src_t")).withColumn("__turn", (F.col("block") % F.col("__tickets")).cast("int"))

@@ -91,3 +91,24 @@ c AS (SELECT x, min(y) AS m FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FR
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, e.vec_id <= coalesce(m, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN c ON c.x = e.vec_id
 """
+
+ORACLES["op7_mixing"] = r"""
+WITH RECURSIVE src AS (SELECT coalesce(source, chr(1)) AS s, count(*) AS n FROM documents GROUP BY 1),
+tot AS (SELECT sum(pow(n::DOUBLE, 0.7)) AS w FROM src),
+k AS (SELECT list(s ORDER BY s) AS ss, list(n ORDER BY s) AS ns, list(greatest(1, round(512 * pow(n::DOUBLE, 0.7) / w))::BIGINT ORDER BY s) AS p FROM src, tot),
+h AS (SELECT ss, ns, p, list_sum(p)::BIGINT AS period FROM k),
+r(t, pick, done) AS (
+  SELECT -1::BIGINT, 0::BIGINT, list_transform(p, lambda x: 0::BIGINT) FROM h
+  UNION ALL
+  SELECT r.t + 1, c.i, list_transform(r.done, lambda x, j: CASE WHEN j = c.i THEN x + 1 ELSE x END)
+  FROM r, h, LATERAL (SELECT list_min(list_transform(list_filter(range(1, len(h.p) + 1), lambda i: r.done[i] < h.p[i] AND floor(r.done[i]::DOUBLE * h.period / h.p[i]) <= r.t + 1),
+     lambda i: {'d': ceil((r.done[i] + 1)::DOUBLE * h.period / h.p[i]), 'i': i::BIGINT})).i AS i) c WHERE r.t + 1 < h.period),
+slots AS (SELECT t AS slot, pick, done[pick] - 1 AS turn, done FROM r WHERE t >= 0),
+d AS (SELECT doc_id, source, coalesce(source, chr(1)) AS s, row_number() OVER (PARTITION BY coalesce(source, chr(1)) ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), doc_id) - 1 AS idx FROM documents),
+b AS (SELECT d.*, idx // 16 AS block, list_position(h.ss, d.s) AS i, h.p, h.ns, h.period FROM d, h),
+c AS (SELECT b.*, block // p[i] AS cyc, slot, done FROM b JOIN slots ON slots.pick = b.i AND slots.turn = block % p[i]),
+dry AS (SELECT min(v) AS dry FROM (SELECT max(cyc * period + slot) AS v FROM c GROUP BY i))
+SELECT doc_id, source, block, cyc * period + slot AS mix_slot,
+ (list_sum(list_transform(range(1, len(p) + 1), lambda j: least(ns[j], 16 * (cyc * p[j] + done[j] - CASE WHEN j = i THEN 1 ELSE 0 END)))) + idx % 16)::BIGINT AS position,
+ p[i] / period AS target_weight, cyc * period + slot <= dry AS in_target FROM c, dry
+"""
