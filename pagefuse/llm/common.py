@@ -31,8 +31,8 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder that the cluster names.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, below the shared checkpoint folder that the cluster names.
 
     The setting is read from the session.  Where it is unset (tests), a folder
     below the warehouse directory is set, which every node of a session shares.
@@ -41,13 +41,19 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/pagefuse-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; results that still read them can't be read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = scratch_dir(spark)
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

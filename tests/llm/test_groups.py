@@ -133,3 +133,13 @@ def test_recall_at_the_threshold():
     p = embeddings.unit(rng.normal(size=(450, 64)))
     near = [embeddings.permutations(v, p, 12).tolist() for v in (a, b)]
     assert np.mean([len(set(u) & set(v)) >= 3 for u, v in zip(*near, strict=True)]) >= 0.99
+
+
+def test_scratch_is_cleared(spark):
+    from pagefuse.llm import common
+
+    d = common.written(spark.range(3))
+    assert d.count() == 3
+    common.clear_scratch(spark)
+    with pytest.raises(Exception, match="(?i)file"):
+        spark.read.parquet(d.inputFiles()[0]).count()
