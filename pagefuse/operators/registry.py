@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.bangs import CATEGORIES
+
 #: Families that only answer when they are named.
 INSTANT = ["currency_convert", "translated", "lingva", "dictzone", "tineye", "mozhi"]
 #: Engines that one query uses at most.
@@ -73,3 +75,35 @@ def select_engines(queries: DataFrame, engines: DataFrame, cap: int = CAP) -> tu
     order = Window.partitionBy("query_id").orderBy(F.col("__o.w"), F.when(F.col("by_category"), F.lit(0)).otherwise(F.col("__o.pos")), F.col("__o.n"))
     ranked = both.withColumn("engine_ord", F.row_number().over(order) - 1).where(F.col("engine_ord") < F.coalesce("max_engines", F.lit(cap)))
     return ranked.select("query_id", "engine", "engine_ord", "by_category"), failures
+
+
+def listing(engines: DataFrame, category: str | None = None, implemented: bool | None = None) -> DataFrame:
+    """Registry rows of a category, or only those that can or can't be run, by name."""
+    out = engines
+    if category:
+        out = out.where(F.array_contains("categories", category))
+    if implemented is not None:
+        out = out.where(F.col("implemented") == implemented)
+    return out.orderBy("name")
+
+
+def bang_listing(engines: DataFrame, contains: str | None = None) -> DataFrame:
+    """(ord, bang, target, kind): shortcuts of categories in their order, then those of engines by name.
+
+    ``contains`` keeps rows whose shortcut or target has it.
+    """
+    spark = engines.sparkSession
+    cats = spark.createDataFrame([(i, c, c, "category") for i, c in enumerate(CATEGORIES)], "ord int, bang string, target string, kind string")
+    own = engines.select(F.lit(len(CATEGORIES)).alias("ord"), "bang", F.col("name").alias("target"), F.lit("engine").alias("kind"))
+    out = cats.unionByName(own)
+    if contains:
+        out = out.where(F.col("bang").contains(contains.lower()) | F.lower("target").contains(contains.lower()))
+    return out.orderBy("ord", "target")
+
+
+def switched(engines: DataFrame, overrides: dict[str, bool]) -> DataFrame:
+    """Registry rows with engines switched on or off by name."""
+    if not overrides:
+        return engines
+    on = F.create_map(*[x for k, v in overrides.items() for x in (F.lit(k), F.lit(v))])
+    return engines.withColumn("enabled", F.coalesce(on[F.col("name")], F.col("enabled")))

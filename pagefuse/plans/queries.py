@@ -240,6 +240,19 @@ def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.category_counts(engine_table(spark))
 
 
+@query(f"""SELECT * FROM (SELECT (i - 1)::INT AS ord, cats[i] AS bang, cats[i] AS target, 'category' AS kind FROM (SELECT [{_CATS}] AS cats), range(1, {len(bangs.CATEGORIES) + 1}) AS r(i)
+ UNION ALL SELECT {len(bangs.CATEGORIES)}, bang, name, 'engine' FROM {_ENGINES_SQL}) WHERE contains(bang, 'e') OR contains(lower(target), 'e')""")
+def bang_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortcuts with an e in them or in their target."""
+    return registry.bang_listing(engine_table(spark), "E")
+
+
+@query(f"SELECT name, CASE name WHEN 'delta' THEN true WHEN 'mu' THEN false ELSE enabled END AS enabled FROM {_ENGINES_SQL}")
+def engine_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with two engines switched."""
+    return registry.switched(engine_table(spark), {"delta": True, "mu": False}).select("name", "enabled")
+
+
 # --- fusion -------------------------------------------------------------------------------------
 
 TOKENS = [(1, "the"), (2, "ing"), (3, "que"), (4, "sch"), (5, "zz")]
