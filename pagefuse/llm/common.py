@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,6 +82,25 @@ def gapless(df: DataFrame, keys: list[str], sub: str, order: list, out: str) ->
     return joined.select(*[F.col(c) for c in df.columns], (F.col(out) - 1 + F.col(off)).alias(out))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links, by union and find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            parent[p] = q
+            out.append((x, y))
+    return out
+
+
 def min_label_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: one row (``node``, ``component``) for each node of an edge.
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import min_label_components, written
+from .common import forest, min_label_components, written
 
 
 def usable(vec: Column) -> Column:
@@ -108,25 +108,6 @@ def links_of_blocks(pivot: int, xa: np.ndarray, ba: np.ndarray, xb: np.ndarray,
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links, by union and find."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            parent[p] = q
-            out.append((x, y))
-    return out
-
-
 def near_duplicates(df: DataFrame, threshold: float = 0.95, pivots: int | None = None, near: int = 12, shared: int = 3, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row for each vector: ``n_links``, ``component_id`` (smallest id reachable by links) and ``kept``."""
     rows = classes_of(df, id_col, vec_col)
