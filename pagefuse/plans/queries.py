@@ -635,7 +635,14 @@ def quota_wait_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.wait_hint(c, c.agg(F.max("ts")).first()[0], seconds=600)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS k FROM ({_CALLS})),
+r(key, k, w, ts, id, admitted) AS (
+  SELECT DISTINCT key, 0::BIGINT, []::BIGINT[], 0::BIGINT, 0::BIGINT, false FROM c
+  UNION ALL
+  SELECT c.key, c.k, CASE WHEN len(list_filter(r.w, lambda x: x >= c.ts - 60)) < 5 THEN list_append(list_filter(r.w, lambda x: x >= c.ts - 60), c.ts) ELSE list_filter(r.w, lambda x: x >= c.ts - 60) END, c.ts, c.id,
+    len(list_filter(r.w, lambda x: x >= c.ts - 60)) < 5 FROM r JOIN c ON c.key = r.key AND c.k = r.k + 1)
+SELECT key, ts, id, admitted FROM r WHERE k > 0""")
 def quota_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which calls a limiter lets through that counts admitted calls only."""
     return quota.admitted(calls(spark, sf_dir), limit=5)
