@@ -12,8 +12,8 @@ shares none of 16 (24) keys of 4 is below 1e-5 (1e-5).
    the full shingle sets.  That joins most classes of a group with one
    comparison each.
 4. Buckets that still hold several components are compared pair by pair, in
-   blocks, skipping pairs that are connected already; a pair is compared in the
-   first band that it shares.  So no link between components is lost, whatever
+   blocks, as products of 0/1 matrices; a pair counts in the first band that it
+   shares, and a task returns a spanning forest of its links.  So no link between components is lost, whatever
    the size of a bucket, and no bucket is gathered in one task.
 
 Edge cases: null and empty texts and texts without words have the empty set and
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import min_label_components, written
+from .common import forest, min_label_components, written
 
 U = np.uint64
 SIGMA, PI = U(0x2545F4914F6CDD1D), U(0x632BE59BD9B4E019)
@@ -112,6 +112,28 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) else 0
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two short lists of sets.
+
+    Items are the columns of 0/1 matrices, ``width`` at a time, whose product
+    counts; items that only one set holds are left out.
+    """
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    items = [np.concatenate(x) if x else np.zeros(0, U) for x in (a, b)]
+    common = np.intersect1d(items[0], items[1])
+    at = [np.minimum(np.searchsorted(common, x), max(len(common) - 1, 0)) for x in items]
+    for lo in range(0, len(common), width):
+        m = []
+        for x, c, r, n in zip(items, at, rows, (len(a), len(b)), strict=True):
+            own = np.flatnonzero((c >= lo) & (c < lo + width) & (common[c] == x))
+            d = np.zeros((n, min(width, len(common) - lo)), dtype=np.float32)
+            d[r[own], c[own] - lo] = 1
+            m.append(d)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
 def linked(n: int, m: int, both: int, percent: int) -> bool:
     """100 * intersection >= percent * union."""
     return 100 * both >= percent * (n + m - both)
@@ -138,44 +160,50 @@ def verify(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 
 
 def residual_links(rows: DataFrame, items: DataFrame, percent: int, block: int) -> DataFrame:
-    """Edges between components within a bucket, by blocks; ``rows``: (band, key, id, f1, bands, comp)."""
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 AND lo <> hi")
-    sizes = sizes.select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    """Edges between components within a bucket, by pairs of blocks; ``rows``: (band, key, blocks, id, f1, bands, comp).
+
+    Pairs of blocks are dealt to cells by a hash; a cell works them off one by
+    one, so many small buckets cost one call and a large one spreads over cells.
+    """
     own = F.pmod(F.xxhash64("id", "f1"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
-    tasks = rows.join(sizes, ["band", "key"]).select("band", "key", "id", "f1", "bands", "comp", own.alias("own"), F.explode(pairs).alias("t")).select("*", "t.lo", "t.hi").drop("t")
-    tasks = tasks.join(items, ["id", "f1"])
+    cells = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = rows.select("band", "key", "id", "f1", "bands", "comp", own.alias("own"), F.explode(pairs).alias("t")).select("*", "t.lo", "t.hi").drop("t")
+    tasks = tasks.join(items, ["id", "f1"]).withColumn("cell", F.pmod(F.xxhash64("band", "key", "lo", "hi"), F.lit(cells)))
+
+    def of_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [compare(key, g) for key, g in pdf.groupby(["band", "key", "lo", "hi"], sort=False)]
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         band, lo, hi = int(key[0]), int(key[2]), int(key[3])
         sets = [np.frombuffer(x, U) for x in pdf["items"]]
         keys = np.array(pdf["bands"].tolist(), dtype=np.int64)
-        side, ids = pdf["own"].to_numpy(), pdf["id"].to_numpy()
-        parent = {c: c for c in pdf["comp"].tolist()}
-        comp = pdf["comp"].tolist()
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        side, ids, comp = pdf["own"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy()
         first = np.flatnonzero(side == lo)
         second = first if lo == hi else np.flatnonzero(side == hi)
-        found = []
-        for i in first:
-            others = second[second > i] if lo == hi else second
-            # the first band that the two share must be this one, or another task compares them
-            others = others[~(keys[others, :band] == keys[i, :band]).any(axis=1)]
-            for j in others:
-                x, y = sets[i], sets[j]
-                p, q = find(comp[i]), find(comp[j])
-                if p != q and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and linked(len(x), len(y), overlap(x, y), percent):
-                    parent[p] = q
-                    found.append((ids[i], ids[j]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return tasks.groupBy("band", "key", "lo", "hi").applyInPandas(compare, "a long, b long")
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        names, count = np.unique(comp, return_counts=True)
+        rest = comp != names[count.argmax()]  # pairs within the most frequent component need no comparison
+
+        def links(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            if not len(x) or not len(y):
+                return np.zeros((0, 2), dtype=np.int64)
+            both = intersections([sets[i] for i in x], [sets[j] for j in y])
+            ok = 100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)
+            ok &= comp[x][:, None] != comp[y][None, :]
+            for b in range(band):  # the first band that two share must be this one, or another task compares them
+                ok &= keys[x, b][:, None] != keys[y, b][None, :]
+            i, j = np.nonzero(ok)
+            return np.stack([ids[x[i]], ids[y[j]]], axis=1)
+
+        parts = [links(first[rest[first]], second)]
+        if lo != hi:
+            parts.append(links(first[~rest[first]], second[rest[second]]))
+        found = np.concatenate(parts)
+        return pd.DataFrame(forest(found[:, 0], found[:, 1]), columns=["a", "b"], dtype="int64")
+
+    return tasks.groupBy("cell").applyInPandas(of_cell, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +222,9 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, bands: i
     edges = written(verify(star, items, percent))
     comp = min_label_components(edges)
     placed = live.select("band", "key", "id", "f1").join(comp, F.col("id") == F.col("node"), "left").select("band", "key", "id", "f1", F.coalesce("component", "id").alias("comp"))
-    open_ = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key")
+    # buckets with several components, as a table: its size decides how it is joined, and Spark can split a large bucket
+    open_ = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    open_ = written(open_.select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     rest = placed.join(open_, ["band", "key"]).join(reps.select("id", "f1", "bands"), ["id", "f1"])
     more = written(residual_links(rest, items, percent, block))
     if not more.isEmpty():

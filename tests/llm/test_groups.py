@@ -143,3 +143,11 @@ def test_scratch_is_cleared(spark):
     common.clear_scratch(spark)
     with pytest.raises(Exception, match="(?i)file"):
         spark.read.parquet(d.inputFiles()[0]).count()
+
+
+def test_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(12)]
+    got = minhash.intersections(sets[:5], sets[5:], width=7)
+    assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[5:]] for x in sets[:5]]
+    assert minhash.intersections([], sets).shape == (0, 12)
