@@ -1,21 +1,22 @@
-"""Embedding near-dedup through a pivot-permutation index.
+"""Embedding near-dedup over pivot permutations, with exact bounds.
 
 ``pivots`` reference vectors are drawn from the table, a sample of two times
 the square root of the number of classes, 64 at least and 2048 at most, first by
 hash.  Each vector is described by its ``near`` nearest pivots in order of
-closeness; inverted lists hold, for each pivot, the vectors that name it.  Two
-vectors are candidates when they share ``shared`` pivots or more, and a
-candidate pair is a link when its cosine, in double precision, reaches the
-threshold.
+closeness, and a task sorts its vectors by them, so close vectors share a tile.
+A pair of tiles is left out only where the triangle inequality excludes it: the
+angle between the tiles' centres, less both radii, is over that of the
+threshold.  All other pairs are compared, so no link is missed; where vectors
+have no groups, that is every pair.
 
-The index is approximate: pairs that share too few pivots are missed.  Recall
-against brute force is in the README and in the tests.
+Products are taken in single precision; a pair within its rounding error of the
+threshold is decided in double precision.
 
 Equal vectors are one class before anything is compared, so copies cost
-nothing.  A list is cut into blocks of ``block`` classes, and each pair of
-blocks is a task of its own, so no list is gathered whole.  A pair is counted
-in the list of its lowest shared pivot only, so nothing is counted twice and no
-pair leaves its task: tasks return link counts and a spanning forest.
+nothing.  Classes are dealt to groups by hash, ``block`` classes or fewer in a
+small table, and each pair of groups is a task of its own, so no cluster is
+gathered whole.  No pair leaves its task: tasks return link counts and a
+spanning forest.
 
 Edge cases: null, zero or empty vectors and vectors with null or non-finite
 components link with nothing; so do vectors of another length than the
@@ -72,50 +73,73 @@ def permutations(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
     return np.argsort(-s, axis=1, kind="stable")[:, :near].astype(np.int32)
 
 
-def bits_of(perm: np.ndarray, pivots: int) -> np.ndarray:
-    """Pivot sets as rows of 64-bit words."""
-    out = np.zeros((len(perm), (pivots + 63) // 64), dtype=np.uint64)
-    for j in range(perm.shape[1]):
-        out[np.arange(len(perm)), perm[:, j] // 64] |= np.uint64(1) << (perm[:, j] % 64).astype(np.uint64)
+#: Classes in a tile, and the most bytes of vectors in a group.
+TILE, GROUP_BYTES = 1024, 1 << 25
+
+
+def tiles_of(x: np.ndarray, idx: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Runs of ``idx`` with their centre and the largest angle to it."""
+    out = []
+    for lo in range(0, len(idx), TILE):
+        own = idx[lo : lo + TILE]
+        centre = x[own].sum(axis=0)
+        size = np.sqrt((centre * centre).sum())
+        centre = centre / size if size > 1e-6 else x[own[0]]
+        out.append((own, centre, float(np.arccos(np.clip(x[own] @ centre, -1, 1)).max())))
     return out
 
 
-def links_of_blocks(pivot: int, xa: np.ndarray, ba: np.ndarray, xb: np.ndarray, bb: np.ndarray, same: bool, shared: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two blocks of a pivot's list that are links and belong to this pivot."""
-    low = np.zeros(ba.shape[1], dtype=np.uint64)  # the pivots below this one
-    low[: pivot // 64] = np.uint64(2**64 - 1)
-    low[pivot // 64] = np.uint64((1 << (pivot % 64)) - 1)
-    found_a, found_b = [], []
-    for lo in range(0, len(xa), 256):
-        a = slice(lo, lo + 256)
-        count = np.zeros((len(xa[a]), len(xb)), dtype=np.int16)
-        first = np.ones(count.shape, dtype=bool)
-        for w in range(ba.shape[1]):
-            both = ba[a, w][:, None] & bb[None, :, w]
-            count += np.bitwise_count(both)
-            if low[w]:
-                first &= (both & low[w]) == 0
-        ok = first & (count >= shared)
-        if same:
-            ok &= np.arange(len(xb))[None, :] > (np.arange(len(xa))[a])[:, None]
-        i, j = np.nonzero(ok)
-        for k in range(0, len(i), 1 << 16):  # verify candidates only, in double precision
-            ii, jj = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            hit = np.einsum("ij,ij->i", xa[ii + lo], xb[jj]) >= threshold
-            found_a.append(ii[hit] + lo)
-            found_b.append(jj[hit])
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
-
-
-def near_duplicates(df: DataFrame, threshold: float = 0.95, pivots: int | None = None, near: int = 12, shared: int = 3, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def join_tiles(x: np.ndarray, copies: np.ndarray, first: np.ndarray, second: np.ndarray | None, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each row, weighted by copies, and a spanning forest, over the pairs of ``first`` with ``second`` or with itself."""
+    n, label, edges = np.zeros(len(x), dtype=np.int64), np.arange(len(x)), []
+    single = x.astype(np.float32)
+    slack = (x.shape[1] + 4) * 2.0**-23  # over the rounding error of a product in single precision
+    most = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    ta = tiles_of(x, first)
+    tb = ta if second is None else tiles_of(x, second)
+    for p, (a, ca, ra) in enumerate(ta):
+        for q, (b, cb, rb) in enumerate(tb):
+            if second is None and q < p or float(np.arccos(np.clip(ca @ cb, -1, 1))) - ra - rb > most:
+                continue
+            c = single[a] @ single[b].T
+            hit = c >= np.float32(threshold - slack)
+            if second is None and p == q:
+                hit = np.triu(hit, 1)
+            if not hit.any():
+                continue
+            i, j = np.nonzero(hit & (c <= np.float32(threshold + slack)))
+            for k in range(0, len(i), 1 << 16):  # too close to call in single precision
+                ii, jj = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                hit[ii, jj] = np.einsum("ij,ij->i", x[a[ii]], x[b[jj]]) >= threshold
+            n[a] += hit @ copies[b]
+            n[b] += copies[a] @ hit
+            while True:  # each round joins every component that has an open link
+                open_ = hit & (label[a][:, None] != label[b][None, :])
+                i = np.flatnonzero(open_.any(axis=1))
+                if not len(i):
+                    break
+                found = forest(label[a[i]], label[b[open_[i].argmax(axis=1)]])
+                edges += found  # labels are rows of their components
+                for u, v in found:
+                    while label[u] != u:
+                        u = label[u]
+                    while label[v] != v:
+                        v = label[v]
+                    label[max(u, v)] = min(u, v)
+                while (label[label] != label).any():
+                    label = label[label]
+    return n, edges
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.95, pivots: int | None = None, near: int = 12, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row for each vector: ``n_links``, ``component_id`` (smallest id reachable by links) and ``kept``."""
     rows = classes_of(df, id_col, vec_col)
     reps = rows.where("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("copies"))
     reps = written(reps)
-    p = pick_pivots(reps, pivots or max(64, min(2048, int(2 * reps.count() ** 0.5))))
+    n_reps = reps.count()
+    p = pick_pivots(reps, pivots or max(64, min(2048, int(2 * n_reps**0.5))))
     m, size = len(p), p.shape[1]
-    near, shared = min(near, max(m, 1)), min(shared, max(m, 1))
+    near = min(near, max(m, 1))
     sent = df.sparkSession.sparkContext.broadcast(p)  # bounded: ``pivots`` vectors
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,41 +150,30 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, pivots: int | None =
                 continue
             x = unit(np.array([vs[i] for i in ok], dtype=np.float64))
             perm = permutations(x, sent.value, near)
-            rep = np.repeat(np.arange(len(ok)), near)
-            cls = b.column("cls").take(pa.array(np.array(ok)[rep]))
-            copies = b.column("copies").take(pa.array(np.array(ok)[rep]))
-            raw = [x[i].tobytes() for i in range(len(ok))]
-            bits = [r.tobytes() for r in bits_of(perm, m)]
+            own = pa.array(ok)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(perm.ravel()), cls, copies, pa.array([raw[i] for i in rep], pa.binary()), pa.array([bits[i] for i in rep], pa.binary())],
-                names=["pivot", "cls", "copies", "x", "bits"],
+                [b.column("cls").take(own), b.column("copies").take(own), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in perm], pa.binary())],
+                names=["cls", "copies", "x", "perm"],
             )
 
-    listed = reps.mapInArrow(describe, "pivot int, cls long, copies long, x binary, bits binary")
-    # blocks of a list: enough that a block holds about ``block`` classes, by a hash of the class
-    sizes = listed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).select(F.col("pivot").alias("__p"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    listed = listed.join(F.broadcast(sizes), F.col("pivot") == F.col("__p"))  # one row for each pivot
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
-    tasks = listed.select("pivot", "cls", "copies", "x", "bits", own.alias("own"), F.explode(pairs).alias("t")).select("*", "t.lo", "t.hi").drop("t")
-
-    def join_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, lo, hi = (int(k) for k in key)
+    listed = reps.mapInArrow(describe, "cls long, copies long, x binary, perm binary")
+    # a row goes to every pair of groups that has its own: few groups, but 8 where there are blocks enough
+    groups = max(min(8, -(-n_reps // block)), -(-n_reps * size * 8 // GROUP_BYTES), 1)
+    own = F.pmod(F.xxhash64("cls"), F.lit(groups)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
+    tasks = listed.select("cls", "copies", "x", "perm", own.alias("own"), F.explode(pairs).alias("t")).select("*", "t.lo", "t.hi").drop("t")
+
+    def join_groups(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = (int(k) for k in key)
+        perm = np.frombuffer(b"".join(pdf["perm"]), dtype=np.int32).reshape(len(pdf), -1)
+        pdf = pdf.iloc[np.lexsort(perm.T[::-1])]
         x = np.frombuffer(b"".join(pdf["x"]), dtype=np.float64).reshape(len(pdf), -1)
-        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1)
         cls, copies, side = pdf["cls"].to_numpy(), pdf["copies"].to_numpy(), pdf["own"].to_numpy()
-        ia = np.flatnonzero(side == lo)
-        ib = ia if lo == hi else np.flatnonzero(side == hi)
-        a, b = links_of_blocks(pivot, x[ia], bits[ia], x[ib], bits[ib], lo == hi, shared, threshold)
-        a, b = ia[a], ib[b]
-        n = np.zeros(len(pdf), dtype=np.int64)
-        np.add.at(n, a, copies[b])
-        np.add.at(n, b, copies[a])
+        n, edges = join_tiles(x, copies, np.flatnonzero(side == lo), None if lo == hi else np.flatnonzero(side == hi), threshold)
         some = np.flatnonzero(n)
-        edges = forest(cls[a], cls[b])
-        return pd.DataFrame({"a": [*cls[some], *[e[0] for e in edges]], "b": [*cls[some], *[e[1] for e in edges]], "n": [*n[some], *[0] * len(edges)]}, dtype="int64")
+        return pd.DataFrame({"a": [*cls[some], *[cls[e[0]] for e in edges]], "b": [*cls[some], *[cls[e[1]] for e in edges]], "n": [*n[some], *[0] * len(edges)]}, dtype="int64")
 
-    found = written(tasks.groupBy("pivot", "lo", "hi").applyInPandas(join_blocks, "a long, b long, n long"))
+    found = written(tasks.groupBy("lo", "hi").applyInPandas(join_groups, "a long, b long, n long"))
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("linked")).select(F.col("a").alias("__c"), "linked")
     comp = min_label_components(found.where("a <> b"))
     of_class = reps.join(counts, F.col("cls") == F.col("__c"), "left").join(comp, F.col("cls") == F.col("node"), "left")

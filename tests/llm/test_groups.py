@@ -135,6 +135,32 @@ def test_recall_at_the_threshold():
     assert np.mean([len(set(u) & set(v)) >= 3 for u, v in zip(*near, strict=True)]) >= 0.99
 
 
+def cluster(rng, n, size=64, spread=0.0275):
+    """Distinct vectors around one centre, with cosines on both sides of 0.95 among them."""
+    centre = embeddings.unit(rng.normal(size=(1, size)))
+    return centre + spread * rng.normal(size=(n, size))
+
+
+def brute(x):
+    """Links of each vector and its smallest neighbour's component."""
+    u = embeddings.unit(x)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    return np.bincount(np.concatenate([i, j]), minlength=len(x)).tolist(), closure(range(len(x)), zip(i.tolist(), j.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("block", [2048, 100])
+def test_embeddings_in_a_dense_cluster(spark, block):
+    """A third of the rows is one noisy cluster of distinct vectors: no link is missed."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([cluster(rng, 700), rng.normal(size=(1400, 64))])
+    n, comp = brute(x)
+    assert 0.2 < np.mean(n[:700]) / 699 < 0.95
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(d, pivots=600, block=block).collect()}  # as many pivots in the cluster as a large table has
+    assert [got[i].n_links for i in range(len(x))] == n
+    assert {i: r.component_id for i, r in got.items()} == comp
+
+
 def test_scratch_is_cleared(spark):
     from pagefuse.llm import common
 
