@@ -1,19 +1,25 @@
-"""Mixing sources to target weights by Pfair scheduling (native).
+"""Mixing sources to target weights by Pfair scheduling.
 
 Rows of a source are put in blocks.  Block j (from 0) of a source with share w
 of the slots is released at floor(j / w) and due at ceil((j + 1) / w).  Giving
 each slot to the released block that is due first keeps the blocks that any
 source has had within one of w * t at every slot t.
 
-The shares are whole tickets of a period of ``resolution`` slots or a little
-more, so the schedule repeats: one period is computed, as a fold over its
-slots in one row, and joined to the blocks.  Its size depends on the
-resolution and on the number of sources only.  Where a row stands in the mix
-follows from closed sums over the sources, without another shuffle.
+The shares are exact: weights are whole numbers of one unit, so the schedule
+keeps to the target on any length and with any number of sources.  One task
+writes it, a row for each block, in memory that the number of sources bounds;
+its time grows with the number of blocks.
+
+With a ``resolution`` the shares are rounded to whole tickets of a period of so
+many slots or a little more, one at least, and the schedule repeats: one period
+is computed, as a fold over its slots in one row, and joined to the blocks, all
+native.  It keeps to the rounded shares only, which ``target_weight`` then has.
 
 A source that has run dry leaves its slots empty; the rest keep their
-proportions.  No row is dropped or repeated: ``in_target`` marks what stands
-before the first source runs dry, where the target weights hold exactly.
+proportions.  In the exact schedule a new round without those that are dry
+starts when less than half of the weight is left, and sources of weight 0 come
+after all others.  No row is dropped or repeated: ``in_target`` marks what
+stands before the first source runs dry, where the target weights hold.
 
 Edge cases: null sources are a source of their own; repeated rows and null ids
 are rows like any other; an empty table gives no rows; a source may hold most
@@ -22,11 +28,17 @@ rows, since rows are numbered in hash ranges; extra columns are kept.
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gapless, let
+from .common import gapless, let, written
 
 #: Stands for a null source, in no source's name by its length of one control character.
 NO_SOURCE = "\x00"
@@ -78,18 +90,93 @@ def schedule(plan: DataFrame, block_rows: int) -> DataFrame:
     return slots.withColumn("dry", F.min(own).over(Window.partitionBy()))
 
 
-def mixed(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_rows: int = 16, resolution: int = 512, id_col: str = "doc_id", source_col: str = "source", sub_digits: int = 3) -> DataFrame:
+def whole(weights: list[float]) -> list[int]:
+    """The same proportions in whole numbers."""
+    x = [Fraction(w) for w in weights]
+    unit = math.lcm(*[f.denominator for f in x])
+    return [int(f * unit) for f in x]
+
+
+def targets(sizes: list[int], weights: list[float], alpha: float) -> list[int]:
+    """Weights in whole numbers; from the sizes where all are 0."""
+    return whole(weights if any(weights) else [float(n) ** alpha for n in sizes])
+
+
+def exact_blocks(sizes: list[int], weights: list[float], alpha: float, block_rows: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(source, block, slot, rows before it, in target) for every block, in order of the slots."""
+    blocks, had = [-(-n // block_rows) for n in sizes], [0] * len(sizes)
+    goal, t, first, in_target = targets(sizes, weights, alpha), 0, 0, True
+    while True:
+        live = [i for i in range(len(sizes)) if had[i] < blocks[i] and goal[i]]
+        if not live:
+            live = [i for i in range(len(sizes)) if had[i] < blocks[i]]
+            if not live:
+                return
+            for i, w in zip(live, whole([float(sizes[i]) ** alpha for i in live]), strict=True):
+                goal[i] = w
+            in_target = False
+        total = left = sum(goal[i] for i in live)
+        start, turn = t, dict.fromkeys(live, 0)
+        ready, later = [(-(-total // goal[i]), i) for i in live], []
+        heapq.heapify(ready)
+        while 2 * left >= total:
+            while later and later[0][0] <= t - start:
+                i = heapq.heappop(later)[1]
+                heapq.heappush(ready, (-(-(turn[i] + 1) * total // goal[i]), i))
+            i = heapq.heappop(ready)[1]
+            if had[i] < blocks[i]:
+                yield i, had[i], t, first, in_target
+                first += min(block_rows, sizes[i] - had[i] * block_rows)
+                had[i] += 1
+                if had[i] == blocks[i]:
+                    left -= goal[i]
+                    in_target = False
+            turn[i] += 1
+            heapq.heappush(later, (turn[i] * total // goal[i], i))
+            t += 1
+
+
+def exact_schedule(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, block_rows: int) -> DataFrame:
+    """One row for each block of each source, written by one task; only the sizes go to the driver."""
+    rows = sorted((r["__src"], r["n"]) for r in sizes.collect())
+    names, n = [r[0] for r in rows], [r[1] for r in rows]
+    w = [float(weights.get(x, 0.0)) for x in names] if weights else [float(x) ** alpha for x in n]
+
+    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        goal = targets(n, w, alpha)
+        share = [x / sum(goal) for x in goal]
+        part: list[tuple] = []
+        for i, block, slot, first, ok in exact_blocks(n, w, alpha, block_rows):
+            part.append((names[i], block, slot, first, share[i], ok))
+            if len(part) == 10_000:
+                yield batch(part)
+                part = []
+        if part:
+            yield batch(part)
+
+    def batch(part: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names=["__src_s", "__block_s", "mix_slot", "first", "target_weight", "in_target"])
+
+    one = sizes.sparkSession.range(0, 1, 1, 1)
+    return written(one.mapInArrow(run, "__src_s string, __block_s long, mix_slot long, first long, target_weight double, in_target boolean"))
+
+
+def mixed(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_rows: int = 16, resolution: int | None = None, id_col: str = "doc_id", source_col: str = "source", sub_digits: int = 3) -> DataFrame:
     """``df`` with its place in the mix: ``block``, ``mix_slot``, ``position`` (gapless from 0), ``target_weight``, ``in_target``.
 
     Rows of a source come in order of md5(id), numbered in 16 ** ``sub_digits``
-    ranges of it.  The shuffles are one
-    by (source, hash range) and that of the counts; the schedule is broadcast,
-    since ``resolution`` and the number of sources bound it.
+    ranges of it.  The shuffles are one by (source, hash range) and that of the
+    counts.  With a ``resolution`` the schedule is broadcast, since that and the
+    number of sources bound it; the exact one is joined by its size.
     """
     keep = df.columns
     row = df.select(F.struct(*[F.col(c) for c in keep]).alias("__row"), F.coalesce(F.col(source_col), F.lit(NO_SOURCE)).alias("__src"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("__h"), F.col(id_col).alias("__id"))
     row = row.withColumn("__sub", F.substring("__h", 1, sub_digits))
     sizes = row.groupBy("__src").agg(F.count(F.lit(1)).alias("n"))
+    if resolution is None:
+        r = gapless(row, ["__src"], "__sub", ["__h", "__id"], "__idx").withColumn("block", F.floor(F.col("__idx") / block_rows).cast("long"))
+        r = r.join(exact_schedule(sizes, weights, alpha, block_rows), (F.col("__src") == F.col("__src_s")) & (F.col("block") == F.col("__block_s")))
+        return r.select("__row.*", "block", "mix_slot", (F.col("first") + F.col("__idx") % block_rows).cast("long").alias("position"), "target_weight", "in_target")
     slots = schedule(source_plan(sizes, weights, alpha, resolution), block_rows)
     r = gapless(row, ["__src"], "__sub", ["__h", "__id"], "__idx")
     r = r.withColumn("block", F.floor(F.col("__idx") / block_rows).cast("long"))

@@ -51,8 +51,8 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place in the Pfair mix of its sources."""
-    m = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Every document's place in the Pfair mix of its sources, in 512 tickets as its SQL has them."""
+    m = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"), resolution=512)
     return m.select("doc_id", "source", "block", "mix_slot", "position", "target_weight", "in_target")
 
 

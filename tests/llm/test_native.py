@@ -127,6 +127,33 @@ def test_mixed(spark):
     assert ordered.columns == d.columns and [r.doc_id for r in ordered.collect()] == [r.doc_id for r in out]
 
 
+@pytest.mark.parametrize("sizes", [[round(500_000 / (i + 1) ** 1.3) for i in range(10)], [round(40_000 / (i + 1)) + 16 for i in range(2000)]])
+def test_exact_blocks(sizes):
+    """Less than one block off the unrounded target, on a long run and with thousands of sources."""
+    w = [n**0.7 for n in sizes]
+    out = list(mixing.exact_blocks(sizes, w, 0.7, 16))
+    assert len(out) == len({x[:2] for x in out}) == sum(-(-n // 16) for n in sizes)
+    assert out == sorted(out, key=lambda x: x[2]) and out[-1][3] + min(16, sizes[out[-1][0]] - 16 * out[-1][1]) == sum(sizes)
+    share = [x / sum(w) for x in w]
+    target = [x for x in out if x[4]]
+    assert [x[2] for x in target] == list(range(len(target)))
+    for i, j, t, _, _ in target:
+        assert share[i] * t - j < 1 + 1e-6 and j + 1 - share[i] * (t + 1) < 1 + 1e-6
+    assert all(share[i] * len(target) - sum(x[0] == i for x in target) < 1 + 1e-6 for i in range(10))
+
+
+def test_mixed_exactly(spark):
+    sizes = {"a": 700, "b": 90, "c": 5, "none": 40}
+    d = docs(spark, ["t"] * sum(sizes.values()), [s for s, n in sizes.items() for _ in range(n)])
+    out = sorted(mixing.mixed(d, block_rows=4).collect(), key=lambda r: r.position)
+    assert [r.position for r in out] == list(range(len(out))) and sorted(r.doc_id for r in out) == list(range(len(out)))
+    total = sum(n**0.7 for n in sizes.values())
+    assert all(abs(r.target_weight - sizes[r.source] ** 0.7 / total) < 1e-12 for r in out)
+    named = sorted(mixing.mixed(d, {"a": 1000.0, "b": 1.0, "c": 1e-4}, block_rows=4).collect(), key=lambda r: r.position)
+    assert [r.source for r in named][-40:] == ["none"] * 40 and {r.target_weight for r in named[-40:]} == {0.0} and not any(r.in_target for r in named[-40:])
+    assert abs(next(r.target_weight for r in named if r.source == "b") - 1 / 1001.0001) < 1e-12
+
+
 def padding(edges, lengths, counts):
     return sum(c * (min(e for e in edges if e >= x) - x) for x, c in zip(lengths, counts, strict=True))
 
