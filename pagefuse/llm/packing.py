@@ -1,7 +1,7 @@
 """Packing into optimal length buckets and token-budget batches.
 
 Lengths are counted once.  Their global histogram (bounded: lengths up to
-``max_tokens`` in steps of ``quantum``) goes to the driver, where dynamic
+``max_tokens``) goes to the driver, where dynamic
 programming finds the ``n_buckets`` upper edges with the least padding in
 total.  Each piece goes to the smallest edge that holds it, and batches of
 ``budget // edge`` pieces form inside each bucket.
@@ -65,10 +65,9 @@ def optimal_edges(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> li
     return sorted(set(edges))
 
 
-def histogram(lengths: DataFrame, length_col: str, quantum: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths rounded up to ``quantum`` and how many pieces have them."""
-    up = (F.ceil(F.col(length_col) / F.lit(quantum)) * quantum).cast("long")
-    rows = lengths.groupBy(up.alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()
+def histogram(lengths: DataFrame, length_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and how many pieces have them."""
+    rows = lengths.groupBy(F.col(length_col).alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
 
 
@@ -80,21 +79,21 @@ def pieces_of(df: DataFrame, max_tokens: int, text_col: str, keep: list[str], le
     return d.select(*keep, "piece", (F.col("piece") * max_tokens).alias("start_token"), F.least(F.lit(max_tokens).cast("long"), F.col("__len") - F.col("piece") * max_tokens).alias("n_tokens"))
 
 
-def packed(df: DataFrame, max_tokens: int = 4096, budget: int = 65536, n_buckets: int = 16, quantum: int = 4, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, str] | None = None) -> DataFrame:
+def packed(df: DataFrame, max_tokens: int = 4096, budget: int = 65536, n_buckets: int = 16, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, str] | None = None) -> DataFrame:
     """One row for each piece: its bucket (``bucket_len``), batch in the bucket, slot in the batch and padding.
 
     ``order`` names two columns: pieces fill the batches in order of the first,
     then the second.  The first must split the rows finely, since rows are
     numbered within it.  Without it they come in order of a hash of the id.
     """
-    if budget < max_tokens or max_tokens % quantum:
-        raise ValueError("budget must hold max_tokens, and max_tokens be a multiple of quantum")
+    if budget < max_tokens:
+        raise ValueError("budget must hold max_tokens")
     d = df.select(F.col(id_col), F.col(text_col).alias("__text"), *([F.col(order[0]).alias("__sub"), F.col(order[1]).alias("__ord")] if order else []))
     if not order:
         h = F.xxhash64(F.col(id_col))
         d = d.withColumn("__sub", F.shiftrightunsigned(h, 54)).withColumn("__ord", h)
     p = pieces_of(d, max_tokens, "__text", [id_col, "__sub", "__ord"])
-    edges = optimal_edges(*histogram(p, "n_tokens", quantum), n_buckets) or [max_tokens]
+    edges = optimal_edges(*histogram(p, "n_tokens"), n_buckets) or [max_tokens]
     edge = F.element_at(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e >= F.col("n_tokens")), 1)
     p = p.withColumn("bucket_len", edge)
     q = gapless(p, ["bucket_len"], "__sub", ["__ord", "piece", "n_tokens"], "__idx")

@@ -189,3 +189,14 @@ def test_packed(spark):
         assert sorted(slots) == list(range(len(slots))) and len(slots) * size <= 256
         assert (size, batch + 1) not in batches or len(slots) == 256 // size
     assert packing.packed(d.limit(0)).count() == 0
+
+
+def test_packed_padding_is_least(spark):
+    """The padding of packed() itself, against every choice of edges."""
+    rng = random.Random(8)
+    words = [rng.choice([1, 2, 4, 4, 5, 9, 10, 13, 21, 22, 30]) for _ in range(120)]
+    out = packing.packed(docs(spark, ["w " * n for n in words]), max_tokens=64, budget=256, n_buckets=3).collect()
+    x, c = np.unique(np.array(words) + 1, return_counts=True)
+    best = min(padding([*e, x[-1]], x, c) for e in itertools.combinations(x[:-1].tolist(), 2))
+    assert sum(r.padding for r in out) == best
+    assert all(r.padding == 0 for r in packing.packed(docs(spark, ["w w w w"] * 5)).collect())
