@@ -46,8 +46,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except Exception as e:
         if "UNRESOLVED_COLUMN" not in str(e):
             raise
-        return packing.packed(docs)
-    return packing.packed(arrived, order=("file_name", "row_index"))
+        return packing.packed(packing.encoded(docs.select("doc_id", "text")), length_col="n_tokens")
+    return packing.packed(packing.encoded(arrived), order=("file_name", "row_index"), length_col="n_tokens")
 
 
 STAGES = [

@@ -1,6 +1,9 @@
 """Packing into optimal length buckets and token-budget batches.
 
-Lengths are counted once.  Their global histogram (bounded: lengths up to
+Lengths are counted once and kept in a table.  ``encoded`` has the tokens of
+the tokenizer of ``token_counts``, which the query and the pipeline pack; without
+it ``packed`` counts pre-tokens natively, where a run of letters is one however
+long, so that budget is one of words.  The lengths' global histogram (bounded: lengths up to
 ``max_tokens``) goes to the driver, where dynamic
 programming finds the ``n_buckets`` upper edges with the least padding in
 total.  Each piece goes to the smallest edge that holds it, and batches of
@@ -16,11 +19,15 @@ in the order are broken by the length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless
+from .common import gapless, written
+from .token_counts import load
 
 #: Pre-tokens: words, single digits, and other visible characters one by one.
 PIECES = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]"
@@ -31,6 +38,20 @@ def token_length(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(PIECES)) + 1).cast("long")
 
 
+def encoded(df: DataFrame, text_col: str = "text", out: str = "n_tokens", tokenizer_path: str | None = None) -> DataFrame:
+    """``df`` with the tokens of its text and one end token in place of the text; each text is encoded whole."""
+    keep = [c for c in df.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, _ = load(tokenizer_path)
+        for b in batches:
+            n = [len(enc.encode_ordinary(t.as_py() or "")) + 1 for t in b.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(n, pa.int64())], names=[*keep, out])
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return df.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], f"`{out}` long"]))
+
+
 def optimal_edges(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
     """Upper edges, at most ``n_buckets`` and the largest length last, with the least total padding.
 
@@ -79,20 +100,23 @@ def pieces_of(df: DataFrame, max_tokens: int, text_col: str, keep: list[str], le
     return d.select(*keep, "piece", (F.col("piece") * max_tokens).alias("start_token"), F.least(F.lit(max_tokens).cast("long"), F.col("__len") - F.col("piece") * max_tokens).alias("n_tokens"))
 
 
-def packed(df: DataFrame, max_tokens: int = 4096, budget: int = 65536, n_buckets: int = 16, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, str] | None = None) -> DataFrame:
+def packed(df: DataFrame, max_tokens: int = 4096, budget: int = 65536, n_buckets: int = 16, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, str] | None = None, length_col: str | None = None) -> DataFrame:
     """One row for each piece: its bucket (``bucket_len``), batch in the bucket, slot in the batch and padding.
 
     ``order`` names two columns: pieces fill the batches in order of the first,
     then the second.  The first must split the rows finely, since rows are
     numbered within it.  Without it they come in order of a hash of the id.
+    ``length_col`` names a column with the tokens of a row, end token included,
+    as ``encoded`` gives them; the text is not read then.
     """
     if budget < max_tokens:
         raise ValueError("budget must hold max_tokens")
-    d = df.select(F.col(id_col), F.col(text_col).alias("__text"), *([F.col(order[0]).alias("__sub"), F.col(order[1]).alias("__ord")] if order else []))
+    n = F.col(length_col).cast("long") if length_col else token_length(F.col(text_col))
+    d = df.select(F.col(id_col), n.alias("__n"), *([F.col(order[0]).alias("__sub"), F.col(order[1]).alias("__ord")] if order else []))
     if not order:
         h = F.xxhash64(F.col(id_col))
         d = d.withColumn("__sub", F.shiftrightunsigned(h, 54)).withColumn("__ord", h)
-    p = pieces_of(d, max_tokens, "__text", [id_col, "__sub", "__ord"])
+    p = pieces_of(written(d), max_tokens, text_col, [id_col, "__sub", "__ord"], F.col("__n"))
     edges = optimal_edges(*histogram(p, "n_tokens"), n_buckets) or [max_tokens]
     edge = F.element_at(F.filter(F.array(*[F.lit(e).cast("long") for e in edges]), lambda e: e >= F.col("n_tokens")), 1)
     p = p.withColumn("bucket_len", edge)

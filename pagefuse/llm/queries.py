@@ -28,8 +28,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of every document in its length bucket and batch."""
-    return packing.packed(table(spark, sf_dir, "documents"))
+    """Every piece of every document in its length bucket and batch, in tokens of the tokenizer of 1."""
+    return packing.packed(packing.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")), length_col="n_tokens")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

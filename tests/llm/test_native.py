@@ -200,3 +200,20 @@ def test_packed_padding_is_least(spark):
     best = min(padding([*e, x[-1]], x, c) for e in itertools.combinations(x[:-1].tolist(), 2))
     assert sum(r.padding for r in out) == best
     assert all(r.padding == 0 for r in packing.packed(docs(spark, ["w w w w"] * 5)).collect())
+
+
+def test_long_unbroken_texts_are_cut(spark, tmp_path):
+    """A run of letters and a text without spaces count by the tokenizer, in the query as registered."""
+    from pagefuse.llm.queries import op3_packing
+    from pagefuse.llm.token_counts import load
+
+    rng = random.Random(6)
+    texts = [None, "", "w w", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(5_000))]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    out = op3_packing(spark, str(tmp_path)).collect()
+    tokens = {}
+    for r in out:
+        assert r.n_tokens <= 4096
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
+    assert tokens == {i: len(load()[0].encode_ordinary(t or "")) + 1 for i, t in enumerate(texts)}
+    assert tokens[3] > 4096 and tokens[4] > 4096
