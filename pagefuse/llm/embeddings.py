@@ -1,8 +1,8 @@
 """Embedding near-dedup over pivot permutations, with exact bounds.
 
-``pivots`` reference vectors are drawn from the table, a sample of two times
-the square root of the number of classes, 64 at least and 2048 at most, first by
-hash.  Each vector is described by its ``near`` nearest pivots in order of
+Vectors of one length are a table of their own.  For each length, ``pivots``
+reference vectors are drawn, a sample of two times the square root of its number
+of classes, 64 at least and 2048 at most, first by hash.  Each vector is described by its ``near`` nearest pivots in order of
 closeness, and a task sorts its vectors by them, so close vectors share a tile.
 A pair of tiles is left out only where the triangle inequality excludes it: the
 angle between the tiles' centres, less both radii, is over that of the
@@ -19,8 +19,8 @@ gathered whole.  No pair leaves its task: tasks return link counts and a
 spanning forest.
 
 Edge cases: null, zero or empty vectors and vectors with null or non-finite
-components link with nothing; so do vectors of another length than the
-pivots'; repeated rows with one id are classes by their vector, and each row
+components link with nothing; vectors of different lengths don't link; repeated
+rows with one id are classes by their vector, and each row
 is returned; a null id is never a class's smallest id; an empty table gives no
 rows; extra columns are not read.
 """
@@ -52,13 +52,9 @@ def classes_of(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def pick_pivots(reps: DataFrame, pivots: int) -> np.ndarray:
-    """At most ``pivots`` unit vectors, first by hash of the class id."""
+    """At most ``pivots`` unit vectors of a table of one length, first by hash of the class id."""
     rows = reps.orderBy(F.xxhash64("cls"), "cls").limit(pivots).select("v").collect()
-    if not rows:
-        return np.zeros((0, 1))
-    size = max(len(r[0]) for r in rows)
-    x = np.array([r[0] for r in rows if len(r[0]) == size], dtype=np.float64)
-    return unit(x)
+    return unit(np.array([r[0] for r in rows], dtype=np.float64))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -136,35 +132,35 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, pivots: int | None =
     rows = classes_of(df, id_col, vec_col)
     reps = rows.where("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("copies"))
     reps = written(reps)
-    n_reps = reps.count()
-    p = pick_pivots(reps, pivots or max(64, min(2048, int(2 * n_reps**0.5))))
-    m, size = len(p), p.shape[1]
-    near = min(near, max(m, 1))
-    sent = df.sparkSession.sparkContext.broadcast(p)  # bounded: ``pivots`` vectors
+    sizes = {r[0]: r[1] for r in reps.groupBy(F.size("v")).count().collect()}
+    drawn = {size: pick_pivots(reps.where(F.size("v") == size), pivots or max(64, min(2048, int(2 * n**0.5)))) for size, n in sizes.items()}
+    sent = df.sparkSession.sparkContext.broadcast(drawn)  # bounded: ``pivots`` vectors of each length
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vs = b.column("v").to_pylist()
-            ok = [i for i, v in enumerate(vs) if len(v) == size]
-            if not ok or not m:
-                continue
-            x = unit(np.array([vs[i] for i in ok], dtype=np.float64))
-            perm = permutations(x, sent.value, near)
-            own = pa.array(ok)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("cls").take(own), b.column("copies").take(own), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in perm], pa.binary())],
-                names=["cls", "copies", "x", "perm"],
-            )
-
-    listed = reps.mapInArrow(describe, "cls long, copies long, x binary, perm binary")
+            lengths = np.array([len(v) for v in vs])
+            for size in np.unique(lengths).tolist():
+                ok = np.flatnonzero(lengths == size)
+                x = unit(np.array([vs[i] for i in ok], dtype=np.float64))
+                perm = permutations(x, sent.value[size], near)
+                own = pa.array(ok)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([size] * len(ok), pa.int32()), b.column("cls").take(own), b.column("copies").take(own), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in perm], pa.binary())],
+                    names=["size", "cls", "copies", "x", "perm"],
+                )
+
+    listed = reps.mapInArrow(describe, "size int, cls long, copies long, x binary, perm binary")
     # a row goes to every pair of groups that has its own: few groups, but 8 where there are blocks enough
-    groups = max(min(8, -(-n_reps // block)), -(-n_reps * size * 8 // GROUP_BYTES), 1)
-    own = F.pmod(F.xxhash64("cls"), F.lit(groups)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
-    tasks = listed.select("cls", "copies", "x", "perm", own.alias("own"), F.explode(pairs).alias("t")).select("*", "t.lo", "t.hi").drop("t")
+    groups = {size: max(min(8, -(-n // block)), -(-n * size * 8 // GROUP_BYTES), 1) for size, n in sizes.items()}
+    n_groups = F.coalesce(F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])[F.col("size")], F.lit(1)) if groups else F.lit(1)
+    listed = listed.withColumn("groups", n_groups)
+    own = F.pmod(F.xxhash64("cls"), F.col("groups")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
+    tasks = listed.select("size", "cls", "copies", "x", "perm", own.alias("own"), F.explode(pairs).alias("t")).select("*", "t.lo", "t.hi").drop("t")
 
     def join_groups(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = (int(k) for k in key)
+        _, lo, hi = (int(k) for k in key)
         perm = np.frombuffer(b"".join(pdf["perm"]), dtype=np.int32).reshape(len(pdf), -1)
         pdf = pdf.iloc[np.lexsort(perm.T[::-1])]
         x = np.frombuffer(b"".join(pdf["x"]), dtype=np.float64).reshape(len(pdf), -1)
@@ -173,7 +169,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, pivots: int | None =
         some = np.flatnonzero(n)
         return pd.DataFrame({"a": [*cls[some], *[cls[e[0]] for e in edges]], "b": [*cls[some], *[cls[e[1]] for e in edges]], "n": [*n[some], *[0] * len(edges)]}, dtype="int64")
 
-    found = written(tasks.groupBy("lo", "hi").applyInPandas(join_groups, "a long, b long, n long"))
+    found = written(tasks.groupBy("size", "lo", "hi").applyInPandas(join_groups, "a long, b long, n long"))
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("linked")).select(F.col("a").alias("__c"), "linked")
     comp = min_label_components(found.where("a <> b"))
     of_class = reps.join(counts, F.col("cls") == F.col("__c"), "left").join(comp, F.col("cls") == F.col("node"), "left")

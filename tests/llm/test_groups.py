@@ -161,6 +161,22 @@ def test_embeddings_in_a_dense_cluster(spark, block):
     assert {i: r.component_id for i, r in got.items()} == comp
 
 
+@pytest.mark.parametrize("strays", [1, 150])
+def test_embeddings_of_mixed_lengths(spark, strays):
+    """Vectors of each length link among themselves, with one longer stray and with many."""
+    rng = np.random.default_rng(12)
+    short = np.concatenate([cluster(rng, 40, 16, 0.06), rng.normal(size=(20, 16))])
+    long_ = cluster(rng, strays, 24, 0.05)
+    n, comp = brute(short)
+    rows = [v.tolist() for v in short] + [v.tolist() for v in long_]
+    d = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(d, block=50).collect()}
+    assert sum(n) and [got[i].n_links for i in range(60)] == n and {i: got[i].component_id for i in range(60)} == comp
+    if strays > 1:
+        n, comp = brute(long_)
+        assert [got[60 + i].n_links for i in range(strays)] == n and [got[60 + i].component_id - 60 for i in range(strays)] == [comp[i] for i in range(strays)]
+
+
 def test_scratch_is_cleared(spark):
     from pagefuse.llm import common
 
