@@ -236,12 +236,24 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, bands: i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def numbered(df: DataFrame, id_col: str, out: str) -> DataFrame:
+    """``df``, written, with a number for each row that has an id, in order of the ids."""
+    d = df.repartitionByRange(id_col).sortWithinPartitions(id_col)
+    return written(d.withColumn(out, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())))
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """Rows of ``df`` whose document stays: one for each group of near copies, columns unchanged.
 
-    Of rows that share both id and text one stays.
+    Of rows that share both id and text one stays.  Where an id has several
+    texts, each is a document of its own: only those that are copies go.
     """
-    found = near_duplicates(df, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    left = df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return left.dropDuplicates([id_col, text_col])
+    names = df.columns
+    several = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    key = id_col
+    if not several.isEmpty():
+        df, key = numbered(df.dropDuplicates([id_col, text_col]), id_col, "__row"), "__row"
+    found = near_duplicates(df, id_col=key, text_col=text_col, **options)
+    gone = found.where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
+    left = df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    return left.dropDuplicates([id_col, text_col]).select(*names)

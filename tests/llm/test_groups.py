@@ -72,6 +72,16 @@ def test_minhash_edges(spark):
     assert left.columns == ["doc_id", "text"] and sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [4, 9]
 
 
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    """Only the row whose text is a copy goes, and copies of the other text are judged on their own."""
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{x}{rng.randint(0, 999)}" for _ in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (2, b), (3, b + " end"), (4, c), (None, c), (None, a)]
+    left = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)
+    assert left.columns == ["doc_id", "text"]
+    assert sorted(((r.doc_id or 0), r.text) for r in left.collect()) == sorted([(1, a), (2, b), (4, c), (0, c), (0, a)])
+
+
 def test_band_keys_are_circulant():
     """Coordinate k is the smallest of one permutation, shifted by k."""
     from pagefuse.llm import textarrays as ta
