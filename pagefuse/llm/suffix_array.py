@@ -3,8 +3,8 @@
 ``repeats`` brings the segments that may repeat into shards.  A shard sorts the
 starts of all windows of its different segments:
 
-* shallow: multikey quicksort over eight bytes at a time down to ``SHALLOW``
-  bytes; only ties go on to the next eight;
+* shallow: library sorts by eight bytes at a time down to ``SHALLOW`` bytes,
+  in place of multikey quicksort; only ties go on to the next eight;
 * deep: each group that is still tied goes into a blind trie (a binary Patricia
   trie over the remaining bits), read out in order.
 
