@@ -1,13 +1,17 @@
 """Substring dedup over words with a compressed FM-index for each shard.
 
 ``repeats`` brings the segments that may repeat into shards.  A shard numbers
-its words, builds the Burrows-Wheeler transform of its different segments and
-stores it as a wavelet matrix of packed bits with rank counts.  The segments
-are then streamed through backward search, many in step: each step prepends a
-word, and the interval of a match longer than a window is widened to that of
-its first ``length`` words.  What stays are the matching statistics capped at
-the window: every position whose match reaches the threshold has the interval
-of all equal windows, and the first place among them.
+its words and builds the index of its different segments: the Burrows-Wheeler
+transform as a wavelet matrix of packed bits with rank counts, and one bit for
+each suffix that says where its first ``length`` words differ from the suffix
+before.  The suffix array is needed only to build them and is not kept.
+
+The segments are then streamed through backward search, many in step: each step
+prepends a word; where the match is longer than a window, the interval is
+widened by the bits to that of its first ``length`` words.  What stays are the
+matching statistics capped at the window.  Positions whose match reaches the
+threshold report their interval; positions with one interval hold the same
+words, and the first place among them is where those words start first.
 
 Edge cases: a null text has no words; texts of fewer words than a window lose
 nothing; rows with a null id lose nothing and take nothing from others; rows
@@ -53,6 +57,40 @@ class WaveletMatrix:
         return p
 
 
+class Marks:
+    """Packed bits, the first one set, with the nearest set bit to the left and to the right of any place."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.n = len(bits)
+        padded = np.zeros((self.n // 64 + 1) * 64, dtype=np.uint8)
+        padded[: self.n] = bits
+        self.words = np.packbits(padded, bitorder="little").view(U)
+        some, at = self.words != 0, np.arange(len(self.words))
+        self.left = np.maximum.accumulate(np.where(some, at, 0)).astype(np.uint32)
+        self.right = np.minimum.accumulate(np.where(some, at, len(at))[::-1])[::-1].astype(np.uint32)
+
+    def at_or_before(self, place: np.ndarray) -> np.ndarray:
+        """The last set bit up to each place."""
+        w = place >> 6
+        x = self.words[w] & (~U(0) >> (63 - (place & 63)).astype(U))
+        back = self.left[np.maximum(w - 1, 0)].astype(np.int64)
+        w = np.where(x != 0, w, back)
+        x = np.where(x != 0, x, self.words[back])
+        for k in (1, 2, 4, 8, 16, 32):
+            x = x | x >> U(k)
+        return (w << 6) + np.bitwise_count(x).astype(np.int64) - 1
+
+    def after(self, place: np.ndarray) -> np.ndarray:
+        """The first set bit after each place; the number of bits where there is none."""
+        w = place >> 6
+        x = self.words[w] & ((~U(0) << (place & 63).astype(U)) << U(1))
+        on = np.append(self.right, len(self.words))[w + 1].astype(np.int64)
+        w = np.where(x != 0, w, on)
+        x = np.where(x != 0, x, np.append(self.words, U(0))[on])
+        low = np.bitwise_count((x & (~x + U(1))) - U(1)).astype(np.int64)
+        return np.minimum((w << 6) + low, self.n)
+
+
 class FMIndex:
     """FM-index of sequences of word numbers from 1; each ends with 0."""
 
@@ -66,21 +104,20 @@ class FMIndex:
         # start of each symbol's zone among the suffixes, and where the last plane puts its first
         self.zone = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
         self.base = self.wavelet.rank(np.arange(size), np.zeros(size, dtype=np.int64))
-        new = np.concatenate([[True], ~equal])
-        begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        self.group_start, self.group_end = begin[group], np.append(begin[1:], n)[group]
-        self.sa = sa
+        self.marks = Marks(np.concatenate([[True], ~equal]))
 
     def prepend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the matches with one more word in front."""
+        """Intervals of the matches with one more word in front; empty for a word that the index does not know."""
+        known = symbol < len(self.base)
+        symbol = np.where(known, symbol, 0)
         shift = self.zone[symbol] - self.base[symbol]
-        return self.wavelet.rank(symbol, lo) + shift, self.wavelet.rank(symbol, hi) + shift
+        lo, hi = self.wavelet.rank(symbol, lo) + shift, self.wavelet.rank(symbol, hi) + shift
+        return lo, np.where(known, hi, lo)
 
     def matching(self, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of sequences ``text[first:last]``: for each position the match length, capped at
         the window, and its interval.  Sequences are streamed from the back, all in step.  Where a word makes the
-        interval empty, the match starts again from that word.
+        interval empty, its match is shortened from the right until it occurs.
         """
         length = np.zeros(len(text), dtype=np.int64)
         low, high = np.zeros(len(text), dtype=np.int64), np.zeros(len(text), dtype=np.int64)
@@ -91,13 +128,12 @@ class FMIndex:
             c = text[at]
             a, b = self.prepend(c, lo, hi)
             m = m + 1
-            lost = a >= b
-            if lost.any():
-                a[lost], b[lost] = self.zone[c[lost]], self.zone[c[lost] + 1]
-                m[lost] = (a[lost] < b[lost]).astype(np.int64)
-            over = m > self.length
-            g = np.minimum(a, self.n - 1)
-            a, b = np.where(over, self.group_start[g], a), np.where(over, self.group_end[g], b)
+            lost = np.flatnonzero(a >= b)
+            if len(lost):
+                m[lost], a[lost], b[lost] = self.longest(text, at[lost], np.minimum(m[lost] - 1, self.length))
+            over = np.flatnonzero(m > self.length)
+            if len(over):
+                a[over], b[over] = self.marks.at_or_before(a[over]), self.marks.after(a[over])
             m = np.minimum(m, self.length)
             length[at], low[at], high[at] = m, a, b
             more = at > stop
@@ -105,6 +141,24 @@ class FMIndex:
         return length, low, high
 
 
+    def search(self, text: np.ndarray, at: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the ``m`` words from each place; of all suffixes for none."""
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.n)
+        for k in range(int(m.max(initial=0)) - 1, -1, -1):
+            own = np.flatnonzero((m > k) & (lo < hi))
+            lo[own], hi[own] = self.prepend(text[at[own] + k], lo[own], hi[own])
+        return lo, hi
+
+    def longest(self, text: np.ndarray, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Longest match from each place of at most ``most`` words, by bisection, and its interval."""
+        low, high = np.zeros(len(at), np.int64), most.copy()
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            a, b = self.search(text, at, mid)
+            low, high = np.where(a < b, mid, low), np.where(a < b, high, mid - 1)
+        return low, *self.search(text, at, low)
+
+
 def suffixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array by doubling, and whether neighbours agree in their first ``length`` symbols.
 
@@ -147,8 +201,8 @@ def window_firsts(data: np.ndarray, off: np.ndarray, wins: np.ndarray, doc: np.n
     start = np.repeat(first, wins) + inside
     if (length[start] < plan.length).any():
         raise RuntimeError("a window was not found in its own index")
-    # an interval of windows of full length starts at its group, whichever row of it was found
-    group = index.group_start[low[start]]
+    # positions above the threshold are grouped by the interval that the search reported for them
+    group = low[start]
     d, p = np.repeat(doc, wins), np.repeat(pos, wins) + inside
     order = np.lexsort((p, d, group))
     lead = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
