@@ -1,15 +1,21 @@
 """Suffix-array dedup of byte strings, sorted deep and shallow.
 
 ``repeats`` brings the segments that may repeat into shards.  A shard sorts the
-starts of all windows of its different segments:
-
-* shallow: library sorts by eight bytes at a time down to ``SHALLOW`` bytes,
-  in place of multikey quicksort; only ties go on to the next eight;
-* deep: each group that is still tied goes into a blind trie (a binary Patricia
-  trie over the remaining bits), read out in order.
-
-Starts whose windows agree in full are neighbours then, and the smallest
-document among them is where the string starts first.
+starts of all windows of its different segments by the window's bytes, which
+makes the suffix array of the shard as deep as a window:
+
+* shallow: multikey quicksort.  A group of starts that agree so far is parted in
+  three by its pivot's next eight bytes, taken as one character; the middle part
+  goes on with the eight bytes after, down to ``SHALLOW`` bytes;
+* deep: each group that is still tied grows a blind trie.  A node holds only the
+  first bit in which its strings differ, found over the group at once; the bits
+  it skips are never compared again, and the leaves from left to right are the
+  order.
+
+All groups of a shard take each step together, so a step is a handful of array
+operations whatever the number of groups.  Starts whose windows agree in full
+are neighbours then, and the smallest document among them is where the string
+starts first.
 
 Edge cases: a null text counts as empty; texts shorter than the string length
 have no string; rows with a null id lose nothing and take nothing from others;
@@ -30,100 +36,125 @@ from . import repeats
 SHALLOW = 16
 
 
-class BlindTrie:
-    """A binary Patricia trie over numbers of ``bits`` bits; inner nodes hold only where to branch."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits, self.root = bits, None
-
-    def add(self, key: int, item: int) -> None:
-        """Walk down without comparing, compare once with the leaf, and branch at the first different bit."""
-        if self.root is None:
-            self.root = [-1, key, [item]]
-            return
-        top, node = self.bits - 1, self.root
-        while node[0] >= 0:
-            node = node[2] if key >> (top - node[0]) & 1 else node[1]
-        differ = key ^ node[1]
-        if not differ:
-            node[2].append(item)
-            return
-        at = self.bits - differ.bit_length()
-        above, node, side = None, self.root, 0
-        while 0 <= node[0] < at:
-            above, side = node, 2 if key >> (top - node[0]) & 1 else 1
-            node = node[side]
-        leaf = [-1, key, [item]]
-        branch = [at, node, leaf] if key >> (top - at) & 1 else [at, leaf, node]
-        if above is None:
-            self.root = branch
-        else:
-            above[side] = branch
-
-    def leaves(self) -> list[list[int]]:
-        """Items of each key, keys in order."""
-        out, stack = [], [self.root] if self.root is not None else []
-        while stack:
-            node = stack.pop()
-            if node[0] < 0:
-                out.append(node[2])
-            else:
-                stack += (node[2], node[1])
-        return out
-
-
 def eight_bytes(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on, as a number in their order."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = np.zeros(n, dtype=np.uint64)
+    out = np.zeros(n + 1, dtype=np.uint64)
     for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + n]
+        out[:n] = (out[:n] << np.uint64(8)) | padded[k : k + n]
     return out
 
 
+def spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every place of the ranges, range by range, and where each range starts among them."""
+    at = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(begin - at, size), at
+
+
+class Sorter:
+    """Windows of ``length`` bytes at ``starts``: their order, and which places of it begin a group of equal windows."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int) -> None:
+        self.words, self.starts, self.length = eight_bytes(data), starts, length
+        self.order, self.new = np.arange(len(starts)), np.zeros(len(starts), dtype=bool)
+        if len(starts):
+            self.new[0] = True
+            self.blind_tries(*self.multikey_quicksort(min(SHALLOW, length)))
+
+    def key(self, item: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The next eight bytes of windows at their depth; bytes past the window do not count."""
+        at = np.minimum(self.starts[item] + depth, len(self.words) - 1)
+        past = np.clip(depth + 8 - self.length, 0, 7).astype(np.uint64)
+        return self.words[at] >> (past * np.uint64(8))
+
+    def multikey_quicksort(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorts to a depth of ``limit`` bytes; (begin, size) of the groups that are tied then."""
+        begin, size, depth = np.zeros(1, np.int64), np.array([len(self.order)]), np.zeros(1, np.int64)
+        item = self.order.copy()
+        key = self.key(item, np.zeros(len(item), np.int64))
+        tied: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(begin):
+            place, at = spread(begin, size)
+            pivot = self.median(key, at, size)
+            p = np.repeat(pivot, size)
+            side = (key >= p).view(np.int8) + (key > p).view(np.int8)
+            # three-way partition: where each place of a part begins, then its turn within the part
+            below, equal = (np.add.reduceat((side == k).astype(np.int64), at) for k in (0, 1))
+            first = np.stack([at, at + below, at + below + equal])
+            to = np.empty(len(side), dtype=np.int64)
+            for k in range(3):
+                own = side == k
+                turn = np.cumsum(own) - own
+                to[own] = (turn + np.repeat(first[k] - turn[at], size))[own]
+            moved, moved_key = np.empty_like(item), np.empty_like(key)
+            moved[to], moved_key[to] = item, key
+            self.order[place] = moved
+            parts = np.stack([below, equal, size - below - equal])
+            starts = begin + np.stack([np.zeros_like(below), below, below + equal])
+            some = parts > 0
+            self.new[starts[some]] = True
+            deeper = depth + 8
+            done = np.stack([np.zeros(len(begin), bool), deeper >= limit, np.zeros(len(begin), bool)])
+            keep = parts > 1
+            tied.append((starts[keep & done], parts[keep & done]))
+            keep &= ~done
+            # the parts that go on, in order of their places
+            flat = np.argsort(starts[keep], kind="stable")
+            begin, size = starts[keep][flat], parts[keep][flat]
+            depth, fresh = np.stack([depth, deeper, depth])[keep][flat], np.broadcast_to(np.array([[False], [True], [False]]), keep.shape)[keep][flat]
+            stay = np.repeat(keep.T.ravel(), parts.T.ravel())
+            item, key = moved[stay], moved_key[stay]
+            own = np.repeat(fresh, size)
+            if own.any():
+                key[own] = self.key(item[own], np.repeat(depth, size)[own])
+        return np.concatenate([t[0] for t in tied]), np.concatenate([t[1] for t in tied])
+
+    @staticmethod
+    def median(key: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The middle one of three keys of each group."""
+        a, b, c = key[at], key[at + size // 2], key[at + size - 1]
+        return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+    def blind_tries(self, begin: np.ndarray, size: np.ndarray) -> None:
+        """Orders each group by the leaves of its blind trie; only groups of equal windows stay tied."""
+        depth = np.full(len(begin), min(SHALLOW, self.length))
+        open_ = depth < self.length
+        begin, size, depth = begin[open_], size[open_], depth[open_]
+        while len(begin):
+            place, at = spread(begin, size)
+            item = self.order[place]
+            key = self.key(item, np.repeat(depth, size))
+            differ = np.bitwise_or.reduceat(key ^ np.repeat(key[at], size), at)
+            same = differ == 0
+            # a node: its bit is the highest one in which a string of the group differs from the first
+            bit = differ.copy()
+            for k in (1, 2, 4, 8, 16, 32):
+                bit |= bit >> np.uint64(k)
+            bit ^= bit >> np.uint64(1)
+            right = (key & np.repeat(bit, size)) != 0
+            turn = np.cumsum(right) - right
+            inside = turn - np.repeat(turn[at], size)  # ones before, within the group
+            ones = np.add.reduceat(right.astype(np.int64), at)
+            zeros = size - ones
+            base = np.repeat(begin, size)
+            to = np.where(right, base + np.repeat(zeros, size) + inside, place - inside)
+            self.order[to] = item
+            branch = ~same
+            self.new[(begin + zeros)[branch]] = True
+            # leaves and ended groups are done; equal ones read on, both children of a node go on
+            b = np.concatenate([begin[branch], (begin + zeros)[branch], begin[same]])
+            n = np.concatenate([zeros[branch], ones[branch], size[same]])
+            d = np.concatenate([depth[branch], depth[branch], depth[same] + 8])
+            more = (n > 1) & (d < self.length)
+            o = np.argsort(b[more], kind="stable")
+            begin, size, depth = b[more][o], n[more][o], d[more][o]
+
+
 def sort_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the windows at ``starts`` and, for each place in it, the number of its group of equal windows."""
-    words = eight_bytes(data)
-    depth = min(SHALLOW, length)
-    order = np.arange(len(starts))
-    group = np.zeros(len(starts), dtype=np.int64)  # of each place in the order
-    tied = np.ones(len(starts), dtype=bool)
-    for level in range(0, depth, 8):
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        key = words[np.minimum(starts[order[at]] + level, len(words) - 1)]
-        if length - level < 8:  # only the bytes of the window count
-            key >>= np.uint64(8 * (8 - (length - level)))
-        q = np.lexsort((key, group[at])) if level else np.argsort(key, kind="stable")
-        order[at] = order[at][q]
-        key, old = key[q], group[at][q]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = group[1:] != group[:-1]
-        split = np.concatenate([[True], (key[1:] != key[:-1]) | (old[1:] != old[:-1])])
-        new[at] |= split
-        group = np.cumsum(new) - 1
-        size = np.bincount(group)
-        tied = size[group] > 1
-    if length <= depth or not tied.any():
-        return order, group
-    # deep: blind tries for what is left of each tied group
-    rest, new = length - depth, np.ones(len(order), dtype=bool)
-    new[1:] = group[1:] != group[:-1]
-    bits, raw = 8 * rest, data.tobytes()
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(order)))
-    for b, n in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        trie = BlindTrie(bits)
-        for item, s in zip(order[b : b + n].tolist(), (starts[order[b : b + n]] + depth).tolist(), strict=True):
-            trie.add(int.from_bytes(raw[s : s + rest], "big"), item)
-        at = b
-        for items in trie.leaves():
-            order[at : at + len(items)] = items
-            new[at] = True
-            at += len(items)
-    return order, np.cumsum(new) - 1
+    s = Sorter(data, starts, length)
+    return s.order, np.cumsum(s.new) - 1
 
 
 def window_firsts(data: np.ndarray, off: np.ndarray, wins: np.ndarray, doc: np.ndarray, pos: np.ndarray, plan: repeats.Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +162,7 @@ def window_firsts(data: np.ndarray, off: np.ndarray, wins: np.ndarray, doc: np.n
     inside = np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
     starts, owner = np.repeat(off[:-1], wins) + inside, np.repeat(doc, wins)
     order, group = sort_windows(data, starts, plan.length)
-    low = np.minimum.reduceat(owner[order], np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))
+    low = np.minimum.reduceat(owner[order], np.flatnonzero(np.diff(group, prepend=-1)))
     out = np.empty(len(starts), dtype=np.int64)
     out[order] = low[group]
     return out, np.zeros(len(starts), dtype=np.int64)
