@@ -5,6 +5,7 @@ All of them are lazy DataFrame transformations unless they say otherwise.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -35,30 +36,46 @@ def words_of(text: Column) -> Column:
 def scratch_root(spark: SparkSession) -> str:
     """The folder of this application's intermediate tables, below the shared checkpoint folder that the cluster names.
 
-    The setting is read from the session.  Where it is unset (tests), a folder
-    below the warehouse directory is set, which every node of a session shares.
+    The setting is read from the session.  Where it is unset, a session of one
+    node (tests) takes a folder below the warehouse directory; a cluster has no
+    folder that all its nodes are known to share, so that is an error.  The
+    folder goes when the driver ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/pagefuse-{spark.sparkContext.applicationId}"
+        sc.setCheckpointDir(base)
+    root = f"{base.rstrip('/')}/pagefuse-{sc.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return root
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the application's intermediate tables; results that still read them can't be read again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def clear_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Delete one of the application's intermediate tables, or all; results that still read them can't be read again."""
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path or scratch_root(spark))
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: it cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder for one intermediate table."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
 def gapless(df: DataFrame, keys: list[str], sub: str, order: list, out: str) -> DataFrame:
     """Number the rows of each group of ``keys`` from 0 without gaps, in order of ``sub``, then ``order``.
 
@@ -107,10 +124,12 @@ def min_label_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ``component`` is the smallest node reachable.  Alternating large-star and
     small-star steps keep the number of edges from growing and end after about
     log(n) rounds; each round is a written table in the shared folder, so a lost
-    executor costs one round at most.  Both steps group by node with partial
+    executor costs one round at most, and the table before it is deleted.  Both steps group by node with partial
     aggregates only (a minimum), never with a list of neighbours.
     """
-    cur = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    spark = edges.sparkSession
+    path = new_path(spark)
+    cur = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), path)
 
     def mark(df: DataFrame) -> tuple[int, int]:
         """Edges and a sum over them that changes whenever an edge does."""
@@ -129,7 +148,9 @@ def min_label_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.col("v").alias("x"), "m").where("x <> m")
         nxt = small.select(F.col("x").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
-        cur = written(nxt.distinct())
+        last, path = path, new_path(spark)
+        cur = written(nxt.distinct(), path)
+        clear_scratch(spark, last)
         now = mark(cur)
         if now == seen:
             break

@@ -13,8 +13,9 @@ shares none of 16 (24) keys of 4 is below 1e-5 (1e-5).
    comparison each.
 4. Buckets that still hold several components are compared pair by pair, in
    blocks, as products of 0/1 matrices; a pair counts in the first band that it
-   shares, and a task returns a spanning forest of its links.  So no link between components is lost, whatever
-   the size of a bucket, and no bucket is gathered in one task.
+   shares, and a task returns a spanning forest of its links.  So no link between
+   components is lost, whatever the size of a bucket, and no bucket is gathered
+   in one task.
 
 Edge cases: null and empty texts and texts without words have the empty set and
 are linked with nothing; rows with a null id likewise, and are kept; rows that
@@ -38,6 +39,8 @@ from .common import forest, min_label_components, written
 
 U = np.uint64
 SIGMA, PI = U(0x2545F4914F6CDD1D), U(0x632BE59BD9B4E019)
+#: Sets that are multiplied with as many at once, and the bytes of sets in a block.
+PART, BLOCK_BYTES = 256, 16 << 20
 
 
 def band_keys(x: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -134,6 +137,22 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14
     return out
 
 
+def joined(label: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
+    """Labels after the links between labels."""
+    if not links:
+        return label
+    to = np.arange(int(label.max()) + 1)
+    for u, v in links:
+        while to[u] != u:
+            u = to[u]
+        while to[v] != v:
+            v = to[v]
+        to[max(u, v)] = min(u, v)
+    while (to[to] != to).any():
+        to = to[to]
+    return to[label]
+
+
 def linked(n: int, m: int, both: int, percent: int) -> bool:
     """100 * intersection >= percent * union."""
     return 100 * both >= percent * (n + m - both)
@@ -159,60 +178,68 @@ def verify(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def residual_links(rows: DataFrame, items: DataFrame, percent: int, block: int) -> DataFrame:
-    """Edges between components within a bucket, by pairs of blocks; ``rows``: (band, key, blocks, id, f1, bands, comp).
+def residual_links(rows: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Edges between components within a bucket, by pairs of blocks; ``rows``: (band, key, hub, blocks, id, f1, comp).
 
-    Pairs of blocks are dealt to cells by a hash; a cell works them off one by
-    one, so many small buckets cost one call and a large one spreads over cells.
+    Pairs of blocks are dealt to cells by the bucket's smallest class, which the
+    buckets of a group share from band to band, so a cell gets the set of a class
+    once for all of them.  ``items`` has (id, f1, bands, items).
     """
     own = F.pmod(F.xxhash64("id", "f1"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
     cells = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = rows.select("band", "key", "id", "f1", "bands", "comp", own.alias("own"), F.explode(pairs).alias("t")).select("*", "t.lo", "t.hi").drop("t")
-    tasks = tasks.join(items, ["id", "f1"]).withColumn("cell", F.pmod(F.xxhash64("band", "key", "lo", "hi"), F.lit(cells)))
-
-    def of_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [compare(key, g) for key, g in pdf.groupby(["band", "key", "lo", "hi"], sort=False)]
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        band, lo, hi = int(key[0]), int(key[2]), int(key[3])
-        sets = [np.frombuffer(x, U) for x in pdf["items"]]
-        keys = np.array(pdf["bands"].tolist(), dtype=np.int64)
-        side, ids, comp = pdf["own"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy()
-        first = np.flatnonzero(side == lo)
-        second = first if lo == hi else np.flatnonzero(side == hi)
-        size = np.array([len(x) for x in sets], dtype=np.int64)
-        names, count = np.unique(comp, return_counts=True)
-        rest = comp != names[count.argmax()]  # pairs within the most frequent component need no comparison
-
-        def links(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            if not len(x) or not len(y):
-                return np.zeros((0, 2), dtype=np.int64)
-            both = intersections([sets[i] for i in x], [sets[j] for j in y])
-            ok = 100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)
-            ok &= comp[x][:, None] != comp[y][None, :]
-            for b in range(band):  # the first band that two share must be this one, or another task compares them
-                ok &= keys[x, b][:, None] != keys[y, b][None, :]
-            i, j = np.nonzero(ok)
-            return np.stack([ids[x[i]], ids[y[j]]], axis=1)
-
-        parts = [links(first[rest[first]], second)]
-        if lo != hi:
-            parts.append(links(first[~rest[first]], second[rest[second]]))
-        found = np.concatenate(parts)
+    tasks = rows.select("band", "key", "hub", "id", "f1", "comp", own.alias("own"), F.explode(pairs).alias("t")).select("*", "t.lo", "t.hi").drop("t")
+    tasks = tasks.withColumn("cell", F.pmod(F.xxhash64("hub", "lo", "hi"), F.lit(cells))).drop("hub")
+    wanted = tasks.select(F.col("cell").alias("at"), F.col("id").alias("a"), F.col("f1").alias("fa")).distinct()
+    sets = wanted.join(items, (F.col("a") == F.col("id")) & (F.col("fa") == F.col("f1"))).select("at", "a", "fa", "bands", "items")
+
+    def of_cell(todo: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        at = {k: i for i, k in enumerate(zip(sets["a"], sets["fa"], strict=True))}
+        have = [np.frombuffer(x, U) for x in sets["items"]]
+        keys = np.array(sets["bands"].tolist(), dtype=np.int64)
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        for (band, _, lo, hi), g in todo.groupby(["band", "key", "lo", "hi"], sort=False):
+            where = np.array([at[k] for k in zip(g["id"], g["f1"], strict=True)])
+            out.append(compare(int(band), [have[i] for i in where], keys[where], g["id"].to_numpy(), g["comp"].to_numpy(), g["own"].to_numpy(), int(lo), int(hi)))
+        found = np.concatenate(out)
         return pd.DataFrame(forest(found[:, 0], found[:, 1]), columns=["a", "b"], dtype="int64")
 
-    return tasks.groupBy("cell").applyInPandas(of_cell, "a long, b long")
-
-
-def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``."""
+    def compare(band: int, sets: list[np.ndarray], keys: np.ndarray, ids: np.ndarray, comp: np.ndarray, side: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Links between two blocks of a bucket, ``PART`` sets with as many at once."""
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        comp, found = np.unique(comp, return_inverse=True)[1], []
+        order = np.argsort(comp, kind="stable")  # parts of one component need no comparison with themselves
+        first, second = order[side[order] == lo], order[side[order] == hi]
+        for i in range(0, len(first), PART):
+            for j in range(i if lo == hi else 0, len(second), PART):
+                x, y = first[i : i + PART], second[j : j + PART]
+                ok = comp[x][:, None] != comp[y][None, :]
+                ok &= 100 * np.minimum(size[x][:, None], size[y][None, :]) >= percent * np.maximum(size[x][:, None], size[y][None, :])
+                for b in range(band):  # the first band that two share must be this one, or another task compares them
+                    ok &= keys[x, b][:, None] != keys[y, b][None, :]
+                x, y, ok = x[ok.any(axis=1)], y[ok.any(axis=0)], ok[ok.any(axis=1)][:, ok.any(axis=0)]
+                if not ok.size:
+                    continue
+                both = intersections([sets[k] for k in x], [sets[k] for k in y])
+                ok &= 100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)
+                p, q = np.nonzero(ok)
+                comp = joined(comp, forest(comp[x[p]], comp[y[q]]))
+                found.append(np.stack([ids[x[p]], ids[y[q]]], axis=1))
+        return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+
+    return tasks.groupBy("cell").cogroup(sets.groupBy("at")).applyInPandas(of_cell, "a long, b long")
+
+
+def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
+
+    A bucket's blocks have ``block`` classes or ``BLOCK_BYTES`` of sets at most.
+    """
     sig = written(signatures(df, shingle, bands, rows, id_col, text_col))
     full = sig.where("n > 0 AND id IS NOT NULL")
     reps = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     reps = written(reps.select("id", "f1", "f2", "n", "bands"))
-    keyed = reps.select("id", "f1", F.posexplode("bands").alias("band", "key"))
+    keyed = reps.select("id", "f1", "n", F.posexplode("bands").alias("band", "key"))
     hubs = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "f1")).alias("hub")).where("c > 1").select("band", "key", "hub")
     live = written(keyed.join(hubs, ["band", "key"]))
     wanted = live.select("id", "f1").distinct()
@@ -221,12 +248,12 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, bands: i
     star = live.where("id <> hub.id OR f1 <> hub.f1").select(F.col("id").alias("a"), F.col("f1").alias("fa"), F.col("hub.id").alias("b"), F.col("hub.f1").alias("fb")).distinct()
     edges = written(verify(star, items, percent))
     comp = min_label_components(edges)
-    placed = live.select("band", "key", "id", "f1").join(comp, F.col("id") == F.col("node"), "left").select("band", "key", "id", "f1", F.coalesce("component", "id").alias("comp"))
+    placed = live.select("band", "key", F.col("hub.id").alias("hub"), "id", "f1", "n").join(comp, F.col("id") == F.col("node"), "left").select("band", "key", "hub", "id", "f1", "n", F.coalesce("component", "id").alias("comp"))
     # buckets with several components, as a table: its size decides how it is joined, and Spark can split a large bucket
-    open_ = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    open_ = written(open_.select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rest = placed.join(open_, ["band", "key"]).join(reps.select("id", "f1", "bands"), ["id", "f1"])
-    more = written(residual_links(rest, items, percent, block))
+    open_ = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    open_ = written(open_.select("band", "key", F.ceil(F.greatest(F.col("c") / block, 8 * F.col("n") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    rest = placed.drop("n").join(open_, ["band", "key"])
+    more = written(residual_links(rest, items.join(reps.select("id", "f1", "bands"), ["id", "f1"]), percent))
     if not more.isEmpty():
         comp = min_label_components(edges.union(more))
     of_rep = reps.select("f1", "f2", F.col("id").alias("rep")).join(comp, F.col("rep") == F.col("node"), "left")
@@ -245,15 +272,15 @@ def numbered(df: DataFrame, id_col: str, out: str) -> DataFrame:
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """Rows of ``df`` whose document stays: one for each group of near copies, columns unchanged.
 
-    Of rows that share both id and text one stays.  Where an id has several
-    texts, each is a document of its own: only those that are copies go.
+    Where an id has several rows, each is a document of its own: only those that
+    are copies go, and of equal texts one stays.  Rows whose text has no words,
+    and rows without an id, are copies of nothing.
     """
     names = df.columns
     several = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     key = id_col
     if not several.isEmpty():
-        df, key = numbered(df.dropDuplicates([id_col, text_col]), id_col, "__row"), "__row"
+        df, key = numbered(df, id_col, "__row"), "__row"
     found = near_duplicates(df, id_col=key, text_col=text_col, **options)
     gone = found.where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
-    left = df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
-    return left.dropDuplicates([id_col, text_col]).select(*names)
+    return df.join(gone, F.col(key) == F.col("__gone"), "left_anti").select(*names)

@@ -5,21 +5,17 @@ of the slots is released at floor(j / w) and due at ceil((j + 1) / w).  Giving
 each slot to the released block that is due first keeps the blocks that any
 source has had within one of w * t at every slot t.
 
-The shares are exact: weights are whole numbers of one unit, so the schedule
-keeps to the target on any length and with any number of sources.  One task
-writes it, a row for each block, in memory that the number of sources bounds;
-its time grows with the number of blocks.
-
-With a ``resolution`` the shares are rounded to whole tickets of a period of so
-many slots or a little more, one at least, and the schedule repeats: one period
-is computed, as a fold over its slots in one row, and joined to the blocks, all
-native.  It keeps to the rounded shares only, which ``target_weight`` then has.
-
-A source that has run dry leaves its slots empty; the rest keep their
-proportions.  In the exact schedule a new round without those that are dry
-starts when less than half of the weight is left, and sources of weight 0 come
-after all others.  No row is dropped or repeated: ``in_target`` marks what
-stands before the first source runs dry, where the target weights hold.
+Shares are whole numbers of one ``UNIT``-th of all, so releases and deadlines
+are exact and the schedule keeps to the target on any length.  One row holds
+the sources and a fold over the slots writes the schedule; its work is slots
+times sources.  ``slots`` bounds the blocks: blocks grow with the table, so
+however many rows there are, the schedule has at most ``slots`` of them and one
+for each source.
+
+When a source runs dry, a new round without it starts, so no slot stays empty;
+sources of weight 0 come after all others, by their sizes.  No row is dropped or
+repeated: ``in_target`` marks what stands before the first source runs dry,
+where the target weights hold.
 
 Edge cases: null sources are a source of their own; repeated rows and null ids
 are rows like any other; an empty table gives no rows; a source may hold most
@@ -28,181 +24,130 @@ rows, since rows are numbered in hash ranges; extra columns are kept.
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections.abc import Iterator
-from fractions import Fraction
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import gapless, let, written
 
 #: Stands for a null source, in no source's name by its length of one control character.
 NO_SOURCE = "\x00"
-
-
-def source_plan(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, resolution: int) -> DataFrame:
-    """(source, n, tickets) for each source: tickets from ``weights``, else from n ** ``alpha``.
-
-    Sources that ``weights`` does not name get 0 there, and every source gets
-    one ticket at least, so nothing is left out.
-    """
-    if weights:
-        w = F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("__src")], F.lit(0.0))
-    else:
-        w = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
-    total = F.sum("__w").over(Window.partitionBy())
-    return sizes.withColumn("__w", w).select("__src", "n", F.greatest(F.lit(1), F.round(F.lit(resolution) * F.col("__w") / total)).cast("int").alias("tickets"))
-
-
-def edf(tickets: Column, period: Column) -> Column:
-    """Source index for each slot of a period: earliest deadline first among released blocks."""
-    k = F.size(tickets)
-    start = F.struct(F.array_repeat(F.lit(0), k).alias("done"), F.array().cast("array<int>").alias("picks"))
-
-    def step(acc: Column, t: Column) -> Column:
-        def due(p: Column, i: Column) -> Column:
-            had = F.get(acc["done"], i)
-            open_ = (had < p) & (F.floor(had.cast("double") * period / p) <= t)
-            return F.when(open_, F.struct(F.ceil((had + 1).cast("double") * period / p).alias("d"), i.alias("i")))
-
-        return let(
-            F.array_min(F.transform(tickets, due))["i"],
-            lambda pick: F.struct(F.transform(acc["done"], lambda x, i: x + F.when(i == pick, 1).otherwise(0)).alias("done"), F.concat(acc["picks"], F.array(pick)).alias("picks")),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), (period - 1).cast("int")), start, step, lambda acc: acc["picks"])
-
-
-def schedule(plan: DataFrame, block_rows: int) -> DataFrame:
-    """One row for each slot of the period: (source, turn, slot) with what the closed sums need."""
-    one = plan.agg(F.sort_array(F.collect_list(F.struct("__src", "n", "tickets"))).alias("s")).where(F.size("s") > 0)
-    one = one.select("s", F.aggregate("s", F.lit(0), lambda a, x: a + x["tickets"]).alias("period"))
-    one = one.select("s", "period", edf(F.transform("s", lambda x: x["tickets"]), F.col("period")).alias("picks"))
-    slots = one.select("s", "period", "picks", F.posexplode("picks").alias("slot", "i"))
-    before = F.transform("s", lambda x, j: F.size(F.filter(F.slice(F.col("picks"), F.lit(1), F.col("slot")), lambda p: p == j)))
-    slots = slots.select("period", "slot", F.get("s", F.col("i"))["__src"].alias("__src"), F.get("s", F.col("i"))["tickets"].alias("tickets"), F.get("s", F.col("i"))["n"].alias("n"), F.get(before, F.col("i")).alias("turn"), F.zip_with("s", before, lambda x, b: F.struct(x["n"].alias("n"), x["tickets"].alias("tickets"), b.alias("before"))).alias("sums"))
-    last = F.ceil(F.col("n") / F.lit(block_rows)).cast("long") - 1
-    own = F.when(F.col("turn") == last % F.col("tickets"), F.floor(last / F.col("tickets")).cast("long") * F.col("period") + F.col("slot"))
-    return slots.withColumn("dry", F.min(own).over(Window.partitionBy()))
-
-
-def whole(weights: list[float]) -> list[int]:
-    """The same proportions in whole numbers."""
-    x = [Fraction(w) for w in weights]
-    unit = math.lcm(*[f.denominator for f in x])
-    return [int(f * unit) for f in x]
-
-
-def targets(sizes: list[int], weights: list[float], alpha: float) -> list[int]:
-    """Weights in whole numbers; from the sizes where all are 0."""
-    return whole(weights if any(weights) else [float(n) ** alpha for n in sizes])
-
-
-def exact_blocks(sizes: list[int], weights: list[float], alpha: float, block_rows: int) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(source, block, slot, rows before it, in target) for every block, in order of the slots."""
-    blocks, had = [-(-n // block_rows) for n in sizes], [0] * len(sizes)
-    goal, t, first, in_target = targets(sizes, weights, alpha), 0, 0, True
-    while True:
-        live = [i for i in range(len(sizes)) if had[i] < blocks[i] and goal[i]]
-        if not live:
-            live = [i for i in range(len(sizes)) if had[i] < blocks[i]]
-            if not live:
-                return
-            for i, w in zip(live, whole([float(sizes[i]) ** alpha for i in live]), strict=True):
-                goal[i] = w
-            in_target = False
-        total = left = sum(goal[i] for i in live)
-        start, turn = t, dict.fromkeys(live, 0)
-        ready, later = [(-(-total // goal[i]), i) for i in live], []
-        heapq.heapify(ready)
-        while 2 * left >= total:
-            while later and later[0][0] <= t - start:
-                i = heapq.heappop(later)[1]
-                heapq.heappush(ready, (-(-(turn[i] + 1) * total // goal[i]), i))
-            i = heapq.heappop(ready)[1]
-            if had[i] < blocks[i]:
-                yield i, had[i], t, first, in_target
-                first += min(block_rows, sizes[i] - had[i] * block_rows)
-                had[i] += 1
-                if had[i] == blocks[i]:
-                    left -= goal[i]
-                    in_target = False
-            turn[i] += 1
-            heapq.heappush(later, (turn[i] * total // goal[i], i))
-            t += 1
-
-
-def exact_schedule(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, block_rows: int) -> DataFrame:
-    """One row for each block of each source, written by one task; only the sizes go to the driver."""
-    rows = sorted((r["__src"], r["n"]) for r in sizes.collect())
-    names, n = [r[0] for r in rows], [r[1] for r in rows]
-    w = [float(weights.get(x, 0.0)) for x in names] if weights else [float(x) ** alpha for x in n]
-
-    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        goal = targets(n, w, alpha)
-        share = [x / sum(goal) for x in goal]
-        part: list[tuple] = []
-        for i, block, slot, first, ok in exact_blocks(n, w, alpha, block_rows):
-            part.append((names[i], block, slot, first, share[i], ok))
-            if len(part) == 10_000:
-                yield batch(part)
-                part = []
-        if part:
-            yield batch(part)
-
-    def batch(part: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names=["__src_s", "__block_s", "mix_slot", "first", "target_weight", "in_target"])
-
-    one = sizes.sparkSession.range(0, 1, 1, 1)
-    return written(one.mapInArrow(run, "__src_s string, __block_s long, mix_slot long, first long, target_weight double, in_target boolean"))
-
-
-def mixed(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_rows: int = 16, resolution: int | None = None, id_col: str = "doc_id", source_col: str = "source", sub_digits: int = 3) -> DataFrame:
+#: Shares are counted in parts of this; times the slots it stays below 2 ** 63.
+UNIT = 1 << 40
+#: Slots that the fold writes to one list before it starts the next.
+STRETCH = 256
+#: Most rows of a schedule that is broadcast, some MB; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def div(a: Column, b: Column) -> Column:
+    """Whole quotient of whole numbers."""
+    return F.call_function("div", a, b)
+
+
+def tickets(weights: Column) -> Column:
+    """Shares of a list of weights, in units; a weight above 0 has one unit at least."""
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    return let(total, lambda t: F.transform(weights, lambda w: F.when(w > 0, F.greatest(F.lit(1), F.floor(w / t * UNIT + 0.5))).otherwise(F.lit(0)).cast("long")))
+
+
+def source_row(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, block: int) -> DataFrame:
+    """One row: ``s``, the sources in order with size, blocks, tickets ``p``, and ``q`` by size; none without sources."""
+    by_size = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
+    named = by_size
+    if weights and any(weights.values()):
+        named = F.coalesce(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])[F.col("__src")], F.lit(0.0))
+    one = sizes.select("__src", "n", named.alias("w"), by_size.alias("v")).agg(F.sort_array(F.collect_list(F.struct("__src", "n", "w", "v"))).alias("s")).where(F.size("s") > 0)
+    one = one.select("s", tickets(F.transform("s", lambda x: x["w"])).alias("p"), tickets(F.transform("s", lambda x: x["v"])).alias("q"))
+    blocks = lambda n: div(n + (block - 1), F.lit(block).cast("long"))
+    return one.select(F.transform("s", lambda x, i: F.struct(x["__src"].alias("src"), x["n"].alias("n"), blocks(x["n"]).alias("blocks"), F.get("p", i).alias("p"), F.get("q", i).alias("q"))).alias("s"))
+
+
+def edf(s: Column, block: int) -> Column:
+    """The picks of all slots, earliest deadline first among released blocks: (source index, block, rows before it, in target)."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    total = lambda x: F.aggregate(x, zero, lambda a, y: a + y)
+    kind = "array<struct<i:int,block:bigint,first:bigint,ok:boolean>>"
+
+    def state(had: Column, t: Column, whole: Column, late: Column, first: Column, ok: Column, picks: Column) -> Column:
+        return F.struct(had.alias("had"), t.alias("t"), whole.alias("whole"), late.alias("late"), first.alias("first"), ok.alias("ok"), picks.alias("picks"))
+
+    def step(acc: Column, _: Column) -> Column:
+        def due(x: Column, i: Column) -> Column:
+            h = F.get(acc["had"], i)
+            w = F.when(acc["late"], x["q"]).otherwise(x["p"])
+            safe = F.greatest(w, one)
+            released = (w > 0) & (h["done"] < x["blocks"]) & (div(h["turn"] * acc["whole"], safe) <= acc["t"])
+            return F.when(released, F.struct(div((h["turn"] + 1) * acc["whole"] + safe - 1, safe).alias("d"), i.alias("i")))
+
+        return let(F.array_min(F.transform(s, due))["i"], lambda pick: picked(acc, pick))
+
+    def picked(acc: Column, pick: Column) -> Column:
+        x, h = F.get(s, pick), F.get(acc["had"], pick)
+        dry = h["done"] + 1 >= x["blocks"]
+        had = F.transform(acc["had"], lambda y, i: F.struct((y["done"] + (i == pick).cast("long")).alias("done"), F.when(dry, zero).otherwise(y["turn"] + (i == pick).cast("long")).alias("turn")))
+        entry = F.struct(pick.cast("int").alias("i"), h["done"].alias("block"), acc["first"].alias("first"), acc["ok"].alias("ok"))
+        first = acc["first"] + F.least(F.lit(block).cast("long"), x["n"] - h["done"] * F.lit(block).cast("long"))
+        picks = F.concat(acc["picks"], F.array(entry))
+
+        def rest(had: Column) -> Column:
+            live = lambda part: total(F.transform(s, lambda y, i: F.when(F.get(had, i)["done"] < y["blocks"], y[part]).otherwise(zero)))
+            late = F.when(dry, acc["late"] | (live("p") == 0)).otherwise(acc["late"])
+            whole = F.when(dry, F.when(late, live("q")).otherwise(live("p"))).otherwise(acc["whole"])
+            return state(had, F.when(dry, zero).otherwise(acc["t"] + 1), whole, late, first, acc["ok"] & ~dry, picks)
+
+        return let(had, rest)
+
+    none = F.array().cast(kind)
+    start = state(F.transform(s, lambda _: F.struct(zero.alias("done"), zero.alias("turn"))), zero, total(F.transform(s, lambda x: x["p"])), F.lit(False), zero, F.lit(True), none)
+    slots = total(F.transform(s, lambda x: x["blocks"]))
+
+    def stretch(acc: Column, k: Column) -> Column:
+        own = F.sequence(k * STRETCH, F.least(slots, (k + 1) * STRETCH) - 1)
+        begin = F.struct(*[acc["now"][c].alias(c) for c in ("had", "t", "whole", "late", "first", "ok")], none.alias("picks"))
+        return let(F.aggregate(own, begin, step), lambda now: F.struct(now.alias("now"), F.concat(acc["lists"], F.array(now["picks"])).alias("lists")))
+
+    begin = F.struct(start.alias("now"), F.array().cast(f"array<{kind}>").alias("lists"))
+    return F.flatten(F.aggregate(F.sequence(zero, div(slots - 1, F.lit(STRETCH).cast("long"))), begin, stretch, lambda acc: acc["lists"]))
+
+
+def schedule(sizes: DataFrame, weights: dict[str, float] | None, alpha: float, block: int) -> DataFrame:
+    """One row for each block of each source, by slot."""
+    one = source_row(sizes, weights, alpha, block)
+    slots = one.select("s", F.posexplode(edf(F.col("s"), block)).alias("slot", "pick"))
+    own = F.get("s", F.col("pick.i"))
+    share = own["p"] / F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["p"])
+    return slots.select(own["src"].alias("__src_s"), F.col("pick.block").alias("__block_s"), F.col("slot").cast("long").alias("mix_slot"), F.col("pick.first").alias("__first"), share.alias("target_weight"), F.col("pick.ok").alias("in_target"))
+
+
+def mixed(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, block_rows: int = 16, slots: int = 1 << 16, id_col: str = "doc_id", source_col: str = "source", sub_digits: int = 3) -> DataFrame:
     """``df`` with its place in the mix: ``block``, ``mix_slot``, ``position`` (gapless from 0), ``target_weight``, ``in_target``.
 
-    Rows of a source come in order of md5(id), numbered in 16 ** ``sub_digits``
-    ranges of it.  The shuffles are one by (source, hash range) and that of the
-    counts.  With a ``resolution`` the schedule is broadcast, since that and the
-    number of sources bound it; the exact one is joined by its size.
+    Weights are named in ``weights``, else rows ** ``alpha``.  Blocks have
+    ``block_rows`` rows, or as many as keep them to ``slots``.  Rows of a source
+    come in order of md5(id), numbered in 16 ** ``sub_digits`` ranges of it.  The
+    rows are shuffled once, by (source, hash range).
     """
     keep = df.columns
     row = df.select(F.struct(*[F.col(c) for c in keep]).alias("__row"), F.coalesce(F.col(source_col), F.lit(NO_SOURCE)).alias("__src"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("__h"), F.col(id_col).alias("__id"))
     row = row.withColumn("__sub", F.substring("__h", 1, sub_digits))
-    sizes = row.groupBy("__src").agg(F.count(F.lit(1)).alias("n"))
-    if resolution is None:
-        r = gapless(row, ["__src"], "__sub", ["__h", "__id"], "__idx").withColumn("block", F.floor(F.col("__idx") / block_rows).cast("long"))
-        r = r.join(exact_schedule(sizes, weights, alpha, block_rows), (F.col("__src") == F.col("__src_s")) & (F.col("block") == F.col("__block_s")))
-        return r.select("__row.*", "block", "mix_slot", (F.col("first") + F.col("__idx") % block_rows).cast("long").alias("position"), "target_weight", "in_target")
-    slots = schedule(source_plan(sizes, weights, alpha, resolution), block_rows)
-    r = gapless(row, ["__src"], "__sub", ["__h", "__id"], "__idx")
-    r = r.withColumn("block", F.floor(F.col("__idx") / block_rows).cast("long"))
-    turns = slots.select("__src", "tickets").distinct().select(F.col("__src").alias("__src_t"), F.col("tickets").alias("__tickets"))
-    r = r.join(F.broadcast(turns), F.col("__src") == F.col("__src_t")).withColumn("__turn", (F.col("block") % F.col("__tickets")).cast("int"))
-    s = slots.select(F.col("__src").alias("__src_s"), F.col("turn").alias("__turn_s"), "slot", "period", "sums", "dry")
-    r = r.join(F.broadcast(s), (F.col("__src") == F.col("__src_s")) & (F.col("__turn") == F.col("__turn_s")))
-    cycle = F.floor(F.col("block") / F.col("__tickets")).cast("long")
-    first = F.aggregate("sums", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.lit(block_rows) * (cycle * x["tickets"] + x["before"])))
-    return r.select(
-        "__row.*",
-        "block",
-        (cycle * F.col("period") + F.col("slot")).cast("long").alias("mix_slot"),
-        (first + F.col("__idx") % block_rows).cast("long").alias("position"),
-        (F.col("__tickets") / F.col("period")).alias("target_weight"),
-        (cycle * F.col("period") + F.col("slot") <= F.col("dry")).alias("in_target"),
-    )
-
-
-def in_mix_order(df: DataFrame, **options: object) -> DataFrame:
-    """``df`` dealt to range partitions and sorted by place in the mix, with its own columns only.
+    sizes = written(row.groupBy("__src").agg(F.count(F.lit(1)).alias("n")))
+    rows, sources = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    block = max(block_rows, -(-rows // slots))
+    plan = written(schedule(sizes, weights, alpha, block))
+    if slots + sources <= BROADCAST_ROWS:
+        plan = F.broadcast(plan)
+    r = gapless(row, ["__src"], "__sub", ["__h", "__id"], "__idx").withColumn("block", div(F.col("__idx").cast("long"), F.lit(block).cast("long")))
+    r = r.join(plan, (F.col("__src") == F.col("__src_s")) & (F.col("block") == F.col("__block_s")))
+    return r.select("__row.*", "block", "mix_slot", (F.col("__first") + F.col("__idx") % block).cast("long").alias("position"), "target_weight", "in_target")
+
+
+def in_mix_order(df: DataFrame, position: str = "mix_position", **options: object) -> DataFrame:
+    """``df`` with its place in the mix in the column ``position``, dealt to contiguous ranges of it and sorted.
 
     Written as it is, its files in order of name hold the mix from first to
-    last, so a reader that follows the files sees the target weights.
+    last, so a reader that follows the files sees the target weights too.
     """
-    names = df.columns
+    names = [c for c in df.columns if c != position]
     packed = df.select(F.struct(*[F.col(c) for c in names]).alias("__doc"), F.col(str(options.get("id_col", "doc_id"))).alias("__id"), F.col(str(options.get("source_col", "source"))).alias("__source"))
-    m = mixed(packed, **{**options, "id_col": "__id", "source_col": "__source"})
-    return m.repartitionByRange("position").sortWithinPartitions("position").select("__doc.*")
+    m = mixed(packed, **{**options, "id_col": "__id", "source_col": "__source"}).select("__doc", "position")
+    return m.repartitionByRange("position").sortWithinPartitions("position").select("__doc.*", F.col("position").alias(position))

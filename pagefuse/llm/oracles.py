@@ -93,22 +93,21 @@ FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN c ON c.x = e.vec_id
 """
 
 ORACLES["op7_mixing"] = r"""
-WITH RECURSIVE src AS (SELECT coalesce(source, chr(1)) AS s, count(*) AS n FROM documents GROUP BY 1),
-tot AS (SELECT sum(pow(n::DOUBLE, 0.7)) AS w FROM src),
-k AS (SELECT list(s ORDER BY s) AS ss, list(n ORDER BY s) AS ns, list(greatest(1, round(512 * pow(n::DOUBLE, 0.7) / w))::BIGINT ORDER BY s) AS p FROM src, tot),
-h AS (SELECT ss, ns, p, list_sum(p)::BIGINT AS period FROM k),
-r(t, pick, done) AS (
-  SELECT -1::BIGINT, 0::BIGINT, list_transform(p, lambda x: 0::BIGINT) FROM h
+WITH RECURSIVE src AS (SELECT coalesce(source, chr(1)) AS s, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS w FROM documents GROUP BY 1),
+k AS (SELECT list(s ORDER BY s) AS ss, list(n ORDER BY s) AS ns, list(w ORDER BY s) AS ws, greatest(16, (sum(n) + 65535) // 65536)::BIGINT AS size FROM src HAVING count(*) > 0),
+h AS (SELECT ss, ns, size, list_transform(ns, lambda n: ((n + size - 1) // size)::BIGINT) AS bs,
+        list_transform(ws, lambda w: greatest(1, floor(w / list_reduce(list_prepend(0.0::DOUBLE, ws), lambda a, x: a + x) * 1099511627776 + 0.5))::BIGINT) AS p FROM k),
+r(slot, t, total, pick, block, first, ok, done, turn) AS (
+  SELECT -1::BIGINT, -1::BIGINT, list_sum(p)::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, true, list_transform(p, lambda x: 0::BIGINT), list_transform(p, lambda x: 0::BIGINT) FROM h
   UNION ALL
-  SELECT r.t + 1, c.i, list_transform(r.done, lambda x, j: CASE WHEN j = c.i THEN x + 1 ELSE x END)
-  FROM r, h, LATERAL (SELECT list_min(list_transform(list_filter(range(1, len(h.p) + 1), lambda i: r.done[i] < h.p[i] AND floor(r.done[i]::DOUBLE * h.period / h.p[i]) <= r.t + 1),
-     lambda i: {'d': ceil((r.done[i] + 1)::DOUBLE * h.period / h.p[i]), 'i': i::BIGINT})).i AS i) c WHERE r.t + 1 < h.period),
-slots AS (SELECT t AS slot, pick, done[pick] - 1 AS turn, done FROM r WHERE t >= 0),
+  SELECT slot + 1, nt, total, i, done[i], nf, nok, list_transform(done, lambda x, j: CASE WHEN j = i THEN x + 1 ELSE x END), list_transform(nturn, lambda x, j: CASE WHEN j = i THEN x + 1 ELSE x END)
+  FROM (SELECT slot, nt, ntotal AS total, done, nturn, nf, nok,
+      list_min(list_transform(list_filter(range(1, len(p) + 1), lambda j: done[j] < bs[j] AND (nturn[j] * ntotal) // p[j] <= nt), lambda j: {'d': ((nturn[j] + 1) * ntotal + p[j] - 1) // p[j], 'i': j::BIGINT})).i AS i
+    FROM (SELECT slot, h.p, h.bs, done, CASE WHEN dry THEN 0 ELSE t + 1 END AS nt, CASE WHEN dry THEN list_transform(turn, lambda x: 0::BIGINT) ELSE turn END AS nturn, ok AND NOT dry AS nok,
+        CASE WHEN dry THEN list_sum(list_transform(h.p, lambda x, j: CASE WHEN done[j] < h.bs[j] THEN x ELSE 0 END))::BIGINT ELSE total END AS ntotal,
+        CASE WHEN pick = 0 THEN 0 ELSE first + least(h.size, h.ns[pick] - block * h.size) END AS nf
+      FROM (SELECT r.*, coalesce(pick > 0 AND done[pick] = h.bs[pick], false) AS dry FROM r, h) AS r, h WHERE list_sum(done) < list_sum(h.bs)))),
 d AS (SELECT doc_id, source, coalesce(source, chr(1)) AS s, row_number() OVER (PARTITION BY coalesce(source, chr(1)) ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), doc_id) - 1 AS idx FROM documents),
-b AS (SELECT d.*, idx // 16 AS block, list_position(h.ss, d.s) AS i, h.p, h.ns, h.period FROM d, h),
-c AS (SELECT b.*, block // p[i] AS cyc, slot, done FROM b JOIN slots ON slots.pick = b.i AND slots.turn = block % p[i]),
-dry AS (SELECT min(v) AS dry FROM (SELECT max(cyc * period + slot) AS v FROM c GROUP BY i))
-SELECT doc_id, source, block, cyc * period + slot AS mix_slot,
- (list_sum(list_transform(range(1, len(p) + 1), lambda j: least(ns[j], 16 * (cyc * p[j] + done[j] - CASE WHEN j = i THEN 1 ELSE 0 END)))) + idx % 16)::BIGINT AS position,
- p[i] / period AS target_weight, cyc * period + slot <= dry AS in_target FROM c, dry
+b AS (SELECT d.*, idx // h.size AS block, h.size, list_position(h.ss, d.s) AS i, h.p[list_position(h.ss, d.s)] / list_sum(h.p)::BIGINT AS target_weight FROM d, h)
+SELECT b.doc_id, b.source, b.block, r.slot AS mix_slot, (r.first + b.idx % b.size)::BIGINT AS position, b.target_weight, r.ok AS in_target FROM b JOIN r ON r.slot >= 0 AND r.pick = b.i AND r.block = b.block
 """

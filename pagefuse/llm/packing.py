@@ -100,19 +100,19 @@ def pieces_of(df: DataFrame, max_tokens: int, text_col: str, keep: list[str], le
     return d.select(*keep, "piece", (F.col("piece") * max_tokens).alias("start_token"), F.least(F.lit(max_tokens).cast("long"), F.col("__len") - F.col("piece") * max_tokens).alias("n_tokens"))
 
 
-def packed(df: DataFrame, max_tokens: int = 4096, budget: int = 65536, n_buckets: int = 16, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, str] | None = None, length_col: str | None = None) -> DataFrame:
+def packed(df: DataFrame, max_tokens: int = 4096, budget: int = 65536, n_buckets: int = 16, id_col: str = "doc_id", text_col: str = "text", order: str | None = None, length_col: str | None = None) -> DataFrame:
     """One row for each piece: its bucket (``bucket_len``), batch in the bucket, slot in the batch and padding.
 
-    ``order`` names two columns: pieces fill the batches in order of the first,
-    then the second.  The first must split the rows finely, since rows are
-    numbered within it.  Without it they come in order of a hash of the id.
+    ``order`` names a column of whole numbers, without long runs of one: pieces
+    fill the batches in its order, rows being numbered within ranges of it.
+    Without it they come in order of a hash of the id.
     ``length_col`` names a column with the tokens of a row, end token included,
     as ``encoded`` gives them; the text is not read then.
     """
     if budget < max_tokens:
         raise ValueError("budget must hold max_tokens")
     n = F.col(length_col).cast("long") if length_col else token_length(F.col(text_col))
-    d = df.select(F.col(id_col), n.alias("__n"), *([F.col(order[0]).alias("__sub"), F.col(order[1]).alias("__ord")] if order else []))
+    d = df.select(F.col(id_col), n.alias("__n"), *([F.shiftright(F.col(order).cast("long"), 12).alias("__sub"), F.col(order).cast("long").alias("__ord")] if order else []))
     if not order:
         h = F.xxhash64(F.col(id_col))
         d = d.withColumn("__sub", F.shiftrightunsigned(h, 54)).withColumn("__ord", h)

@@ -4,9 +4,10 @@
 starts of all windows of its different segments by the window's bytes, which
 makes the suffix array of the shard as deep as a window:
 
-* shallow: multikey quicksort.  A group of starts that agree so far is parted in
-  three by its pivot's next eight bytes, taken as one character; the middle part
-  goes on with the eight bytes after, down to ``SHALLOW`` bytes;
+* shallow: buckets of the first two bytes, then multikey quicksort.  A group of
+  starts that agree so far is parted in three by its pivot's next eight bytes,
+  taken as one character; the middle part goes on with the eight bytes after,
+  down to ``SHALLOW`` bytes or a few more;
 * deep: each group that is still tied grows a blind trie.  A node holds only the
   first bit in which its strings differ, found over the group at once; the bits
   it skips are never compared again, and the leaves from left to right are the
@@ -57,58 +58,75 @@ class Sorter:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, length: int) -> None:
         self.words, self.starts, self.length = eight_bytes(data), starts, length
-        self.order, self.new = np.arange(len(starts)), np.zeros(len(starts), dtype=bool)
+        self.order, self.new = np.arange(len(starts), dtype=np.int32), np.zeros(len(starts), dtype=bool)
         if len(starts):
-            self.new[0] = True
-            self.blind_tries(*self.multikey_quicksort(min(SHALLOW, length)))
+            self.blind_tries(*self.multikey_quicksort(*self.buckets(), min(SHALLOW, length)))
 
-    def key(self, item: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    def key(self, item: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
         """The next eight bytes of windows at their depth; bytes past the window do not count."""
         at = np.minimum(self.starts[item] + depth, len(self.words) - 1)
-        past = np.clip(depth + 8 - self.length, 0, 7).astype(np.uint64)
+        past = np.clip(depth + 8 - np.int64(self.length), 0, 7).astype(np.uint64)
         return self.words[at] >> (past * np.uint64(8))
 
-    def multikey_quicksort(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorts to a depth of ``limit`` bytes; (begin, size) of the groups that are tied then."""
-        begin, size, depth = np.zeros(1, np.int64), np.array([len(self.order)]), np.zeros(1, np.int64)
-        item = self.order.copy()
-        key = self.key(item, np.zeros(len(item), np.int64))
-        tied: list[tuple[np.ndarray, np.ndarray]] = []
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Deals all starts to buckets of their first two bytes: (begin, size) of those with several."""
+        two = np.minimum(self.length, 2)
+        key = (self.words[self.starts] >> np.uint64(8 * (8 - two))).astype(np.uint16)
+        self.order = np.argsort(key, kind="stable").astype(np.int32)  # a counting sort for numbers of 16 bits
+        begin = np.flatnonzero(np.diff(key[self.order].astype(np.int32), prepend=-1))
+        self.new[begin] = True
+        size = np.diff(np.append(begin, len(key)))
+        return begin[size > 1], size[size > 1]
+
+    def multikey_quicksort(self, begin: np.ndarray, size: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorts to a depth of ``limit`` bytes or more; (begin, size, depth) of the groups that are tied then."""
+        depth = np.full(len(begin), min(2, limit))
+        if limit <= 2:
+            return begin, size, depth
+        place, _ = spread(begin, size)
+        place = place.astype(np.int32)
+        item = self.order[place]
+        key, tied = self.key(item, 2), []
+        begin, size = begin.astype(np.int32), size.astype(np.int32)
         while len(begin):
-            place, at = spread(begin, size)
-            pivot = self.median(key, at, size)
-            p = np.repeat(pivot, size)
-            side = (key >= p).view(np.int8) + (key > p).view(np.int8)
-            # three-way partition: where each place of a part begins, then its turn within the part
-            below, equal = (np.add.reduceat((side == k).astype(np.int64), at) for k in (0, 1))
-            first = np.stack([at, at + below, at + below + equal])
-            to = np.empty(len(side), dtype=np.int64)
-            for k in range(3):
-                own = side == k
-                turn = np.cumsum(own) - own
-                to[own] = (turn + np.repeat(first[k] - turn[at], size))[own]
+            at = np.cumsum(size, dtype=np.int32) - size
+            p = np.repeat(self.median(key, at, size), size)
+            less, more = key < p, key > p
+            # three-way partition: an entry's turn among the less, the equal and the more of its group
+            nth_less, nth_more = np.cumsum(less, dtype=np.int32), np.cumsum(more, dtype=np.int32)
+            before_less, before_more = nth_less[at] - less[at], nth_more[at] - more[at]
+            last = at + size - 1
+            below, above = nth_less[last] - before_less, nth_more[last] - before_more
+            nth_less -= np.repeat(before_less, size)
+            nth_more -= np.repeat(before_more, size)
+            to = np.arange(len(key), dtype=np.int32)
+            base = np.repeat(at, size)
+            to += np.repeat(below, size)
+            to -= nth_less
+            to -= nth_more
+            np.copyto(to, base + nth_less - 1, where=less)
+            np.copyto(to, base + np.repeat(size - above, size) + nth_more - 1, where=more)
             moved, moved_key = np.empty_like(item), np.empty_like(key)
             moved[to], moved_key[to] = item, key
-            self.order[place] = moved
-            parts = np.stack([below, equal, size - below - equal])
-            starts = begin + np.stack([np.zeros_like(below), below, below + equal])
-            some = parts > 0
-            self.new[starts[some]] = True
-            deeper = depth + 8
-            done = np.stack([np.zeros(len(begin), bool), deeper >= limit, np.zeros(len(begin), bool)])
-            keep = parts > 1
-            tied.append((starts[keep & done], parts[keep & done]))
-            keep &= ~done
-            # the parts that go on, in order of their places
-            flat = np.argsort(starts[keep], kind="stable")
-            begin, size = starts[keep][flat], parts[keep][flat]
-            depth, fresh = np.stack([depth, deeper, depth])[keep][flat], np.broadcast_to(np.array([[False], [True], [False]]), keep.shape)[keep][flat]
-            stay = np.repeat(keep.T.ravel(), parts.T.ravel())
-            item, key = moved[stay], moved_key[stay]
-            own = np.repeat(fresh, size)
-            if own.any():
-                key[own] = self.key(item[own], np.repeat(depth, size)[own])
-        return np.concatenate([t[0] for t in tied]), np.concatenate([t[1] for t in tied])
+            parts = np.stack([below, size - below - above, above], axis=1)
+            starts = begin[:, None] + np.stack([np.zeros_like(below), below, size - above], axis=1)
+            self.new[starts[parts > 0]] = True
+            middle = np.zeros(parts.shape, dtype=bool)
+            middle[:, 1] = True
+            depths = depth[:, None] + 8 * middle
+            on = (parts > 1) & (depths < limit)
+            done = (parts > 1) & ~on
+            tied.append((starts[done], parts[done], depths[done]))
+            stay = np.repeat(on.ravel(), parts.ravel())
+            self.order[place[~stay]] = moved[~stay]
+            item, key, place = moved[stay], moved_key[stay], place[stay]
+            begin, size, depth, fresh = starts[on], parts[on], depths[on], middle[on]
+            if fresh.any():
+                own = np.flatnonzero(np.repeat(fresh, size))
+                key[own] = self.key(item[own], np.repeat(depth[fresh], size[fresh]))
+        if not tied:
+            return begin, size, depth
+        return tuple(np.concatenate([t[k] for t in tied]).astype(np.int64) for k in range(3))
 
     @staticmethod
     def median(key: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -116,9 +134,8 @@ class Sorter:
         a, b, c = key[at], key[at + size // 2], key[at + size - 1]
         return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
 
-    def blind_tries(self, begin: np.ndarray, size: np.ndarray) -> None:
+    def blind_tries(self, begin: np.ndarray, size: np.ndarray, depth: np.ndarray) -> None:
         """Orders each group by the leaves of its blind trie; only groups of equal windows stay tied."""
-        depth = np.full(len(begin), min(SHALLOW, self.length))
         open_ = depth < self.length
         begin, size, depth = begin[open_], size[open_], depth[open_]
         while len(begin):
