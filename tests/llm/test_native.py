@@ -83,75 +83,77 @@ def test_write_and_move(spark, tmp_path):
     assert all(r.from_shard == r.to_shard or r.to_shard == 3 for r in moved) and sum(r.n for r in moved) == 300
 
 
-def edf(tickets):
-    """Earliest deadline first over one period, plainly."""
-    period, done, out = sum(tickets), [0] * len(tickets), []
-    for t in range(period):
-        ready = [(math.ceil((done[i] + 1) * period / p), i) for i, p in enumerate(tickets) if done[i] < p and done[i] * period // p <= t]
-        i = min(ready)[1]
-        done[i] += 1
-        out.append(i)
+def fair(sizes, weights, alpha, block):
+    """(source, block, rows before it, in target) by slot: earliest deadline first in exact fractions, round by round."""
+    units = lambda w: [max(1, math.floor(x / sum(w) * mixing.UNIT + 0.5)) if x > 0 else 0 for x in w]
+    p, q = units(weights), units([n**alpha for n in sizes])
+    blocks, done, out, first, ok = [-(-n // block) for n in sizes], [0] * len(sizes), [], 0, True
+    while any(d < b for d, b in zip(done, blocks, strict=True)):
+        live = [i for i in range(len(sizes)) if done[i] < blocks[i]]
+        goal = p if any(p[i] for i in live) else q
+        total, turn, t = sum(goal[i] for i in live), [0] * len(sizes), 0
+        while True:
+            i = min((-(-(turn[i] + 1) * total // goal[i]), i) for i in live if goal[i] and turn[i] * total // goal[i] <= t)[1]
+            out.append((i, done[i], first, ok))
+            first += min(block, sizes[i] - done[i] * block)
+            done[i], turn[i], t = done[i] + 1, turn[i] + 1, t + 1
+            if done[i] == blocks[i]:
+                ok = False
+                break
     return out
 
 
-@pytest.mark.parametrize("tickets", [[1], [3, 1], [5, 3, 2, 1, 1], [1] * 7, [40, 3, 3, 2, 1]])
-def test_edf(spark, tickets):
-    got = spark.range(1).select(mixing.edf(F.array(*map(F.lit, tickets)), F.lit(sum(tickets)))).first()[0]
-    assert got == edf(tickets)
-    done = [0] * len(tickets)
-    for t, i in enumerate(got, 1):
-        done[i] += 1
-        assert all(abs(d - p * t / sum(tickets)) < 1 for d, p in zip(done, tickets, strict=True))
+def spark_schedule(spark, sizes, weights, block):
+    d = spark.createDataFrame([(f"s{i:05d}", n) for i, n in enumerate(sizes)], "__src string, n long")
+    named = {f"s{i:05d}": w for i, w in enumerate(weights)} if weights else None
+    rows = sorted(mixing.schedule(d, named, 0.7, block).collect(), key=lambda r: r.mix_slot)
+    assert [r.mix_slot for r in rows] == list(range(len(rows)))
+    return [(int(r[0][1:]), r[1], r[3], r.in_target) for r in rows], [r.target_weight for r in rows]
+
+
+@pytest.mark.parametrize("sizes, weights", [([5], None), ([900, 400, 33, 16, 1], None), ([64] * 7, None), ([100, 200, 50, 80], [5.0, 1.0, 0.0, 0.0]), ([100, 40], [0.0, 0.0])])
+def test_schedule(spark, sizes, weights):
+    got, _ = spark_schedule(spark, sizes, weights, 4)
+    assert got == fair(sizes, weights if weights and any(weights) else [n**0.7 for n in sizes], 0.7, 4)
+
+
+@pytest.mark.parametrize("sizes, block", [([round(500_000 / (i + 1) ** 1.3) for i in range(10)], 128), ([round(4000 / (i + 1)) + 16 for i in range(5000)], 64)])
+def test_less_than_one_block_off(spark, sizes, block):
+    """Against the unrounded target, on a long run and with thousands of sources."""
+    got, _ = spark_schedule(spark, sizes, None, block)
+    assert len(got) == len({x[:2] for x in got}) == sum(-(-n // block) for n in sizes)
+    share = [n**0.7 / sum(m**0.7 for m in sizes) for n in sizes]
+    target = [x for x in got if x[3]]
+    for t, (i, j, _, _) in enumerate(target):
+        assert share[i] * t - j < 1 + 1e-6 and j + 1 - share[i] * (t + 1) < 1 + 1e-6
 
 
 def test_mixed(spark):
     sources = [None] * 3 + ["a"] * 400 + ["b"] * 150 + ["c"] * 7
     d = docs(spark, ["t"] * len(sources), sources)
-    block = 4
-    out = sorted(mixing.mixed(d, block_rows=block, resolution=64, sub_digits=1).collect(), key=lambda r: r.position)
+    out = sorted(mixing.mixed(d, block_rows=4, sub_digits=1).collect(), key=lambda r: r.position)
     assert [r.position for r in out] == list(range(len(sources)))
     assert sorted(r.doc_id for r in out) == list(range(len(sources)))
     assert out == sorted(out, key=lambda r: (r.mix_slot, r.position))
+    sizes = [3, 400, 150, 7]
+    assert [(r.source, r.block) for r in out] == [([None, "a", "b", "c"][i], j) for i, j, _, _ in fair(sizes, [n**0.7 for n in sizes], 0.7, 4) for _ in range(min(4, sizes[i] - 4 * j))]
     weight = {r.source: r.target_weight for r in out}
-    assert abs(sum(weight.values()) - 1) < 1e-9
-    last = max(r.mix_slot for r in out if r.in_target)
-    for t in range(1, last + 2):
-        for s, w in weight.items():
-            blocks = len({r.block for r in out if r.source == s and r.mix_slot < t})
-            assert abs(blocks - w * t) < 1
-    named = mixing.mixed(d, {"a": 1.0, "b": 3.0}, block_rows=block, resolution=64).collect()
-    w = {r.source: r.target_weight for r in named}
-    assert w["b"] > 2.5 * w["a"] and len(named) == len(sources)
+    assert all(abs(weight[s] - n**0.7 / sum(m**0.7 for m in sizes)) < 1e-9 for s, n in zip([None, "a", "b", "c"], sizes, strict=True))
+    named = sorted(mixing.mixed(d, {"a": 1000.0, "b": 1.0, "c": 1e-4}, block_rows=4).collect(), key=lambda r: r.position)
+    assert [r.source for r in named][-3:] == [None] * 3 and named[-1].target_weight == 0.0 and not named[-1].in_target
+    assert len({r.mix_slot for r in mixing.mixed(d, slots=10).collect()}) <= 14
     assert mixing.mixed(d.limit(0)).count() == 0
-    ordered = mixing.in_mix_order(d, block_rows=block, resolution=64, sub_digits=1)
-    assert ordered.columns == d.columns and [r.doc_id for r in ordered.collect()] == [r.doc_id for r in out]
-
-
-@pytest.mark.parametrize("sizes", [[round(500_000 / (i + 1) ** 1.3) for i in range(10)], [round(40_000 / (i + 1)) + 16 for i in range(2000)]])
-def test_exact_blocks(sizes):
-    """Less than one block off the unrounded target, on a long run and with thousands of sources."""
-    w = [n**0.7 for n in sizes]
-    out = list(mixing.exact_blocks(sizes, w, 0.7, 16))
-    assert len(out) == len({x[:2] for x in out}) == sum(-(-n // 16) for n in sizes)
-    assert out == sorted(out, key=lambda x: x[2]) and out[-1][3] + min(16, sizes[out[-1][0]] - 16 * out[-1][1]) == sum(sizes)
-    share = [x / sum(w) for x in w]
-    target = [x for x in out if x[4]]
-    assert [x[2] for x in target] == list(range(len(target)))
-    for i, j, t, _, _ in target:
-        assert share[i] * t - j < 1 + 1e-6 and j + 1 - share[i] * (t + 1) < 1 + 1e-6
-    assert all(share[i] * len(target) - sum(x[0] == i for x in target) < 1 + 1e-6 for i in range(10))
+    ordered = mixing.in_mix_order(d, block_rows=4, sub_digits=1)
+    assert ordered.columns == [*d.columns, "mix_position"] and [(r.doc_id, r.mix_position) for r in ordered.collect()] == [(r.doc_id, r.position) for r in out]
 
 
-def test_mixed_exactly(spark):
-    sizes = {"a": 700, "b": 90, "c": 5, "none": 40}
-    d = docs(spark, ["t"] * sum(sizes.values()), [s for s, n in sizes.items() for _ in range(n)])
-    out = sorted(mixing.mixed(d, block_rows=4).collect(), key=lambda r: r.position)
-    assert [r.position for r in out] == list(range(len(out))) and sorted(r.doc_id for r in out) == list(range(len(out)))
-    total = sum(n**0.7 for n in sizes.values())
-    assert all(abs(r.target_weight - sizes[r.source] ** 0.7 / total) < 1e-12 for r in out)
-    named = sorted(mixing.mixed(d, {"a": 1000.0, "b": 1.0, "c": 1e-4}, block_rows=4).collect(), key=lambda r: r.position)
-    assert [r.source for r in named][-40:] == ["none"] * 40 and {r.target_weight for r in named[-40:]} == {0.0} and not any(r.in_target for r in named[-40:])
-    assert abs(next(r.target_weight for r in named if r.source == "b") - 1 / 1001.0001) < 1e-12
+def test_mixed_twice_and_by_shuffle(spark, monkeypatch):
+    """Repeated rows, null ids, a frame that was mixed before, and a schedule too long to broadcast."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    d = docs(spark, ["t"] * 30, ["a"] * 20 + ["b"] * 10)
+    d = d.union(d.where("doc_id < 9")).union(d.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    twice = mixing.in_mix_order(mixing.in_mix_order(d, block_rows=2), block_rows=2)
+    assert twice.columns == [*d.columns, "mix_position"] and [r.mix_position for r in twice.collect()] == list(range(40))
 
 
 def padding(edges, lengths, counts):

@@ -43,7 +43,7 @@ def test_stages_on_planted_cases(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, d, sf)
         if name != "packing":
-            assert out.columns == corpus_pipeline.COLUMNS
+            assert out.columns == corpus_pipeline.COLUMNS + ([corpus_pipeline.POSITION] if name.startswith("mixing") else [])
             d = written(out)
             ids[name] = {r.doc_id: r.text for r in d.collect()}
         else:

@@ -105,14 +105,21 @@ def test_sorting_by_shallow_and_deep():
         assert all((a == b) == (p == q) for a, b, p, q in zip(keys, keys[1:], group, group[1:], strict=False))
 
 
-def test_blind_trie():
-    rng = random.Random(1)
-    keys = [rng.getrandbits(24) & 0xF0F0FF for _ in range(300)]
-    t = suffix_array.BlindTrie(24)
-    for i, k in enumerate(keys):
-        t.add(k, i)
-    leaves = t.leaves()
-    assert [keys[x[0]] for x in leaves] == sorted(set(keys)) and sorted(i for x in leaves for i in x) == list(range(300))
+def test_sorting_long_common_prefixes():
+    """Groups that stay tied far below the shallow depth, windows in any order, and none at all."""
+    rng = np.random.default_rng(1)
+    for length in (1, 9, 17, 33, 90, 200):
+        part = rng.integers(97, 100, 150).astype(np.uint8)
+        other = part.copy()
+        other[[60, 140]] ^= 1
+        data = np.concatenate([part, part, other, np.full(260, 97, np.uint8)])
+        starts = rng.permutation(len(data) - length + 1)
+        order, group = suffix_array.sort_windows(data, starts, length)
+        keys = [data[starts[i] : starts[i] + length].tobytes() for i in order]
+        assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(starts)))
+        assert all((a == b) == (p == q) for a, b, p, q in zip(keys, keys[1:], group, group[1:], strict=False))
+    order, group = suffix_array.sort_windows(data, np.zeros(0, np.int64), 50)
+    assert not len(order) and not len(group)
 
 
 def test_wavelet_rank():
@@ -140,8 +147,55 @@ def test_backward_search_counts_matches():
             assert high[f + i] - low[f + i] == want
 
 
+def test_matching_statistics_of_foreign_texts():
+    """Texts that the index does not hold, with words it does not know: lengths, counts and one interval for equal words."""
+    rng = np.random.default_rng(2)
+    for length, v in ((1, 2), (3, 2), (5, 4)):
+        seqs = [rng.integers(1, v + 1, rng.integers(1, 50)) for _ in range(6)]
+        index = fm_index.FMIndex(np.concatenate([np.append(s, 0) for s in seqs]), length)
+        docs = [rng.integers(1, v + 2, rng.integers(1, 40)) for _ in range(5)] + seqs[:1]
+        off = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        n, low, high = index.matching(np.concatenate(docs), off[:-1], off[1:])
+        count, names = {}, {}
+        for s in seqs:
+            for m in range(1, length + 1):
+                for i in range(len(s) - m + 1):
+                    count[tuple(s[i : i + m])] = count.get(tuple(s[i : i + m]), 0) + 1
+        for d, o in zip(docs, off, strict=False):
+            for i in range(len(d)):
+                m = max((k for k in range(min(length, len(d) - i) + 1) if not k or tuple(d[i : i + k]) in count))
+                assert n[o + i] == m
+                if m:
+                    assert high[o + i] - low[o + i] == count[tuple(d[i : i + m])]
+                    assert names.setdefault(tuple(d[i : i + m]), low[o + i]) == low[o + i]
+
+
+def test_firsts_come_from_the_search(monkeypatch):
+    """The index keeps no suffix array: what the search reports decides, and a search that reports nothing is an error."""
+    data = np.frombuffer(b"a b c d e a b c d", np.uint8)
+    plan = repeats.Plan("word", 3, 2, 2, 3, 4, True)
+    args = (data, np.array([0, len(data)]), np.array([7]), np.array([5]), np.array([0]), plan)
+    doc, pos = fm_index.window_firsts(*args)
+    assert doc.tolist() == [5] * 7 and pos.tolist() == [0, 1, 2, 3, 4, 0, 1]
+    monkeypatch.setattr(fm_index.WaveletMatrix, "rank", lambda self, symbol, place: place * 0)
+    with pytest.raises(RuntimeError):
+        fm_index.window_firsts(*args)
+
+
+def test_buckets_agree():
+    ids = np.array([0, 1, 7, -3, 2**62, -(2**62), 4096, 8192, 12288])
+    strided = repeats.bucket_of(np.arange(0, 65 * 5000, 65), 65)
+    assert np.bincount(strided, minlength=65).max() < 200
+    assert repeats.bucket_of(ids, 9).tolist() == [python_bucket(int(x), 9) for x in ids]
+
+
+def python_bucket(x, parts):
+    x = x % repeats.PRIMES[0] * repeats.FACTORS[0] % repeats.PRIMES[1]
+    return (x ^ (x >> 13)) * repeats.FACTORS[1] % repeats.PRIMES[1] % parts
+
+
 def test_pack_round_trip():
-    a = [np.arange(5), np.zeros(0, np.uint32), np.array([1.5]), np.array([2**63], dtype=np.uint64)]
+    a = [np.arange(5), np.zeros(0, np.uint32), np.arange(2000)[::-1] ** 3, np.array([2**63, 1], dtype=np.uint64), np.arange(9, dtype=np.uint8)]
     assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(a, repeats.unpack(repeats.pack(*a)), strict=True))
 
 
