@@ -46,6 +46,8 @@ from .common import written
 
 U = np.uint64
 POS = U((1 << 31) - 1)
+#: Bytes of text that are worked on at once, save for a longer single text; each takes about a hundred of memory.
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -69,32 +71,50 @@ def plan_for(df: DataFrame, unit: str, length: int, anchor: int, within: bool, t
     return Plan(unit, length, anchor, parts, parts | 1, 4 * parts, within, max(4096, int(total) >> 19))
 
 
+#: Two primes and two factors below 2 ** 31, so that products stay within 63 bits.
+PRIMES, FACTORS = (2147483647, 2147483629), (1103515245, 1664525)
+
+
 def bucket_column(key: Column, parts: int) -> Column:
-    """The document bucket of an id; ``bucket_of`` is the same in numpy."""
-    x = F.coalesce(key, F.lit(0)).cast("long")
-    x = x.bitwiseXOR(F.shiftright(x, 15)).bitwiseXOR(F.shiftright(x, 31))
+    """The document bucket of an id, for ids of any stride; ``bucket_of`` is the same in numpy."""
+    x = F.pmod(key.cast("long"), F.lit(PRIMES[0]))
+    x = F.pmod(x * F.lit(FACTORS[0]).cast("long"), F.lit(PRIMES[1]))
+    x = F.pmod(x.bitwiseXOR(F.shiftright(x, 13)) * F.lit(FACTORS[1]).cast("long"), F.lit(PRIMES[1]))
     return F.pmod(x, F.lit(parts)).cast("int")
 
 
 def bucket_of(key: np.ndarray, parts: int) -> np.ndarray:
     """See ``bucket_column``."""
-    return (key ^ (key >> 15) ^ (key >> 31)) % parts
+    x = key.astype(np.int64) % PRIMES[0] * FACTORS[0] % PRIMES[1]
+    return (x ^ (x >> 13)) * FACTORS[1] % PRIMES[1] % parts
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one binary value."""
-    head = np.array([len(arrays), *[x for a in arrays for x in (len(a), ord(a.dtype.char))]], dtype=np.int64)
-    return head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays as one binary value: numbers as differences, byte by byte of their width, compressed where it pays."""
+    head, body = [bytes([len(arrays)])], []
+    for a in arrays:
+        head.append(a.dtype.char.encode() + len(a).to_bytes(4, "little"))
+        if a.dtype.itemsize == 1:
+            body.append(np.ascontiguousarray(a).tobytes())
+        elif len(a):
+            d = np.concatenate([a[:1], a[1:] - a[:-1]])
+            body.append(d.view(np.uint8).reshape(len(d), -1).T.tobytes())
+    raw = b"".join(head + body)
+    return b"z" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) > 256 else b"r" + raw
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     """The arrays of ``pack``."""
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    head, at, out = np.frombuffer(blob, np.int64, 2 * n, 8), 8 + 16 * n, []
-    for size, char in head.reshape(-1, 2):
-        kind = np.dtype(chr(int(char)))
-        out.append(np.frombuffer(blob, kind, int(size), at))
-        at += int(size) * kind.itemsize
+    raw = zstandard.ZstdDecompressor().decompress(blob[1:]) if blob[:1] == b"z" else blob[1:]
+    n, out = raw[0], []
+    at = 1 + 5 * n
+    for k in range(n):
+        kind, size = np.dtype(chr(raw[1 + 5 * k])), int.from_bytes(raw[2 + 5 * k : 6 + 5 * k], "little")
+        x = np.frombuffer(raw, np.uint8, size * kind.itemsize, at)
+        at += len(x)
+        if kind.itemsize > 1:
+            x = np.cumsum(np.ascontiguousarray(x.reshape(kind.itemsize, size).T).view(kind).ravel(), dtype=kind)
+        out.append(x)
     return out
 
 
@@ -201,7 +221,7 @@ def anchor_rows(plan: Plan, batches: object) -> object:
         ids = ids.fill_null(0).to_numpy()
         values, offsets = ta.string_parts(b.column("text"))
         keys, docs, ords = [], [], []
-        for i, j in ta.chunks(offsets):
+        for i, j in ta.chunks(offsets, CHUNK):
             s = segments(Units(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], plan.unit), plan)
             ok = known[s.text + i]
             keys.append(s.key[ok])
@@ -297,7 +317,7 @@ def doc_chunks(docs: pa.Table) -> object:
     known = np.asarray(ids.is_valid())
     ids = ids.fill_null(0).to_numpy()
     values, offsets = ta.string_parts(docs.column("text").chunk(0))
-    for i, j in ta.chunks(offsets):
+    for i, j in ta.chunks(offsets, CHUNK):
         yield i, j, values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j], known[i:j]
 
 
@@ -351,14 +371,14 @@ def request_rows(plan: Plan, hot: np.ndarray, part: int, docs: pa.Table, blobs:
     lo = order[at]
     c, n, shard, d0, p0, d1, p1 = c[lo], n[lo], shard[lo], d0[lo], p0[lo], d1[top], p1[top]
     texts = [bodies[k] for k in body[lo]]
-    o = np.argsort(shard, kind="stable")
-    press = zstandard.ZstdCompressor(level=1)
+    if not plan.within:  # then places within a document do not count
+        p0 = p1 = np.zeros(len(c), np.int64)
+    o = np.lexsort((p0, d0, shard))
     out = []
     for k, a, z in by_part(shard[o]):
         r = o[a:z]
         own = [texts[x] for x in r]
-        data = np.frombuffer(press.compress(b"".join(own)), dtype=np.uint8)
-        out.append((part, k, pack(c[r], n[r].astype(np.uint32), d0[r], p0[r], d1[r], p1[r], np.array([len(x) for x in own], dtype=np.uint32), data)))
+        out.append((part, k, pack(c[r], n[r].astype(np.uint32), d0[r], p0[r], d1[r] - d0[r], p1[r], np.array([len(x) for x in own], dtype=np.uint32), np.frombuffer(b"".join(own), dtype=np.uint8))))
     return out
 
 
@@ -370,13 +390,13 @@ def answer_rows(plan: Plan, index: Index, group: pa.Table) -> list[tuple[int, in
     """Step 4, for the requests of a shard: answers to the document buckets."""
     asked, data = [], []
     for part, blob in zip(group.column("kind").to_pylist(), group.column("blob"), strict=True):
-        *x, body = unpack(blob.as_py())
-        asked.append((part, *x))
-        data.append(zstandard.ZstdDecompressor().decompress(body.tobytes()) if len(body) else b"")
+        c, n, d0, p0, more, p1, size, body = unpack(blob.as_py())
+        asked.append((part, c, n, d0, p0, d0 + more, p1, size))
+        data.append(body)
     part = np.repeat([a[0] for a in asked], [len(a[1]) for a in asked])
     c, n, d0, p0, d1, p1, size = (np.concatenate([a[k] for a in asked]) for k in range(1, 8))
     n, size = n.astype(np.int64), size.astype(np.int64)
-    whole = np.frombuffer(b"".join(data), dtype=np.uint8)
+    whole = np.concatenate(data)
     begin = np.cumsum(size) - size
     # different contents, each with its first place
     order = np.lexsort((p0, d0, c))
@@ -452,7 +472,8 @@ def covered(plan: Plan, hot: np.ndarray, docs: pa.Table, blobs: pa.Table) -> obj
 def find(df: DataFrame, plan: Plan, index: Index, finish: Callable, schema: object, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
     """Rows of ``finish(docs, marked chunks)`` for every document; lazy from step 3 on."""
     d = df.select(*[F.col(x).alias(f"__keep_{k}") for k, x in enumerate(keep)], F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("part", bucket_column(F.col("id"), plan.doc_buckets))
+    # rows without an id neither ask nor answer, so they may go anywhere: to the bucket of their text
+    d = d.withColumn("part", bucket_column(F.coalesce("id", F.xxhash64("text")), plan.doc_buckets))
     none = pa.table({"kind": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
 
     def table_of(rows: list) -> pa.Table:
