@@ -23,7 +23,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = toxicity.scored(docs, model, ["doc_id", "lang"])
     own = F.lit(0.3)
     for lang, t in thresholds.items():
-        own = F.when(F.col("lang") == lang, F.lit(t)).otherwise(own)
+        own = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(t)).otherwise(own)
     return s.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), (F.col("score") >= own).cast("int").alias("flagged_by_language"))
 
 

@@ -67,6 +67,11 @@ def char_spans(text: str, spans: list) -> np.ndarray:
     return np.array([[at[min(max(a, 0), n)], at[min(max(b, 0), n)]] for a, b in spans], dtype=np.int64).reshape(-1, 2)
 
 
+def chars_before(raw: bytes) -> np.ndarray:
+    """Characters before each byte of a text, and in all of it."""
+    return np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+
+
 def attribute(ends: np.ndarray, spans: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each span, and how many that touch it cross a boundary; the last entry is for no span.
 
@@ -105,14 +110,14 @@ def attribute(ends: np.ndarray, spans: np.ndarray, rule: str) -> tuple[np.ndarra
 
 
 def token_counts(df: DataFrame, rule: str = "largest", id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None, tokenizer_path: str | None = None) -> DataFrame:
-    """One row for each section: byte span, ``n_tokens`` by the rule, ``n_crossing`` tokens, and the document's ``doc_tokens``.
+    """One row for each section: its span in characters and in bytes, ``n_tokens`` by the rule, ``n_crossing`` tokens, and the document's ``doc_tokens``.
 
     One Arrow pass; nothing is shuffled and a document never leaves its task.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     id_type = df.select(id_col).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, section int, start_byte long, end_byte long, n_tokens double, n_crossing long, doc_tokens long"
+    schema = f"`{id_col}` {id_type}, section int, start_char long, end_char long, start_byte long, end_byte long, n_tokens double, n_crossing long, doc_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, lengths = load(tokenizer_path)
@@ -127,10 +132,11 @@ def token_counts(df: DataFrame, rule: str = "largest", id_col: str = "doc_id", t
                 spans = char_spans(text, sorted((s["start"], s["end"]) for s in own)) if own else np.array([[0, len(raw)]], dtype=np.int64) if spans_col else line_spans(raw)
                 counts, crossing = attribute(ends, spans, rule)
                 k = len(spans) + int(counts[-1] > 0)
-                rows = np.zeros((k, 6))
+                rows = np.zeros((k, 8))
                 rows[:, 0] = [*range(len(spans)), -1][:k]
-                rows[: len(spans), 1:3] = spans
-                rows[:, 3], rows[:, 4], rows[:, 5] = counts[:k], crossing[:k], len(ends)
+                rows[: len(spans), 1:3] = spans if len(raw) == len(text) else chars_before(raw)[spans]
+                rows[: len(spans), 3:5] = spans
+                rows[:, 5], rows[:, 6], rows[:, 7] = counts[:k], crossing[:k], len(ends)
                 at += [i] * k
                 parts.append(rows)
                 n += k
@@ -142,9 +148,9 @@ def token_counts(df: DataFrame, rule: str = "largest", id_col: str = "doc_id", t
 
     def frame(keys: pa.Array, at: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
         x = np.concatenate(parts)
-        whole = x[:, [0, 1, 2, 4, 5]].astype(np.int64).T
-        out = [keys.take(pa.array(at)), pa.array(whole[0].astype(np.int32)), pa.array(whole[1]), pa.array(whole[2]), pa.array(x[:, 3]), pa.array(whole[3]), pa.array(whole[4])]
-        return pa.RecordBatch.from_arrays(out, names=[id_col, "section", "start_byte", "end_byte", "n_tokens", "n_crossing", "doc_tokens"])
+        whole = x[:, [0, 1, 2, 3, 4, 6, 7]].astype(np.int64).T
+        out = [keys.take(pa.array(at)), pa.array(whole[0].astype(np.int32)), *[pa.array(whole[k]) for k in (1, 2, 3, 4)], pa.array(x[:, 5]), pa.array(whole[5]), pa.array(whole[6])]
+        return pa.RecordBatch.from_arrays(out, names=[id_col, "section", "start_char", "end_char", "start_byte", "end_byte", "n_tokens", "n_crossing", "doc_tokens"])
 
     d = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *([F.col(spans_col).alias("__spans")] if spans_col else []))
     return d.mapInArrow(run, schema)

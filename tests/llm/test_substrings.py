@@ -85,6 +85,18 @@ def test_edges(spark, op):
     assert op.digests(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit, length, within, op, units, join", CASES[:2])
+def test_texts_longer_than_a_chunk(spark, unit, length, within, op, units, join):
+    """Texts of several chunks, one without any space, and what they share."""
+    rng = random.Random(2)
+    part = " ".join(str(rng.randint(0, 10**9)) for _ in range(60_000))
+    block = "".join(rng.choice("abcdefgh") for _ in range(1_200_000))
+    docs = [(1, part + " " + part[:50_000]), (2, "start " + part[100:400_000]), (3, block), (4, block[5000:905_000] + "end")]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, blob string, part int")
+    got = {r[0]: tuple(r)[1:] for r in op.digests(d, length=length).collect()}
+    assert got == brute(docs, units, length, within, join)
+
+
 def test_removed_keeps_characters_and_columns(spark):
     t = "naïve café " * 40
     d = spark.createDataFrame([(1, t + "one", "en", "s", 9), (2, "zwei " + t, "de", "s", 9), (3, None, None, None, None), (4, "other", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
