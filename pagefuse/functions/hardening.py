@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .text import trim_end, with_commas
+from .urls import once
 
 BEGIN, END = "<!-- BEGIN_UNTRUSTED_CONTENT -->", "<!-- END_UNTRUSTED_CONTENT -->"
 #: Zero-width and direction characters, the soft hyphen, and controls but for line feed and tab.
@@ -33,14 +34,16 @@ def nfc(x: pd.Series) -> pd.Series:
 
 
 def collapse_blank_lines(x: Column) -> Column:
-    """At most two lines in a row that hold white space only."""
-    return F.regexp_replace(x, r"(?dm)^((?:[\p{Z}\t]*\n){2})(?:[\p{Z}\t]*\n)+", "$1")
+    """At most two lines in a row that hold white space only.
+
+    Possessive groups loop without recursion, so any number of lines is fine.
+    """
+    return F.regexp_replace(x, r"(?dm)^((?:[\p{Z}\t]*+\n){2})(?:[\p{Z}\t]*+\n)++", "$1")
 
 
 def neutralize_fences(x: Column) -> Column:
     """A backslash before every backtick of a run of three or more."""
-    runs = F.regexp_extract_all(x, F.lit("(`+|[^`]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^`{3,}"), F.repeat(F.lit("\\`"), F.length(r))).otherwise(r)), "")
+    return F.regexp_replace(x, "`(?=``)|(?<=`)`(?=`)|(?<=``)`", r"\\`")
 
 
 def cut_to_chars(x: Column, most: int) -> Column:
@@ -63,15 +66,25 @@ def harden(x: Column, options: Hardening = Hardening(), normal: bool = True) ->
     Text that this has wrapped and cut before is unwrapped first and its note
     kept, so hardening twice changes nothing.
     """
-    y = nfc(x) if normal else x
-    y = F.regexp_replace(y, INVISIBLE, "")
-    wrapped = y.startswith(BEGIN + "\n") & y.endswith("\n" + END) & (F.size(F.split(y, "UNTRUSTED_CONTENT", -1)) == 3)
-    y = F.when(wrapped, F.substr(y, F.lit(len(BEGIN) + 2), F.char_length(y) - len(BEGIN) - len(END) - 2)).otherwise(y)
-    y = trim_end(collapse_blank_lines(y))
+    # texts in ASCII are normal and stay in the JVM
+    y = F.coalesce(nfc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x) if normal else x
+    # each step is bound once; no step's lambda holds another, which Spark can't take apart around a Python function
+    y = trim_end(collapse_blank_lines(once(F.regexp_replace(y, INVISIBLE, ""), unwrapped)))
     if options.escape_fences:
         y = neutralize_fences(y)
     if options.budget is not None:
-        note = r"\n\n\[\.\.\. Remaining [\d,]+ characters truncated by token budget \.\.\.\]\z"
-        cut_before = y.rlike(note) & (F.char_length(F.regexp_replace(y, note, "")) <= options.budget)
-        y = F.when(cut_before, y).otherwise(cut_to_chars(y, options.budget))
-    return delimited(y) if options.delimit else y
+        y = once(y, lambda y: within_budget(y, options.budget))
+    return once(y, delimited) if options.delimit else y
+
+
+def unwrapped(y: Column) -> Column:
+    """Without the boundary comments that ``delimited`` puts around a text."""
+    own = y.startswith(BEGIN + "\n") & y.endswith("\n" + END) & (F.size(F.split(y, "UNTRUSTED_CONTENT", -1)) == 3)
+    return F.when(own, F.substr(y, F.lit(len(BEGIN) + 2), F.char_length(y) - len(BEGIN) - len(END) - 2)).otherwise(y)
+
+
+def within_budget(y: Column, budget: int) -> Column:
+    """Cut to the budget, unless it is what an earlier cut left."""
+    note = r"\n\n\[\.\.\. Remaining [\d,]+ characters truncated by token budget \.\.\.\]\z"
+    cut_before = y.rlike(note) & (F.char_length(F.regexp_replace(y, note, "")) <= budget)
+    return F.when(cut_before, y).otherwise(cut_to_chars(y, budget))

@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "hellip": "…", "mdash": "—", "ndash": "–", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”"}
 
 SPACE = r"(?U)\s+"
+#: The characters of that class.
+WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _ENTITY = re.compile(r"&(?:#(?P<dec>\d{1,7})|#[xX](?P<hex>[0-9a-fA-F]{1,6})|(?P<name>[A-Za-z]+));")
 
 
@@ -33,8 +35,8 @@ def estimate_tokens(x: Column) -> Column:
 
 
 def trim_end(x: Column) -> Column:
-    """Without white space at the end."""
-    return F.regexp_replace(x, r"(?U)\s+\z", "")
+    """Without white space at the end; one look from the end, however long inner white space is."""
+    return F.rtrim(x, F.lit(WHITE))
 
 
 def with_commas(n: Column) -> Column:
