@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 import urllib.parse
 from collections.abc import Callable
 
@@ -24,8 +25,8 @@ BAD_PORTS = [
 
 #: IPv4 networks that are not public.
 BLOCKED_V4 = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
-#: IPv6 networks that are not public; mapped and compatible IPv4 goes by the IPv4 rule.
-BLOCKED_V6 = ["::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001:db8::/32", "fc00::/7", "fe80::/10", "ff00::/8"]
+#: IPv6 networks that are not public; the first two are all compatible and mapped IPv4 addresses.
+BLOCKED_V6 = ["::/96", "::ffff:0:0/96", "100::/64", "2001:db8::/32", "fc00::/7", "fe80::/10", "ff00::/8"]
 
 _PARTS = r"^(?i)(https?)://([^/?#\s]+)([^?#]*)(\?[^#]*)?"
 _V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
@@ -41,53 +42,124 @@ def part(url: Column, k: int) -> Column:
     return F.regexp_extract(F.trim(url), _PARTS, k)
 
 
+#: URLs that the expressions leave to the parser: odd characters, bracketed or numeric hosts, escapes in the host.
+_ODD = r"[^\x21-\x7E]|[\"<>`{}\\^|]|^(?i)https?:(?!//[^/])|^(?i)https?://[^/?#]*[\[%]|^(?i)https?://([^/?#]*@)?([^/?#]*\.)?(0x[0-9a-f]*|\d+)\.?(:\d*)?([/?#]|$)|^(?i)https?://[^/?#]*:[^/?#@]*[^\d/?#@][^/?#@]*([/?#]|$)|^(?i)https?://[^/?#]*:\d{5,}"
+
+
 def canonical_url(url: Column) -> Column:
     """The https form without ``www.``, fragment, tracking parameters and trailing slash; null for other schemes.
 
-    Pairs of the query stay in order, form-encoded; the slash stays where a
-    query remains.
+    The port goes where it is the scheme's or 443; user names stay; dot segments
+    are resolved.  Pairs of the query stay in order, form-encoded; the slash
+    stays where a query remains.  Odd URLs, and only those, go to a full parser.
     """
-    scheme, authority = F.lower(part(url, 1)), F.lower(part(url, 2))
-    host = F.regexp_replace(authority, r"^[^@]*@", "")
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    host = F.regexp_replace(F.regexp_replace(host, ":$", ""), r"^www\.", "")
+    u = F.trim(url)
+    odd = u.rlike(_ODD)
+    return F.when(odd, parsed_canonical(F.when(odd, u))).otherwise(plain_canonical(u))
+
+
+def plain_canonical(url: Column) -> Column:
+    """See ``canonical_url``, for URLs of visible ASCII characters with a host name."""
+    scheme, authority = F.lower(part(url, 1)), part(url, 2)
+    user = F.regexp_extract(authority, r"^(.*@)", 1)
+    user = F.when(user.isin("@", ":@"), F.lit("")).otherwise(F.regexp_replace(user, ":@$", "@"))
+    host = F.lower(F.regexp_replace(authority, r"^.*@", ""))
+    host = F.regexp_replace(host, r":0*(?=\d)", ":")
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(host)
+    host = F.regexp_replace(F.regexp_replace(host, ":(443)?$", ""), r"^www\.(?=.)", "")
     path = F.when(part(url, 3) == "", F.lit("/")).otherwise(part(url, 3))
+    dots = r"(?i)/(\.|%2e){1,2}(/|$)"
+    path = F.when(path.rlike(dots), without_dots(path)).otherwise(path)
     coded = lambda x: F.url_encode(F.coalesce(F.try_url_decode(x), x))
-    pairs = F.filter(F.split(F.substr(part(url, 4), F.lit(2)), "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(TRACKING))
+    pairs = F.filter(F.split(F.substr(part(url, 4), F.lit(2)), "&"), lambda p: (p != "") & ~F.lower(F.coalesce(F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))), p)).isin(TRACKING))
     value = lambda p: F.regexp_extract(p, "=(.*)$", 1)
     query = F.array_join(F.transform(pairs, lambda p: F.concat(coded(F.split_part(p, F.lit("="), F.lit(1))), F.lit("="), coded(value(p)))), "&")
     kept = F.when(query == "", F.regexp_replace(path, "/$", "")).otherwise(F.concat(path, F.lit("?"), query))
-    return F.when((scheme != "") & (host != ""), F.concat(F.lit("https://"), host, kept))
+    return F.when((scheme != "") & (host != "") & ~host.startswith(":"), F.concat(F.lit("https://"), user, host, kept))
+
+
+def without_dots(path: Column) -> Column:
+    """A path after its ``.`` and ``..`` segments have taken effect."""
+    one, two = (lambda s: F.lower(s).isin(".", "%2e")), (lambda s: F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e"))
+    segments = F.split(F.substr(path, F.lit(2)), "/", -1)
+    last = F.element_at(segments, -1)
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(segments, start, lambda a, s: F.when(two(s), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(one(s), a).otherwise(F.concat(a, F.array(s))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when((one(last) | two(last)) & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
+_HOST_BAD = re.compile(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")
+_PATH_SAFE, _USER_SAFE = "/%:@!$&'()*+,;=-._~|[]", "%!$&'()*+,-._~"
+
+
+def numbered_host(host: str) -> str | None:
+    """A host whose last part is a number, as an IPv4 address; a ValueError where it is none."""
+    parts = host.removesuffix(".").split(".")
+    if not re.fullmatch(r"\d+|0[xX][0-9a-fA-F]*", parts[-1]):
+        return None
+    base = lambda p: 16 if p[:2].lower() == "0x" else 8 if len(p) > 1 and p[0] == "0" else 10
+    n = [int(p[2:] or "0", 16) if base(p) == 16 else int(p, base(p)) for p in parts]
+    if len(n) > 4 or any(x > 255 for x in n[:-1]) or n[-1] >= 256 ** (5 - len(n)):
+        raise ValueError(host)
+    return str(ipaddress.IPv4Address(sum(x << 8 * (3 - i) for i, x in enumerate(n[:-1])) + n[-1]))
+
+
+def host_text(raw: str) -> str:
+    """A host as a browser writes it: names in ASCII and lower case, addresses in their shortest form."""
+    if raw.startswith("["):
+        if not raw.endswith("]"):
+            raise ValueError(raw)
+        ip = ipaddress.IPv6Address(raw[1:-1])
+        return f"[{ip.compressed}]" if ip.ipv4_mapped is None else f"[::ffff:{int(ip) >> 16 & 0xFFFF:x}:{int(ip) & 0xFFFF:x}]"
+    host = urllib.parse.unquote(raw, errors="strict")
+    host = host.lower() if host.isascii() else host.encode("idna").decode().lower()
+    if not host or _HOST_BAD.search(host):
+        raise ValueError(raw)
+    return numbered_host(host) or host
+
+
+def canonical_text(u: str | None) -> str | None:
+    """``canonical_url`` of one URL, by a full parser."""
+    if not isinstance(u, str):
+        return None
+    u = re.sub(r"[\t\n\r]", "", u.strip("".join(map(chr, range(33)))))
+    m = re.match(r"(?i)(https?):[/\\]*([^/\\?#]*)([^?#]*)(?:\?([^#]*))?", u)
+    if not m:
+        return None
+    user, at, rest = m[2].rpartition("@")
+    try:
+        cut = re.fullmatch(r"(\[.*\]|[^:]*)(?::(\d*))?", rest)
+        if not cut:
+            return None
+        host, port = host_text(cut[1]), int(cut[2]) if cut[2] else None
+    except (ValueError, UnicodeError):
+        return None
+    if port is not None and port > 65535:
+        return None
+    host = host.removeprefix("www.") or host
+    if port is not None and port != 443 and not (port == 80 and m[1].lower() == "http"):
+        host += f":{port}"
+    name, colon, secret = user.partition(":")
+    who = urllib.parse.quote(name, safe=_USER_SAFE) + (f":{urllib.parse.quote(secret, safe=_USER_SAFE)}" if secret else "")
+    segments, path = [], m[3].replace("\\", "/").split("/")[1:] or [""]
+    for s in path:
+        dots = s.lower().replace("%2e", ".")
+        if dots == "..":
+            segments = segments[:-1]
+        elif dots != ".":
+            segments.append(s)
+    if path[-1].lower().replace("%2e", ".") in (".", "..") and segments:
+        segments.append("")
+    out = "/" + urllib.parse.quote("/".join(segments), safe=_PATH_SAFE)
+    pairs = [(k, v) for k, v in urllib.parse.parse_qsl((m[4] or ""), keep_blank_values=True, errors="replace", max_num_fields=None) if k.lower() not in TRACKING]
+    form = "&".join("=".join(urllib.parse.quote_plus(x, safe="*").replace("~", "%7E") for x in kv) for kv in pairs)
+    return f"https://{who + '@' if who else ''}{host}" + (f"{out}?{form}" if form else out.removesuffix("/"))
 
 
 @F.pandas_udf(StringType())
-def canonical_url_strict(urls: pd.Series) -> pd.Series:
-    """The same by a full parser, for dot segments, international host names and odd characters."""
-
-    def one(u: str | None) -> str | None:
-        if not isinstance(u, str):
-            return None
-        try:
-            p = urllib.parse.urlsplit(u.strip())
-            if p.scheme.lower() not in ("http", "https") or not p.hostname:
-                return None
-            host, port = p.hostname.encode("idna").decode() if not p.hostname.isascii() else p.hostname, p.port
-        except ValueError:
-            return None
-        host = host.removeprefix("www.")
-        if port and port != {"http": 80, "https": 443}[p.scheme.lower()]:
-            host += f":{port}"
-        segments: list[str] = []
-        for s in p.path.split("/")[1:]:
-            if s == "..":
-                segments = segments[:-1]
-            elif s != ".":
-                segments.append(s)
-        path = "/" + urllib.parse.quote("/".join(segments), safe="/%:@!$&'()*+,;=-._~")
-        pairs = [(k, v) for k, v in urllib.parse.parse_qsl(p.query, keep_blank_values=True) if k.lower() not in TRACKING]
-        return f"https://{host}" + (f"{path}?{urllib.parse.urlencode(pairs)}" if pairs else path.removesuffix("/"))
-
-    return urls.map(one)
+def parsed_canonical(urls: pd.Series) -> pd.Series:
+    """``canonical_url`` by a full parser, for any URL."""
+    return urls.map(canonical_text)
 
 
 def host_of(url: Column) -> Column:
@@ -120,55 +192,82 @@ def ipv4_blocked(ip: Column) -> Column:
     return once(v4_number(ip), inside)
 
 
-@F.pandas_udf(BooleanType())
-def ip_blocked(ips: pd.Series) -> pd.Series:
+def v6_groups(ip: Column) -> Column:
+    """The eight numbers of an IPv6 address, null where it is none; brackets and a zone are taken off."""
+    x = F.regexp_replace(F.regexp_replace(F.lower(ip), r"^\[(.*)\]$", "$1"), "%.*$", "")
+    tail = F.regexp_extract(x, r":(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
+    n = v4_number(tail)
+    x = F.when(tail == "", x).when(n.isNotNull(), F.concat(F.substr(x, F.lit(1), F.char_length(x) - F.char_length(tail)), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF)))))
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+    halves = F.split(x, "::", -1)
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    every = F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (missing >= 1), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right))
+    good = F.when((F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")), every)
+    return F.transform(good, lambda g: F.conv(g, 16, 10).cast("int"))
+
+
+def ipv6_blocked(ip: Column) -> Column:
+    """Whether an IPv6 address is not public; null where it is no address."""
+
+    def inside(g: Column) -> Column:
+        out = F.lit(False)
+        for net in map(ipaddress.ip_network, BLOCKED_V6):
+            words = [int(net.network_address) >> 16 * (7 - k) & 0xFFFF for k in range(8)]
+            whole, bits = divmod(net.prefixlen, 16)
+            test = F.lit(True)
+            for k in range(whole):
+                test = test & (F.get(g, F.lit(k)) == words[k])
+            if bits:
+                test = test & (F.get(g, F.lit(whole)).bitwiseAND(0xFFFF << (16 - bits) & 0xFFFF) == words[whole])
+            out = out | test
+        return F.when(g.isNotNull(), out)
+
+    return once(v6_groups(ip), inside)
+
+
+def ip_blocked(ip: Column) -> Column:
     """Whether an IPv4 or IPv6 address is not public; null where it is no address."""
-    v4, v6 = [ipaddress.ip_network(n) for n in BLOCKED_V4], [ipaddress.ip_network(n) for n in BLOCKED_V6]
+    return F.coalesce(ipv4_blocked(ip), ipv6_blocked(ip))
+
+
+_NETS = [ipaddress.ip_network(n) for n in (*BLOCKED_V4, *BLOCKED_V6)]
+
+
+def address_blocked(address: str) -> bool:
+    """``ip_blocked`` of one address outside of Spark; a ValueError where it is none."""
+    ip = ipaddress.ip_address(address.strip("[]").split("%")[0])
+    return any(ip in n for n in _NETS if n.version == ip.version)
+
+
+@F.pandas_udf(BooleanType())
+def ip_blocked_arrow(ips: pd.Series) -> pd.Series:
+    """``ip_blocked`` as a function that SQL can name."""
 
     def one(x: str | None) -> bool | None:
         try:
-            ip = ipaddress.ip_address(x.strip("[]"))
+            return address_blocked(x)
         except (ValueError, AttributeError):
             return None
-        if ip.version == 6:
-            if any(ip in n for n in v6):
-                return True
-            low = int(ip)
-            if ip.ipv4_mapped is not None or low < 1 << 32:
-                ip = ipaddress.ip_address(low & 0xFFFFFFFF)
-            else:
-                return False
-        return any(ip in n for n in v4)
 
     return ips.map(one).astype("object")
 
 
 def guard_error(url: Column) -> Column:
-    """Why a URL must not be fetched (scheme, port, host, address), or null; IPv6 literals are judged by ``ip_blocked``."""
-    host, v6 = host_of(url), part(url, 2).rlike(r"\[")
-    return (
-        F.when(part(url, 1) == "", F.lit("invalid_url"))
-        .when(F.coalesce(port_of(url).isin(BAD_PORTS), F.lit(False)), F.lit("blocked_port"))
-        .when((host == "localhost") | host.endswith(".localhost"), F.lit("blocked_host"))
-        .when(F.coalesce(ipv4_blocked(host), F.lit(False)), F.lit("blocked_address"))
-        .when(v6, F.when(F.coalesce(ip_blocked(host), F.lit(True)), F.lit("blocked_address")))
-    )
-
-
-def guard_error_native(url: Column) -> Column:
-    """``guard_error`` without Python: every IPv6 literal is refused."""
+    """Why a URL must not be fetched (scheme, port, host, address), or null."""
     host = host_of(url)
+    literal = part(url, 2).rlike(r"\[")
     return (
         F.when(part(url, 1) == "", F.lit("invalid_url"))
         .when(F.coalesce(port_of(url).isin(BAD_PORTS), F.lit(False)), F.lit("blocked_port"))
         .when((host == "localhost") | host.endswith(".localhost"), F.lit("blocked_host"))
-        .when(F.coalesce(ipv4_blocked(host), F.lit(False)) | part(url, 2).rlike(r"\["), F.lit("blocked_address"))
+        .when(F.coalesce(ip_blocked(host), literal), F.lit("blocked_address"))
     )
 
 
 def resolved_public(addresses: Column) -> Column:
     """Whether every address that a name resolves to (an array) is public; false for none."""
-    return (F.size(addresses) > 0) & F.forall(addresses, lambda a: ~F.coalesce(ipv4_blocked(a), F.lit(True)))
+    return (F.size(addresses) > 0) & F.forall(addresses, lambda a: ~F.coalesce(ip_blocked(a), F.lit(True)))
 
 
 def fallback_title(url: Column) -> Column:

@@ -8,22 +8,22 @@ before the body is read, and reading stops at the byte cap.  Errors are rows.
 from __future__ import annotations
 
 import http.client
-import ipaddress
 import socket
 import ssl
 import urllib.parse
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.urls import BAD_PORTS, BLOCKED_V4, BLOCKED_V6
+from ..functions.urls import BAD_PORTS, address_blocked
 
 SCHEMA = "status int, content_type string, body binary, final_url string, error_kind string"
-_NETS = [ipaddress.ip_network(n) for n in (*BLOCKED_V4, *BLOCKED_V6)]
 #: Prefixes and parts of content types that the readers take.
 _READABLE = ("text/", "application/json", "application/xml", "application/xhtml+xml", "application/ndjson", "application/x-ndjson", "application/javascript", "application/typescript", "application/csv")
 
@@ -39,12 +39,27 @@ class Limits:
     agent: str = "pagefuse"
 
 
-def blocked(address: str) -> bool:
-    """Whether an address is not public."""
-    ip = ipaddress.ip_address(address.split("%")[0])
-    if ip.version == 6 and ip.ipv4_mapped is not None:
-        ip = ip.ipv4_mapped
-    return any(ip in n for n in _NETS if n.version == ip.version)
+def decoder(encoding: str | None) -> Callable[[bytes, int], Iterator[bytes]] | None:
+    """A function from a piece of a coded body and the room left to plain pieces no longer than the room; null for unknown codings."""
+    name = (encoding or "identity").strip().lower()
+    if name == "identity":
+        return lambda chunk, room: iter((chunk,))
+    if name == "zstd":
+        z = zstandard.ZstdDecompressor().decompressobj(write_size=65536)
+        return lambda chunk, room: iter((z.decompress(chunk),))
+    if name not in ("gzip", "x-gzip", "deflate"):
+        return None
+    z = zlib.decompressobj(zlib.MAX_WBITS | 32)
+
+    def inflate(chunk: bytes, room: int) -> Iterator[bytes]:
+        while chunk and not z.eof:
+            part = z.decompress(chunk, min(room, 1 << 20))
+            chunk, room = z.unconsumed_tail, room - len(part)
+            yield part
+            if room <= 0:
+                return
+
+    return inflate
 
 
 def get(url: str | None, limits: Limits) -> tuple:
@@ -59,7 +74,7 @@ def get(url: str | None, limits: Limits) -> tuple:
             if port in BAD_PORTS:
                 return None, None, None, at, "blocked_port"
             found = {x[4][0] for x in socket.getaddrinfo(p.hostname, port, type=socket.SOCK_STREAM)}
-            if not limits.allow_private and (p.hostname == "localhost" or p.hostname.endswith(".localhost") or any(map(blocked, found))):
+            if not limits.allow_private and (p.hostname == "localhost" or p.hostname.endswith(".localhost") or any(map(address_blocked, found))):
                 return None, None, None, at, "blocked_address"
             address = sorted(found)[0]  # connect to what was checked, so a second look-up can't differ
             con = http.client.HTTPConnection(address, port, timeout=limits.seconds)
@@ -68,7 +83,7 @@ def get(url: str | None, limits: Limits) -> tuple:
                 if p.scheme == "https":
                     con.sock = ssl.create_default_context().wrap_socket(con.sock, server_hostname=p.hostname)
                 path = urllib.parse.urlunsplit(("", "", p.path or "/", p.query, ""))
-                con.request("GET", path, headers={"Host": p.netloc.rpartition("@")[2], "User-Agent": limits.agent, "Accept": "text/html,application/json,text/*;q=0.8", "Connection": "close"})
+                con.request("GET", path, headers={"Host": p.netloc.rpartition("@")[2], "User-Agent": limits.agent, "Accept": "text/html,application/json,text/*;q=0.8", "Accept-Encoding": "gzip, deflate, zstd", "Connection": "close"})
                 r = con.getresponse()
                 if r.status in (301, 302, 303, 307, 308) and r.getheader("Location"):
                     at = urllib.parse.urljoin(at, r.getheader("Location"))
@@ -79,18 +94,21 @@ def get(url: str | None, limits: Limits) -> tuple:
                     error = "unsupported_content_type"
                 if error:
                     return r.status, kind, None, at, error
-                body = b""
+                body, inflate = b"", decoder(r.getheader("Content-Encoding"))
+                if inflate is None:
+                    return r.status, kind, None, at, "unsupported_encoding"
                 while chunk := r.read(65536):
-                    body += chunk
-                    if len(body) > limits.max_bytes:
-                        return r.status, kind, None, at, "too_large"
+                    for part in inflate(chunk, limits.max_bytes + 1 - len(body)):
+                        body += part
+                        if len(body) > limits.max_bytes:
+                            return r.status, kind, None, at, "too_large"
                 return r.status, kind, body, at, None
             finally:
                 con.close()
         return None, None, None, at, "too_many_redirects"
     except TimeoutError:
         return None, None, None, at, "timeout"
-    except (OSError, http.client.HTTPException, ValueError):
+    except (OSError, http.client.HTTPException, ValueError, zlib.error, zstandard.ZstdError):
         return None, None, None, at, "network"
 
 

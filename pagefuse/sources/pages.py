@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import kind_of_type, media_type, sniff
-from ..functions.urls import canonical_url, guard_error_native
+from ..functions.urls import canonical_url, guard_error
 
 MAX_BYTES = 5 * 1024 * 1024
 
@@ -22,7 +22,7 @@ def replay(pages: DataFrame, url_col: str = "url", body_col: str = "html", type_
     status = F.col(status_col) if status_col else F.lit(200)
     error = (
         F.coalesce(
-            guard_error_native(url),
+            guard_error(url),
             F.when(status == 429, F.lit("rate_limited")).when(status == 403, F.lit("blocked")).when(~status.between(200, 299), F.lit("network")),
             F.when(kind.isNull(), F.lit("unsupported_content_type")),
             F.when(F.octet_length(body) > max_bytes, F.lit("too_large")),

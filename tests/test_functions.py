@@ -24,6 +24,27 @@ def one(spark, value, expr, schema="x string"):
         ("https://e.com/a//", "https://e.com/a/"),
         ("https://e.com/a?", "https://e.com/a"),
         ("https://e.com/a?b", "https://e.com/a?b="),
+        ("http://a.com:443/x", "https://a.com/x"),
+        ("https://a.com:80/x", "https://a.com:80/x"),
+        ("http://a.com:080/x", "https://a.com/x"),
+        ("https://u:p@a.com/x", "https://u:p@a.com/x"),
+        ("https://U@A.com/", "https://U@a.com"),
+        ("https://a.com/a/../b/./c", "https://a.com/b/c"),
+        ("https://a.com/a/b/..", "https://a.com/a"),
+        ("https://a.com/a/b/..?q=1", "https://a.com/a/?q=1"),
+        ("https://a.com/../..", "https://a.com"),
+        ("https://a.com/%2e%2E/x?UTM_Source=1&a=b+c~*", "https://a.com/x?a=b+c%7E*"),
+        ("https://bücher.example/ä b", "https://xn--bcher-kva.example/%C3%A4%20b"),
+        ("http://[2001:4860:0:0::0001]:80/x", "https://[2001:4860::1]/x"),
+        ("http://0x7f.1/", "https://127.0.0.1"),
+        ("http://3232235777", "https://192.168.1.1"),
+        ("https://a.com\\b\\c", "https://a.com/b/c"),
+        ("  https://a.com/x \t", "https://a.com/x"),
+        ("https:a.com/x", "https://a.com/x"),
+        ("https://a.com:99999/", None),
+        ("https://a.com:x/", None),
+        ("https://a b.com/", None),
+        ("https:///", None),
         ("ftp://e.com/a", None),
         ("not a url", None),
         (None, None),
@@ -31,12 +52,20 @@ def one(spark, value, expr, schema="x string"):
 )
 def test_canonical(spark, given, want):
     assert one(spark, given, urls.canonical_url) == want
-    assert one(spark, given, urls.canonical_url_strict) == want or given == "https://e.com/a//"
+    assert one(spark, given, urls.parsed_canonical) == want == urls.canonical_text(given)
 
 
-@pytest.mark.parametrize("ip, want", [("::1", True), ("[fe80::1]", True), ("::ffff:10.0.0.1", True), ("2606:4700::1111", False), ("8.8.8.8", False), ("fd00::1", True), ("2001:db8::1", True), ("x", None)])
-def test_ip_blocked(spark, ip, want):
-    assert one(spark, ip, urls.ip_blocked) == want
+IPS = [
+    ("::1", True), ("[fe80::1]", True), ("::ffff:10.0.0.1", True), ("::ffff:8.8.8.8", True), ("::127.0.0.1", True), ("::8.8.8.8", True), ("2606:4700::1111", False), ("8.8.8.8", False), ("fd00::1", True), ("2001:db8::1", True), ("2001:db9::1", False),
+    ("100::1", True), ("100:0:0:1::1", False), ("ff02::1", True), ("febf::1", True), ("fec0::1", False), ("fe80::1%eth0", True), ("1:2:3:4:5:6:7:8", False), ("1:2:3:4:5:6:7::", False), ("::", True), ("64:ff9b::8.8.8.8", False),
+    ("x", None), ("1:2:3:4:5:6:7", None), ("1::2::3", None), ("1:2:3:4:5:6:7:8:9", None), ("12345::1", None), ("::1.2.3.256", None), (":::", None), (None, None), ("", None),
+]
+
+
+def test_ip_blocked(spark):
+    d = spark.createDataFrame([(ip, want) for ip, want in IPS], "ip string, want boolean")
+    got = d.select("ip", "want", urls.ip_blocked(F.col("ip")).alias("a"), urls.ip_blocked_arrow("ip").alias("b")).collect()
+    assert [(r.ip, r.a) for r in got] == IPS and [(r.ip, r.b) for r in got] == IPS
 
 
 def test_guard_with_ipv6(spark):
@@ -44,6 +73,20 @@ def test_guard_with_ipv6(spark):
     assert one(spark, "http://[2606:4700::1111]/x", urls.guard_error) is None
     assert one(spark, ["8.8.8.8", "10.0.0.1"], urls.resolved_public, "x array<string>") is False
     assert one(spark, ["8.8.8.8"], urls.resolved_public, "x array<string>") is True
+    assert one(spark, ["8.8.8.8", "2606:4700::1111"], urls.resolved_public, "x array<string>") is True
+    assert one(spark, ["2606:4700::1111", "fd00::1"], urls.resolved_public, "x array<string>") is False
+    assert one(spark, ["8.8.8.8", "name"], urls.resolved_public, "x array<string>") is False
+
+
+def test_hardening_survives_any_text(spark):
+    """Very many blank lines, very long white space, very long lines."""
+    blank = "a\n" + " \t\n" * 200_000 + "b" + " " * 2_000_000 + "c" + " \n" * 100_000
+    got = one(spark, blank, lambda x: hardening.harden(x, hardening.Hardening(delimit=False, budget=None)))
+    assert got == "a\n \t\n \t\nb" + " " * 2_000_000 + "c"
+    long_ = "word `` " * 700_000
+    assert one(spark, long_, lambda x: hardening.harden(x, hardening.Hardening(delimit=False, budget=None))) == long_.rstrip()
+    assert one(spark, "x\n\n\n\n\u2003\n\ny\n", hardening.collapse_blank_lines) == "x\n\n\ny\n"
+    assert one(spark, None, hardening.harden) is None and one(spark, "", hardening.harden) == ""
 
 
 @pytest.mark.parametrize("given, want", [("a+b%20c", "a b c"), ("%zz%41", "%zzA"), ("%C3%A9", "é")])
