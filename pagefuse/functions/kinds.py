@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .hardening import BEGIN, END, Hardening, harden
-from .text import normalize_ws, trim_end
+from .text import decode_entities, normalize_ws, trim_end
 
 #: Media types of source code that are read as text.
 CODE_TYPES = ["text/javascript", "application/javascript", "application/x-javascript", "application/ecmascript", "application/typescript", "text/typescript", "text/css", "application/x-sh", "application/x-shellscript", "text/x-shellscript", "text/x-python", "application/x-python", "text/x-diff", "text/x-patch"]
@@ -62,8 +62,7 @@ def payload(content: Column, language: Column, options: Hardening = Hardening(),
 def xml_title(text: Column) -> Column:
     """Text of the first title element, one line of 200 code points at most; null without."""
     raw = F.regexp_extract(text, r"(?s)<title[^>]*>(.*?)</title", 1)
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        raw = F.replace(raw, F.lit(name), F.lit(value))
+    raw = F.coalesce(decode_entities(F.when(raw.contains("&"), raw)), raw)
     t = F.substring(normalize_ws(raw), 1, 200)
     return F.when(t != "", t)
 

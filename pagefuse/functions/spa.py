@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,23 @@ def reasons(html: Column, visible: Column) -> Column:
             F.when(dense, F.lit("high-script-density-no-content-tags")),
         )
     )
+
+
+def reasons_of(html: str, visible: int) -> list[str]:
+    """``reasons`` of one page, outside of Spark."""
+    low, out = html.lower(), []
+    if len(html.encode("utf-8", "replace")) > LARGE_BYTES and visible < LITTLE_TEXT:
+        out.append("large-html-with-almost-no-visible-text")
+    for r in ROOTS:
+        at = low.find(r)
+        if at >= 0 and re.match(r"[^>]*>\s*(</div|</app-root|</main|<!--)", low[at:]):
+            if r != 'id="__next"':
+                out.append("empty-angular-root" if "app-root" in r else "empty-framework-root")
+            elif "__next_data__" not in low:
+                out.append("empty-next-root")
+            break
+    if any(p in low for p in NOSCRIPT):
+        out.append("noscript-fallback-warning")
+    if low.count("<script") > MANY_SCRIPTS and not re.search("<p|<article|<h1|<h2|<h3", low):
+        out.append("high-script-density-no-content-tags")
+    return out

@@ -14,9 +14,15 @@ LIMIT, WINDOW = 20, 60
 
 
 def calls_in_window(calls: DataFrame, key: str = "key", ts: str = "ts", seconds: int = WINDOW) -> DataFrame:
-    """Each call with the number of calls of its key in the ``seconds`` before it, both ends included."""
-    w = Window.partitionBy(key).orderBy(ts).rangeBetween(-seconds, 0)
-    return calls.withColumn("in_window", F.count(F.lit(1)).over(w))
+    """Each call with the number of calls of its key in the ``seconds`` before it, both ends included.
+
+    A key is cut into stretches of ``seconds``, each sorted with the one before
+    it, so a key with very many calls is spread over its time.
+    """
+    own = F.floor(F.col(ts) / seconds)
+    d = calls.withColumn("__own", own).withColumn("__part", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    w = Window.partitionBy(key, "__part").orderBy(ts).rangeBetween(-seconds, 0)
+    return d.withColumn("in_window", F.count(F.lit(1)).over(w)).where("__own = __part").drop("__own", "__part")
 
 
 def pruned(calls: DataFrame, now: int, ts: str = "ts", seconds: int = WINDOW) -> DataFrame:

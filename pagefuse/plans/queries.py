@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import bangs, hardening, htmlclean, kinds, spa, text, urls
-from ..operators import cache, fuse, ladder, quota, registry, render
+from ..operators import cache, fuse, ladder, quota, registry, render, route
 from ..sources import families, feeds, html_replies, json_replies, pages as page_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +67,8 @@ def canon_sql(u: str) -> str:
     drop = "[" + ", ".join(f"'{t}'" for t in urls.TRACKING) + "]"
     host = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({p(2)}), '^[^@]*@', ''), CASE WHEN lower({p(1)}) = 'http' THEN ':80$' ELSE ':443$' END, ''), ':$', ''), '^www\\.', '')"
     path = f"CASE WHEN {p(3)} = '' THEN '/' ELSE {p(3)} END"
-    q = f"array_to_string(list_transform(list_filter(string_split(substr({p(4)}, 2), '&'), lambda x: x <> '' AND NOT list_contains({drop}, lower(split_part(x, '=', 1)))), lambda x: split_part(x, '=', 1) || '=' || regexp_extract(x, '=(.*)$', 1)), '&')"
+    coded = lambda v: f"replace(replace(replace(url_encode(url_decode(replace({v}, '+', ' '))), '%20', '+'), '~', '%7E'), '%2A', '*')"
+    q = f"array_to_string(list_transform(list_filter(string_split(substr({p(4)}, 2), '&'), lambda x: x <> '' AND NOT list_contains({drop}, lower(split_part(x, '=', 1)))), lambda x: {coded("split_part(x, '=', 1)")} || '=' || {coded("regexp_extract(x, '=(.*)$', 1)")}), '&')"
     return f"CASE WHEN {p(1)} <> '' THEN 'https://' || {host} || CASE WHEN {q} = '' THEN regexp_replace({path}, '/$', '') ELSE {path} || '?' || {q} END END"
 
 
@@ -96,6 +97,7 @@ def url_parts_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 GUARDED = [
     (1, "http://169.254.169.254/latest/meta-data"), (2, "http://127.0.0.1:8080/x"), (3, "http://localhost/admin"), (4, "file:///etc/passwd"), (5, "http://example.org:22/"), (6, "https://example.org/page"),
     (7, "http://[::1]/"), (8, "http://api.localhost/"), (9, "http://10.1.2.3/"), (10, "http://172.32.0.1/"), (11, "http://172.31.255.255/"), (12, "https://user@192.168.0.9/"), (13, "http://8.8.8.8/"), (14, "http://example.org:6667/"), (15, "ftp://example.org/"), (16, "https://100.64.0.1/"),
+    (17, "http://[2606:4700::1111]/"), (18, "https://[::ffff:8.8.8.8]/x"), (19, "http://[fe80::1]:8080/"), (20, "http://[64:ff9b::808:808]/"), (21, "http://[1::2::3]/"), (22, "http://[fd00:1:2:3:4:5:6:7]/"),
 ]
 _V4 = r"'^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$'"
 
@@ -111,19 +113,36 @@ def blocked_sql(ip: str) -> str:
     return f"CASE WHEN {' AND '.join(f'{x} <= 255' for x in o)} THEN {tests} END"
 
 
+def blocked_v6_sql(ip: str) -> str:
+    """SQL for whether an IPv6 text is not public; null where it is no address."""
+    import ipaddress
+
+    x = f"regexp_replace(regexp_replace(lower({ip}), '^\\\\[(.*)\\\\]$', '\\\\1'), '%.*$', '')".replace("\\\\", "\\")
+    octet = lambda k: f"try_cast(string_split(regexp_extract({x}, ':([0-9.]+)$', 1), '.')[{k}] AS BIGINT)"
+    tail = f"regexp_extract({x}, ':([0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}})$', 1)"
+    fine = " AND ".join(f"{octet(k)} <= 255" for k in range(1, 5))
+    whole = f"CASE WHEN {tail} = '' THEN {x} WHEN {fine} THEN left({x}, (length({x}) - length({tail}))::INT) || printf('%x:%x', ({octet(1)} * 256 + {octet(2)})::INT, ({octet(3)} * 256 + {octet(4)})::INT) END"
+    half = lambda k: f"(CASE WHEN coalesce(string_split(w, '::')[{k}], '') = '' THEN []::VARCHAR[] ELSE string_split(string_split(w, '::')[{k}], ':') END)"
+    every = f"(CASE WHEN len(string_split(w, '::')) = 1 THEN string_split(w, ':') WHEN len(string_split(w, '::')) = 2 AND len({half(1)}) + len({half(2)}) <= 7 THEN {half(1)} || list_transform(range(8 - len({half(1)}) - len({half(2)})), lambda z: '0') || {half(2)} END)"
+    bits = f"list_reduce(list_transform({every}, lambda g: lpad(to_binary(('0x' || g)::BIGINT), 16, '0')), lambda a, b: a || b)"
+    nets = [ipaddress.ip_network(n) for n in urls.BLOCKED_V6]
+    tests = " OR ".join(f"starts_with(b, '{int(n.network_address):0128b}'[1:{n.prefixlen}])" for n in nets)
+    return f"(SELECT {tests} FROM (SELECT {bits} AS b FROM (SELECT {whole} AS w) WHERE len({every}) = 8 AND len(list_filter({every}, lambda g: NOT regexp_full_match(g, '[0-9a-f]{{1,4}}'))) = 0))"
+
+
 _GUARD = f"""
 WITH all_urls AS (SELECT id, url FROM {values_sql(GUARDED, 'id, url')} UNION ALL SELECT 1000 + page_id, url FROM pages),
 p AS (SELECT id, url, regexp_extract(trim(url), {_URL}, 1) AS scheme, regexp_extract(trim(url), {_URL}, 2) AS auth FROM all_urls),
 h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(auth), '^[^@]*@', ''), ':\\d*$', ''), '^\\[(.*)\\]$', '\\1') AS host, TRY_CAST(regexp_extract(auth, ':(\\d+)$', 1) AS INT) AS port FROM p)
 SELECT id::BIGINT AS id, CASE WHEN scheme = '' THEN 'invalid_url' WHEN port IN ({', '.join(map(str, urls.BAD_PORTS))}) THEN 'blocked_port' WHEN host = 'localhost' OR host LIKE '%.localhost' THEN 'blocked_host'
- WHEN coalesce({blocked_sql('host')}, false) OR contains(auth, '[') THEN 'blocked_address' END AS error FROM h"""
+ WHEN coalesce({blocked_sql('host')}, CASE WHEN contains(auth, '[') THEN coalesce({blocked_v6_sql('host')}, true) ELSE false END) THEN 'blocked_address' END AS error FROM h"""
 
 
 @query(_GUARD)
 def ssrf_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why addresses must not be fetched: fixed hostile ones and all pages."""
     d = literals(spark, GUARDED, "id long, url string").union(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), "url"))
-    return d.select("id", urls.guard_error_native(F.col("url")).alias("error"))
+    return d.select("id", urls.guard_error(F.col("url")).alias("error"))
 
 
 IPS = [(f"{a}.{b}.{c}.{d}",) for a in (0, 8, 10, 100, 127, 169, 172, 192, 198, 203, 224, 240, 255, 256) for b, c, d in ((0, 0, 0), (16, 0, 1), (18, 0, 1), (31, 255, 255), (32, 0, 1), (51, 100, 7), (64, 0, 1), (168, 1, 1), (254, 1, 1), (0, 2, 9), (0, 113, 3))]
@@ -135,6 +154,15 @@ def ip_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literals(spark, IPS, "ip string").select("ip", urls.ipv4_blocked(F.col("ip")).alias("blocked"))
 
 
+IPS6 = [(x,) for x in ("::", "::1", "::2:3", "::ffff:1.2.3.4", "::8.8.8.8", "[fe80::1]", "febf::", "fec0::1", "fe80::1%eth0", "fc00::", "fdff:1:2:3:4:5:6:7", "fe00::1", "ff02::1", "100::1", "100:0:0:1::", "2001:db8::5", "2001:DB8:ffff::", "2001:db9::", "2606:4700::1111", "64:ff9b::1.2.3.4", "64:ff9b:1::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3", "12345::", "::1.2.3.256", ":::", "x", "8.8.8.8")]
+
+
+@query(f"SELECT ip, {blocked_v6_sql('ip')} AS blocked FROM {values_sql(IPS6, 'ip')}")
+def ip_blocklist_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which IPv6 addresses are not public; null for what is no such address."""
+    return literals(spark, IPS6, "ip string").select("ip", urls.ipv6_blocked(F.col("ip")).alias("blocked"))
+
+
 HREFS = [(1, "/l/?uddg=https%3A%2F%2Fexample.org%2Fa&rut=1"), (2, "//example.org/x"), (3, "/about"), (4, "https://example.org/direct"), (5, "/l/?kh=1&uddg=http%3A%2F%2Fb.test%2F%3Fq%3D1")]
 
 
@@ -146,10 +174,10 @@ def redirect_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT item_id, replace(replace(replace(replace(replace('https://s.test/?q={query}&raw={query_raw}&p={page}&n={page1}&l={locale}', '{query_raw}', left(text, 20)), '{query}', url_encode(left(text, 20))), '{page}', '1'), '{page1}', '2'), '{locale}', 'en-US') AS request FROM benchmark""")
+SELECT item_id, replace(replace(replace(replace(replace('https://s.test/?q={query}&raw={query_raw}&p={page}&n={page1}&l={locale}', '{query_raw}', text), '{query}', url_encode(text)), '{page}', '1'), '{page1}', '2'), '{locale}', 'en-US') AS request FROM benchmark""")
 def request_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests rendered from a template for every benchmark text."""
-    q = F.substring("text", 1, 20)
+    q = F.col("text")
     t = F.lit("https://s.test/?q={query}&raw={query_raw}&p={page}&n={page1}&l={locale}")
     return table(spark, sf_dir, "benchmark").select("item_id", urls.render_template(t, q, F.lit(2), F.lit("en-US"), F.lit(1), F.lit(None).cast("string")).alias("request"))
 
@@ -171,14 +199,14 @@ def engine_table(spark: SparkSession) -> DataFrame:
     return literals(spark, ENGINES, "name string, bang string, family string, categories array<string>, enabled boolean, weight double, implemented boolean")
 
 
-_ASKED = "CASE conv_id % 4 WHEN 0 THEN '!al ' || left(text, 30) WHEN 1 THEN left(text, 30) || ' !IT !th' WHEN 2 THEN '!zz !! ' || left(text, 30) || ' !be !ga !al' ELSE '!news ' || left(text, 30) END"
+_ASKED = "CASE conv_id % 4 WHEN 0 THEN '!al ' || text WHEN 1 THEN text || ' !IT !th' WHEN 2 THEN '!zz !! ' || text || ' !be !ga !al' ELSE '!news ' || text END"
 _TOKENS = f"SELECT conv_id AS query_id, list_filter(regexp_split_to_array({_ASKED}, '\\s+'), lambda t: t <> '') AS ts FROM conversations WHERE turn = 0"
 _PARSED = f"SELECT query_id, array_to_string(list_filter(ts, lambda t: NOT regexp_full_match(t, '!+[A-Za-z0-9_]+')), ' ') AS clean_query, list_transform(list_filter(ts, lambda t: regexp_full_match(t, '!+[A-Za-z0-9_]+')), lambda t: lower(regexp_replace(t, '^!+', ''))) AS bangs FROM ({_TOKENS})"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First turns of conversations with shortcuts put in."""
-    short = F.substring("text", 1, 30)
+    short = F.col("text")
     q = (
         F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("!al "), short))
         .when(F.col("conv_id") % 4 == 1, F.concat(short, F.lit(" !IT !th")))
@@ -396,10 +424,10 @@ def char_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hostile(x: Column) -> Column:
     """Text with invisible characters, a fence, blank lines and a boundary word put in."""
-    return F.concat(F.lit("é​"), F.substring(x, 1, 300), F.lit("\r\n \n\n\t\n\n````py\n`` ok‮\nBEGIN_UNTRUSTED_CONTENT\n"), F.substring(x, 301, 900), F.lit("  \n\n"))
+    return F.concat(F.lit("é​"), F.substring(x, 1, 300), F.lit("\r\n \n\n\t\n\n````py\n`` ok‮\nBEGIN_UNTRUSTED_CONTENT\n"), F.substr(x, F.lit(301)), F.lit("  \n\n"))
 
 
-_HOSTILE = "'e' || chr(769) || chr(8203) || left(text, 300) || chr(13) || chr(10) || ' ' || chr(10) || chr(10) || chr(9) || chr(10) || chr(10) || '````py' || chr(10) || '`` ok' || chr(8238) || chr(10) || 'BEGIN_UNTRUSTED_CONTENT' || chr(10) || substr(text, 301, 900) || '  ' || chr(10) || chr(10)"
+_HOSTILE = "'e' || chr(769) || chr(8203) || left(text, 300) || chr(13) || chr(10) || ' ' || chr(10) || chr(10) || chr(9) || chr(10) || chr(10) || '````py' || chr(10) || '`` ok' || chr(8238) || chr(10) || 'BEGIN_UNTRUSTED_CONTENT' || chr(10) || substr(text, 301) || '  ' || chr(10) || chr(10)"
 _INVIS = r"'[\x{200B}-\x{200D}\x{2060}-\x{2064}\x{FEFF}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{00AD}\x{01}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{9F}]'"
 _FENCE = "array_to_string(list_transform(regexp_extract_all({x}, '(`+|[^`]+)'), lambda r: CASE WHEN regexp_matches(r, '^`{{3,}}') THEN repeat(chr(92) || '`', length(r)) ELSE r END), '')"
 
@@ -408,18 +436,18 @@ _FENCE = "array_to_string(list_transform(regexp_extract_all({x}, '(`+|[^`]+)'),
 WITH a AS (SELECT doc_id, regexp_replace(nfc_normalize({_HOSTILE}), {_INVIS}, '', 'g') AS x FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(?m)^((?:[\p{{Z}}\t]*\n){{2}})(?:[\p{{Z}}\t]*\n)+', '\1', 'g'), '[\s\p{{Z}}]+$', '') AS x FROM a),
 c AS (SELECT doc_id, {_FENCE.format(x='x')} AS x FROM b),
-d AS (SELECT doc_id, CASE WHEN length(x) <= 800 THEN x ELSE regexp_replace(left(x, 800), '\s+$', '') || chr(10) || chr(10) || '[... Remaining ' || format('{{:,}}', length(x) - 800) || ' characters truncated by token budget ...]' END AS x FROM c)
+d AS (SELECT doc_id, CASE WHEN length(x) <= 50000 THEN x ELSE regexp_replace(left(x, 50000), '\s+$', '') || chr(10) || chr(10) || '[... Remaining ' || format('{{:,}}', length(x) - 50000) || ' characters truncated by token budget ...]' END AS x FROM c)
 SELECT doc_id, '<!-- BEGIN_UNTRUSTED_CONTENT -->' || chr(10) || regexp_replace(x, '(BEGIN|END)_UNTRUSTED_CONTENT', '\1-UNTRUSTED-CONTENT', 'g') || chr(10) || '<!-- END_UNTRUSTED_CONTENT -->' AS hardened FROM d""")
 def harden_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with hostile parts put in, hardened."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", hardening.harden(hostile(F.col("text")), hardening.Hardening(budget=800)).alias("hardened"))
+    return d.select("doc_id", hardening.harden(hostile(F.col("text"))).alias("hardened"))
 
 
-@query(f"SELECT doc_id, {_FENCE.format(x='y')} AS escaped FROM (SELECT doc_id, left(text, 40) || '```js' || substr(text, 41, 60) || '`` ````` x' AS y FROM documents)")
+@query(f"SELECT doc_id, {_FENCE.format(x='y')} AS escaped FROM (SELECT doc_id, left(text, 40) || '```js' || substr(text, 41) || '`` ````` x' AS y FROM documents)")
 def fence_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with fences put in, neutralised."""
-    x = F.concat(F.substring("text", 1, 40), F.lit("```js"), F.substring("text", 41, 60), F.lit("`` ````` x"))
+    x = F.concat(F.substring("text", 1, 40), F.lit("```js"), F.substr("text", F.lit(41)), F.lit("`` ````` x"))
     return table(spark, sf_dir, "documents").select("doc_id", hardening.neutralize_fences(x).alias("escaped"))
 
 
@@ -482,6 +510,9 @@ SHELLS = [
 ]
 
 
+_TEXT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '<[^>]*>', ' ', 'g')"
+
+
 def _root_sql() -> str:
     out = "NULL"
     for r in reversed(spa.ROOTS):
@@ -491,13 +522,13 @@ def _root_sql() -> str:
 
 
 @query(f"""
-WITH p AS (SELECT id, html, lower(html) AS low, visible FROM (SELECT * FROM {values_sql(SHELLS, 'id, html, visible')} UNION ALL SELECT 1000 + page_id, html, 300 FROM pages))
+WITH p AS (SELECT id, html, lower(html) AS low, visible FROM (SELECT * FROM {values_sql(SHELLS, 'id, html, visible')} UNION ALL SELECT 1000 + page_id, html, length(regexp_replace({_TEXT}, '\\s', '', 'g')) FROM pages))
 SELECT id::BIGINT AS id, array_to_string(list_filter([CASE WHEN strlen(html) > 20480 AND visible < 250 THEN 'large-html-with-almost-no-visible-text' END, {_root_sql()},
  CASE WHEN {' OR '.join(f"contains(low, '{x}')" for x in spa.NOSCRIPT)} THEN 'noscript-fallback-warning' END,
  CASE WHEN len(regexp_extract_all(low, '<script')) > 5 AND len(regexp_extract_all(low, '<p|<article|<h1|<h2|<h3')) = 0 THEN 'high-script-density-no-content-tags' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p""")
 def spa_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons to take pages and fixed shells for client-rendered."""
-    d = literals(spark, SHELLS, "id long, html string, visible int").union(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), "html", F.lit(300)))
+    d = literals(spark, SHELLS, "id long, html string, visible int").union(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), "html", text.visible_chars(F.regexp_replace(htmlclean.strip_active(F.col("html")), "<[^>]*>", " "))))
     return d.select("id", F.array_join(spa.reasons(F.col("html"), F.col("visible")), ",").alias("reasons"))
 
 
@@ -526,23 +557,25 @@ def tag_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _dealt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    return table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages by the splits of their files; only a table of fewer splits than cores is dealt out."""
+    p, cores = table(spark, sf_dir, "pages"), spark.sparkContext.defaultParallelism
+    return p.repartition(cores) if p.rdd.getNumPartitions() < cores else p
 
 
 @query()
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown, with their metadata."""
-    p, n = _dealt(spark, sf_dir)
-    return htmlclean.cleaned(p, ["page_id", "url"], parts=n)
+    p = _dealt(spark, sf_dir)
+    return htmlclean.cleaned(p, ["page_id", "url"])
 
 
 @query(f"""
 SELECT page_id, replace(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, regexp_matches(html, '<h1>') AS has_heading, false AS leaks_script, false AS has_nav FROM pages""")
 def page_clean_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold for the Markdown of every page: title, heading, no script text, no navigation."""
-    p, n = _dealt(spark, sf_dir)
-    d = htmlclean.cleaned(p, ["page_id", "html"], parts=n)
+    p = _dealt(spark, sf_dir)
+    d = htmlclean.cleaned(p, ["page_id", "html"])
     nav = F.regexp_extract("html", r"(?s)<nav><ul><li><a href=\"([^\"]*)\"", 1)
     return d.select("page_id", "title", F.col("markdown").rlike("(?m)^# ").alias("has_heading"), F.col("markdown").contains("track(").alias("leaks_script"), ((nav != "") & F.col("markdown").contains(F.concat(F.lit("]("), nav))).alias("has_nav"))
 
@@ -550,15 +583,13 @@ def page_clean_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through every layer: checks, Markdown, hardening, detection, ladder, assembly."""
-    p, n = _dealt(spark, sf_dir)
+    p = _dealt(spark, sf_dir)
     ok = page_source.replay(p).where("error_kind IS NULL")
-    d = htmlclean.cleaned(ok, ["page_id", "url", "canonical_url", "html"], parts=n)
-    d = d.withColumn("markdown", hardening.harden(F.col("markdown")))
+    d = route.sanitized(ok, ["page_id", "canonical_url", "html"], content_type=None)
     d = d.withColumn("is_spa", F.size(spa.reasons(F.col("html"), F.char_length("markdown"))) > 0)
     none = F.lit(None)
     d = d.withColumn("l", ladder.ladder(F.col("is_spa"), none.cast("int"), none.cast("int"), none.cast("boolean"), none.cast("boolean")))
-    title = F.coalesce("title", text.first_heading(F.col("markdown"), urls.fallback_title(F.col("url"))))
-    return d.select("page_id", "canonical_url", title.alias("title"), "markdown", F.col("l.method").alias("render_method"), F.col("l.warning").alias("warning"), "is_spa", text.visible_chars(F.col("markdown")).alias("text_length"), text.estimate_tokens(F.col("markdown")).alias("estimated_tokens"))
+    return d.select("page_id", "canonical_url", "title", "markdown", F.col("l.method").alias("render_method"), F.col("l.warning").alias("warning"), "is_spa", text.visible_chars(F.col("markdown")).alias("text_length"), text.estimate_tokens(F.col("markdown")).alias("estimated_tokens"))
 
 
 LADDER = [(1, False, None, None, None, None), (2, True, 200, None, None, None), (3, True, 429, 200, None, None), (4, True, 429, 429, True, None), (5, True, 429, None, False, True), (6, True, 429, None, False, False), (7, True, 500, 200, True, True), (8, True, None, None, True, True)]
@@ -703,13 +734,13 @@ def json_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'system'), f AS (SELECT conv_id, turn, text FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
-t AS (SELECT conv_id, left(text, 20) AS title FROM conversations WHERE turn = 0 AND conv_id % 2 = 0)
+t AS (SELECT conv_id, text AS title FROM conversations WHERE turn = 0)
 SELECT f.conv_id AS topic_id, t.title, 'https://forum.test/t/topic/' || f.conv_id AS url, f.text AS snippet FROM f JOIN t ON t.conv_id = f.conv_id""")
 def forum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First posts joined with their topics; every second topic is known."""
+    """First posts joined with their topics."""
     c = table(spark, sf_dir, "conversations")
     posts = c.where("role <> 'system'").select(F.col("conv_id").alias("query_id"), F.lit("f").alias("engine"), F.col("turn").alias("pos"), F.col("conv_id").alias("topic_id"), F.col("text").alias("blurb"))
-    topics = c.where("turn = 0 AND conv_id % 2 = 0").select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("topic_id"), F.substring("text", 1, 20).alias("title"), F.lit(None).cast("string").alias("slug"))
+    topics = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("topic_id"), F.col("text").alias("title"), F.lit(None).cast("string").alias("slug"))
     h = families.forum(posts, topics, "https://forum.test")
     return h.select(F.col("query_id").alias("topic_id"), "title", "url", "snippet")
 
@@ -729,5 +760,5 @@ SELECT page_id AS query_id, i::INT AS rank, trim(regexp_replace(regexp_replace(a
 FROM (SELECT page_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*>[^<]*</a>') AS a FROM pages))""")
 def css_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Navigation links of pages by a CSS spec."""
-    d = table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.lit("nav").alias("engine"), F.col("html").alias("payload")).repartition(spark.sparkContext.defaultParallelism)
+    d = _dealt(spark, sf_dir).select(F.col("page_id").alias("query_id"), F.lit("nav").alias("engine"), F.col("html").alias("payload"))
     return html_replies.extract(d, html_replies.CssSpec("nav li", "a", "a@href")).select("query_id", "rank", "title", "url")

@@ -80,5 +80,5 @@ def test_http(spark):
 
 
 def test_sql_functions(spark):
-    assert {r.check: r.ok for r in sql.selfcheck(spark).collect()} == dict.fromkeys(["address guard", "canonical form", "entities", "tokens", "page cleaning", "ladder"], True)
+    assert {r.check: r.ok for r in sql.selfcheck(spark).collect()} == dict.fromkeys(["address guard", "canonical form", "entities", "tokens", "hardening", "shortcuts", "page cleaning", "ladder"], True)
     assert spark.sql("SELECT estimate_tokens('a b c'), collapse_ws(' a  b ')").first()[:] == (2, "a b")

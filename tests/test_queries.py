@@ -3,7 +3,7 @@
 import pytest
 from compare import oracle, rows
 
-from pagefuse.plans.queries import ORACLES, QUERIES
+from pagefuse.plans import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
