@@ -14,9 +14,13 @@ def freshness(age: Column, ttl: int = TTL, stale: int = STALE) -> Column:
 
 
 def latest(rows: DataFrame, key: str = "canonical_url", at: str = "fetched_at", ties: list[str] = ()) -> DataFrame:
-    """The newest row of each key; an aggregate with partial sums, so a hot key does not gather in one task."""
+    """The newest row of each key; an aggregate with partial sums, so a hot key does not gather in one task.
+
+    Rows of one time go by ``ties``, then by the other columns that have an order (maps have none).
+    """
     rest = [c for c in rows.columns if c not in (key, at, *ties)]
-    top = rows.groupBy(key).agg(F.max(F.struct(at, *ties, *rest)).alias("__r"))
+    ordered = [c for c in rest if not any(k in rows.schema[c].dataType.simpleString() for k in ("map<", "variant"))]
+    top = rows.groupBy(key).agg(F.max_by(F.struct(at, *ties, *rest), F.struct(at, *ties, *ordered)).alias("__r"))
     return top.select(*[F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in rows.columns])
 
 

@@ -472,9 +472,12 @@ TYPES = [
 ]
 
 
-@query(f"SELECT header, kind, fence FROM {values_sql(TYPES, 'header, kind, fence')}")
+@query(f"""
+WITH t AS (SELECT header, lower(trim(split_part(header, ';', 1))) AS t FROM {values_sql(TYPES, 'header, kind, fence')}),
+k AS (SELECT header, t, CASE WHEN t LIKE '%html%' THEN 'Html' WHEN t LIKE '%json' THEN 'Json' WHEN t LIKE '%xml' THEN 'Xml' WHEN t LIKE 'text/%' OR regexp_matches(t, 'script|yaml|csv|-sh$|python') THEN 'Text' END AS kind FROM t)
+SELECT header, kind, CASE kind WHEN 'Json' THEN 'json' WHEN 'Xml' THEN 'xml' WHEN 'Text' THEN CASE WHEN t LIKE '%-sh' THEN 'bash' WHEN t LIKE '%tab-separated%' THEN 'tsv' ELSE nullif(regexp_extract(t, '(csv|yaml|javascript|typescript|css|python|diff)', 1), '') END END AS fence FROM k""")
 def kind_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind and fence of content types; the oracle states them."""
+    """Kind and fence of content types."""
     t = kinds.media_type(F.col("header"))
     d = literals(spark, [(x[0],) for x in TYPES], "header string")
     return d.select("header", kinds.kind_of_type(t).alias("kind"), kinds.fence_language(kinds.kind_of_type(t), t).alias("fence"))
@@ -595,9 +598,12 @@ def page_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 LADDER = [(1, False, None, None, None, None), (2, True, 200, None, None, None), (3, True, 429, 200, None, None), (4, True, 429, 429, True, None), (5, True, 429, None, False, True), (6, True, 429, None, False, False), (7, True, 500, 200, True, True), (8, True, None, None, True, True)]
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 'StaticDirect', false), (2, 'JinaReader', false), (3, 'JinaReader', false), (4, 'LocalHeadless', false), (5, 'JinaReader', false), (6, 'DegradedStatic', true), (7, 'DegradedStatic', true), (8, 'DegradedStatic', true)) AS t(id, method, warned)""")
+@query(f"""
+WITH l AS (SELECT id, spa, coalesce(reader, 0) AS reader, coalesce(keyed, 0) AS keyed, coalesce(headless, false) AS headless, coalesce(waited, false) AS waited FROM {values_sql(LADDER, 'id, spa, reader, keyed, headless, waited')}),
+m AS (SELECT id, CASE WHEN NOT spa THEN 'StaticDirect' WHEN reader // 100 = 2 OR reader = 429 AND keyed // 100 = 2 THEN 'JinaReader' WHEN reader <> 429 THEN 'DegradedStatic' WHEN headless THEN 'LocalHeadless' WHEN waited THEN 'JinaReader' ELSE 'DegradedStatic' END AS method FROM l)
+SELECT id::BIGINT AS id, method, method = 'DegradedStatic' AS warned FROM m""")
 def render_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every branch of the rendering ladder; the oracle states the outcomes."""
+    """Every branch of the rendering ladder."""
     d = literals(spark, LADDER, "id long, spa boolean, reader int, keyed int, headless boolean, waited boolean")
     return d.select("id", ladder.ladder(*[F.col(c) for c in ("spa", "reader", "keyed", "headless", "waited")]).alias("l")).select("id", F.col("l.method").alias("method"), F.col("l.warning").isNotNull().alias("warned"))
 
@@ -724,9 +730,12 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 FALLBACKS = [(1, '[{"t":"a","u":"https://x/1"},{"t":null,"s":"other","u":"https://x/2"},{"s":"story","u":"https://x/3"},{"t":" ","u":"https://x/4"},{"t":"no url"},{"t":7,"u":true}]')]
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 'https://x/1'), (2, '', 'https://x/2'), (3, 'story', 'https://x/3'), (4, '', 'https://x/4'), (5, '7', 'true')) AS t(rank, title, url)")
+@query(f"""
+WITH i AS (SELECT unnest(json_extract(payload, '$[*]')) AS j, generate_subscripts(json_extract(payload, '$[*]'), 1) AS pos FROM {values_sql(FALLBACKS, 'query_id, payload')}),
+f AS (SELECT pos, json_exists(j, '$.t') AS has, coalesce(trim(json_extract_string(j, '$.t')), '') AS t, coalesce(trim(json_extract_string(j, '$.s')), '') AS s, json_extract_string(j, '$.u') AS url FROM i)
+SELECT row_number() OVER (ORDER BY pos)::INT AS rank, CASE WHEN has THEN t ELSE s END AS title, url FROM f WHERE url IS NOT NULL""")
 def json_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fallback paths, nulls, blanks, numbers; the oracle states the rows."""
+    """Fallback paths, nulls, blanks, numbers."""
     d = literals(spark, FALLBACKS, "query_id long, payload string").withColumn("engine", F.lit("e"))
     f = json_replies.Field
     return json_replies.extract(d, json_replies.Spec(None, f("t", "s"), f("u"))).select("rank", "title", "url")
@@ -748,9 +757,12 @@ def forum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ATOM = '<feed><title>q</title><entry><id>http://arxiv.org/abs/2101.1v1</id><title>One\n  two &amp; three</title><summary> A  b </summary><published>2021-01-02T00:00:00Z</published></entry><entry><title>no id</title></entry><entry><id>http://arxiv.org/abs/9</id><title>Last</title></entry></feed>'
 
 
-@query("SELECT * FROM (VALUES (1, 'One two & three', 'http://arxiv.org/abs/2101.1v1', 'A b', '2021-01-02'), (2, 'Last', 'http://arxiv.org/abs/9', '', NULL)) AS t(rank, title, url, snippet, published_date)")
+@query(f"""
+WITH e AS (SELECT unnest(regexp_extract_all(payload, '(?s)<entry>(.*?)</entry>', 1)) AS e, unnest(range(1, 4)) AS pos FROM {values_sql([(ATOM,)], 'payload')}),
+f AS (SELECT pos, regexp_extract(e, '(?s)<title>(.*?)</title>', 1) AS t, trim(regexp_extract(e, '(?s)<id>(.*?)</id>', 1)) AS url, regexp_extract(e, '(?s)<summary>(.*?)</summary>', 1) AS s, left(regexp_extract(e, '(?s)<published>(.*?)</published>', 1), 10) AS d FROM e)
+SELECT row_number() OVER (ORDER BY pos)::INT AS rank, trim(regexp_replace(replace(t, '&amp;', '&'), '\\s+', ' ', 'g')) AS title, url, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS snippet, nullif(d, '') AS published_date FROM f WHERE url <> '' AND t <> ''""")
 def atom_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a feed; the oracle states the rows."""
+    """Entries of a feed."""
     d = literals(spark, [(1, "arxiv", ATOM)], "query_id long, engine string, payload string")
     return feeds.atom(d).select("rank", "title", "url", "snippet", "published_date")
 

@@ -221,6 +221,16 @@ def place_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second).select("query_id", "engine", "rank", "title", "url", "snippet")
 
 
+@query("""
+SELECT conv_id AS query_id, 'https://i.test/i.js?q=' || replace(replace(url_encode(role || ' é'), '*', '%2A'), '+', '%20') || '&vqd=4-' || conv_id || '_x' AS url FROM conversations WHERE turn = 0 AND conv_id % 3 <> 0""")
+def token_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps: the token of each result page, then the requests of the queries that got one."""
+    first = table(spark, sf_dir, "conversations").where("turn = 0")
+    pages = first.select(c("conv_id").alias("query_id"), F.when(c("conv_id") % 3 != 0, text_of('<script>x({vqd="4-', c("conv_id"), '_x", q})</script>')).otherwise("<p>none</p>").alias("payload"))
+    asked = first.select(c("conv_id").alias("query_id"), text_of(c("role"), " é").alias("query"))
+    return families.token_requests(asked, families.search_token(pages), "https://i.test/i.js?q={query}&vqd={token}")
+
+
 RATES = {"USD": 1.0, "EUR": 0.8, "GBP": 0.5, "JPY": 150.0, "CHF": 0.9}
 _CODES = "(VALUES (0, 'usd', 1.0::DOUBLE), (1, 'eur', 0.8), (2, 'gbp', 0.5), (3, 'jpy', 150.0), (4, 'chf', 0.9), (5, 'xyz', NULL)) AS"
 

@@ -141,6 +141,24 @@ def instant_answers(replies: DataFrame, cap: int = 12, nested: int = 5) -> DataF
     return _hits(each, F.col("h.title"), F.col("h.url"), F.col("h.snippet"), metadata=_meta(kind=F.col("h.kind")))
 
 
+def search_token(pages: DataFrame) -> DataFrame:
+    """(query_id, token, error): the token of a result page, which the requests for images, videos and news must carry.
+
+    ``pages`` has the first step's replies (query_id, payload).
+    """
+    token = F.regexp_extract("payload", r"""vqd=["']?([0-9A-Za-z_-]+)""", 1)
+    return pages.select("query_id", F.nullif(token, F.lit("")).alias("token"), F.when(F.coalesce(token, F.lit("")) == "", F.lit("no token in page")).alias("error"))
+
+
+def token_requests(queries: DataFrame, tokens: DataFrame, template: str) -> DataFrame:
+    """Second-step requests (query_id, url) of queries (query_id, query) that got a token."""
+    from ..functions.urls import encode_component
+
+    j = queries.join(tokens.where("token IS NOT NULL"), "query_id")
+    url = F.replace(F.replace(F.lit(template), F.lit("{query}"), encode_component(F.col("query"))), F.lit("{token}"), F.col("token"))
+    return j.select("query_id", url.alias("url"))
+
+
 def news(replies: DataFrame, cap: int = 20) -> DataFrame:
     """News items; the date is a civil date or what the reply says in words."""
     date = F.coalesce(unix_to_date(_get("$.date").try_cast("long")), _get("$.relative_time"))

@@ -181,3 +181,14 @@ def test_selectors():
     assert [n.text() for n in htmltree.select(t, "div.r a")] == ["1", "2"]
     assert [n.text() for n in htmltree.select(t, "li > a[data-k=v], #z a")] == ["1", "2"]
     assert htmltree.select(t, "div > a[href]") == []
+
+
+@pytest.mark.parametrize(
+    "encoding, given",
+    [
+        ("shift_jis", "これは日本語の文章です。とても長いです。"), ("euc_jp", "これは日本語の文章です。とても長いです。"), ("euc_kr", "안녕하세요 이것은 한국어 문장입니다"), ("gb18030", "这是一个中文的句子，我们来说说中国的事情"), ("big5", "這是一個中文的句子，我們來說說時間的事情"),
+        ("windows-1251", "Это предложение на русском языке"), ("koi8_r", "Это предложение на русском языке"), ("windows-1252", "Voilà un café très agréable, naïve façade"), ("windows-1252", "plain “quotes” and – dashes"), ("windows-1250", "příliš žluťoučký kůň úpěl ďábelské ódy"), ("utf-8", "any ünïcödé 日本"),
+    ],
+)
+def test_encodings_without_a_label(encoding, given):
+    assert htmlclean.decode(given.encode(encoding)) == given

@@ -38,8 +38,19 @@ def test_rollup(spark, sf, tmp_path):
 
 
 def test_cache_writer(spark, tmp_path):
-    write = limits.cache_writer(str(tmp_path / "c"))
-    schema = "canonical_url string, markdown string, fetched_at long"
-    write(spark.createDataFrame([("u", "a", 1), ("v", "b", 1)], schema), 0)
-    write(spark.createDataFrame([("u", "c", 2)], schema), 1)
-    assert {r.canonical_url: r.markdown for r in spark.read.parquet(str(tmp_path / "c" / "v=1")).collect()} == {"u": "c", "v": "b"}
+    """Batches in any number, one missing, one run again, and the whole written anew."""
+    path = str(tmp_path / "c")
+    schema = "canonical_url string, markdown string, fetched_at long, headers map<string,string>"
+    make = lambda *rows: spark.createDataFrame([(*r, {"k": r[1]}) for r in rows], schema)
+    have = lambda: {r.canonical_url: r.markdown for r in limits.cached_pages(spark, path).collect()}
+    assert limits.cached_pages(spark, path) is None
+    write = limits.cache_writer(path, every=3)
+    write(make(("u", "a", 1), ("v", "b", 1)), 0)
+    write(make(("u", "c", 2)), 2)
+    assert have() == {"u": "c", "v": "b"}
+    write(make(("u", "c", 2)), 2)
+    assert limits.versions(spark, path) == (-1, [0, 2])
+    write(make(("w", "d", 3), ("w", "e", 4)), 3)
+    assert limits.versions(spark, path) == (3, []) and have() == {"u": "c", "v": "b", "w": "e"}
+    write(make(("w", "old", 1), ("v", "f", 9)), 7)
+    assert limits.versions(spark, path) == (3, [7]) and have() == {"u": "c", "v": "f", "w": "e"}
