@@ -83,7 +83,8 @@ def gapless(df: DataFrame, keys: list[str], sub: str, order: list, out: str) ->
     (``keys``, ``sub``), and the numbers are shifted by the sizes of the
     earlier ``sub`` groups.  ``sub`` must split a group finely enough; the sizes
     are one row for each (``keys``, ``sub``).  The join with them reuses the
-    partitioning of the window, so it adds no shuffle of the rows.
+    partitioning of the window, so it adds no shuffle of the rows; for that the
+    keys are compared plainly, and none of them may be null.
     """
     n, off = f"__n_{out}", f"__off_{out}"
     before = Window.partitionBy(*keys).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +94,7 @@ def gapless(df: DataFrame, keys: list[str], sub: str, order: list, out: str) ->
     numbered = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys, sub).orderBy(*order)))
     same = None
     for c in [*keys, sub]:
-        test = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        test = F.col(c) == F.col(f"__k_{c}")
         same = test if same is None else same & test
     joined = numbered.join(offsets, same, "left")
     return joined.select(*[F.col(c) for c in df.columns], (F.col(out) - 1 + F.col(off)).alias(out))
