@@ -40,7 +40,7 @@ from .common import forest, min_label_components, written
 U = np.uint64
 SIGMA, PI = U(0x2545F4914F6CDD1D), U(0x632BE59BD9B4E019)
 #: Sets that are multiplied with as many at once, and the bytes of sets in a block.
-PART, BLOCK_BYTES = 256, 16 << 20
+PART, BLOCK_BYTES = 256, 8 << 20
 
 
 def band_keys(x: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def signatures(df: DataFrame, shingle: int, bands: int, rows: int, id_col: str,
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], names=["id", "n", "f1", "f2", "bands"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text")).mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text")).mapInArrow(ta.tidy(run), "id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def full_sets(df: DataFrame, shingle: int) -> DataFrame:
@@ -104,7 +104,7 @@ def full_sets(df: DataFrame, shingle: int) -> DataFrame:
                     f1[full] = fingerprints(x, off[:-1][full])[0]
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(f1.view(np.int64)), ta.binary_array(x, off)], names=["id", "f1", "items"])
 
-    return df.mapInArrow(run, "id long, f1 long, items binary")
+    return df.mapInArrow(ta.tidy(run), "id long, f1 long, items binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -175,7 +175,7 @@ def verify(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(ta.tidy(run), "a long, b long")
 
 
 def residual_links(rows: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -202,6 +202,8 @@ def residual_links(rows: DataFrame, items: DataFrame, percent: int) -> DataFrame
             where = np.array([at[k] for k in zip(g["id"], g["f1"], strict=True)])
             out.append(compare(int(band), [have[i] for i in where], keys[where], g["id"].to_numpy(), g["comp"].to_numpy(), g["own"].to_numpy(), int(lo), int(hi)))
         found = np.concatenate(out)
+        del at, have, keys
+        ta.give_back()
         return pd.DataFrame(forest(found[:, 0], found[:, 1]), columns=["a", "b"], dtype="int64")
 
     def compare(band: int, sets: list[np.ndarray], keys: np.ndarray, ids: np.ndarray, comp: np.ndarray, side: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -230,7 +232,7 @@ def residual_links(rows: DataFrame, items: DataFrame, percent: int) -> DataFrame
     return tasks.groupBy("cell").cogroup(sets.groupBy("at")).applyInPandas(of_cell, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
 
     A bucket's blocks have ``block`` classes or ``BLOCK_BYTES`` of sets at most.

@@ -476,16 +476,19 @@ def find(df: DataFrame, plan: Plan, index: Index, finish: Callable, schema: obje
     d = d.withColumn("part", bucket_column(F.coalesce("id", F.xxhash64("text")), plan.doc_buckets))
     none = pa.table({"kind": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
 
+    def tidied(f: Callable, *args: object) -> object:
+        return ta.tidy(f)(*args)
+
     def table_of(rows: list) -> pa.Table:
         return pa.Table.from_batches([rows_batch(rows)]) if rows else none
 
-    sent = d.select("id", "text").mapInArrow(lambda batches: anchor_rows(plan, batches), ROWS)
-    told = written(sent.groupBy("kind", "part").applyInArrow(lambda key, g: repeated_anchors(plan, key, g), ROWS))
+    sent = d.select("id", "text").mapInArrow(ta.tidy(lambda batches: anchor_rows(plan, batches)), ROWS)
+    told = written(sent.groupBy("kind", "part").applyInArrow(lambda key, g: tidied(repeated_anchors, plan, key, g), ROWS))
     hot = hot_keys(told)
     blobs = told.where("kind = 1").select("part", "blob")
-    asked = d.groupBy("part").cogroup(blobs.groupBy("part")).applyInArrow(lambda key, a, b: table_of(request_rows(plan, hot, int(key[0].as_py()), a, b)), ROWS)
-    answers = asked.groupBy("part").applyInArrow(lambda key, g: table_of(answer_rows(plan, index, g)), ROWS).select("part", "blob")
-    return d.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda key, a, b: finish(a, covered(plan, hot, a, b)), schema)
+    asked = d.groupBy("part").cogroup(blobs.groupBy("part")).applyInArrow(lambda key, a, b: table_of(tidied(request_rows, plan, hot, int(key[0].as_py()), a, b)), ROWS)
+    answers = asked.groupBy("part").applyInArrow(lambda key, g: table_of(tidied(answer_rows, plan, index, g)), ROWS).select("part", "blob")
+    return d.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda key, a, b: tidied(lambda: finish(a, covered(plan, hot, a, b))), schema)
 
 
 def hot_keys(told: DataFrame) -> np.ndarray:
@@ -502,22 +505,30 @@ def digest(plan: Plan, id_name: str, counts: list[str]) -> Callable:
         for _, u, gone in marked:
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
-            for t in range(len(u.off) - 1):
+            for t, rest in enumerate(left(u, gone)):
                 a, b = u.off[t], u.off[t + 1]
                 mask = gone[a:b]
                 n_all.append(b - a)
                 n_gone.append(int(mask.sum()))
                 n_spans.append(int(edge[a:b].sum()) + int(a < b and mask[0] and not edge[a]))
-                sha.append(hashlib.sha256(left(u, a, b, mask)).hexdigest())
+                sha.append(hashlib.sha256(rest).hexdigest())
         cols = [docs.column("id"), pa.array(n_all, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())]
         return pa.table(dict(zip([id_name, *counts, "kept_sha256"], cols, strict=True)))
 
     return finish
 
 
-def left(u: Units, a: int, b: int, gone: np.ndarray) -> bytes:
-    """What is left of units a to b: bytes as they are, words joined by one space."""
+def left(u: Units, gone: np.ndarray) -> list[bytes]:
+    """What is left of each text: bytes as they are, words joined by one space."""
+    keep = np.flatnonzero(~gone)
+    ends = np.searchsorted(keep, u.off)
     if u.start is None:
-        v = u.values[a:b]
-        return (v[~gone] if gone.any() else v).tobytes()
-    return b" ".join(u.values[u.start[k] : u.end[k]].tobytes() for k in a + np.flatnonzero(~gone))
+        out = u.values[keep].tobytes() if gone.any() else u.values.tobytes()
+        return [out[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    size = u.end[keep] - u.start[keep] + 1  # a word and a space
+    stop = np.concatenate([[0], np.cumsum(size)])
+    padded = np.append(u.values, np.uint8(32))
+    data = padded[np.repeat(u.start[keep] - stop[:-1], size) + np.arange(stop[-1])]
+    data[stop[1:] - 1] = 32
+    out = data.tobytes()
+    return [out[a : max(a, b - 1)] for a, b in zip(stop[ends[:-1]].tolist(), stop[ends[1:]].tolist(), strict=True)]

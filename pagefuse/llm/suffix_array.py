@@ -211,9 +211,7 @@ def removed(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
                 whole = np.ones(int(char[-1]) + 1, dtype=bool)
                 np.logical_and.at(whole, char, gone)
                 gone = whole[char]
-            for t in range(len(u.off) - 1):
-                a, b = u.off[t], u.off[t + 1]
-                texts.append(repeats.left(u, a, b, gone[a:b]).decode("utf-8", "replace"))
+            texts += [x.decode("utf-8", "replace") for x in repeats.left(u, gone)]
         out = {}
         for k, name in enumerate(names):
             if name == text_col:
