@@ -211,8 +211,11 @@ def window_firsts(data: np.ndarray, off: np.ndarray, wins: np.ndarray, doc: np.n
     return d[best[group]], p[best[group]]
 
 
-def digests(df: DataFrame, length: int = 20, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: words, removed words, removed runs, SHA-256 of the rest."""
-    plan = repeats.plan_for(df, "word", length, min(anchor, length), True, text_col)
+def digests(df: DataFrame, length: int = 20, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
+    """One row for each document: words, removed words, removed runs, SHA-256 of the rest.
+
+    ``bucket_bytes`` is the text that one task holds.
+    """
+    plan = repeats.plan_for(df, "word", length, min(anchor, length), True, text_col, bucket_bytes)
     schema = f"`{id_col}` long, n_words long, n_removed long, n_spans long, kept_sha256 string"
     return repeats.find(df, plan, window_firsts, repeats.digest(plan, id_col, ["n_words", "n_removed", "n_spans"]), schema, id_col, text_col)

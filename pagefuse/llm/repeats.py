@@ -48,6 +48,8 @@ U = np.uint64
 POS = U((1 << 31) - 1)
 #: Bytes of text that are worked on at once, save for a longer single text; each takes about a hundred of memory.
 CHUNK = 1 << 20
+#: Anchors that a task gathers before it sends them.
+GATHERED = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -214,44 +216,47 @@ ROWS = "kind int, part int, blob binary"
 
 
 def anchor_rows(plan: Plan, batches: object) -> object:
-    """Step 1, for batches of (id, text)."""
+    """Step 1, for batches of (id, text); anchors are sent when many have gathered, so blobs have many each."""
+    cols: list[list[np.ndarray]] = [[], [], []]
     for b in batches:
         ids = b.column("id")
         known = np.asarray(ids.is_valid())
         ids = ids.fill_null(0).to_numpy()
         values, offsets = ta.string_parts(b.column("text"))
-        keys, docs, ords = [], [], []
         for i, j in ta.chunks(offsets, CHUNK):
             s = segments(Units(values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], plan.unit), plan)
             ok = known[s.text + i]
-            keys.append(s.key[ok])
-            docs.append(ids[s.text[ok] + i])
-            ords.append(s.ordinal[ok])
-        if not keys:
-            continue
-        key, doc, ordinal = np.concatenate(keys), np.concatenate(docs), np.concatenate(ords)
-        if not len(key):
-            continue
-        o = np.argsort(key, kind="stable")
-        ks = key[o]
-        new = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
-        size = np.diff(np.append(new, len(ks)))
-        single = o[new[size == 1]]
-        many = o[np.repeat(size > 1, size)]
-        rows = ordinals_rows(doc[many], ordinal[many], plan.doc_buckets) if len(many) else []
-        own = (key[single] % U(plan.key_buckets)).astype(np.int64)
-        q = np.lexsort((single, own))
-        single, own = single[q], own[q]
-        mk, mn = ks[new[size > 1]], size[size > 1]
-        mown = (mk % U(plan.key_buckets)).astype(np.int64)
-        q = np.argsort(mown, kind="stable")
-        mk, mn, mown = mk[q], mn[q], mown[q]
-        both = np.union1d(own, mown)
-        for k, a, z, c, e in zip(both.tolist(), *(np.searchsorted(x, both, side=side).tolist() for x in (own, mown) for side in ("left", "right")), strict=True):
-            one = single[a:z]
-            d, n = run_lengths(doc[one])
-            rows.append((0, k, pack((key[one] >> U(32)).astype(np.uint32), d, n.astype(np.uint32), ordinal[one].astype(np.uint32), (mk[c:e] >> U(32)).astype(np.uint32), mn[c:e].astype(np.uint32))))
-        yield rows_batch(rows)
+            for col, x in zip(cols, (s.key[ok], ids[s.text[ok] + i], s.ordinal[ok].astype(np.uint32)), strict=True):
+                col.append(x)
+            if sum(map(len, cols[0])) >= GATHERED:
+                yield from key_blobs(plan, *(np.concatenate(c) for c in cols))
+                cols = [[], [], []]
+    if sum(map(len, cols[0])):
+        yield from key_blobs(plan, *(np.concatenate(c) for c in cols))
+
+
+def key_blobs(plan: Plan, key: np.ndarray, doc: np.ndarray, ordinal: np.ndarray) -> object:
+    """Rows of anchors: to the bucket of their key, and those whose key is here twice to their documents at once."""
+    o = np.argsort(key, kind="stable")
+    ks = key[o]
+    new = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
+    size = np.diff(np.append(new, len(ks)))
+    single = o[new[size == 1]]
+    many = o[np.repeat(size > 1, size)]
+    rows = ordinals_rows(doc[many], ordinal[many], plan.doc_buckets) if len(many) else []
+    own = (key[single] % U(plan.key_buckets)).astype(np.int64)
+    q = np.lexsort((single, own))
+    single, own = single[q], own[q]
+    mk, mn = ks[new[size > 1]], size[size > 1]
+    mown = (mk % U(plan.key_buckets)).astype(np.int64)
+    q = np.argsort(mown, kind="stable")
+    mk, mn, mown = mk[q], mn[q], mown[q]
+    both = np.union1d(own, mown)
+    for k, a, z, c, e in zip(both.tolist(), *(np.searchsorted(x, both, side=side).tolist() for x in (own, mown) for side in ("left", "right")), strict=True):
+        one = single[a:z]
+        d, n = run_lengths(doc[one])
+        rows.append((0, k, pack((key[one] >> U(32)).astype(np.uint32), d, n.astype(np.uint32), ordinal[one], (mk[c:e] >> U(32)).astype(np.uint32), mn[c:e].astype(np.uint32))))
+    yield rows_batch(rows)
 
 
 def run_lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
