@@ -356,9 +356,10 @@ SELECT vec_id::VARCHAR AS title, floor(total * 100 + 0.5) / 100 AS score, row_nu
 def rrf_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closeness to one vector fused with the order of labels."""
     v = table(spark, sf_dir, "embeddings")
-    one = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    near = v.crossJoin(F.broadcast(one)).select("vec_id", (-dot).alias("s"))
+    q = v.where("vec_id = 0").agg(F.max("embedding")).first()[0] or []  # the query vector, one row by definition
+    q = F.array(*map(F.lit, q)).cast("array<float>")
+    dot = F.aggregate(F.zip_with("embedding", q, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    near = v.select("vec_id", (-dot).alias("s"))
     every = []
     for k, d in enumerate((near, v.select("vec_id", F.col("label").cast("double").alias("s")))):
         best = d.orderBy("s", "vec_id").limit(TOP).withColumn("rank", F.row_number().over(Window.orderBy("s", "vec_id")))
@@ -643,9 +644,9 @@ def cache_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each request does with the cache, at a TTL of a day."""
     log = fetch_log(spark, sf_dir)
     c = cache.latest(log, ties=["event_id"])
-    now = c.agg(F.max("fetched_at").alias("now"))
-    r = log.select("canonical_url", (F.col("event_id") % 3 == 0).alias("failed"), "event_id").crossJoin(F.broadcast(now))
-    out = cache.looked_up(r, c.drop("event_id"), F.col("now"), ttl=86400, failed="failed")
+    now = c.agg(F.max("fetched_at")).first()[0]
+    r = log.select("canonical_url", (F.col("event_id") % 3 == 0).alias("failed"), "event_id")
+    out = cache.looked_up(r, c.drop("event_id"), F.lit(now), ttl=86400, failed="failed")
     return out.select("event_id", "cache_state", "action")
 
 
