@@ -30,6 +30,32 @@ def load_toml(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([tuple(float(v) if k == "weight" else v for k, v in ((n, (base | r).get(n)) for n in names)) for r in rows], SCHEMA)
 
 
+def from_tables(texts: DataFrame) -> DataFrame:
+    """Registry rows from Markdown documents (doc, text) with a table of engines below the heading of each category.
+
+    A heading names its category in backticks with an exclamation mark.  An
+    engine that several tables list has the fields of the first and all their
+    categories.  Names are the shown ones in lower case with underscores, without
+    a language in brackets.
+    """
+    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    tab = F.regexp_extract("x", r"^#+ .*`!([a-z_]+)`", 1)
+    own = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("x"), r"^\||\|$", ""), r"\|"), lambda c: F.regexp_replace(F.trim(c), "^`!?|`$", ""))
+    rows = lines.withColumn("category", F.last(F.nullif(tab, F.lit("")), ignorenulls=True).over(own)).where(F.trim("x").startswith("|")).withColumn("c", cells)
+    at = lambda k: F.get("c", F.lit(k))
+    rows = rows.where((F.size("c") >= 11) & at(3).isin("on", "off") & F.col("category").isNotNull())
+    yes = lambda k: at(k) == "✓"
+    name = F.regexp_replace(F.trim(F.regexp_replace(F.lower(at(0)), r"\s*\([a-z]{2}\)\s*$", "")), r"\s+", "_")
+    fields = F.struct(
+        at(0).alias("display"), at(1).alias("bang"), at(2).alias("family"), (at(3) == "on").alias("enabled"), F.round(at(4).cast("double") * 1000).cast("long").alias("timeout_ms"), at(5).cast("double").alias("weight"),
+        yes(6).alias("paging"), yes(7).alias("locale"), yes(8).alias("safe_search"), yes(9).alias("time_range"), at(10).cast("int").alias("wave"),
+    )
+    order = F.struct("doc", "line")
+    merged = rows.groupBy(name.alias("name")).agg(F.min_by(fields, order).alias("f"), F.array_sort(F.collect_list(F.struct("doc", "line", "category"))).alias("tabs"))
+    return merged.select("name", "f.*", F.array_distinct(F.transform("tabs", lambda t: t["category"])).alias("categories"))
+
+
 def overlaid(engines: DataFrame, fragments: DataFrame) -> DataFrame:
     """Registry rows with the fields that a fragment of the same name sets."""
     own = [c for c in engines.columns if c != "name"]

@@ -268,6 +268,22 @@ def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.category_counts(engine_table(spark))
 
 
+def _engine_tables() -> str:
+    """The small registry as Markdown tables, one for each category."""
+    out = ["# Engines", "| not | a | table |"]
+    for cat in dict.fromkeys(c for e in ENGINES for c in e[3]):
+        out += [f"### Tab `!{cat}`", "| Engine | !bang | Module family | Default | Timeout | Weight | Paging | Locale | Safe | Range | Wave |", "|---|---|---|---|---|---|---|---|---|---|---|"]
+        out += [f"| {name.upper()} (DE) | `!{bang}` | `{family}` | {'on' if on else 'off'} | 2.5 | {weight} | {'✓' if weight > 1 else '—'} | n/a | — | ✓ | 2 |" for name, bang, family, cats, on, weight, _ in ENGINES if cat in cats]
+    return "\n".join(out)
+
+
+@query(f"SELECT name, upper(name) || ' (DE)' AS display, bang, family, enabled, 2500::BIGINT AS timeout_ms, weight, weight > 1 AS paging, false AS locale, true AS time_range, 2 AS wave, array_to_string(list_sort(categories), ',') AS categories FROM {_ENGINES_SQL}")
+def registry_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows read back from Markdown tables, engines of several tables merged."""
+    d = registry.from_tables(literals(spark, [(1, _engine_tables())], "doc long, text string"))
+    return d.select("name", "display", "bang", "family", "enabled", "timeout_ms", "weight", "paging", "locale", "time_range", "wave", F.array_join(F.array_sort("categories"), ",").alias("categories"))
+
+
 @query(f"""SELECT * FROM (SELECT (i - 1)::INT AS ord, cats[i] AS bang, cats[i] AS target, 'category' AS kind FROM (SELECT [{_CATS}] AS cats), range(1, {len(bangs.CATEGORIES) + 1}) AS r(i)
  UNION ALL SELECT {len(bangs.CATEGORIES)}, bang, name, 'engine' FROM {_ENGINES_SQL}) WHERE contains(bang, 'e') OR contains(lower(target), 'e')""")
 def bang_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
