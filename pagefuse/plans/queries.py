@@ -583,11 +583,23 @@ def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.repartition(cores) if p.rdd.getNumPartitions() < cores else p
 
 
-@query()
+_PLAIN = "replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_BLOCK = r"trim(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
+#: The article of a page where its prose stands out, else all that is left of the page, as blocks; both in plain SQL for the pages at hand.
+_ARTICLES = rf"""
+a AS (SELECT page_id, url, html, {_PLAIN.format(x=_TITLE)} AS title, trim(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '\s+', ' ', 'g')) AS ad,
+  string_split(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</h1>', '<p>'), '<p>') AS bs FROM pages),
+t AS (SELECT page_id, url, html, title, ad, list_filter(list_transform(bs, lambda b: {_BLOCK}), lambda b: b <> '') AS ts FROM a),
+k AS (SELECT *, list_sum(list_transform(ts[2:], lambda x: CASE WHEN length(x) < 25 THEN 0 ELSE 1 + length(x) - length(replace(x, ',', '')) + least(length(x) // 100, 3) END)) AS points,
+  length(array_to_string(ts, '')) AS own FROM t),
+m AS (SELECT page_id, url, html, title, {_PLAIN.format(x="CASE WHEN coalesce(points, 0) >= 3 AND own >= 0.5 * (own + length(ad)) THEN '' ELSE ad || chr(10) || chr(10) END || '# ' || array_to_string(ts, chr(10) || chr(10))")} AS markdown FROM k)"""
+
+
+@query(f"WITH {_ARTICLES} SELECT page_id, url, title, NULL::VARCHAR AS byline, NULL::VARCHAR AS published_time, NULL::VARCHAR AS site_name, markdown, NULL::VARCHAR AS error_kind FROM m")
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown, with their metadata."""
     p = _dealt(spark, sf_dir)
-    return htmlclean.cleaned(p, ["page_id", "url"])
+    return htmlclean.cleaned(p, ["page_id", "url"]).drop("n_nodes")
 
 
 @query(f"""
@@ -600,7 +612,16 @@ def page_clean_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", "title", F.col("markdown").rlike("(?m)^# ").alias("has_heading"), F.col("markdown").contains("track(").alias("leaks_script"), ((nav != "") & F.col("markdown").contains(F.concat(F.lit("]("), nav))).alias("has_nav"))
 
 
-@query()
+_SPA = f"""contains(low, 'xyz') OR strlen(html) > 20480 AND length(markdown) < 250 OR {_root_sql()} IS NOT NULL OR {' OR '.join(f"contains(low, '{x}')" for x in spa.NOSCRIPT)}
+ OR len(regexp_extract_all(low, '<script')) > 5 AND len(regexp_extract_all(low, '<p|<article|<h1|<h2|<h3')) = 0""".replace("contains(low, 'xyz') OR ", "")
+
+
+@query(f"""
+WITH {_ARTICLES},
+h AS (SELECT page_id, url, title, html, lower(html) AS low, '<!-- BEGIN_UNTRUSTED_CONTENT -->' || chr(10) || markdown || chr(10) || '<!-- END_UNTRUSTED_CONTENT -->' AS markdown FROM m),
+s AS (SELECT *, {_SPA} AS is_spa FROM h)
+SELECT page_id, {canon_sql('url')} AS canonical_url, title, markdown, CASE WHEN is_spa THEN 'DegradedStatic' ELSE 'StaticDirect' END AS render_method, CASE WHEN is_spa THEN '{ladder.WARNING.replace("'", "''")}' END AS warning, is_spa,
+ length(regexp_replace(markdown, '\\s', '', 'g'))::INT AS text_length, {_EST.format(x='markdown')} AS estimated_tokens FROM s""")
 def page_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through every layer: checks, Markdown, hardening, detection, ladder, assembly."""
     p = _dealt(spark, sf_dir)
