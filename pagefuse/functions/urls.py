@@ -258,7 +258,8 @@ def guard_error(url: Column) -> Column:
     host = host_of(url)
     literal = part(url, 2).rlike(r"\[")
     return (
-        F.when(part(url, 1) == "", F.lit("invalid_url"))
+        F.when((part(url, 1) == "") & url.rlike(r"^\s*(?i)(?!https?:)[a-z][a-z0-9+.-]*:"), F.lit("bad_scheme"))
+        .when(F.coalesce(part(url, 1), F.lit("")) == "", F.lit("invalid_url"))
         .when(F.coalesce(port_of(url).isin(BAD_PORTS), F.lit(False)), F.lit("blocked_port"))
         .when((host == "localhost") | host.endswith(".localhost"), F.lit("blocked_host"))
         .when(F.coalesce(ip_blocked(host), literal), F.lit("blocked_address"))

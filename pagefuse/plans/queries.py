@@ -97,7 +97,7 @@ def url_parts_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 GUARDED = [
     (1, "http://169.254.169.254/latest/meta-data"), (2, "http://127.0.0.1:8080/x"), (3, "http://localhost/admin"), (4, "file:///etc/passwd"), (5, "http://example.org:22/"), (6, "https://example.org/page"),
     (7, "http://[::1]/"), (8, "http://api.localhost/"), (9, "http://10.1.2.3/"), (10, "http://172.32.0.1/"), (11, "http://172.31.255.255/"), (12, "https://user@192.168.0.9/"), (13, "http://8.8.8.8/"), (14, "http://example.org:6667/"), (15, "ftp://example.org/"), (16, "https://100.64.0.1/"),
-    (17, "http://[2606:4700::1111]/"), (18, "https://[::ffff:8.8.8.8]/x"), (19, "http://[fe80::1]:8080/"), (20, "http://[64:ff9b::808:808]/"), (21, "http://[1::2::3]/"), (22, "http://[fd00:1:2:3:4:5:6:7]/"),
+    (17, "http://[2606:4700::1111]/"), (18, "https://[::ffff:8.8.8.8]/x"), (19, "http://[fe80::1]:8080/"), (20, "http://[64:ff9b::808:808]/"), (21, "http://[1::2::3]/"), (22, "http://[fd00:1:2:3:4:5:6:7]/"), (23, "https:///x"), (24, "no url at all"), (25, "JavaScript:void(0)"),
 ]
 _V4 = r"'^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$'"
 
@@ -134,7 +134,7 @@ _GUARD = f"""
 WITH all_urls AS (SELECT id, url FROM {values_sql(GUARDED, 'id, url')} UNION ALL SELECT 1000 + page_id, url FROM pages),
 p AS (SELECT id, url, regexp_extract(trim(url), {_URL}, 1) AS scheme, regexp_extract(trim(url), {_URL}, 2) AS auth FROM all_urls),
 h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(auth), '^[^@]*@', ''), ':\\d*$', ''), '^\\[(.*)\\]$', '\\1') AS host, TRY_CAST(regexp_extract(auth, ':(\\d+)$', 1) AS INT) AS port FROM p)
-SELECT id::BIGINT AS id, CASE WHEN scheme = '' THEN 'invalid_url' WHEN port IN ({', '.join(map(str, urls.BAD_PORTS))}) THEN 'blocked_port' WHEN host = 'localhost' OR host LIKE '%.localhost' THEN 'blocked_host'
+SELECT id::BIGINT AS id, CASE WHEN scheme = '' AND regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(lower(trim(url)), '^https?:') THEN 'bad_scheme' WHEN scheme = '' THEN 'invalid_url' WHEN port IN ({', '.join(map(str, urls.BAD_PORTS))}) THEN 'blocked_port' WHEN host = 'localhost' OR host LIKE '%.localhost' THEN 'blocked_host'
  WHEN coalesce({blocked_sql('host')}, CASE WHEN contains(auth, '[') THEN coalesce({blocked_v6_sql('host')}, true) ELSE false END) THEN 'blocked_address' END AS error FROM h"""
 
 

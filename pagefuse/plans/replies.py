@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kinds, sql
+from ..functions import errors, kinds, sql, urls
 from ..operators import route
 from ..sources import factory, families, html_replies, json_replies, reader
 from .queries import query, table
@@ -376,3 +376,15 @@ def release_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, name = c("n_nationkey"), c("n_name")
     version = text_of("v", F.floor(k / 10), ".", k % 10, ".0")
     return table(spark, sf_dir, "nation").select(k.alias("id"), sql.newer(version, "1.2.0").alias("newer"), sql.intact(name, F.upper(F.sha2(F.when(k % 2 == 0, name).otherwise("x"), 256))).alias("intact"))
+
+
+@query("""
+WITH u AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'http://10.0.0.' || event_id % 200 || '/' WHEN 1 THEN 'https://e.test:6667/' WHEN 2 THEN 'ftp://e.test/' WHEN 3 THEN 'nothing' WHEN 4 THEN 'http://localhost/' WHEN 5 THEN 'http://[::1]/' ELSE 'https://e.test/' || event_id END AS url FROM events)
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'ssrf_blocked' WHEN 1 THEN 'bad_port' WHEN 2 THEN 'bad_scheme' WHEN 3 THEN 'invalid_url' WHEN 4 THEN 'ssrf_blocked' WHEN 5 THEN 'ssrf_blocked' END AS tag FROM u""")
+def error_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of what keeps addresses from being read."""
+    k = c("event_id")
+    url = F.when(k % 7 == 0, text_of("http://10.0.0.", k % 200, "/"))
+    for i, x in enumerate(("https://e.test:6667/", "ftp://e.test/", "nothing", "http://localhost/", "http://[::1]/"), 1):
+        url = url.when(k % 7 == i, F.lit(x))
+    return table(spark, sf_dir, "events").select("event_id", errors.tag(urls.guard_error(url.otherwise(text_of("https://e.test/", k)))).alias("tag"))

@@ -68,7 +68,9 @@ def get(url: str | None, limits: Limits) -> tuple:
     try:
         for _ in range(limits.redirects + 1):
             p = urllib.parse.urlsplit(at)
-            if p.scheme not in ("http", "https") or not p.hostname:
+            if p.scheme and p.scheme not in ("http", "https"):
+                return None, None, None, at, "bad_scheme"
+            if not p.scheme or not p.hostname:
                 return None, None, None, at, "invalid_url"
             port = p.port or (443 if p.scheme == "https" else 80)
             if port in BAD_PORTS:
