@@ -61,6 +61,26 @@ def test_minhash(spark, shingle, percent, block):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_one_large_open_bucket(spark, blocks):
+    """A bucket of many components, compared in blocks over cells: the links join what brute force joins."""
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2**40, 30).astype(np.uint64) for _ in range(300)]
+    sets = [np.unique(np.concatenate([base[i % 300][: int(rng.integers(26, 31))], rng.integers(0, 2**40, int(rng.integers(0, 4))).astype(np.uint64)])) for i in range(1500)]
+    ids = (rng.permutation(1500) + 5).tolist()
+    bands = [[7, int(rng.integers(0, 50))] for _ in ids]
+    rows = spark.createDataFrame([(b, k, 5, blocks, i, i * 3, i) for i, keys in zip(ids, bands, strict=True) for b, k in enumerate(keys)], "band int, key long, hub long, blocks int, id long, f1 long, comp long")
+    items = spark.createDataFrame([(i, i * 3, k, bytearray(s.tobytes())) for i, k, s in zip(ids, bands, sets, strict=True)], "id long, f1 long, bands array<long>, items binary")
+    got = [(r.a, r.b) for r in minhash.residual_links(rows, items, 80).collect()]
+    want = []
+    for i in range(1500):
+        for j in range(i % 300, i, 300):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                want.append((ids[i], ids[j]))
+    assert closure(ids, got) == closure(ids, want) and len(got) <= len(want)
+
+
 def test_minhash_edges(spark):
     t = "a b c d e f g h i j k l m n o p"
     d = spark.createDataFrame([(None, t), (5, t), (5, t), (4, t + " q"), (9, None), (None, None)], "doc_id long, text string")
@@ -134,15 +154,26 @@ def test_embeddings(spark, block):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("pivots, least_recall", [(128, 0.997), (500, 0.99), (2000, 0.985)])
+def test_recall_at_the_threshold(pivots, least_recall):
+    """Pairs with a cosine of exactly 0.95 in open space, by the query's own rule, as many pivots as up to 16 million vectors have."""
     rng = np.random.default_rng(2)
-    a = embeddings.unit(rng.normal(size=(2000, 64)))
+    n = 1500
+    a = embeddings.unit(rng.normal(size=(n, 64)))
     z = rng.normal(size=a.shape)
     z = embeddings.unit(z - (z * a).sum(1, keepdims=True) * a)
-    b = 0.95 * a + np.sqrt(1 - 0.95**2) * z
-    p = embeddings.unit(rng.normal(size=(450, 64)))
-    near = [embeddings.permutations(v, p, 12).tolist() for v in (a, b)]
-    assert np.mean([len(set(u) & set(v)) >= 3 for u, v in zip(*near, strict=True)]) >= 0.99
+    p = embeddings.unit(rng.normal(size=(pivots, 64)))
+    perm = embeddings.permutations(np.concatenate([a, 0.95 * a + np.sqrt(1 - 0.95**2) * z]), p, 8)
+    found = [embeddings.scores(perm, np.arange(k, k + 100), np.arange(n + k, n + k + 100), 0, 8)[0].diagonal() >= 12 for k in range(0, n, 100)]
+    assert np.mean(found) >= least_recall
+
+
+def test_scores_of_shared_pivots():
+    perm = np.array([[3, 1, 7, 9], [1, 3, 7, 2], [9, 8, 6, 5], [3, 1, 7, 9]], dtype=np.int32)
+    score, early = embeddings.scores(perm, np.arange(4), np.arange(4), 3, 4)
+    assert score[0].tolist() == [3 * 4, 3 + 4, 1, 3 * 4] and early[0].tolist() == [True, True, False, True]
+    full, none = embeddings.scores(perm, np.arange(4), np.arange(4), 0, 4)
+    assert full[0].tolist() == [16, 3 + 3 + 4, 1, 16] and not none.any()
 
 
 def cluster(rng, n, size=64, spread=0.0275):
