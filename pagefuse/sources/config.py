@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import copy
+import json
 import os
+import re
 import tomllib
 from typing import Any
 
@@ -52,3 +54,26 @@ def get(config: dict, dotted: str) -> Any:
             return None
         at = at[k]
     return at
+
+
+def as_toml(table: dict, path: tuple[str, ...] = ()) -> str:
+    """TOML text of nested tables of texts, numbers, booleans and lists of them."""
+    name = lambda k: k if re.fullmatch(r"[A-Za-z0-9_-]+", k) else json.dumps(k, ensure_ascii=False)
+    plain = [f"{name(k)} = {json.dumps(v, ensure_ascii=False)}" for k, v in table.items() if not isinstance(v, dict)]
+    out = (["[" + ".".join(map(name, path)) + "]"] if path and (plain or not table) else []) + plain
+    text = "\n".join(out) + "\n" if out else ""
+    for k, v in table.items():
+        if isinstance(v, dict):
+            text += as_toml(v, (*path, k))
+    return text
+
+
+def with_engine(text: str, engine: str, enabled: bool) -> str:
+    """A configuration text after an engine was switched on or off in it; all else that it sets stays."""
+    return as_toml(overlay(tomllib.loads(text), {"engines": {"overrides": {engine: {"enabled": enabled}}}}))
+
+
+def switches(config: dict) -> dict[str, bool]:
+    """Engines that a configuration switches, for ``registry.switched``."""
+    found = (get(config, "engines.overrides") or {}).items()
+    return {name: bool(o["enabled"]) for name, o in found if isinstance(o, dict) and "enabled" in o}

@@ -123,3 +123,15 @@ def test_sql_twins_of_expressions(spark):
     assert [(r.x, r.c, r.e) for r in got if r.x is not None and r.c != r.e] == []
     assert spark.sql("SELECT parse_bangs('!Gh  a !!b_1 !x-y ') AS p").first().p.asDict() == {"clean_query": "a !x-y", "bangs": ["gh", "b_1"]}
     assert spark.sql("SELECT clean_html('<h1>T</h1><p>x <b>y</b></p>', 'https://e.test') AS m").first().m == "# T\n\nx y"
+
+
+def test_switches_in_a_configuration():
+    import tomllib
+
+    from pagefuse.sources import config
+
+    text = '[cache]\nttl_s = 5\n[engines.weights]\n"a b" = 2.5\n[engines.overrides.one]\nenabled = true\ntimeout_ms = 7\n'
+    new = config.with_engine(config.with_engine(text, "one", False), "tw.o", True)
+    assert tomllib.loads(new) == {"cache": {"ttl_s": 5}, "engines": {"weights": {"a b": 2.5}, "overrides": {"one": {"enabled": False, "timeout_ms": 7}, "tw.o": {"enabled": True}}}}
+    assert config.switches(config.load(new, env={})) == {"one": False, "tw.o": True}
+    assert config.with_engine("", "x", True) == "[engines.overrides.x]\nenabled = true\n"
