@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .hardening import BEGIN, END, Hardening, harden
+from .hardening import BEGIN, END, Hardening, delimited, harden
 from .text import decode_entities, normalize_ws, trim_end
+from .urls import once
 
 #: Media types of source code that are read as text.
 CODE_TYPES = ["text/javascript", "application/javascript", "application/x-javascript", "application/ecmascript", "application/typescript", "text/typescript", "text/css", "application/x-sh", "application/x-shellscript", "text/x-shellscript", "text/x-python", "application/x-python", "text/x-diff", "text/x-patch"]
@@ -53,10 +54,14 @@ def fence_language(kind: Column, ct: Column) -> Column:
 def payload(content: Column, language: Column, options: Hardening = Hardening(), normal: bool = True) -> Column:
     """A hardened payload: in a fence with its language, or as prose where that is null; blank stays empty."""
     bare = harden(content, Hardening(options.escape_fences, False, options.budget), normal)
-    fenced = F.concat(F.lit("```"), language, F.lit("\n"), trim_end(bare), F.lit("\n```"))
-    if options.delimit:
-        fenced = F.concat(F.lit(BEGIN + "\n"), F.regexp_replace(fenced, r"(BEGIN|END)_UNTRUSTED_CONTENT", "$1-UNTRUSTED-CONTENT"), F.lit("\n" + END))
-    return F.when(language.isNull(), harden(content, options, normal)).when(bare.rlike(r"(?U)^\s*$"), F.lit("")).otherwise(fenced)
+
+    def wrapped(b: Column) -> Column:
+        fenced = F.concat(F.lit("```"), language, F.lit("\n"), trim_end(b), F.lit("\n```"))
+        if options.delimit:
+            fenced = F.concat(F.lit(BEGIN + "\n"), F.regexp_replace(fenced, r"(BEGIN|END)_UNTRUSTED_CONTENT", "$1-UNTRUSTED-CONTENT"), F.lit("\n" + END))
+        return F.when(language.isNull(), delimited(b) if options.delimit else b).when(b.rlike(r"(?U)^\s*$"), F.lit("")).otherwise(fenced)
+
+    return once(bare, wrapped)
 
 
 def xml_title(text: Column) -> Column:

@@ -194,17 +194,26 @@ def ipv4_blocked(ip: Column) -> Column:
 
 def v6_groups(ip: Column) -> Column:
     """The eight numbers of an IPv6 address, null where it is none; brackets and a zone are taken off."""
-    x = F.regexp_replace(F.regexp_replace(F.lower(ip), r"^\[(.*)\]$", "$1"), "%.*$", "")
-    tail = F.regexp_extract(x, r":(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
-    n = v4_number(tail)
-    x = F.when(tail == "", x).when(n.isNotNull(), F.concat(F.substr(x, F.lit(1), F.char_length(x) - F.char_length(tail)), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF)))))
-    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
-    halves = F.split(x, "::", -1)
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    missing = 8 - F.size(left) - F.size(right)
-    every = F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (missing >= 1), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right))
-    good = F.when((F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$")), every)
-    return F.transform(good, lambda g: F.conv(g, 16, 10).cast("int"))
+    plain = F.regexp_replace(F.lower(ip), r"^\[|%.*$|\]$", "")
+
+    def spelled(x: Column) -> Column:
+        """An address whose IPv4 end is written as two groups."""
+        tail = F.regexp_extract(x, r":(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
+        groups = lambda n: F.concat(F.regexp_replace(x, r"[\d.]+$", ""), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF))))
+        return F.when(tail == "", x).otherwise(once(v4_number(tail), groups))
+
+    def filled(halves: Column) -> Column:
+        """The groups, zeros in the place of the double colon."""
+        groups = lambda k: F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":", -1), lambda g: (g != "") | (F.get(halves, F.lit(k)) != ""))
+        left, right = groups(0), groups(1)
+        missing = 8 - F.size(left) - F.size(right)
+        return F.when(F.size(halves) == 1, left).when((F.size(halves) == 2) & (missing >= 1), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right))
+
+    def numbers(every: Column) -> Column:
+        good = (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.transform(every, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return once(once(F.split(once(plain, spelled), "::", -1), filled), numbers)
 
 
 def ipv6_blocked(ip: Column) -> Column:
@@ -228,7 +237,7 @@ def ipv6_blocked(ip: Column) -> Column:
 
 def ip_blocked(ip: Column) -> Column:
     """Whether an IPv4 or IPv6 address is not public; null where it is no address."""
-    return F.coalesce(ipv4_blocked(ip), ipv6_blocked(ip))
+    return F.coalesce(F.when(ip.rlike(_V4), ipv4_blocked(ip)), F.when(ip.contains(":"), ipv6_blocked(ip)))
 
 
 _NETS = [ipaddress.ip_network(n) for n in (*BLOCKED_V4, *BLOCKED_V6)]
@@ -255,14 +264,13 @@ def ip_blocked_arrow(ips: pd.Series) -> pd.Series:
 
 def guard_error(url: Column) -> Column:
     """Why a URL must not be fetched (scheme, port, host, address), or null."""
-    host = host_of(url)
     literal = part(url, 2).rlike(r"\[")
+    bad_host = once(host_of(url), lambda h: F.when((h == "localhost") | h.endswith(".localhost"), F.lit("blocked_host")).when(F.coalesce(ip_blocked(h), literal), F.lit("blocked_address")))
     return (
         F.when((part(url, 1) == "") & url.rlike(r"^\s*(?i)(?!https?:)[a-z][a-z0-9+.-]*:"), F.lit("bad_scheme"))
         .when(F.coalesce(part(url, 1), F.lit("")) == "", F.lit("invalid_url"))
         .when(F.coalesce(port_of(url).isin(BAD_PORTS), F.lit(False)), F.lit("blocked_port"))
-        .when((host == "localhost") | host.endswith(".localhost"), F.lit("blocked_host"))
-        .when(F.coalesce(ip_blocked(host), literal), F.lit("blocked_address"))
+        .otherwise(bad_host)
     )
 
 

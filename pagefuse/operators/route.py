@@ -20,8 +20,7 @@ def sanitized(bodies: DataFrame, keep: list[str], kind: str = "kind", url: str =
     src = bodies.select(*keep, F.col(kind).alias("__kind"), F.col(url).alias("__at"), ct.alias("__type"), F.when(is_html, F.col(body)).alias("__page"), F.when(~is_html, F.col(body).cast("string")).alias("__plain"))
     d = htmlclean.cleaned(src, [*keep, "__kind", "__at", "__type", "__plain"], url_col="__at", body_col="__page", options=clean)
     k, plain = F.col("__kind"), F.col("__plain")
-    light = kinds.payload(plain, kinds.fence_language(k, F.col("__type")), options)
-    made = F.when(k == "Html", hardening.harden(F.col("markdown"), options)).otherwise(light)
+    made = kinds.payload(F.when(k == "Html", F.col("markdown")).otherwise(plain), F.when(k != "Html", kinds.fence_language(k, F.col("__type"))), options)
     own = F.when(k == "Html", F.coalesce(F.nullif("title", F.lit("")), text.first_heading(F.col("markdown"), urls.fallback_title(F.col("__at"))))).otherwise(F.coalesce(F.nullif(kinds.payload_title(k, plain), F.lit("")), urls.fallback_title(F.col("__at"))))
     return d.select(*keep, own.alias("__title"), made.alias("__markdown")).withColumnsRenamed({"__title": "title", "__markdown": "markdown"})
 

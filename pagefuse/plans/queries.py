@@ -626,8 +626,11 @@ def page_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through every layer: checks, Markdown, hardening, detection, ladder, assembly."""
     p = _dealt(spark, sf_dir)
     ok = page_source.replay(p).where("error_kind IS NULL")
-    d = route.sanitized(ok, ["page_id", "canonical_url", "html"], content_type=None)
-    d = d.withColumn("is_spa", F.size(spa.reasons(F.col("html"), F.char_length("markdown"))) > 0)
+    # what the raw page says is worked out before it is cleaned, so it need not go along
+    html = F.col("html")
+    ok = ok.withColumns({"shell": F.size(spa.reasons(html, F.lit(spa.LITTLE_TEXT))) > 0, "large": F.octet_length(html) > spa.LARGE_BYTES})
+    d = route.sanitized(ok, ["page_id", "canonical_url", "shell", "large"], content_type=None)
+    d = d.withColumn("is_spa", F.col("shell") | (F.col("large") & (F.char_length("markdown") < spa.LITTLE_TEXT)))
     none = F.lit(None)
     d = d.withColumn("l", ladder.ladder(F.col("is_spa"), none.cast("int"), none.cast("int"), none.cast("boolean"), none.cast("boolean")))
     return d.select("page_id", "canonical_url", "title", "markdown", F.col("l.method").alias("render_method"), F.col("l.warning").alias("warning"), "is_spa", text.visible_chars(F.col("markdown")).alias("text_length"), text.estimate_tokens(F.col("markdown")).alias("estimated_tokens"))
