@@ -74,4 +74,4 @@ def xml_title(text: Column) -> Column:
 
 def payload_title(kind: Column, text: Column) -> Column:
     """Title of a structured document."""
-    return F.when(kind == "Json", F.lit("JSON response")).when(kind == "Xml", F.coalesce(xml_title(text), F.lit("XML document"))).otherwise(F.lit(""))
+    return F.when(kind == "Json", F.lit("JSON response")).when(kind == "Xml", F.coalesce(xml_title(F.when(kind == "Xml", text)), F.lit("XML document"))).otherwise(F.lit(""))
