@@ -185,12 +185,17 @@ def window_firsts(data: np.ndarray, off: np.ndarray, wins: np.ndarray, doc: np.n
     return out, np.zeros(len(starts), dtype=np.int64)
 
 
+def anchor_bytes(length: int) -> int:
+    """Bytes of an anchor: long enough to recur rarely by chance, however large the corpus, and short enough for few anchors."""
+    return min(length, max(20, length // 6))
+
+
 def digests(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
     """One row for each document: bytes, removed bytes, removed runs, SHA-256 of the rest.
 
     ``bucket_bytes`` is the text that one task holds.
     """
-    plan = repeats.plan_for(df, "byte", length, min(16, length), False, text_col, bucket_bytes)
+    plan = repeats.plan_for(df, "byte", length, anchor_bytes(length), False, text_col, bucket_bytes)
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return repeats.find(df, plan, window_firsts, repeats.digest(plan, id_col, ["n_bytes", "n_removed", "n_spans"]), schema, id_col, text_col)
 
@@ -200,7 +205,7 @@ def removed(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
 
     A cut is drawn in to whole characters.  ``chars_col``, if there, is counted anew.
     """
-    plan = repeats.plan_for(df, "byte", length, min(16, length), False, text_col, bucket_bytes)
+    plan = repeats.plan_for(df, "byte", length, anchor_bytes(length), False, text_col, bucket_bytes)
     names = df.columns
 
     def finish(docs: pa.Table, marked: object) -> pa.Table:
