@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fm_index, minhash, mixing, packing, quality, sharding, suffix_array, token_counts, toxicity
-from .common import table
+from . import embeddings, fm_index, minhash, mixing, packing, quality, sharding, suffix_array, token_counts, token_files, toxicity
+from .common import new_path, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,14 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from the files of token ids, end id 2 after each text."""
+    path = new_path(spark)
+    token_files.write_ids(table(spark, sf_dir, "documents"), path, end_id=2)
+    return token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_toxicity, op3_packing, op4_substring_dedup, op5_quality_rules, op6_minhash, op7_mixing, op8_sharding, op9_suffix_array, op10_embeddings)
+    for f in (op1_token_counts, op2_toxicity, op3_packing, op4_substring_dedup, op5_quality_rules, op6_minhash, op7_mixing, op8_sharding, op9_suffix_array, op10_embeddings, op11_token_output)
 }
