@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fm_index, minhash, mixing, packing, quality, sharding, suffix_array, token_counts, token_files, toxicity
-from .common import new_path, table
+from . import embeddings, fm_index, minhash, mixing, packing, quality, runs, sharding, suffix_array, token_counts, token_files, toxicity
+from .common import WORD, let, new_path, table, words_of
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,30 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def tail_repeated(doc_id: Column, text: Column) -> Column:
+    """The text, of which a tenth of the documents repeat words from some word on: crc32 of the id says which, where and how."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def changed(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        return let(g % n, lambda a: let(1 + F.floor((n - a) / (3 + g % 8)), lambda p: F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(w[(a + (i - a) % p).cast("int")])), " ")))
+
+    return F.when((h % 10 == 0) & text.rlike(WORD), let(words_of(text), changed)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least six words and four periods in every document, the longest one, and digests of all and of what is left without the repetitions."""
+    d = table(spark, sf_dir, "documents").select("doc_id", tail_repeated(F.col("doc_id"), F.col("text")).alias("text"))
+    r = runs.periodic_runs(d, min_length=6, min_periods=4)
+    top = F.array_max(F.transform("runs", lambda x: F.struct(x.length.alias("length"), (-x.start).alias("before"), (-x.period).alias("shorter"), x.start.alias("start"), x.period.alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(x.start.cast("string"), F.lit(","), x.length.cast("string"), F.lit(","), x.period.cast("string"), F.lit("\n"))), "")
+    r = r.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli")
+    return r.select("doc_id", "n_runs", "top.start", "top.length", "top.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_toxicity, op3_packing, op4_substring_dedup, op5_quality_rules, op6_minhash, op7_mixing, op8_sharding, op9_suffix_array, op10_embeddings, op11_token_output)
+    for f in (op1_token_counts, op2_toxicity, op3_packing, op4_substring_dedup, op5_quality_rules, op6_minhash, op7_mixing, op8_sharding, op9_suffix_array, op10_embeddings, op11_token_output, op12_periodic_runs)
 }
