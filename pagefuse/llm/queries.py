@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fm_index, minhash, mixing, packing, quality, runs, sharding, suffix_array, token_counts, token_files, toxicity
+from . import alignment, embeddings, fm_index, minhash, mixing, packing, quality, runs, sharding, suffix_array, token_counts, token_files, toxicity
 from .common import WORD, let, new_path, table, words_of
 
 
@@ -101,7 +101,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_runs", "top.start", "top.length", "top.period", milli, "runs_sha256", "collapsed_sha256")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two public tokenizers in every document."""
+    return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_toxicity, op3_packing, op4_substring_dedup, op5_quality_rules, op6_minhash, op7_mixing, op8_sharding, op9_suffix_array, op10_embeddings, op11_token_output, op12_periodic_runs)
+    for f in (op1_token_counts, op2_toxicity, op3_packing, op4_substring_dedup, op5_quality_rules, op6_minhash, op7_mixing, op8_sharding, op9_suffix_array, op10_embeddings, op11_token_output, op12_periodic_runs, op13_tokenizer_alignment)
 }
