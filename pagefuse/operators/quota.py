@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from . import admission
+
 LIMIT, WINDOW = 20, 60
 
 
@@ -43,25 +41,5 @@ def wait_hint(calls: DataFrame, now: int, key: str = "key", ts: str = "ts", limi
 
 
 def admitted(calls: DataFrame, key: str = "key", ts: str = "ts", order: str = "id", limit: int = LIMIT, seconds: int = WINDOW) -> DataFrame:
-    """Which calls a limiter lets through that counts admitted calls only: sequential by nature.
-
-    A key's calls are streamed in order through ``mapInPandas`` over partitions
-    sorted by (key, time), so only the open window of one key is in memory.
-    """
-    d = calls.select(F.col(key).alias("key"), F.col(ts).cast("long").alias("ts"), F.col(order).alias("id"))
-    d = d.repartition("key").sortWithinPartitions("key", "ts", "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, window = object(), []
-        for b in batches:
-            ok = []
-            for k, t in zip(b["key"], b["ts"], strict=True):
-                if k != current:
-                    current, window = k, []
-                window = [x for x in window if x >= t - seconds]
-                ok.append(len(window) < limit)
-                if ok[-1]:
-                    window.append(t)
-            yield b.assign(admitted=ok)
-
-    return d.mapInPandas(run, StructType(list(d.schema.fields)).add("admitted", "boolean"))
+    """Which calls a limiter lets through that counts admitted calls only; ``admission`` says how a key is spread over tasks."""
+    return admission.admitted(calls, key, ts, order, limit, seconds)
