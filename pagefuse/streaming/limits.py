@@ -1,72 +1,15 @@
-"""Structured Streaming forms of the stateful operators."""
+"""Structured Streaming forms of rollups and of the page cache."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cache import latest
 
 
-def admitted_stream(calls: DataFrame, key: str = "key", ts: str = "ts", limit: int = 20, seconds: int = 60, forget_idle: bool = False) -> DataFrame:
-    """Sliding-window admission for a stream of calls: at most ``limit`` admitted calls of a key in ``seconds``.
-
-    State is the admitted times of the open window, ``limit`` numbers a key at
-    most.  ``forget_idle`` drops a key that is quiet for two windows; such a
-    query keeps running batches, so it does not end on its own.
-    """
-    d = calls.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("long").alias("ts"))
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        window = list(state.get[0]) if state.exists else []
-        for b in batches:
-            ok = []
-            b = b.sort_values("ts", kind="stable")
-            for t in b["ts"]:
-                window = [x for x in window if x >= t - seconds]
-                ok.append(len(window) < limit)
-                if ok[-1]:
-                    window.append(int(t))
-            yield pd.DataFrame({"key": k[0], "ts": b["ts"].to_numpy(), "admitted": ok})
-        state.update((window,))
-        if forget_idle:
-            state.setTimeoutDuration(2 * seconds * 1000)
-
-    return d.groupBy("key").applyInPandasWithState(step, "key string, ts long, admitted boolean", "window array<long>", "append", "ProcessingTimeTimeout" if forget_idle else "NoTimeout")
-
-
-def token_bucket_stream(calls: DataFrame, key: str = "key", ts: str = "ts", per_minute: int = 20, burst: int | None = None, forget_idle: bool = False) -> DataFrame:
-    """Token-bucket admission: ``per_minute`` tokens flow in evenly, ``burst`` at most are held; see ``admitted_stream``."""
-    d = calls.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("double").alias("ts"))
-    most = float(burst or per_minute)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, tokens = state.get if state.exists else (None, most)
-        for b in batches:
-            ok = []
-            b = b.sort_values("ts", kind="stable")
-            for t in b["ts"]:
-                tokens = most if at is None else min(most, tokens + max(0.0, t - at) * per_minute / 60)
-                at = t
-                ok.append(tokens >= 1)
-                tokens -= ok[-1]
-            yield pd.DataFrame({"key": k[0], "ts": b["ts"].to_numpy(), "admitted": ok})
-        state.update((float(at), float(tokens)))
-        if forget_idle:
-            state.setTimeoutDuration(120_000)
-
-    return d.groupBy("key").applyInPandasWithState(step, "key string, ts double, admitted boolean", "at double, tokens double", "append", "ProcessingTimeTimeout" if forget_idle else "NoTimeout")
-
-
 def rollup_stream(events: DataFrame, ts: str = "ts", late: str = "10 minutes", size: str = "1 hour", slide: str | None = None, keys: list[str] = ()) -> DataFrame:
     """Counts of events in tumbling or sliding windows, with a watermark for late ones."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size, slide or size), *keys).agg(F.count(F.lit(1)).alias("n"))

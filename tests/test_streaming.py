@@ -1,14 +1,18 @@
 """Streaming forms against their batch forms."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagefuse.operators import quota
-from pagefuse.streaming import limits
+from pagefuse.streaming import admission, limits
 
 
 def run(stream, name, spark, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
+    spark.streams_run = q
     return spark.table(name)
 
 
@@ -18,17 +22,52 @@ def source(spark, sf, tmp_path):
     return spark.read.parquet(str(tmp_path / "in")), spark.readStream.schema("key string, ts long, event_id long, at timestamp").parquet(str(tmp_path / "in"))
 
 
-def test_admission(spark, sf, tmp_path):
-    batch, stream = source(spark, sf, tmp_path)
-    want = quota.admitted(batch, order="event_id", limit=3, seconds=60).groupBy("key").agg(F.count_if("admitted").alias("n"))
-    got = run(limits.admitted_stream(stream, limit=3, seconds=60), "admission", spark).groupBy("key").agg(F.count_if("admitted").alias("n"))
-    assert {r.key: r.n for r in got.collect()} == {r.key: r.n for r in want.collect()}
+def shuffled(spark, folder, rows, batches, spread):
+    """A stream of calls that come up to ``spread`` seconds out of order, in files of one batch each, and one far later call."""
+    rng = random.Random(7)
+    rows = sorted(rows, key=lambda r: r[1] + rng.randrange(spread))
+    size = -(-len(rows) // batches)
+    schema = "key string, ts long, id long"
+    for b in range(batches):
+        spark.createDataFrame(rows[b * size : (b + 1) * size], schema).coalesce(1).write.parquet(f"{folder}/b={b:03d}")
+    spark.createDataFrame([("end", 10_000_000, -1)], schema).coalesce(1).write.parquet(f"{folder}/b={batches:03d}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+@pytest.fixture
+def typed_state(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    admission.with_state_store(spark)
+    yield spark
+    spark.conf.set(name, before)
+
+
+def test_sliding_window_of_shuffled_calls(typed_state, tmp_path):
+    """Batch and stream agree whatever the order and the batches; quiet keys are forgotten."""
+    spark, rng = typed_state, random.Random(3)
+    rows = [(f"k{rng.randrange(5)}", 1000 + rng.randrange(200) + 1000 * rng.randrange(2), i) for i in range(500)]
+    stream = shuffled(spark, tmp_path / "in", rows, 3, 60)
+    got = run(admission.admitted_stream(stream, limit=3, seconds=20, late="2 minutes"), "window", spark)
+    want = quota.admitted(spark.createDataFrame(rows, "key string, ts long, id long"), limit=3, seconds=20)
+    assert {r.id: r.admitted for r in got.where("id >= 0").collect()} == {r.id: r.admitted for r in want.collect()}
+    last = [p["stateOperators"][0] for p in spark.streams_run.recentProgress if p["stateOperators"]][-1]
+    assert last["numRowsTotal"] < 20 and last["numRowsDroppedByWatermark"] == 0
 
 
-def test_bucket(spark, sf, tmp_path):
-    _, stream = source(spark, sf, tmp_path)
-    got = run(limits.token_bucket_stream(stream, per_minute=1, burst=2), "bucket", spark)
-    assert 0 < got.where("admitted").count() < got.count()
+def test_token_bucket_of_shuffled_calls(typed_state, tmp_path):
+    spark, rng = typed_state, random.Random(4)
+    rows = [(f"k{rng.randrange(3)}", 500 + rng.randrange(300), i) for i in range(200)]
+    stream = shuffled(spark, tmp_path / "in", rows, 2, 40)
+    got = run(admission.token_bucket_stream(stream, per_minute=6, burst=2, late="2 minutes"), "bucket", spark)
+    want = {}
+    for key in {r[0] for r in rows}:
+        at, tokens = None, 2.0
+        for _, t, i in sorted(r for r in rows if r[0] == key):
+            tokens = 2.0 if at is None else min(2.0, tokens + (t - at) * 0.1)
+            at, want[i] = t, tokens > 1 - 1e-9
+            tokens -= want[i]
+    assert {r.id: r.admitted for r in got.where("id >= 0").collect()} == want
 
 
 def test_rollup(spark, sf, tmp_path):
