@@ -27,6 +27,10 @@ BAD_PORTS = [
 BLOCKED_V4 = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
 #: IPv6 networks that are not public; the first two are all compatible and mapped IPv4 addresses.
 BLOCKED_V6 = ["::/96", "::ffff:0:0/96", "100::/64", "2001:db8::/32", "fc00::/7", "fe80::/10", "ff00::/8"]
+# addresses that carry an IPv4 address which is not public, translated (64:ff9b::/96) or tunnelled (2002::/16)
+for _n in map(ipaddress.ip_network, BLOCKED_V4):
+    _v4 = int(_n.network_address)
+    BLOCKED_V6 += [f"{ipaddress.IPv6Address((0x64FF9B << 96) + _v4)}/{96 + _n.prefixlen}", f"{ipaddress.IPv6Address((0x2002 << 112) + (_v4 << 80))}/{16 + _n.prefixlen}"]
 
 _PARTS = r"^(?i)(https?)://([^/?#\s]+)([^?#]*)(\?[^#]*)?"
 _V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
@@ -262,10 +266,21 @@ def ip_blocked_arrow(ips: pd.Series) -> pd.Series:
     return ips.map(one).astype("object")
 
 
+def guarded_host(url: Column) -> Column:
+    """The host as a browser would ask for it: numbers as addresses, other scripts' digits as ASCII, no dot at the end; null where there is none."""
+    u = F.trim(url)
+    odd = u.rlike(_ODD)
+    h = F.when(odd, host_of(parsed_canonical(F.when(odd, u)))).otherwise(host_of(u))
+    return F.regexp_replace(h, r"\.$", "")
+
+
 def guard_error(url: Column) -> Column:
     """Why a URL must not be fetched (scheme, port, host, address), or null."""
     literal = part(url, 2).rlike(r"\[")
-    bad_host = once(host_of(url), lambda h: F.when((h == "localhost") | h.endswith(".localhost"), F.lit("blocked_host")).when(F.coalesce(ip_blocked(h), literal), F.lit("blocked_address")))
+    bad_host = once(
+        guarded_host(url),
+        lambda h: F.when(h.isNull(), F.when(literal, F.lit("blocked_address")).otherwise(F.lit("invalid_url"))).when((h == "localhost") | h.endswith(".localhost"), F.lit("blocked_host")).when(F.coalesce(ip_blocked(h), literal), F.lit("blocked_address")),
+    )
     return (
         F.when((part(url, 1) == "") & url.rlike(r"^\s*(?i)(?!https?:)[a-z][a-z0-9+.-]*:"), F.lit("bad_scheme"))
         .when(F.coalesce(part(url, 1), F.lit("")) == "", F.lit("invalid_url"))

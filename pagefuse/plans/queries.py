@@ -98,6 +98,8 @@ GUARDED = [
     (1, "http://169.254.169.254/latest/meta-data"), (2, "http://127.0.0.1:8080/x"), (3, "http://localhost/admin"), (4, "file:///etc/passwd"), (5, "http://example.org:22/"), (6, "https://example.org/page"),
     (7, "http://[::1]/"), (8, "http://api.localhost/"), (9, "http://10.1.2.3/"), (10, "http://172.32.0.1/"), (11, "http://172.31.255.255/"), (12, "https://user@192.168.0.9/"), (13, "http://8.8.8.8/"), (14, "http://example.org:6667/"), (15, "ftp://example.org/"), (16, "https://100.64.0.1/"),
     (17, "http://[2606:4700::1111]/"), (18, "https://[::ffff:8.8.8.8]/x"), (19, "http://[fe80::1]:8080/"), (20, "http://[64:ff9b::808:808]/"), (21, "http://[1::2::3]/"), (22, "http://[fd00:1:2:3:4:5:6:7]/"), (23, "https:///x"), (24, "no url at all"), (25, "JavaScript:void(0)"),
+    (26, "http://2130706433/"), (27, "http://0x7f.1/"), (28, "http://127.1:81/x"), (29, "http://0177.0.0.1/"), (30, "http://127.0.0.1./"), (31, "http://localhost./"), (32, "http://134744072/"), (33, "http://0x8080808/"), (34, "http://1.2.3.4.5/"), (35, "http://256.1.1.1/"), (36, "http://name.08/"), (37, "http://0x/"),
+    (38, "http://u:p@0300.0250.1/"), (39, "http://[64:ff9b::7f00:1]/"), (40, "http://[2002:a00:1::]/"), (41, "http://[2002:808:808::]/"), (42, "http://4294967296/"), (43, "http://x.1e5/"),
 ]
 _V4 = r"'^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$'"
 
@@ -133,8 +135,13 @@ def blocked_v6_sql(ip: str) -> str:
 _GUARD = f"""
 WITH all_urls AS (SELECT id, url FROM {values_sql(GUARDED, 'id, url')} UNION ALL SELECT 1000 + page_id, url FROM pages),
 p AS (SELECT id, url, regexp_extract(trim(url), {_URL}, 1) AS scheme, regexp_extract(trim(url), {_URL}, 2) AS auth FROM all_urls),
-h AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(auth), '^[^@]*@', ''), ':\\d*$', ''), '^\\[(.*)\\]$', '\\1') AS host, TRY_CAST(regexp_extract(auth, ':(\\d+)$', 1) AS INT) AS port FROM p)
-SELECT id::BIGINT AS id, CASE WHEN scheme = '' AND regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(lower(trim(url)), '^https?:') THEN 'bad_scheme' WHEN scheme = '' THEN 'invalid_url' WHEN port IN ({', '.join(map(str, urls.BAD_PORTS))}) THEN 'blocked_port' WHEN host = 'localhost' OR host LIKE '%.localhost' THEN 'blocked_host'
+g AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(auth), '^[^@]*@', ''), ':\\d*$', ''), '^\\[(.*)\\]$', '\\1') AS raw, TRY_CAST(regexp_extract(auth, ':(\\d+)$', 1) AS INT) AS port FROM p),
+n AS (SELECT *, rtrim(raw, '.') AS bare, NOT contains(auth, '[') AND regexp_matches(raw, '(^|\\.)(0x[0-9a-f]*|[0-9]+)\\.?$') AS numbered FROM g),
+v AS (SELECT *, CASE WHEN numbered AND regexp_full_match(bare, '((0x[0-9a-f]*|0[0-7]*|[1-9][0-9]*)\\.){{0,3}}(0x[0-9a-f]*|0[0-7]*|[1-9][0-9]*)') THEN
+  list_transform(string_split(bare, '.'), lambda x: CASE WHEN x = '0x' THEN 0 WHEN starts_with(x, '0x') THEN x::BIGINT WHEN starts_with(x, '0') THEN list_reduce(list_transform(string_split(x, ''), lambda d: d::BIGINT), lambda a, d: a * 8 + d) ELSE x::BIGINT END) END AS vs FROM n),
+t AS (SELECT *, CASE WHEN len(list_filter(vs[:-2], lambda x: x > 255)) = 0 AND vs[-1] < power(256, 5 - len(vs)) THEN vs[-1] + coalesce(list_sum(list_transform(vs[:-2], lambda x, i: x * power(256, 4 - i)::BIGINT)), 0)::BIGINT END AS num FROM v),
+h AS (SELECT *, CASE WHEN NOT numbered THEN bare WHEN num IS NOT NULL THEN concat_ws('.', num // 16777216, num // 65536 % 256, num // 256 % 256, num % 256) END AS host FROM t)
+SELECT id::BIGINT AS id, CASE WHEN scheme = '' AND regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(lower(trim(url)), '^https?:') THEN 'bad_scheme' WHEN scheme = '' THEN 'invalid_url' WHEN port IN ({', '.join(map(str, urls.BAD_PORTS))}) THEN 'blocked_port' WHEN host IS NULL THEN 'invalid_url' WHEN host = 'localhost' OR host LIKE '%.localhost' THEN 'blocked_host'
  WHEN coalesce({blocked_sql('host')}, CASE WHEN contains(auth, '[') THEN coalesce({blocked_v6_sql('host')}, true) ELSE false END) THEN 'blocked_address' END AS error FROM h"""
 
 

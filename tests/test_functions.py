@@ -71,6 +71,10 @@ def test_ip_blocked(spark):
 def test_guard_with_ipv6(spark):
     assert one(spark, "http://[::1]/x", urls.guard_error) == "blocked_address"
     assert one(spark, "http://[2606:4700::1111]/x", urls.guard_error) is None
+    for host in ("１２７.0.0.1", "127。0。0。1", "①②⑦.1", "0x7F.1", "localhost."):
+        assert one(spark, f"http://{host}/x", urls.guard_error) in ("blocked_address", "blocked_host")
+    assert one(spark, "http://münchen.de/", urls.guard_error) is None
+    assert urls.address_blocked("64:ff9b::a00:1") and urls.address_blocked("2002:7f00:1::5") and not urls.address_blocked("64:ff9b::808:808")
     assert one(spark, ["8.8.8.8", "10.0.0.1"], urls.resolved_public, "x array<string>") is False
     assert one(spark, ["8.8.8.8"], urls.resolved_public, "x array<string>") is True
     assert one(spark, ["8.8.8.8", "2606:4700::1111"], urls.resolved_public, "x array<string>") is True
