@@ -27,10 +27,12 @@ BAD_PORTS = [
 BLOCKED_V4 = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4"]
 #: IPv6 networks that are not public; the first two are all compatible and mapped IPv4 addresses.
 BLOCKED_V6 = ["::/96", "::ffff:0:0/96", "100::/64", "2001:db8::/32", "fc00::/7", "fe80::/10", "ff00::/8"]
-# addresses that carry an IPv4 address which is not public, translated (64:ff9b::/96) or tunnelled (2002::/16)
-for _n in map(ipaddress.ip_network, BLOCKED_V4):
-    _v4 = int(_n.network_address)
-    BLOCKED_V6 += [f"{ipaddress.IPv6Address((0x64FF9B << 96) + _v4)}/{96 + _n.prefixlen}", f"{ipaddress.IPv6Address((0x2002 << 112) + (_v4 << 80))}/{16 + _n.prefixlen}"]
+#: Addresses that carry an IPv4 address which is not public, translated (64:ff9b::/96) or tunnelled (2002::/16).
+CARRIED_V6 = [
+    f"{ipaddress.IPv6Address((prefix << shift) + (int(n.network_address) << low))}/{96 - low + n.prefixlen}"
+    for n in map(ipaddress.ip_network, BLOCKED_V4)
+    for prefix, shift, low in ((0x64FF9B, 96, 0), (0x2002, 112, 80))
+]
 
 _PARTS = r"^(?i)(https?)://([^/?#\s]+)([^?#]*)(\?[^#]*)?"
 _V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
@@ -183,17 +185,17 @@ def v4_number(ip: Column) -> Column:
     return F.when(F.forall(octets, lambda o: o <= 255), F.aggregate(octets, F.lit(0).cast("long"), lambda n, o: n * 256 + o))
 
 
-def ipv4_blocked(ip: Column) -> Column:
-    """Whether an IPv4 address is not public; null where it is no address."""
-    ranges = [(int(n.network_address), int(n.broadcast_address)) for n in map(ipaddress.ip_network, BLOCKED_V4)]
+def number_blocked(n: Column) -> Column:
+    """Whether an IPv4 address, as a number, is not public; null for null."""
+    out = F.lit(False)
+    for net in map(ipaddress.ip_network, BLOCKED_V4):
+        out = out | n.between(int(net.network_address), int(net.broadcast_address))
+    return F.when(n.isNotNull(), out)
 
-    def inside(n: Column) -> Column:
-        out = F.lit(False)
-        for lo, hi in ranges:
-            out = out | n.between(lo, hi)
-        return F.when(n.isNotNull(), out)
 
-    return once(v4_number(ip), inside)
+def ipv4_blocked(ip: Column) -> Column:
+    """Whether an IPv4 address is not public; null where it is no address."""
+    return once(v4_number(ip), number_blocked)
 
 
 def v6_groups(ip: Column) -> Column:
@@ -234,7 +236,10 @@ def ipv6_blocked(ip: Column) -> Column:
             if bits:
                 test = test & (F.get(g, F.lit(whole)).bitwiseAND(0xFFFF << (16 - bits) & 0xFFFF) == words[whole])
             out = out | test
-        return F.when(g.isNotNull(), out)
+        at = lambda k: F.get(g, F.lit(k)).cast("long")
+        translated = (at(0) == 0x64) & (at(1) == 0xFF9B) & ((at(2) + at(3) + at(4) + at(5)) == 0)
+        carried = F.when(translated, at(6) * 65536 + at(7)).when(at(0) == 0x2002, at(1) * 65536 + at(2))
+        return F.when(g.isNotNull(), out | F.coalesce(once(carried, number_blocked), F.lit(False)))
 
     return once(v6_groups(ip), inside)
 
@@ -244,7 +249,7 @@ def ip_blocked(ip: Column) -> Column:
     return F.coalesce(F.when(ip.rlike(_V4), ipv4_blocked(ip)), F.when(ip.contains(":"), ipv6_blocked(ip)))
 
 
-_NETS = [ipaddress.ip_network(n) for n in (*BLOCKED_V4, *BLOCKED_V6)]
+_NETS = [ipaddress.ip_network(n) for n in (*BLOCKED_V4, *BLOCKED_V6, *CARRIED_V6)]
 
 
 def address_blocked(address: str) -> bool:

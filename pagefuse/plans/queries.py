@@ -127,7 +127,7 @@ def blocked_v6_sql(ip: str) -> str:
     half = lambda k: f"(CASE WHEN coalesce(string_split(w, '::')[{k}], '') = '' THEN []::VARCHAR[] ELSE string_split(string_split(w, '::')[{k}], ':') END)"
     every = f"(CASE WHEN len(string_split(w, '::')) = 1 THEN string_split(w, ':') WHEN len(string_split(w, '::')) = 2 AND len({half(1)}) + len({half(2)}) <= 7 THEN {half(1)} || list_transform(range(8 - len({half(1)}) - len({half(2)})), lambda z: '0') || {half(2)} END)"
     bits = f"list_reduce(list_transform({every}, lambda g: lpad(to_binary(('0x' || g)::BIGINT), 16, '0')), lambda a, b: a || b)"
-    nets = [ipaddress.ip_network(n) for n in urls.BLOCKED_V6]
+    nets = [ipaddress.ip_network(n) for n in (*urls.BLOCKED_V6, *urls.CARRIED_V6)]
     tests = " OR ".join(f"starts_with(b, '{int(n.network_address):0128b}'[1:{n.prefixlen}])" for n in nets)
     return f"(SELECT {tests} FROM (SELECT {bits} AS b FROM (SELECT {whole} AS w) WHERE len({every}) = 8 AND len(list_filter({every}, lambda g: NOT regexp_full_match(g, '[0-9a-f]{{1,4}}'))) = 0))"
 
