@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import unicodedata
 import urllib.parse
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -271,12 +273,35 @@ def ip_blocked_arrow(ips: pd.Series) -> pd.Series:
     return ips.map(one).astype("object")
 
 
+@cache
+def _as_ascii() -> tuple[str, str]:
+    """Characters that a host name shows as one ASCII letter, digit or dot, and these, for ``translate``."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c)).lower()) for c in range(0x80, 0x20000)]
+    pairs = [(c, x) for c, x in pairs if re.fullmatch("[0-9a-z.]", x)] + [("\u3002", "."), ("\uff61", ".")]
+    return "".join(c for c, _ in pairs), "".join(x for _, x in pairs)
+
+
+def number_host(host: Column) -> Column:
+    """A host whose last part is a number, as a dotted IPv4 address; null where it is none."""
+    one = lambda p: F.when(p.rlike("^0x[0-9a-f]{0,14}$"), F.conv(F.concat(F.lit("0"), F.substr(p, F.lit(3))), 16, 10)).when(p.rlike("^0[0-7]{0,18}$"), F.conv(p, 8, 10)).when(p.rlike("^[1-9][0-9]{0,17}$"), p).cast("long")
+
+    def address(n: Column) -> Column:
+        count, last = F.size(n), F.element_at(n, -1)
+        fine = (count <= 4) & F.forall(n, lambda x: x.isNotNull()) & F.forall(F.slice(n, F.lit(1), count - 1), lambda x: x <= 255) & (last < F.pow(F.lit(256), 5 - count))
+        low = F.aggregate(F.transform(F.slice(n, F.lit(1), count - 1), lambda x, i: x * F.pow(F.lit(256), 3 - i).cast("long")), last, lambda s, x: s + x)
+        return F.when(fine, once(low, lambda v: F.concat_ws(".", *[F.shiftright(v, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)])))
+
+    return once(F.transform(F.split(host, r"\."), one), address)
+
+
 def guarded_host(url: Column) -> Column:
-    """The host as a browser would ask for it: numbers as addresses, other scripts' digits as ASCII, no dot at the end; null where there is none."""
+    """The host as a browser asks for it: numbers as addresses, other forms of letters, digits and dots as ASCII, no dot at the end; null where a number is no address."""
     u = F.trim(url)
-    odd = u.rlike(_ODD)
-    h = F.when(odd, host_of(parsed_canonical(F.when(odd, u)))).otherwise(host_of(u))
-    return F.regexp_replace(h, r"\.$", "")
+    u = F.when(u.rlike(r"[\t\n\r\\\\]|^(?i)https?:(?!//[^/])"), F.regexp_replace(F.regexp_replace(u, r"[\t\n\r]", ""), r"^(?i)(https?):[/\\\\]*", "$1://")).otherwise(u)
+    h = F.regexp_extract(host_of(u), r"^[^\\\\]*", 0)
+    h = F.when(h.contains("%"), F.lower(F.coalesce(F.try_url_decode(h), h))).otherwise(h)
+    h = F.when(h.rlike(r"[^\x00-\x7f]"), F.translate(h, *_as_ascii())).otherwise(h)
+    return once(F.regexp_replace(h, r"\.$", ""), lambda x: F.when(x.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$") & ~x.contains(":"), number_host(x)).otherwise(x))
 
 
 def guard_error(url: Column) -> Column:
