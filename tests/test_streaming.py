@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagefuse.operators import quota
-from pagefuse.streaming import admission, limits
+from pagefuse.streaming import admission, limits, stale
 
 
 def run(stream, name, spark, mode="append"):
@@ -93,3 +93,55 @@ def test_cache_writer(spark, tmp_path):
     assert limits.versions(spark, path) == (3, []) and have() == {"u": "c", "v": "b", "w": "e"}
     write(make(("w", "old", 1), ("v", "f", 9)), 7)
     assert limits.versions(spark, path) == (3, [7]) and have() == {"u": "c", "v": "f", "w": "e"}
+
+
+def plain_serving(requests, outcomes, ttl, times, deadline):
+    """The answers, second by second."""
+    pages, waiting, out = {}, {}, {}
+    last = max(r[2] for r in requests) + deadline + 1
+
+    def failed(i, url, t):
+        body, at = pages.get(url, (None, None))
+        out[i] = ("cache_stale", body) if at is not None and t - at <= ttl * times else ("error", None)
+
+    for t in range(min(r[2] for r in requests + outcomes), last + 1):
+        for i, url, _, ok, body in sorted(o for o in outcomes if o[2] == t):
+            if ok:
+                pages[url] = (body, t)
+            if i in waiting:
+                waiting.pop(i)
+                if ok:
+                    out[i] = ("fetched", body)
+                else:
+                    failed(i, url, t)
+        for i, url, _ in sorted(r for r in requests if r[2] == t):
+            body, at = pages.get(url, (None, None))
+            if at is not None and t - at <= ttl:
+                out[i] = ("cache", body)
+            else:
+                waiting[i] = (url, t)
+        for i, (url, asked) in sorted(waiting.items()):
+            if asked + deadline <= t:
+                waiting.pop(i)
+                failed(i, url, t)
+    return out
+
+
+def test_pages_served_from_shuffled_streams(typed_state, tmp_path):
+    """Fresh, stale, too old, late and missing outcomes: as second by second, in any order of arrival."""
+    spark, rng = typed_state, random.Random(11)
+    urls = [f"https://e.test/{k}" for k in range(4)]
+    requests = [(i, rng.choice(urls), 1000 + rng.randrange(400)) for i in range(150)]
+    outcomes = [(i, u, t + rng.randrange(0, 25), rng.random() < 0.4, f"page {i}") for i, u, t in requests if rng.random() < 0.8]
+    end = [(-1, "end", 100_000)]
+    for name, rows, schema, last in (("r", requests, "id long, canonical_url string, at long", end), ("o", outcomes, "request_id long, canonical_url string, at long, ok boolean, markdown string", [(*end[0], True, "")])):
+        rows = sorted(rows, key=lambda r: r[2] + rng.randrange(40))
+        for b in range(2):
+            half = rows[b * len(rows) // 2 : (b + 1) * len(rows) // 2]
+            spark.createDataFrame(half, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/b={b}")
+        spark.createDataFrame(last, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/b=9")
+    streams = [spark.readStream.schema(x).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{n}") for n, x in (("r", "id long, canonical_url string, at long"), ("o", "request_id long, canonical_url string, at long, ok boolean, markdown string"))]
+    got = run(stale.served(*streams, ttl=30, stale=3, deadline=15, late="2 minutes"), "served", spark).where("id >= 0").collect()
+    want = plain_serving(requests, outcomes, 30, 3, 15)
+    assert {r.id: (r.action, r.markdown) for r in got} == want and len(got) == len(requests)
+    assert {r.action for r in got} == {"cache", "fetched", "cache_stale", "error"}
