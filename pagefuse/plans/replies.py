@@ -7,12 +7,14 @@ from the rows themselves, so it shares nothing with the readers.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import errors, kinds, sql, urls
 from ..operators import route
-from ..sources import factory, families, html_replies, json_replies, reader
+from ..sources import factory, families, html_replies, json_replies, reader, spec_rows
 from .queries import query, table
 
 
@@ -388,3 +390,42 @@ def error_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, x in enumerate(("https://e.test:6667/", "ftp://e.test/", "nothing", "http://localhost/", "http://[::1]/"), 1):
         url = url.when(k % 7 == i, F.lit(x))
     return table(spark, sf_dir, "events").select("event_id", errors.tag(urls.guard_error(url.otherwise(text_of("https://e.test/", k)))).alias("tag"))
+
+
+def spec_template(spec: json_replies.Spec) -> str:
+    """A reply in which each field of a spec has a mark of its own, and a second item without anything."""
+
+    def put(tree: object, path: str, value: str) -> object:
+        head, _, rest = path.partition(".")
+        if head.isdigit():
+            return [put(None, rest, value) if rest else value]
+        own = dict(tree or {})
+        own[head] = put(own.get(head), rest, value) if rest else value
+        return own
+
+    item: object = None
+    for mark, f in (("@T", spec.title), ("@U", spec.url), ("@S", spec.snippet), ("@P", spec.thumbnail), ("@D", spec.date), *((f"@M{k}", f) for k, f in spec.metadata.items())):
+        if f and (f.path != spec.url.path or mark == "@U"):  # one path may fill two fields
+            item = put(item, f.path, mark)
+    return json.dumps([item, {}, item] if spec.results is None else put(None, spec.results, [item, {}, item]))
+
+
+#: Engine names in order, and the marks that each fills.
+_ENGINES = sorted(json_replies.SPECS)
+_SHAPES = [(k, n, s.url.prefix, *(bool(f and f.path != s.url.path) for f in (s.title, s.snippet, s.thumbnail, s.date)), s.title.path == s.url.path) for k, n in enumerate(_ENGINES) for s in (json_replies.SPECS[n],)]
+
+
+@query(f"""
+WITH s(k, engine, prefix, title, snippet, thumb, dated, same) AS (VALUES {", ".join(repr(x).replace("True", "true").replace("False", "false") for x in _SHAPES)}),
+e AS (SELECT event_id, event_type, s.* FROM events JOIN s ON event_id % {len(_ENGINES)} = s.k)
+SELECT event_id AS query_id, engine, r AS rank, CASE WHEN same THEN 'u' || event_id WHEN title THEN 'about ' || event_type ELSE '' END AS title, prefix || 'u' || event_id AS url, CASE WHEN snippet THEN 'of ' || event_type ELSE '' END AS snippet,
+ CASE WHEN dated THEN event_id::VARCHAR END AS published_date, CASE WHEN thumb THEN 'https://i.test/' || event_type END AS thumbnail_url FROM e, (VALUES (1::INT), (2)) AS t(r)""")
+def registry_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of all engines that specs describe, an event each, by the specs as rows of one table."""
+    shapes = spark.createDataFrame([(k, n, spec_template(json_replies.SPECS[n])) for k, n in enumerate(_ENGINES)], "k long, engine string, template string")
+    d = table(spark, sf_dir, "events").join(F.broadcast(shapes), c("event_id") % len(_ENGINES) == c("k"))
+    payload = c("template")
+    for mark, value in (("@T", text_of(" about ", c("event_type"))), ("@U", text_of("u", c("event_id"))), ("@S", text_of("of ", c("event_type"))), ("@P", text_of("https://i.test/", c("event_type"))), ('"@D"', c("event_id").cast("string"))):
+        payload = F.replace(payload, F.lit(mark), value)
+    hits = spec_rows.extract(d.select(c("event_id").alias("query_id"), "engine", payload.alias("payload")), spec_rows.known(spark))
+    return hits.select("query_id", "engine", "rank", "title", "url", "snippet", "published_date", "thumbnail_url")
