@@ -66,22 +66,16 @@ LIKELY = {
 FREQUENT = set("的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后這個們來說時會對於後國為過發裡經麼現當動還進樣開")
 
 
-def likely_encoding(body: bytes, most: int = 1 << 16) -> str:
-    """The encoding under which a body's characters beyond ASCII look most like a script; Windows-1252 where none does.
-
-    An estimate from the first ``most`` bytes; the body is decoded whole.
-    """
-    part, best, found = body[:most], 0.0, "windows-1252"
-    high = [b for b in part if b > 127]
-    if not high:
+def likely_encoding(body: bytes) -> str:
+    """The encoding under which a body's characters beyond ASCII look most like a script; Windows-1252 where none does. The whole body counts."""
+    best, found = 0.0, "windows-1252"
+    if body.isascii():
         return found
     for name, letters in LIKELY.items():
         try:
-            text = part.decode(name)
-        except UnicodeDecodeError as e:
-            if len(body) <= most or e.start < len(part) - 4:
-                continue
-            text = part[: e.start].decode(name)
+            text = body.decode(name)
+        except UnicodeDecodeError:
+            continue
         odd = [c for c in text if ord(c) > 127]
         if not odd:
             continue
@@ -98,7 +92,7 @@ def likely_encoding(body: bytes, most: int = 1 << 16) -> str:
             share *= 0.9
         if share > best + 1e-9 and share > 0.5:
             best, found = share, name
-    latin = part.decode("windows-1252", "replace")
+    latin = body.decode("windows-1252", "replace")
     odd = [c for c in latin if ord(c) > 127]
     western = sum(c in "àâäáãåæçéèêëíìîïñóòôöõøœúùûüÿßÀÂÄÁÃÅÆÇÉÈÊËÍÌÎÏÑÓÒÔÖÕØŒÚÙÛÜ’‘“”«»–—…€°§" for c in odd) / len(odd)
     return "windows-1252" if western >= best else found

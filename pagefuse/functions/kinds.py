@@ -29,8 +29,8 @@ def kind_of_type(ct: Column) -> Column:
 
 
 def sniff(body: Column) -> Column:
-    """The kind of a body whose type isn't given, by its first characters."""
-    x = F.regexp_replace(F.substring(body, 1, 4096), r"^[ \t\n\f\r]+", "")
+    """The kind of a body whose type isn't given, by its first characters after any white space."""
+    x = F.regexp_extract(body, r"(?s)^[ \t\n\f\r]*+(.{0,16})", 1)
     return F.when(x.rlike(r"^[{\[]"), F.lit("Json")).when(x.rlike(r"^(?i)(<!doctype html|<html)"), F.lit("Html")).when(x.startswith("<"), F.lit("Xml")).otherwise(F.lit("Text"))
 
 

@@ -155,29 +155,43 @@ def ssrf_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 IPS = [(f"{a}.{b}.{c}.{d}",) for a in (0, 8, 10, 100, 127, 169, 172, 192, 198, 203, 224, 240, 255, 256) for b, c, d in ((0, 0, 0), (16, 0, 1), (18, 0, 1), (31, 255, 255), (32, 0, 1), (51, 100, 7), (64, 0, 1), (168, 1, 1), (254, 1, 1), (0, 2, 9), (0, 113, 3))]
 
 
-@query(f"SELECT ip, {blocked_sql('ip')} AS blocked FROM {values_sql(IPS, 'ip')}")
+@query(f"""SELECT ip, {blocked_sql('ip')} AS blocked FROM (SELECT ip FROM {values_sql(IPS, 'ip')}
+ UNION ALL SELECT concat_ws('.', event_id * 7919 % 257, event_id * 104729 % 256, user_id % 256, event_id % 256) FROM events)""")
 def ip_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which IPv4 addresses of a grid are not public."""
-    return literals(spark, IPS, "ip string").select("ip", urls.ipv4_blocked(F.col("ip")).alias("blocked"))
+    """Which IPv4 addresses of a grid, and of an address for each event, are not public."""
+    k = F.col("event_id")
+    own = table(spark, sf_dir, "events").select(F.concat_ws(".", *[x.cast("string") for x in (k * 7919 % 257, k * 104729 % 256, F.col("user_id") % 256, k % 256)]).alias("ip"))
+    return literals(spark, IPS, "ip string").union(own).select("ip", urls.ipv4_blocked(F.col("ip")).alias("blocked"))
 
 
 IPS6 = [(x,) for x in ("::", "::1", "::2:3", "::ffff:1.2.3.4", "::8.8.8.8", "[fe80::1]", "febf::", "fec0::1", "fe80::1%eth0", "fc00::", "fdff:1:2:3:4:5:6:7", "fe00::1", "ff02::1", "100::1", "100:0:0:1::", "2001:db8::5", "2001:DB8:ffff::", "2001:db9::", "2606:4700::1111", "64:ff9b::1.2.3.4", "64:ff9b:1::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3", "12345::", "::1.2.3.256", ":::", "x", "8.8.8.8")]
 
 
-@query(f"SELECT ip, {blocked_v6_sql('ip')} AS blocked FROM {values_sql(IPS6, 'ip')}")
+HEADS6 = ["fe80", "fc12", "2001:db8", "2606:4700", "64:ff9b:0:0:0:0", "2002:a00", "2002:808", "::ffff", "ff02", "1:2:3:4:5:6"]
+
+
+@query(f"""SELECT ip, {blocked_v6_sql('ip')} AS blocked FROM (SELECT ip FROM {values_sql(IPS6, 'ip')}
+ UNION ALL SELECT h || CASE WHEN len(string_split(h, ':')) = 6 OR h = '::ffff' THEN ':' ELSE '::' END || printf('%x', event_id * 7919 % 65536) || ':' || printf('%x', user_id) FROM events JOIN (SELECT unnest({HEADS6}) AS h, unnest(range(0, {len(HEADS6)})) AS i) ON i = event_id % {len(HEADS6)})""")
 def ip_blocklist_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which IPv6 addresses are not public; null for what is no such address."""
-    return literals(spark, IPS6, "ip string").select("ip", urls.ipv6_blocked(F.col("ip")).alias("blocked"))
+    """Which IPv6 addresses are not public, fixed ones and one for each event; null for what is no such address."""
+    k = F.col("event_id")
+    heads = F.array(*[F.lit(h + (":" if h.count(":") == 5 or h == "::ffff" else "::")) for h in HEADS6])
+    own = table(spark, sf_dir, "events").select(F.concat(F.get(heads, (k % len(HEADS6)).cast("int")), F.lower(F.hex(k * 7919 % 65536)), F.lit(":"), F.lower(F.hex("user_id"))).alias("ip"))
+    return literals(spark, IPS6, "ip string").union(own).select("ip", urls.ipv6_blocked(F.col("ip")).alias("blocked"))
 
 
 HREFS = [(1, "/l/?uddg=https%3A%2F%2Fexample.org%2Fa&rut=1"), (2, "//example.org/x"), (3, "/about"), (4, "https://example.org/direct"), (5, "/l/?kh=1&uddg=http%3A%2F%2Fb.test%2F%3Fq%3D1")]
 
 
 @query(f"""SELECT id::BIGINT AS id, CASE WHEN regexp_extract(href, '[?&]uddg=([^&]*)', 1) LIKE 'http%' THEN url_decode(regexp_extract(href, '[?&]uddg=([^&]*)', 1))
- WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN 'https://duckduckgo.com' || href ELSE href END AS target FROM {values_sql(HREFS, 'id, href')}""")
+ WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN 'https://duckduckgo.com' || href ELSE href END AS target FROM {values_sql(HREFS, 'id, href')}
+ UNION ALL SELECT 1000 + page_id, CASE page_id % 4 WHEN 3 THEN regexp_replace(url, '^http:', 'https:') ELSE url END FROM pages""")
 def redirect_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets of wrapped, relative and direct links."""
-    return literals(spark, HREFS, "id long, href string").select("id", urls.unwrap_redirect(F.col("href")).alias("target"))
+    """Targets of wrapped, relative and direct links: fixed ones and those of all pages, wrapped, direct or without a scheme."""
+    k, url = F.col("page_id"), F.col("url")
+    href = F.when(k % 4 == 0, F.concat(F.lit("/l/?uddg="), F.url_encode(url), F.lit("&rut="), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("//l.test/l/?kh=1&uddg="), F.url_encode(url))).when(k % 4 == 2, url).otherwise(F.regexp_replace(url, "^https?:", ""))
+    d = literals(spark, HREFS, "id long, href string").union(table(spark, sf_dir, "pages").select((k + 1000).alias("id"), href))
+    return d.select("id", urls.unwrap_redirect(F.col("href")).alias("target"))
 
 
 @query("""
@@ -198,12 +212,18 @@ ENGINES = [
     ("eta", "et", "json_engine", ["it"], True, 0.5, True), ("theta", "th", "json_engine", ["it", "science"], True, 1.5, True), ("iota", "io", "translated", ["general"], True, 100.0, True),
     ("kappa", "ka", "json_engine", ["images"], True, 1.0, True), ("lambda", "la", "css_engine", ["videos"], False, 1.0, False), ("mu", "mu", "json_engine", ["news"], True, 3.0, True),
 ]
-_ENGINES_SQL = values_sql(ENGINES, "name, bang, family, categories, enabled, weight, implemented")
+_ENGINES_SQL = f"""(SELECT * FROM {values_sql(ENGINES, "name, bang, family, categories, enabled, weight, implemented")} UNION ALL
+ SELECT lower(n_name), 'n' || n_nationkey, ['json_engine', 'css_engine', 'xpath', 'tineye'][1 + n_nationkey % 4], CASE WHEN n_nationkey % 5 = 0 THEN ['it', 'news'] ELSE [['general', 'science', 'files'][1 + n_nationkey % 3]] END, n_nationkey % 7 <> 0, (n_nationkey % 6) / 2.0::DOUBLE, n_nationkey % 8 <> 3 FROM nation) AS t"""
 
 
-def engine_table(spark: SparkSession) -> DataFrame:
-    """The small registry."""
-    return literals(spark, ENGINES, "name string, bang string, family string, categories array<string>, enabled boolean, weight double, implemented boolean")
+def engine_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry: the small one, and an engine for each nation."""
+    fixed = literals(spark, ENGINES, "name string, bang string, family string, categories array<string>, enabled boolean, weight double, implemented boolean")
+    k = F.col("n_nationkey")
+    pick = lambda names, i: F.get(F.array(*[F.lit(x) for x in names]), i.cast("int"))
+    cats = F.when(k % 5 == 0, F.array(F.lit("it"), F.lit("news"))).otherwise(F.array(pick(("general", "science", "files"), k % 3)))
+    own = table(spark, sf_dir, "nation").select(F.lower("n_name"), F.concat(F.lit("n"), k.cast("string")), pick(("json_engine", "css_engine", "xpath", "tineye"), k % 4), cats, k % 7 != 0, k % 6 / 2, k % 8 != 3)
+    return fixed.union(own)
 
 
 _ASKED = "CASE conv_id % 4 WHEN 0 THEN '!al ' || text WHEN 1 THEN text || ' !IT !th' WHEN 2 THEN '!zz !! ' || text || ' !be !ga !al' ELSE '!news ' || text END"
@@ -234,20 +254,31 @@ _CATS = ", ".join(f"'{c}'" for c in bangs.CATEGORIES)
 
 @query(f"""
 WITH b AS (SELECT query_id, unnest(bangs) AS bang, generate_subscripts(bangs, 1) AS pos FROM ({_PARSED})),
-j AS (SELECT b.query_id, pos, CASE WHEN b.bang IN ({_CATS}) THEN b.bang END AS cat, CASE WHEN b.bang NOT IN ({_CATS}) THEN e.name END AS engine, e.categories[1] AS ecat FROM b LEFT JOIN {_ENGINES_SQL.replace('AS t(', 'AS e(')} ON b.bang = e.bang),
+j AS (SELECT b.query_id, pos, CASE WHEN b.bang IN ({_CATS}) THEN b.bang END AS cat, CASE WHEN b.bang NOT IN ({_CATS}) THEN e.name END AS engine, e.categories[1] AS ecat FROM b LEFT JOIN {_ENGINES_SQL.replace(') AS t', ') AS e')} ON b.bang = e.bang),
 f AS (SELECT query_id, coalesce(string_agg(engine, ',' ORDER BY pos), '') AS engines, arg_max(cat, pos) FILTER (cat IS NOT NULL) AS last_cat, arg_min(ecat, pos) FILTER (engine IS NOT NULL) AS first_ecat FROM j GROUP BY query_id)
 SELECT p.query_id, coalesce(engines, '') AS engines, coalesce(last_cat, first_ecat) AS category FROM ({_PARSED}) p LEFT JOIN f ON f.query_id = p.query_id""")
 def bang_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engines and category that the shortcuts of each query choose."""
-    out = bangs.resolve_bangs(asked(spark, sf_dir), engine_table(spark))
+    out = bangs.resolve_bangs(asked(spark, sf_dir), engine_table(spark, sf_dir))
     return out.withColumn("engines", F.array_join("engines", ","))
 
 
 SEARCHES = [(1, "general", [], None), (2, "it", ["theta", "nope", "eps"], None), (3, "news", ["nope"], None), (4, "general", ["mu", "alpha", "mu"], 1), (5, "general", [], 2), (6, "science", ["zeta"], None)]
+_SEARCHED = f"""SELECT * FROM {values_sql(SEARCHES, 'query_id, category, engines, max_engines')} UNION ALL
+ SELECT 1000 + conv_id, ['general', 'it', 'news', 'science', 'files'][1 + conv_id % 5], CASE conv_id % 3 WHEN 0 THEN ['nation_' || conv_id % 30, 'mu'] ELSE []::VARCHAR[] END, CASE WHEN conv_id % 2 = 0 THEN 3 END FROM conversations WHERE turn = 0"""
+
+
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed searches and one for each conversation."""
+    k = F.col("conv_id")
+    cat = F.get(F.array(*[F.lit(x) for x in ("general", "it", "news", "science", "files")]), (k % 5).cast("int"))
+    named = F.when(k % 3 == 0, F.array(F.concat(F.lit("nation_"), (k % 30).cast("string")), F.lit("mu"))).otherwise(F.array().cast("array<string>"))
+    own = table(spark, sf_dir, "conversations").where("turn = 0").select(k + 1000, cat, named, F.when(k % 2 == 0, 3))
+    return literals(spark, SEARCHES, "query_id long, category string, engines array<string>, max_engines int").union(own)
 
 
 @query(f"""
-WITH q AS (SELECT * FROM {values_sql(SEARCHES, 'query_id, category, engines, max_engines')}), e AS (SELECT * FROM {_ENGINES_SQL}),
+WITH q AS ({_SEARCHED}), e AS (SELECT * FROM {_ENGINES_SQL}),
 n AS (SELECT query_id, engine, min(pos) AS pos FROM (SELECT query_id, unnest(engines) AS engine, generate_subscripts(engines, 1) AS pos FROM q) GROUP BY ALL),
 u AS (SELECT n.query_id, n.engine, 0.0 AS w, pos, '' AS nm, false AS by_category FROM n JOIN e ON e.name = n.engine AND e.implemented),
 c AS (SELECT q.query_id, e.name, -e.weight, 0, e.name, true FROM q JOIN e ON list_contains(e.categories, q.category) AND e.implemented AND e.enabled AND e.family NOT IN ('currency_convert', 'translated', 'lingva', 'dictzone', 'tineye', 'mozhi') WHERE q.query_id NOT IN (SELECT query_id FROM u)),
@@ -255,24 +286,24 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w, pos, nm) -
 SELECT r.query_id::BIGINT AS query_id, engine, engine_ord::INT AS engine_ord, by_category FROM r JOIN q ON q.query_id = r.query_id WHERE engine_ord < coalesce(max_engines, 12)""")
 def engine_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engines that each search uses, in order."""
-    q = literals(spark, SEARCHES, "query_id long, category string, engines array<string>, max_engines int")
-    return registry.select_engines(q, engine_table(spark))[0]
+    q = searches(spark, sf_dir)
+    return registry.select_engines(q, engine_table(spark, sf_dir))[0]
 
 
 @query(f"""
-WITH q AS (SELECT * FROM {values_sql(SEARCHES, 'query_id, category, engines, max_engines')}), e AS (SELECT * FROM {_ENGINES_SQL}),
+WITH q AS ({_SEARCHED}), e AS (SELECT * FROM {_ENGINES_SQL}),
 n AS (SELECT DISTINCT query_id, unnest(engines) AS engine FROM q)
 SELECT query_id::BIGINT AS query_id, engine, CASE WHEN e.name IS NULL THEN 'unknown engine' ELSE 'engine not implemented' END AS error FROM n LEFT JOIN e ON e.name = n.engine WHERE e.name IS NULL OR NOT implemented""")
 def engine_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named engines that can't be used."""
-    q = literals(spark, SEARCHES, "query_id long, category string, engines array<string>, max_engines int")
-    return registry.select_engines(q, engine_table(spark))[1].drop("is_rate_limited")
+    q = searches(spark, sf_dir)
+    return registry.select_engines(q, engine_table(spark, sf_dir))[1].drop("is_rate_limited")
 
 
 @query(f"SELECT category, count(*) AS n, count_if(enabled)::BIGINT AS n_enabled, count_if(implemented)::BIGINT AS n_implemented FROM (SELECT unnest(categories) AS category, enabled, implemented FROM {_ENGINES_SQL}) GROUP BY 1")
 def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engines of each category."""
-    return registry.category_counts(engine_table(spark))
+    return registry.category_counts(engine_table(spark, sf_dir))
 
 
 def _engine_tables() -> str:
@@ -287,7 +318,12 @@ def _engine_tables() -> str:
 @query(f"SELECT name, upper(name) || ' (DE)' AS display, bang, family, enabled, 2500::BIGINT AS timeout_ms, weight, weight > 1 AS paging, false AS locale, true AS time_range, 2 AS wave, array_to_string(list_sort(categories), ',') AS categories FROM {_ENGINES_SQL}")
 def registry_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry rows read back from Markdown tables, engines of several tables merged."""
-    d = registry.from_tables(literals(spark, [(1, _engine_tables())], "doc long, text string"))
+    head = "| Engine | !bang | Module family | Default | Timeout | Weight | Paging | Locale | Safe | Range | Wave |\n|---|---|---|---|---|---|---|---|---|---|---|"
+    e = engine_table(spark, sf_dir).where("bang RLIKE '^n[0-9]+$'")
+    row = F.concat(F.lit("| "), F.upper("name"), F.lit(" (DE) | `!"), "bang", F.lit("` | `"), "family", F.lit("` | "), F.when(F.col("enabled"), F.lit("on")).otherwise("off"), F.lit(" | 2.5 | "), F.col("weight").cast("string"), F.lit(" | "), F.when(F.col("weight") > 1, F.lit("✓")).otherwise("—"), F.lit(" | n/a | — | ✓ | 2 |"))
+    tabs = F.array_join(F.transform("categories", lambda c: F.concat(F.lit("### Tab `!"), c, F.lit(f"`\n{head}\n"), row)), "\n")
+    own = e.select((F.substr("bang", F.lit(2)).cast("long") + 2).alias("doc"), tabs.alias("text"))
+    d = registry.from_tables(literals(spark, [(1, _engine_tables())], "doc long, text string").union(own))
     return d.select("name", "display", "bang", "family", "enabled", "timeout_ms", "weight", "paging", "locale", "time_range", "wave", F.array_join(F.array_sort("categories"), ",").alias("categories"))
 
 
@@ -295,13 +331,13 @@ def registry_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT {len(bangs.CATEGORIES)}, bang, name, 'engine' FROM {_ENGINES_SQL}) WHERE contains(bang, 'e') OR contains(lower(target), 'e')""")
 def bang_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortcuts with an e in them or in their target."""
-    return registry.bang_listing(engine_table(spark), "E")
+    return registry.bang_listing(engine_table(spark, sf_dir), "E")
 
 
 @query(f"SELECT name, CASE name WHEN 'delta' THEN true WHEN 'mu' THEN false ELSE enabled END AS enabled FROM {_ENGINES_SQL}")
 def engine_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry with two engines switched."""
-    return registry.switched(engine_table(spark), {"delta": True, "mu": False}).select("name", "enabled")
+    return registry.switched(engine_table(spark, sf_dir), {"delta": True, "mu": False}).select("name", "enabled")
 
 
 # --- fusion -------------------------------------------------------------------------------------
@@ -497,13 +533,15 @@ TYPES = [
 
 
 @query(f"""
-WITH t AS (SELECT header, lower(trim(split_part(header, ';', 1))) AS t FROM {values_sql(TYPES, 'header, kind, fence')}),
+WITH t AS (SELECT header, lower(trim(split_part(header, ';', 1))) AS t FROM (SELECT header FROM {values_sql(TYPES, 'header, kind, fence')} UNION ALL SELECT 'application/vnd.' || event_type || CASE event_id % 3 WHEN 0 THEN '+json' WHEN 1 THEN '+xml; v=' ELSE ' ;' END || event_id FROM events)),
 k AS (SELECT header, t, CASE WHEN t LIKE '%html%' THEN 'Html' WHEN t LIKE '%json' THEN 'Json' WHEN t LIKE '%xml' THEN 'Xml' WHEN t LIKE 'text/%' OR regexp_matches(t, 'script|yaml|csv|-sh$|python') THEN 'Text' END AS kind FROM t)
 SELECT header, kind, CASE kind WHEN 'Json' THEN 'json' WHEN 'Xml' THEN 'xml' WHEN 'Text' THEN CASE WHEN t LIKE '%-sh' THEN 'bash' WHEN t LIKE '%tab-separated%' THEN 'tsv' ELSE nullif(regexp_extract(t, '(csv|yaml|javascript|typescript|css|python|diff)', 1), '') END END AS fence FROM k""")
 def kind_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind and fence of content types."""
     t = kinds.media_type(F.col("header"))
-    d = literals(spark, [(x[0],) for x in TYPES], "header string")
+    k = F.col("event_id")
+    own = F.concat(F.lit("application/vnd."), "event_type", F.when(k % 3 == 0, F.lit("+json")).when(k % 3 == 1, F.lit("+xml; v=")).otherwise(F.lit(" ;")), k.cast("string"))
+    d = literals(spark, [(x[0],) for x in TYPES], "header string").union(table(spark, sf_dir, "events").select(own))
     return d.select("header", kinds.kind_of_type(t).alias("kind"), kinds.fence_language(kinds.kind_of_type(t), t).alias("fence"))
 
 
@@ -511,10 +549,12 @@ BODIES = [(1, '  {"a": 1}'), (2, "[1]"), (3, "<?xml version='1.0'?><a/>"), (4, "
 
 
 @query(rf"""SELECT id::BIGINT AS id, CASE WHEN regexp_matches(b, '^[{{\[]') THEN 'Json' WHEN regexp_matches(b, '^(?i)(<!doctype html|<html)') THEN 'Html' WHEN starts_with(b, '<') THEN 'Xml' ELSE 'Text' END AS kind
- FROM (SELECT id, ltrim(body, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS b FROM (SELECT * FROM {values_sql(BODIES, 'id, body')} UNION ALL SELECT 1000 + page_id, html FROM pages))""")
+ FROM (SELECT id, ltrim(body, ' ' || chr(9) || chr(10) || chr(12) || chr(13)) AS b FROM (SELECT * FROM {values_sql(BODIES, 'id, body')} UNION ALL SELECT 1000 + page_id, html FROM pages UNION ALL SELECT -1 - event_id, repeat(' ' || chr(10), (event_id % 50 * 100)::INT) || props FROM events))""")
 def body_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of bodies without a type."""
     d = literals(spark, BODIES, "id long, body string").union(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), "html"))
+    padded = F.concat(F.expr("repeat(' \\n', CAST(event_id % 50 * 100 AS INT))"), "props")
+    d = d.union(table(spark, sf_dir, "events").select((-1 - F.col("event_id")).alias("id"), padded))
     return d.select("id", kinds.sniff(F.col("body")).alias("kind"))
 
 
@@ -522,10 +562,14 @@ ANSWERS = [(1, "100 usd to eur"), (2, "gbp in jpy"), (3, "2.5 CHF = SEK?"), (4,
 
 
 @query("""SELECT * FROM (VALUES (1::BIGINT, 100.0::DOUBLE, 'USD', 'EUR', NULL, NULL, NULL), (2, 1.0, 'GBP', 'JPY', NULL, NULL, NULL), (3, 2.5, 'CHF', 'SEK', NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL, NULL),
- (5, NULL, NULL, NULL, 'guten Morgen', 'de', 'en'), (6, NULL, NULL, NULL, 'good evening friends', 'en', 'fr')) AS t(id, amount, code_from, code_to, phrase, lang_from, lang_to)""")
+ (5, NULL, NULL, NULL, 'guten Morgen', 'de', 'en'), (6, NULL, NULL, NULL, 'good evening friends', 'en', 'fr')) AS t(id, amount, code_from, code_to, phrase, lang_from, lang_to)
+UNION ALL SELECT 1000 + event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 977 + 1)::DOUBLE END, CASE WHEN event_id % 3 = 0 THEN 'USD' END, CASE WHEN event_id % 3 = 0 THEN 'JPY' END, CASE WHEN event_id % 3 = 1 THEN 'some ' || event_type END, CASE WHEN event_id % 3 = 1 THEN 'en' END, CASE WHEN event_id % 3 = 1 THEN 'fr' END FROM events""")
 def instant_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Currency and translation queries, parsed; the oracle states the parts."""
-    d = literals(spark, ANSWERS, "id long, q string").select("id", text.parse_currency(F.col("q")).alias("c"), text.parse_translation(F.col("q")).alias("t"))
+    """Currency and translation queries, parsed: fixed ones and one for each event; the oracle states the parts."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    own = F.when(k % 3 == 0, F.concat((k % 977 + 1).cast("string"), F.lit(" usd to jpy"))).when(k % 3 == 1, F.concat(F.lit("en fr some "), kind)).otherwise(F.concat(F.lit("about "), kind, F.lit(" today")))
+    d = literals(spark, ANSWERS, "id long, q string").union(table(spark, sf_dir, "events").select(k + 1000, own))
+    d = d.select("id", text.parse_currency(F.col("q")).alias("c"), text.parse_translation(F.col("q")).alias("t"))
     return d.select("id", F.col("c.amount").alias("amount"), F.col("c.from").alias("code_from"), F.col("c.to").alias("code_to"), F.col("t.text").alias("phrase"), F.col("t.from").alias("lang_from"), F.col("t.to").alias("lang_to"))
 
 
@@ -647,12 +691,18 @@ LADDER = [(1, False, None, None, None, None), (2, True, 200, None, None, None),
 
 
 @query(f"""
-WITH l AS (SELECT id, spa, coalesce(reader, 0) AS reader, coalesce(keyed, 0) AS keyed, coalesce(headless, false) AS headless, coalesce(waited, false) AS waited FROM {values_sql(LADDER, 'id, spa, reader, keyed, headless, waited')}),
+WITH l AS (SELECT id, spa, coalesce(reader, 0) AS reader, coalesce(keyed, 0) AS keyed, coalesce(headless, false) AS headless, coalesce(waited, false) AS waited FROM (SELECT * FROM {values_sql(LADDER, 'id, spa, reader, keyed, headless, waited')} UNION ALL
+  SELECT 1000 + event_id, event_id % 2 = 0, CASE event_id // 2 % 4 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 500 END, CASE event_id // 8 % 4 WHEN 0 THEN 204 WHEN 1 THEN 429 WHEN 2 THEN 503 END, CASE event_id // 32 % 3 WHEN 0 THEN true WHEN 1 THEN false END, CASE event_id // 96 % 3 WHEN 0 THEN true WHEN 1 THEN false END FROM events)),
 m AS (SELECT id, CASE WHEN NOT spa THEN 'StaticDirect' WHEN reader // 100 = 2 OR reader = 429 AND keyed // 100 = 2 THEN 'JinaReader' WHEN reader <> 429 THEN 'DegradedStatic' WHEN headless THEN 'LocalHeadless' WHEN waited THEN 'JinaReader' ELSE 'DegradedStatic' END AS method FROM l)
 SELECT id::BIGINT AS id, method, method = 'DegradedStatic' AS warned FROM m""")
 def render_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every branch of the rendering ladder."""
+    """Every branch of the rendering ladder, by fixed outcomes and by those of an attempt for each event."""
     d = literals(spark, LADDER, "id long, spa boolean, reader int, keyed int, headless boolean, waited boolean")
+    k = F.col("event_id")
+    part = lambda by, n: F.floor(k / by) % n
+    status = lambda by, good, bad: F.when(part(by, 4) == 0, good).when(part(by, 4) == 1, 429).when(part(by, 4) == 2, bad)
+    flag = lambda by: F.when(part(by, 3) == 0, True).when(part(by, 3) == 1, False)
+    d = d.union(table(spark, sf_dir, "events").select(k + 1000, k % 2 == 0, status(2, 200, 500), status(8, 204, 503), flag(32), flag(96)))
     return d.select("id", ladder.ladder(*[F.col(c) for c in ("spa", "reader", "keyed", "headless", "waited")]).alias("l")).select("id", F.col("l.method").alias("method"), F.col("l.warning").isNotNull().alias("warned"))
 
 
@@ -779,14 +829,18 @@ FALLBACKS = [(1, '[{"t":"a","u":"https://x/1"},{"t":null,"s":"other","u":"https:
 
 
 @query(f"""
-WITH i AS (SELECT unnest(json_extract(payload, '$[*]')) AS j, generate_subscripts(json_extract(payload, '$[*]'), 1) AS pos FROM {values_sql(FALLBACKS, 'query_id, payload')}),
-f AS (SELECT pos, json_exists(j, '$.t') AS has, coalesce(trim(json_extract_string(j, '$.t')), '') AS t, coalesce(trim(json_extract_string(j, '$.s')), '') AS s, json_extract_string(j, '$.u') AS url FROM i)
-SELECT row_number() OVER (ORDER BY pos)::INT AS rank, CASE WHEN has THEN t ELSE s END AS title, url FROM f WHERE url IS NOT NULL""")
+WITH r AS (SELECT * FROM {values_sql(FALLBACKS, 'query_id, payload')} UNION ALL SELECT 1000 + event_id, '[' || CASE event_id % 4 WHEN 0 THEN '{{"t":null,"s":"x","u":1}},' WHEN 1 THEN '{{"s":"' || event_type || '","u":2}},' WHEN 2 THEN '{{"t":" ","s":"y"}},' ELSE '' END || '{{"t":"' || event_type || '","u":' || event_id || '}}]' FROM events),
+i AS (SELECT query_id, unnest(json_extract(payload, '$[*]')) AS j, generate_subscripts(json_extract(payload, '$[*]'), 1) AS pos FROM r),
+f AS (SELECT query_id, pos, json_exists(j, '$.t') AS has, coalesce(trim(json_extract_string(j, '$.t')), '') AS t, coalesce(trim(json_extract_string(j, '$.s')), '') AS s, json_extract_string(j, '$.u') AS url FROM i)
+SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos)::INT AS rank, CASE WHEN has THEN t ELSE s END AS title, url FROM f WHERE url IS NOT NULL""")
 def json_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fallback paths, nulls, blanks, numbers."""
-    d = literals(spark, FALLBACKS, "query_id long, payload string").withColumn("engine", F.lit("e"))
+    """Fallback paths, nulls, blanks, numbers: in a fixed reply and in one for each event."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    first = F.when(k % 4 == 0, F.lit('{"t":null,"s":"x","u":1},')).when(k % 4 == 1, F.concat(F.lit('{"s":"'), kind, F.lit('","u":2},'))).when(k % 4 == 2, F.lit('{"t":" ","s":"y"},')).otherwise("")
+    own = table(spark, sf_dir, "events").select(k + 1000, F.concat(F.lit("["), first, F.lit('{"t":"'), kind, F.lit('","u":'), k.cast("string"), F.lit("}]")))
+    d = literals(spark, FALLBACKS, "query_id long, payload string").union(own).withColumn("engine", F.lit("e"))
     f = json_replies.Field
-    return json_replies.extract(d, json_replies.Spec(None, f("t", "s"), f("u"))).select("rank", "title", "url")
+    return json_replies.extract(d, json_replies.Spec(None, f("t", "s"), f("u"))).select("query_id", "rank", "title", "url")
 
 
 @query("""
@@ -806,13 +860,17 @@ ATOM = '<feed><title>q</title><entry><id>http://arxiv.org/abs/2101.1v1</id><titl
 
 
 @query(f"""
-WITH e AS (SELECT unnest(regexp_extract_all(payload, '(?s)<entry>(.*?)</entry>', 1)) AS e, unnest(range(1, 4)) AS pos FROM {values_sql([(ATOM,)], 'payload')}),
-f AS (SELECT pos, regexp_extract(e, '(?s)<title>(.*?)</title>', 1) AS t, trim(regexp_extract(e, '(?s)<id>(.*?)</id>', 1)) AS url, regexp_extract(e, '(?s)<summary>(.*?)</summary>', 1) AS s, left(regexp_extract(e, '(?s)<published>(.*?)</published>', 1), 10) AS d FROM e)
-SELECT row_number() OVER (ORDER BY pos)::INT AS rank, trim(regexp_replace(replace(t, '&amp;', '&'), '\\s+', ' ', 'g')) AS title, url, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS snippet, nullif(d, '') AS published_date FROM f WHERE url <> '' AND t <> ''""")
+WITH p AS (SELECT 0 AS query_id, payload FROM {values_sql([(ATOM,)], 'payload')} UNION ALL SELECT 1 + event_id, '<feed>' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '<entry><id> http://a.test/' || event_id || ' </id><title>' || event_type || ' &amp;' || chr(10) || ' more</title><published>' || strftime(ts, '%Y-%m-%d') || 'T01:02:03Z</published></entry>' END || '<entry><title>no id</title></entry></feed>' FROM events),
+a AS (SELECT query_id, regexp_extract_all(payload, '(?s)<entry>(.*?)</entry>', 1) AS es FROM p), e AS (SELECT query_id, unnest(es) AS e, unnest(range(1, len(es) + 1)) AS pos FROM a),
+f AS (SELECT query_id, pos, regexp_extract(e, '(?s)<title>(.*?)</title>', 1) AS t, trim(regexp_extract(e, '(?s)<id>(.*?)</id>', 1)) AS url, regexp_extract(e, '(?s)<summary>(.*?)</summary>', 1) AS s, left(regexp_extract(e, '(?s)<published>(.*?)</published>', 1), 10) AS d FROM e)
+SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos)::INT AS rank, trim(regexp_replace(replace(t, '&amp;', '&'), '\\s+', ' ', 'g')) AS title, url, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS snippet, nullif(d, '') AS published_date FROM f WHERE url <> '' AND t <> ''""")
 def atom_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a feed."""
-    d = literals(spark, [(1, "arxiv", ATOM)], "query_id long, engine string, payload string")
-    return feeds.atom(d).select("rank", "title", "url", "snippet", "published_date")
+    """Entries of a fixed feed and of one for each event."""
+    k = F.col("event_id")
+    entry = F.concat(F.lit("<entry><id> http://a.test/"), k.cast("string"), F.lit(" </id><title>"), "event_type", F.lit(" &amp;\n more</title><published>"), F.date_format("ts", "yyyy-MM-dd"), F.lit("T01:02:03Z</published></entry>"))
+    own = F.concat(F.lit("<feed>"), F.when(k % 3 == 0, F.lit("")).otherwise(entry), F.lit("<entry><title>no id</title></entry></feed>"))
+    d = literals(spark, [(0, "arxiv", ATOM)], "query_id long, engine string, payload string").union(table(spark, sf_dir, "events").select(k + 1, F.lit("arxiv"), own))
+    return feeds.atom(d).select("query_id", "rank", "title", "url", "snippet", "published_date")
 
 
 @query(r"""

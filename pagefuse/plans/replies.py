@@ -28,10 +28,16 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
-def listed(df: DataFrame, group: str, order: str, item: Column, engine: str = "e") -> DataFrame:
-    """(query_id, engine, items): the items of each group, in order."""
+def listed(df: DataFrame, group: str | Column, order: str, item: Column, engine: str = "e") -> DataFrame:
+    """(query_id, engine, items): the items of each group, in order; a reply's list is bounded, so groups of growing tables go by a key that bounds them."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), item.alias("v"))))
-    return df.groupBy(F.col(group).cast("long").alias("query_id")).agg(F.transform(pairs, lambda p: p["v"]).alias("items")).withColumn("engine", F.lit(engine))
+    group = F.col(group) if isinstance(group, str) else group
+    return df.groupBy(group.cast("long").alias("query_id")).agg(F.transform(pairs, lambda p: p["v"]).alias("items")).withColumn("engine", F.lit(engine))
+
+
+def twenty(key: str) -> Column:
+    """Twenty keys a group."""
+    return F.floor(F.col(key) / 20)
 
 
 def reply(df: DataFrame, body: Column) -> DataFrame:
@@ -45,12 +51,12 @@ def at(name: str) -> Column:
 
 
 @query("""
-SELECT p_size::BIGINT AS query_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey)::INT AS rank, p_name AS title, 'https://wiki.test/wiki/' || replace(p_name, ' ', '_') AS url,
+SELECT (p_partkey // 20)::BIGINT AS query_id, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey)::INT AS rank, p_name AS title, 'https://wiki.test/wiki/' || replace(p_name, ' ', '_') AS url,
  p_type || ' & ' || p_brand AS snippet, '2020-01-0' || (1 + p_partkey % 9) AS published_date FROM part""")
 def wiki_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search lists of a wiki: addresses from titles, snippets without tags and entities."""
     item = F.struct(c("p_name").alias("title"), text_of("<b>", c("p_type"), "</b> &amp; ", c("p_brand")).alias("snippet"), text_of("2020-01-0", 1 + c("p_partkey") % 9).alias("timestamp"))
-    d = listed(table(spark, sf_dir, "part"), "p_size", "p_partkey", item)
+    d = listed(table(spark, sf_dir, "part"), twenty("p_partkey"), "p_partkey", item)
     h = families.mediawiki(reply(d, F.struct(F.struct(c("items").alias("search")).alias("query"))), "wiki.test")
     return h.select("query_id", "rank", "title", "url", "snippet", "published_date")
 
@@ -122,23 +128,23 @@ def social_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_nationkey::BIGINT AS query_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT AS rank, 'org/' || s_name AS title, 'https://huggingface.co/org/' || s_name AS url,
+SELECT (s_suppkey // 20)::BIGINT AS query_id, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey)::INT AS rank, 'org/' || s_name AS title, 'https://huggingface.co/org/' || s_name AS url,
  CASE WHEN s_suppkey % 4 = 0 THEN '0' ELSE s_suppkey::VARCHAR END AS likes, (s_suppkey * 10)::VARCHAR AS downloads, CASE WHEN s_suppkey % 2 = 0 THEN 'text' END AS pipeline_tag FROM supplier""")
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models of a hub, a list without a frame."""
     k = c("s_suppkey")
     item = F.struct(text_of("org/", c("s_name")).alias("id"), F.when(k % 4 != 0, k).alias("likes"), (k * 10).alias("downloads"), F.when(k % 2 == 0, F.lit("text")).alias("pipeline_tag"))
-    h = families.model_hub(reply(listed(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", item), c("items")))
+    h = families.model_hub(reply(listed(table(spark, sf_dir, "supplier"), twenty("s_suppkey"), "s_suppkey", item), c("items")))
     return h.select("query_id", "rank", "title", "url", at("likes"), at("downloads"), at("pipeline_tag"))
 
 
 @query("""
-SELECT s_nationkey::BIGINT AS query_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey::VARCHAR)::INT AS rank, s_name || '.png' AS title, 'https://c.test/f/' || s_suppkey AS url, 'https://c.test/t/' || s_suppkey AS thumbnail_url FROM supplier""")
+SELECT (s_suppkey // 20)::BIGINT AS query_id, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey::VARCHAR)::INT AS rank, s_name || '.png' AS title, 'https://c.test/f/' || s_suppkey AS url, 'https://c.test/t/' || s_suppkey AS thumbnail_url FROM supplier""")
 def media_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media files from an object of pages, by page key."""
     k = c("s_suppkey")
     item = F.struct(text_of("File:", c("s_name"), ".png").alias("title"), F.array(F.struct(text_of("https://c.test/f/", k).alias("descriptionurl"), text_of("https://c.test/t/", k).alias("thumburl"))).alias("imageinfo"))
-    d = listed(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", F.struct(k.cast("string").alias("key"), item.alias("value")))
+    d = listed(table(spark, sf_dir, "supplier"), twenty("s_suppkey"), "s_suppkey", F.struct(k.cast("string").alias("key"), item.alias("value")))
     h = families.commons(reply(d, F.struct(F.struct(F.map_from_entries("items").alias("pages")).alias("query"))))
     return h.select("query_id", "rank", "title", "url", "thumbnail_url")
 
@@ -195,15 +201,15 @@ def mainline_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_nationkey::BIGINT AS query_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC)::INT AS rank, s_name AS title, 'https://pubmed.ncbi.nlm.nih.gov/' || s_suppkey || '/' AS url,
+SELECT (s_suppkey // 20)::BIGINT AS query_id, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey DESC)::INT AS rank, s_name AS title, 'https://pubmed.ncbi.nlm.nih.gov/' || s_suppkey || '/' AS url,
  'J' || s_suppkey % 3 || ' · ' || CASE WHEN s_suppkey % 2 = 0 THEN 'A, B, C, et al.' ELSE '…' END || ' · 2020' AS snippet, s_suppkey::VARCHAR AS pmid FROM supplier WHERE s_suppkey % 5 <> 4""")
 def id_list_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two steps: an id list and an object of summaries, which lacks some; hits in the order of the list."""
     k, s = c("s_suppkey"), table(spark, sf_dir, "supplier")
-    ids = listed(s.withColumn("o", -k), "s_nationkey", "o", k.cast("string"))
+    ids = listed(s.withColumn("o", -k), twenty("s_suppkey"), "o", k.cast("string"))
     authors = F.when(k % 2 == 0, F.array(*[F.struct(F.lit(x).alias("name")) for x in "ABCD"])).otherwise(F.array().cast("array<struct<name:string>>"))
     item = F.struct(c("s_name").alias("title"), text_of("J", k % 3).alias("source"), authors.alias("authors"), F.lit("2020").alias("pubdate"))
-    docs = listed(s.where("s_suppkey % 5 <> 4"), "s_nationkey", "s_suppkey", F.struct(k.cast("string").alias("key"), item.alias("value")))
+    docs = listed(s.where("s_suppkey % 5 <> 4"), twenty("s_suppkey"), "s_suppkey", F.struct(k.cast("string").alias("key"), item.alias("value")))
     h = families.pubmed(reply(ids, F.struct(F.struct(c("items").alias("idlist")).alias("esearchresult"))), reply(docs, F.struct(F.map_from_entries("items").alias("result"))))
     return h.select("query_id", "rank", "title", "url", "snippet", at("pmid"))
 
@@ -264,7 +270,7 @@ def translation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT s_nationkey::BIGINT AS q, s_suppkey AS k, s_name AS name FROM supplier)
+WITH s AS (SELECT (s_suppkey // 20)::BIGINT AS q, s_suppkey AS k, s_name AS name FROM supplier)
 SELECT q AS query_id, 'gitea' AS engine, row_number() OVER (PARTITION BY q ORDER BY k)::INT AS rank, 'o/' || name AS title, 'https://g.test/' || k AS url, CASE WHEN k % 2 = 0 THEN 'about ' || name ELSE '' END AS snippet, k::VARCHAR AS extra FROM s
 UNION ALL SELECT q, 'wikidata', row_number() OVER (PARTITION BY q ORDER BY k)::INT, name, 'https://d.test/' || k, 'd', 'Q' || k FROM s
 UNION ALL SELECT q, 'crates.io', row_number() OVER (PARTITION BY q ORDER BY k)::INT, name, 'https://crates.io/crates/' || name, 'x y', NULL FROM s
@@ -282,7 +288,7 @@ def spec_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     out = None
     for engine, (item, frame, extra) in made.items():
-        h = factory.interpret(reply(listed(s, "s_nationkey", "s_suppkey", item, engine), frame(c("items"))), engine)
+        h = factory.interpret(reply(listed(s, twenty("s_suppkey"), "s_suppkey", item, engine), frame(c("items"))), engine)
         h = h.select("query_id", "engine", "rank", "title", "url", "snippet", c("metadata")[extra].alias("extra"))
         out = h if out is None else out.unionByName(h)
     return out

@@ -175,6 +175,8 @@ def test_clean_page():
 def test_decode_and_links():
     assert htmlclean.decode('<meta charset="iso-8859-1">é'.encode("latin-1")).endswith("é")
     assert htmlclean.decode(b"\xef\xbb\xbfok") == "ok"
+    late = "x" * 70_000 + "これは日本語の文章です。かなと漢字。"
+    assert htmlclean.decode(late.encode("shift_jis")) == late  # what comes first does not decide
     assert htmlclean.decode("é".encode("latin-1"), "iso-8859-1") == "é"
     assert htmlclean.rewrite_links("a [b [c] d](u(1)) e", "strip") == "a b [c] d e"
     assert htmlclean.rewrite_links("[a](u) [b](v) [c](u)", "footnotes") == "a[1] b[2] c[1]\n\n[1]: u\n[2]: v"
