@@ -187,12 +187,12 @@ def v4_number(ip: Column) -> Column:
     return F.when(F.forall(octets, lambda o: o <= 255), F.aggregate(octets, F.lit(0).cast("long"), lambda n, o: n * 256 + o))
 
 
+_RANGES_V4 = ", ".join(f"struct({int(n.network_address)}L AS lo, {int(n.broadcast_address)}L AS hi)" for n in map(ipaddress.ip_network, BLOCKED_V4))
+
+
 def number_blocked(n: Column) -> Column:
     """Whether an IPv4 address, as a number, is not public; null for null."""
-    out = F.lit(False)
-    for net in map(ipaddress.ip_network, BLOCKED_V4):
-        out = out | n.between(int(net.network_address), int(net.broadcast_address))
-    return F.when(n.isNotNull(), out)
+    return F.exists(F.expr(f"array({_RANGES_V4})"), lambda r: n.between(r["lo"], r["hi"]))
 
 
 def ipv4_blocked(ip: Column) -> Column:
@@ -296,11 +296,10 @@ def number_host(host: Column) -> Column:
 
 def guarded_host(url: Column) -> Column:
     """The host as a browser asks for it: numbers as addresses, other forms of letters, digits and dots as ASCII, no dot at the end; null where a number is no address."""
-    u = F.trim(url)
-    u = F.when(u.rlike(r"[\t\n\r\\\\]|^(?i)https?:(?!//[^/])"), F.regexp_replace(F.regexp_replace(u, r"[\t\n\r]", ""), r"^(?i)(https?):[/\\\\]*", "$1://")).otherwise(u)
-    h = F.regexp_extract(host_of(u), r"^[^\\\\]*", 0)
-    h = F.when(h.contains("%"), F.lower(F.coalesce(F.try_url_decode(h), h))).otherwise(h)
-    h = F.when(h.rlike(r"[^\x00-\x7f]"), F.translate(h, *_as_ascii())).otherwise(h)
+    odd = r"[\t\n\r\\\\]|^(?i)https?:(?!//[^/])"
+    u = once(F.trim(url), lambda x: F.when(x.rlike(odd), F.regexp_replace(F.regexp_replace(x, r"[\t\n\r]", ""), r"^(?i)(https?):[/\\\\]*", "$1://")).otherwise(x))
+    h = once(F.regexp_extract(host_of(u), r"^[^\\\\]*", 0), lambda x: F.when(x.contains("%"), F.lower(F.coalesce(F.try_url_decode(x), x))).otherwise(x))
+    h = once(h, lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), F.translate(x, *_as_ascii())).otherwise(x))
     return once(F.regexp_replace(h, r"\.$", ""), lambda x: F.when(x.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$") & ~x.contains(":"), number_host(x)).otherwise(x))
 
 
