@@ -178,16 +178,28 @@ def verify(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(ta.tidy(run), "a long, b long")
 
 
-def residual_links(rows: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+#: Pairs of blocks that a cell compares, on average.
+CELL_PAIRS = 32
+
+
+def block_pairs(buckets: DataFrame) -> int:
+    """Pairs of blocks of all buckets (``blocks``)."""
+    n = F.col("blocks").cast("double")
+    return int(buckets.agg(F.sum(n * (n + 1) / 2)).first()[0] or 0)
+
+
+def residual_links(rows: DataFrame, items: DataFrame, percent: int, pairs_in_all: int = 0) -> DataFrame:
     """Edges between components within a bucket, by pairs of blocks; ``rows``: (band, key, hub, blocks, id, f1, comp).
 
     Pairs of blocks are dealt to cells by the bucket's smallest class, which the
     buckets of a group share from band to band, so a cell gets the set of a class
-    once for all of them.  ``items`` has (id, f1, bands, items).
+    once for all of them.  There are cells enough that each gets ``CELL_PAIRS``
+    of the ``pairs_in_all`` on average at most, whatever the table's size or
+    settings.  ``items`` has (id, f1, bands, items).
     """
     own = F.pmod(F.xxhash64("id", "f1"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
-    cells = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs_in_all // CELL_PAIRS))
     tasks = rows.select("band", "key", "hub", "id", "f1", "comp", own.alias("own"), F.explode(pairs).alias("t")).select("*", "t.lo", "t.hi").drop("t")
     tasks = tasks.withColumn("cell", F.pmod(F.xxhash64("hub", "lo", "hi"), F.lit(cells))).drop("hub")
     wanted = tasks.select(F.col("cell").alias("at"), F.col("id").alias("a"), F.col("f1").alias("fa")).distinct()
@@ -255,7 +267,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, bands: i
     open_ = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_ = written(open_.select("band", "key", F.ceil(F.greatest(F.col("c") / block, 8 * F.col("n") / BLOCK_BYTES)).cast("int").alias("blocks")))
     rest = placed.drop("n").join(open_, ["band", "key"])
-    more = written(residual_links(rest, items.join(reps.select("id", "f1", "bands"), ["id", "f1"]), percent))
+    more = written(residual_links(rest, items.join(reps.select("id", "f1", "bands"), ["id", "f1"]), percent, block_pairs(open_)))
     if not more.isEmpty():
         comp = min_label_components(edges.union(more))
     of_rep = reps.select("f1", "f2", F.col("id").alias("rep")).join(comp, F.col("rep") == F.col("node"), "left")

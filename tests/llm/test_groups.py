@@ -62,7 +62,7 @@ def test_minhash(spark, shingle, percent, block):
 
 
 @pytest.mark.parametrize("blocks", [1, 7])
-def test_one_large_open_bucket(spark, blocks):
+def test_one_large_open_bucket(spark, blocks, monkeypatch):
     """A bucket of many components, compared in blocks over cells: the links join what brute force joins."""
     rng = np.random.default_rng(4)
     base = [rng.integers(0, 2**40, 30).astype(np.uint64) for _ in range(300)]
@@ -71,7 +71,13 @@ def test_one_large_open_bucket(spark, blocks):
     bands = [[7, int(rng.integers(0, 50))] for _ in ids]
     rows = spark.createDataFrame([(b, k, 5, blocks, i, i * 3, i) for i, keys in zip(ids, bands, strict=True) for b, k in enumerate(keys)], "band int, key long, hub long, blocks int, id long, f1 long, comp long")
     items = spark.createDataFrame([(i, i * 3, k, bytearray(s.tobytes())) for i, k, s in zip(ids, bands, sets, strict=True)], "id long, f1 long, bands array<long>, items binary")
-    got = [(r.a, r.b) for r in minhash.residual_links(rows, items, 80).collect()]
+    pairs = minhash.block_pairs(rows.select("band", "key", "blocks").distinct())
+    assert pairs == 51 * blocks * (blocks + 1) // 2
+    monkeypatch.setattr(minhash, "CELL_PAIRS", 2)
+    links = minhash.residual_links(rows, items, 80, pairs)
+    cells = max(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), pairs // 2)
+    assert f", {cells})" in links._jdf.queryExecution().optimizedPlan().toString()  # cells follow the pairs
+    got = [(r.a, r.b) for r in links.collect()]
     want = []
     for i in range(1500):
         for j in range(i % 300, i, 300):
