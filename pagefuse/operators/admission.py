@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 #: Stands for infinity: sums of two stay within 64 bits.
 FAR = np.int64(1) << np.int64(60)
-#: Seconds of a stretch.
+#: Seconds of a stretch, at least.
 STRETCH = 1 << 15
 #: Groups into which the calls of one key and second are dealt before they are ranked.
 DEALT = 64
@@ -107,10 +107,13 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes | None,
         yield from flush(pa.Table.from_batches(held))
 
 
-def per_second(counts: DataFrame, limit: int, seconds: int, stretch: int = STRETCH) -> DataFrame:
-    """``key``, ``ts`` and ``admitted``, the calls that are let through in each second, from one row (``key`` binary, ``ts``, ``n``) for each second with calls."""
+def per_second(counts: DataFrame, limit: int, seconds: int, stretch: int | None = None) -> DataFrame:
+    """``key``, ``ts`` and ``admitted``, the calls that are let through in each second, from one row (``key`` binary, ``ts``, ``n``) for each second with calls.
+
+    Longer windows have longer stretches, so that a key's matrices stay below the size of its seconds.
+    """
     w = seconds + 1
-    length = -(-stretch // w) * w  # whole blocks
+    length = -(-(stretch or max(STRETCH, 4 * w * w)) // w) * w  # whole blocks
     d = counts.select("key", F.floor(F.col("ts") / length).cast("long").alias("stretch"), "ts", F.col("n").cast("long").alias("n"))
     # stretches that follow another with calls in its last ``seconds``
     spans = d.groupBy("key", "stretch").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
@@ -159,7 +162,7 @@ def per_second(counts: DataFrame, limit: int, seconds: int, stretch: int = STRET
     return dealt(every).mapInArrow(solved, "key binary, ts long, admitted long")
 
 
-def admitted(calls: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int, stretch: int = STRETCH) -> DataFrame:
+def admitted(calls: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int, stretch: int | None = None) -> DataFrame:
     """``key``, ``ts``, ``id`` and ``admitted`` of each call; calls of one second go by ``order``, those without a time are not admitted.
 
     A key with all calls is spread over its seconds, one second with all of

@@ -14,11 +14,14 @@ LIMIT, WINDOW = 20, 60
 def calls_in_window(calls: DataFrame, key: str = "key", ts: str = "ts", seconds: int = WINDOW) -> DataFrame:
     """Each call with the number of calls of its key in the ``seconds`` before it, both ends included.
 
-    A key is cut into stretches of ``seconds``, each sorted with the one before
-    it, so a key with very many calls is spread over its time.
+    A key is cut into stretches of 64 windows, so one with very many calls is
+    spread over its time; only calls in the last window of a stretch are sorted
+    with the next one as well.
     """
-    own = F.floor(F.col(ts) / seconds)
-    d = calls.withColumn("__own", own).withColumn("__part", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    length = 64 * max(seconds, 1)
+    own = F.floor(F.col(ts) / length)
+    parts = F.when(F.col(ts) - own * length >= length - seconds, F.array(own, own + 1)).otherwise(F.array(own))
+    d = calls.withColumn("__own", own).withColumn("__part", F.explode(parts))
     w = Window.partitionBy(key, "__part").orderBy(ts).rangeBetween(-seconds, 0)
     return d.withColumn("in_window", F.count(F.lit(1)).over(w)).where("__own = __part").drop("__own", "__part")
 
