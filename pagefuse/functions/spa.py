@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +9,9 @@ from pyspark.sql import functions as F
 ROOTS = ['id="root"', 'id="app"', 'id="__next"', 'id="app-root"', "<app-root"]
 #: Phrases for browsers without scripts.
 NOSCRIPT = ["you need to enable javascript to run this app", "javascript is disabled in your browser", "please turn on javascript and refresh the page", "enable javascript and refresh the page to view", "this application requires javascript"]
+#: Names of the reasons; that of other roots is under None.
+BARE, PHRASE, DENSE = "large-html-with-almost-no-visible-text", "noscript-fallback-warning", "high-script-density-no-content-tags"
+NAMES = {'id="__next"': "empty-next-root", 'id="app-root"': "empty-angular-root", "<app-root": "empty-angular-root", None: "empty-framework-root"}
 LARGE_BYTES, LITTLE_TEXT, MANY_SCRIPTS = 20 * 1024, 250, 5
 
 
@@ -23,10 +24,9 @@ def _empty(lower: Column, root: str) -> Column:
 def reasons(html: Column, visible: Column) -> Column:
     """Why a page looks client-rendered: an array of reasons, empty for none.  ``visible`` counts its text."""
     low = F.lower(html)
-    name = {'id="__next"': "empty-next-root", 'id="app-root"': "empty-angular-root", "<app-root": "empty-angular-root"}
     root = F.lit(None).cast("string")
     for r in reversed(ROOTS):
-        found = F.lit(name.get(r, "empty-framework-root"))
+        found = F.lit(NAMES.get(r, NAMES[None]))
         if r == 'id="__next"':  # with page data in it the server has rendered; the scan ends all the same
             found = F.when(~low.contains("__next_data__"), found)
         root = F.when(_empty(low, r), found).otherwise(root)
@@ -36,29 +36,22 @@ def reasons(html: Column, visible: Column) -> Column:
     dense = (F.regexp_count(low, F.lit("<script")) > MANY_SCRIPTS) & (F.regexp_count(low, F.lit("<p|<article|<h1|<h2|<h3")) == 0)
     return F.array_compact(
         F.array(
-            F.when((F.octet_length(html) > LARGE_BYTES) & (visible < LITTLE_TEXT), F.lit("large-html-with-almost-no-visible-text")),
+            F.when((F.octet_length(html) > LARGE_BYTES) & (visible < LITTLE_TEXT), F.lit(BARE)),
             root,
-            F.when(any_phrase, F.lit("noscript-fallback-warning")),
-            F.when(dense, F.lit("high-script-density-no-content-tags")),
+            F.when(any_phrase, F.lit(PHRASE)),
+            F.when(dense, F.lit(DENSE)),
         )
     )
 
 
-def reasons_of(html: str, visible: int) -> list[str]:
-    """``reasons`` of one page, outside of Spark."""
-    low, out = html.lower(), []
-    if len(html.encode("utf-8", "replace")) > LARGE_BYTES and visible < LITTLE_TEXT:
-        out.append("large-html-with-almost-no-visible-text")
-    for r in ROOTS:
-        at = low.find(r)
-        if at >= 0 and re.match(r"[^>]*>\s*(</div|</app-root|</main|<!--)", low[at:]):
-            if r != 'id="__next"':
-                out.append("empty-angular-root" if "app-root" in r else "empty-framework-root")
-            elif "__next_data__" not in low:
-                out.append("empty-next-root")
-            break
-    if any(p in low for p in NOSCRIPT):
-        out.append("noscript-fallback-warning")
-    if low.count("<script") > MANY_SCRIPTS and not re.search("<p|<article|<h1|<h2|<h3", low):
-        out.append("high-script-density-no-content-tags")
-    return out
+def sql_body(html: str, visible: str) -> str:
+    """``reasons`` as SQL over two names, so that Catalyst can inline it as a function."""
+    low = f"lower({html})"
+    ends = "(</div|</app-root|</main|<!--)"
+    empty = lambda r: rf"instr({low}, '{r}') > 0 AND substr({low}, instr({low}, '{r}')) RLIKE r'(?U)^[^>]*>\s*{ends}'"
+    named = {r: f"'{NAMES.get(r, NAMES[None])}'" for r in ROOTS}
+    named['id="__next"'] = f"CASE WHEN NOT contains({low}, '__next_data__') THEN {named['id=\"__next\"']} END"
+    root = "CASE " + " ".join(f"WHEN {empty(r)} THEN {named[r]}" for r in ROOTS) + " END"
+    phrase = " OR ".join(f"contains({low}, '{p}')" for p in NOSCRIPT)
+    dense = f"regexp_count({low}, '<script') > {MANY_SCRIPTS} AND regexp_count({low}, '<p|<article|<h1|<h2|<h3') = 0"
+    return f"CASE WHEN {html} IS NOT NULL THEN array_compact(array(CASE WHEN octet_length({html}) > {LARGE_BYTES} AND {visible} < {LITTLE_TEXT} THEN '{BARE}' END, {root}, CASE WHEN {phrase} THEN '{PHRASE}' END, CASE WHEN {dense} THEN '{DENSE}' END)) END"

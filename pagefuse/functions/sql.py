@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 from . import htmlclean, spa, text, urls
 from .hardening import BEGIN, END, INVISIBLE, Hardening, nfc
@@ -58,12 +58,6 @@ def clean_html(html: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([htmlclean.clean_page(h, u or "", htmlclean.CleanOptions())[4] for h, u in zip(html, url, strict=True)])
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def detect_spa(html: pd.Series, visible: pd.Series) -> pd.Series:
-    """``spa.reasons`` as a function that SQL can name."""
-    return pd.Series([None if h is None else spa.reasons_of(h, int(v)) for h, v in zip(html, visible, strict=True)])
-
-
 def newer(version: Column, than: str) -> Column:
     """Whether a version of the form ``v1.2.3`` comes after another."""
     parts = lambda v: F.transform(F.split(F.regexp_replace(v, "^v", ""), r"\."), lambda p: F.coalesce(F.regexp_extract(p, r"^\d+", 0).try_cast("int"), F.lit(0)))
@@ -78,7 +72,7 @@ def intact(content: Column, sha256: Column) -> Column:
 def register(spark: SparkSession) -> list[str]:
     """Temporary functions of a session; returns their names.
 
-    ``estimate_tokens``, ``collapse_ws``, ``media_type`` and ``parse_bangs`` are
+    ``estimate_tokens``, ``collapse_ws``, ``media_type``, ``parse_bangs`` and ``detect_spa`` are
     SQL functions, so Catalyst inlines them; the others are Arrow functions.
     """
     bang, words = "'^!+[A-Za-z0-9_]+$'", "split(x, '(?U)\\\\s+')"
@@ -88,9 +82,10 @@ def register(spark: SparkSession) -> list[str]:
         "media_type": "(x STRING) RETURNS STRING RETURN lower(trim(split_part(x, ';', 1)))",
         "parse_bangs": f"(x STRING) RETURNS STRUCT<clean_query: STRING, bangs: ARRAY<STRING>> RETURN named_struct('clean_query', array_join(filter({words}, t -> t <> '' AND NOT t RLIKE {bang}), ' '), 'bangs', transform(filter({words}, t -> t RLIKE {bang}), t -> lower(regexp_replace(t, '^!+', ''))))",
     }
+    made["detect_spa"] = f"(html STRING, visible INT) RETURNS ARRAY<STRING> RETURN {spa.sql_body('html', 'visible')}"
     for name, body in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
-    python = {"canonical_url": urls.parsed_canonical, "ip_blocked": urls.ip_blocked_arrow, "percent_decode": urls.percent_decode, "decode_entities": text.decode_entities, "nfc": nfc, "harden": harden, "clean_html": clean_html, "detect_spa": detect_spa}
+    python = {"canonical_url": urls.parsed_canonical, "ip_blocked": urls.ip_blocked_arrow, "percent_decode": urls.percent_decode, "decode_entities": text.decode_entities, "nfc": nfc, "harden": harden, "clean_html": clean_html}
     for name, f in python.items():
         spark.udf.register(name, f)
     return [*made, *python]
