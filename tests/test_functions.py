@@ -198,3 +198,10 @@ def test_selectors():
 )
 def test_encodings_without_a_label(encoding, given):
     assert htmlclean.decode(given.encode(encoding)) == given
+
+
+@pytest.mark.parametrize("given, want", [("ver&amp;&amp", "ver&&amp"), ("a &lt b &#38 c &#38; &bogus; &ampx; &copy;", "a &lt b &#38 c & &bogus; &ampx; ©"), ("<!-- <script> -->x&amp", "x&amp"), ("<script>a && b</script>x&amp", "a && bx&amp")])
+def test_references_end_with_a_semicolon(given, want):
+    assert htmltree.parse(given).text() == want
+    assert htmlclean.clean_page(f"<title>T&amp</title><h1>{given}</h1>", "", htmlclean.CleanOptions())[0] == "T&amp"
+    assert htmltree.parse('<a href="?a=1&copy=2&amp;b&x">').children[0].attrs["href"] == "?a=1&copy=2&b&x"
