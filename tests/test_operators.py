@@ -1,10 +1,12 @@
 """Operators against small models in Python."""
 
+import dataclasses
 import json
 import random
 
 from pyspark.sql import functions as F
 
+from pagefuse.functions import htmltree
 from pagefuse.functions.text import estimate_tokens
 from pagefuse.operators import cache, fuse, quota, registry, render
 from pagefuse.sources import config, families, html_replies, json_replies, pages
@@ -172,6 +174,23 @@ def test_html_replies():
     assert html_replies.rows_of(html, html_replies.SPECS["pypi"]) == [(1, "x", "https://pypi.org/project/x/", "d", None, {"version": "1"})]
 
 
+def test_capped_pages_are_parsed_as_far_as_needed(monkeypatch):
+    row = '<div class="snippet" data-type="web"><a href="https://h.test/{0}"><span class="title">T &amp; {0}</span></a><p class="snippet-description">s\n {0}</p></div>'
+    page = "<html><body>" + "\n".join(row.format(k) for k in range(5000)) + "</body></html>"
+    fed = []
+    feed = htmltree._Builder.feed
+    monkeypatch.setattr(htmltree._Builder, "feed", lambda b, x: (fed.append(len(x)), feed(b, x))[1])
+    spec = html_replies.SPECS["brave"]
+    got = html_replies.rows_of(page, spec)
+    assert got == [(k + 1, f"T & {k}", f"https://h.test/{k}", f"s {k}", None, {}) for k in range(15)] and sum(fed) < 10_000
+    # an item that stays open takes the rest of the page, so it counts only once that is read
+    late = '<div class="result"><a href="https://x.test/">A</a><h2>t</h2>' + "<i>x</i>" * 2000 + '<p class="description">last</p></div>' + "<p>y</p>" * 2000
+    for html in (page[:3000], late):
+        every = html_replies.rows_of(html, dataclasses.replace(html_replies.SPECS["startpage"], cap=None))
+        assert html_replies.rows_of(html, html_replies.SPECS["startpage"]) == every[:15]
+    assert html_replies.rows_of(late, html_replies.SPECS["startpage"])[0][3] == "last"
+
+
 def test_replay(spark):
     rows = [("http://e.test/a", "<html></html>", "text/html", 200), ("http://10.0.0.1/", "x", None, 200), ("http://e.test/b", "x", "image/png", 200), ("http://e.test/c", "{}", None, 429), ("http://e.test/d", "x" * 50, "text/plain", 200)]
     d = pages.replay(spark.createDataFrame(rows, "url string, html string, ct string, status int"), type_col="ct", status_col="status", max_bytes=20)
