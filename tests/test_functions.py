@@ -1,6 +1,7 @@
 """Table-driven cases for the expressions."""
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,27 @@ def test_hardening_survives_any_text(spark):
     assert one(spark, None, hardening.harden) is None and one(spark, "", hardening.harden) == ""
 
 
+def test_normal_form_by_runs(spark):
+    every = "".join(map(chr, [*range(0x300, 0xD800), *range(0xE000, 0x110000)]))
+    joins = {int(p[1], 16) for c in every if len(p := unicodedata.decomposition(c).split()) == 2 and p[0][0] != "<"}
+    moved = {ord(c) for c in every if unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c)} | joins | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    rows = spark.createDataFrame([(k, chr(k)) for k in sorted(moved)], "k long, c string")
+    assert [hex(r.k) for r in rows.where(~F.col("c").rlike(hardening.UNSTABLE)).collect()] == []
+    rng = random.Random(3)
+    odd = [chr(k) for k in sorted(moved)]
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.5 else rng.choice("aeoA \ngl\u1100\uac00\u3042\u4e2d\U0001f600\u0928") for _ in range(rng.randrange(60))) for _ in range(3000)] + ["", "e\u0301", "\u0301", "\u0301e", "plain", "é", "\u0301" * 300_000]
+    got = spark.createDataFrame(list(enumerate(texts)), "k long, x string").repartition(4).select("k", hardening.normal_form(F.col("x")).alias("y")).collect()
+    assert len(got) == len(texts) and all(r.y == unicodedata.normalize("NFC", texts[r.k]) for r in got)
+    assert one(spark, None, hardening.normal_form) is None
+
+
+def test_only_runs_go_to_python(spark, tmp_path):
+    spark.createDataFrame([("e\u0301" + "x" * 100_000,)], "x string").write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t")).select(hardening.harden(F.col("x")).alias("y"))
+    asked = d._jdf.queryExecution().executedPlan().toString()
+    assert "nfc_each" in asked and "nfc(" not in asked and d.first().y.count("x") == 50_000 - 1
+
+
 @pytest.mark.parametrize("given, want", [("a+b%20c", "a b c"), ("%zz%41", "%zzA"), ("%C3%A9", "é")])
 def test_percent_decode(spark, given, want):
     assert one(spark, given, urls.percent_decode) == want
