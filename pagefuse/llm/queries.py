@@ -19,7 +19,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    model, thresholds = toxicity.fit(toxicity.sample(docs, labels))
+    model, thresholds = toxicity.fit(toxicity.labelled(docs, labels))
     s = toxicity.scored(docs, model, ["doc_id", "lang"])
     own = F.lit(0.3)
     for lang, t in thresholds.items():

@@ -211,3 +211,15 @@ def test_one_class_and_nulls(spark):
     assert len(got) == 21 and all(0 < r.score < 0.3 for r in got) and thresholds == {}
     none, t = toxicity.fit(toxicity.sample(docs, labels.limit(0)))
     assert t == {} and toxicity.scored(docs.limit(0), none, ["doc_id"]).count() == 0
+
+
+def test_all_labels_are_learnt_from(spark):
+    d = spark.createDataFrame([(k, ("bad thing " if k % 2 else "fine day ") + f"word{k % 17} other{k % 5}", "abcd"[k // 2 % 4]) for k in range(600)], "doc_id long, text string, lang string")
+    labels = d.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic")
+    s = toxicity.Settings(buckets=500, dim=4, filters=4, max_rows=60)
+    model, thresholds = toxicity.fit(toxicity.labelled(d, labels), s)
+    assert set(thresholds) == set("abcd")  # sixty rows would hold too few toxic ones aside
+    score = toxicity.scored(d, model, ["doc_id"]).toPandas()
+    assert ((score["score"] >= 0.5) == (score["doc_id"] % 2 == 1)).mean() > 0.99
+    again, same = toxicity.fit(toxicity.labelled(d.repartition(7), labels.repartition(3)), s)
+    assert np.array_equal(again.table(), model.table()) and same == thresholds
