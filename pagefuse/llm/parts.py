@@ -5,7 +5,8 @@ space that stands between two characters that are no white space: nothing in
 the pattern spans such a place, and nothing in it looks across.  So a text is
 the parts between these spaces, and a part has the same tokens wherever it
 stands.  ``Parts`` keeps the tokens of the parts it has met; it forgets rare
-ones when there are too many.
+ones when there are too many.  ``Strings`` does so for Arrow arrays, whose
+texts are cut as bytes: no Python string is made for a part that recurs.
 """
 
 from __future__ import annotations
@@ -14,19 +15,28 @@ import codecs
 import json
 import re
 from collections.abc import Callable
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from . import textarrays as ta
 
 #: A space that is no cut, and a cut.
 _ODD = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Parts that are kept from one batch to the next.
 KEPT = 400_000
+#: Bytes of them.
+KEPT_BYTES = 32 << 20
 #: Parts that are encoded as one text.
-JOINED = 2_000
-#: Runs of letters, digits and marks whose class no version of Unicode disputes; the word pattern ends a token between them.
-_RUNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]++|[0-9]++|[{}]++|\n"
+JOINED = 20_000
+#: White space as the last bytes of three: up to the first ASCII character, then two and three bytes long.
+_WHITE = [[int.from_bytes(b, "big") for b in (c.encode() for c in map(chr, range(0x10000)) if c.isspace()) if len(b) == n] for n in (1, 2, 3)]
+_BLANK = np.isin(np.arange(256), _WHITE[0])
+#: Kinds of bytes: letters, digits and marks whose class no version of Unicode disputes, line ends and spaces; 0 for others.
+LETTER, DIGIT, MARK, LINE, SPACE = range(1, 6)
 _LOADED: dict[tuple, tuple] = {}
 
 
@@ -37,6 +47,43 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
+def cut_places(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the spaces of ``cut`` lie in texts laid end to end."""
+    at = np.flatnonzero(values == 0x20)
+    edge = np.zeros(len(values) + 1, dtype=bool)
+    edge[offsets] = True
+    at = at[~(edge[at] | edge[at + 1])]
+    at = at[~(_BLANK[values[at - 1]] | _BLANK[values[at + 1]])]
+    for beside in (-1, 1):
+        odd = np.flatnonzero(values[at + beside] > 0x7F)
+        # a character of several bytes lies in the text whole, and its neighbours are inside or not asked for
+        a, b, c = (values[np.clip(at[odd] + k, 0, len(values) - 1)].astype(np.int32) for k in ((-3, -2, -1) if beside < 0 else (1, 2, 3)))
+        two = b << 8 | c if beside < 0 else a << 8 | b
+        at = np.delete(at, odd[np.isin(two, _WHITE[1]) | np.isin(a << 16 | b << 8 | c, _WHITE[2])])
+    return at
+
+
+def strings(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The strings between bounds, of the same bytes."""
+    return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, dtype=np.int64)), pa.py_buffer(values)])
+
+
+def laid(offsets: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The bounds of texts and of the pieces that begin inside them, in order."""
+    return np.append(np.sort(np.concatenate([offsets[:-1], inside]), kind="stable"), offsets[-1])
+
+
+def summed(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sum of each group of values, of so many each."""
+    total, end = np.concatenate([[0], np.cumsum(values)]), np.cumsum(size)
+    return total[end] - total[end - size]
+
+
+def as_strings(texts: list[str] | pa.Array) -> pa.Array:
+    """Texts as an array with long offsets."""
+    return pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+
+
 def byte_values() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 for itself, the rest from 256 on in order."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -87,36 +134,74 @@ class Encoder:
         self.size = np.array([len(b) for b in raw], dtype=np.int64)
         self.bare = Tokenizer(self.tok.model)  # merges only
         special = "" if plain_specials else "".join(t.content for t in self.tok.get_added_tokens_decoder().values())
-        marks = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'" and c not in special)
-        runs = _RUNS.format(re.escape(marks))
-        self.runs, self.simple = re.compile(f" ?(?:{runs})"), re.compile(" ?(?!\\n)(?:" + runs + r"(?!\n|$))++")
+        self.kind = np.zeros(256, dtype=np.uint8)
+        for c in map(chr, range(0x21, 0x7F)):
+            self.kind[ord(c)] = LETTER if c.isalpha() else DIGIT if c.isdigit() else MARK if c != "'" and c not in special else 0
+        self.kind[[ord("\n"), ord(" ")]] = LINE, SPACE
         self.table = "".join(sorted(byte_values(), key=byte_values().get))
         self.ids = Ragged(np.uint32)
-        self.words = Parts(self._add, self.ids.keep)
+        self.words = Strings(self._add, self.ids.keep)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], dtype=np.int64)
 
-    def _add(self, words: list[str]) -> None:
-        raw = codecs.charmap_decode("\0".join(words).encode(), "strict", self.table)[0].split(self.table[0])
-        for at in range(0, len(raw), JOINED):
-            own = raw[at : at + JOINED]
+    def _add(self, words: pa.Array) -> None:
+        values, offsets = ta.string_parts(words)
+        text, stops = codecs.charmap_decode(values.tobytes(), "strict", self.table)[0], offsets.tolist()
+        for at in range(0, len(words), JOINED):
+            cuts = stops[at : at + JOINED + 1]
+            own = [text[a:b] for a, b in pairwise(cuts)]
             ids = np.array(self.bare.encode_batch_fast([own], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=np.uint32)
-            stop = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w) for w in own])) + 1
+            stop = np.searchsorted(np.cumsum(self.size[ids]), np.array(cuts[1:]) - cuts[0]) + 1
             self.ids.extend(ids, np.diff(stop, prepend=0))
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where words begin inside texts, whether a text is simple) of texts laid end to end; any other text is one word.
+
+        A simple text may begin with a space and is runs of letters, digits or
+        marks and single line ends inside; its words are the line ends and the
+        runs, the first with the space.
+        """
+        first = np.zeros(len(values) + 1, dtype=bool)
+        first[offsets] = True
+        kind = np.append(self.kind[values], np.uint8(0))
+        # letters of two bytes: C3 and all but the signs of times and division
+        lead = np.flatnonzero(values[:-1] == 0xC3)
+        after = values[lead + 1]
+        lead = lead[(after & 0xC0 == 0x80) & (after != 0x97) & (after != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
+        bad = kind[:-1] == 0
+        spaces, lines = np.flatnonzero(kind == SPACE), np.flatnonzero(kind == LINE)
+        bad[spaces] = ~first[spaces] | first[spaces + 1]
+        bad[lines] = first[lines] | first[lines + 1] | (kind[lines + 1] == LINE) | (kind[lines - 1] == SPACE)
+        simple = offsets[1:] > offsets[:-1]
+        simple[np.searchsorted(offsets, np.flatnonzero(bad), side="right") - 1] = False
+        start = np.diff(kind[:-1], prepend=np.uint8(0)) != 0
+        start[lines] = True
+        start[spaces[spaces + 1 < len(start)] + 1] = False
+        inside = np.flatnonzero(start & ~first[:-1])
+        if not simple.all():
+            inside = inside[simple[np.searchsorted(offsets, inside, side="right") - 1]]
+        return inside, simple
+
+    def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids laid end to end, number of ids of each text)."""
-        simple = [bool(self.cuttable and self.simple.fullmatch(t)) for t in texts]
-        numbers, size = self.words.numbers([self.runs.findall(t) for t, s in zip(texts, simple, strict=True) if s])
-        per = np.concatenate([[0], np.cumsum(self.ids.size[numbers])])
-        end = np.cumsum(size)
+        texts = as_strings(texts)
+        if not self.cuttable:
+            return self._whole(texts.to_pylist())
+        values, offsets = ta.string_parts(texts)
+        inside, simple = self.runs(values, offsets)
+        size = 1 + np.diff(np.searchsorted(inside, offsets))
+        words = strings(values, laid(offsets, inside))
+        numbers = self.words.numbers(words if simple.all() else words.filter(pa.array(np.repeat(simple, size))))
         out, rest = Ragged(np.uint32), Ragged(np.uint32)
-        out.extend(self.ids.take(numbers), per[end] - per[end - size])
-        rest.extend(*self._whole([t for t, s in zip(texts, simple, strict=True) if not s]))
-        order, k = np.empty(len(texts), np.int64), np.array(simple, dtype=bool)
-        order[k], order[~k] = np.arange(k.sum()), np.arange((~k).sum()) + len(out.size)
+        out.extend(self.ids.take(numbers), summed(self.ids.size[numbers], size[simple]))
+        if simple.all():
+            return out.flat, out.size
+        rest.extend(*self._whole(texts.filter(pa.array(~simple)).to_pylist()))
+        order = np.empty(len(texts), np.int64)
+        order[simple], order[~simple] = np.arange(simple.sum()), np.arange((~simple).sum()) + len(out.size)
         out.extend(rest.flat, rest.size)
         return out.take(order), out.size[order]
 
@@ -162,6 +247,41 @@ class Parts:
         self.keep(stay)
 
 
+class Strings:
+    """``Parts`` for the strings of an Arrow array; they stay in Arrow."""
+
+    def __init__(self, add: Callable[[pa.Array], None], keep: Callable[[np.ndarray], None], kept: int = KEPT) -> None:
+        self.add, self.keep, self.kept = add, keep, kept
+        self.known = pa.array([], pa.large_string())
+        self.seen = np.zeros(0, dtype=np.int64)
+
+    def numbers(self, texts: pa.Array) -> np.ndarray:
+        """The numbers of all strings, in order."""
+        if len(self.known) > self.kept or self.known.nbytes > KEPT_BYTES:
+            self.forget()
+        different = texts.dictionary_encode()
+        number = pc.index_in(different.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            number[fresh] = np.arange(len(fresh)) + len(self.known)
+            new = different.dictionary.take(pa.array(fresh))
+            self.add(new)
+            self.known = pa.concat_arrays([self.known, new])
+        index = different.indices.to_numpy()
+        self.seen = np.concatenate([self.seen, np.zeros(len(fresh), np.int64)])
+        self.seen[number] += np.bincount(index, minlength=len(number))
+        return number[index]
+
+    def forget(self) -> None:
+        """Keep the strings that were met more than once, or none where these are too many as well."""
+        stay = np.flatnonzero(self.seen > 1)
+        known = self.known.take(pa.array(stay))
+        if 2 * len(stay) > self.kept or 2 * known.nbytes > KEPT_BYTES:
+            stay, known = stay[:0], known[:0]
+        self.known, self.seen = known, np.ones(len(stay), dtype=np.int64)
+        self.keep(stay)
+
+
 class Ragged:
     """Arrays of different lengths, laid end to end, that grow at the end."""
 
@@ -197,20 +317,19 @@ class PartEncoder:
     def __init__(self, path: str | None = None, plain_specials: bool = False) -> None:
         self.encode = Encoder(path, plain_specials)
         self.ids = Ragged(np.uint32)
-        self.parts = Parts(self._add, self.ids.keep)
+        self.parts = Strings(self._add, self.ids.keep)
 
-    def _add(self, fresh: list[str]) -> None:
-        # a first part is marked by a space before it that can't be there otherwise
-        self.ids.extend(*self.encode([p[2:] if p.startswith("  ") else " " + p for p in fresh]))
+    def _add(self, fresh: pa.Array) -> None:
+        self.ids.extend(*self.encode(fresh))
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids laid end to end, number of ids of each text)."""
+        texts = as_strings(texts)
         if not self.encode.cuttable:
             return self.encode(texts)
-        cuts = [cut(t) for t in texts]
-        for c in cuts:
-            c[0] = "  " + c[0]
-        numbers, size = self.parts.numbers(cuts)
-        per = np.concatenate([[0], np.cumsum(self.ids.size[numbers])])
-        end = np.cumsum(size)
-        return self.ids.take(numbers), per[end] - per[end - size]
+        values, offsets = ta.string_parts(texts)
+        inside = cut_places(values, offsets)
+        # a part that is not its text's first has its space
+        numbers = self.parts.numbers(strings(values, laid(offsets, inside)))
+        size = 1 + np.diff(np.searchsorted(inside, offsets))
+        return self.ids.take(numbers), summed(self.ids.size[numbers], size)

@@ -45,6 +45,8 @@ MAGIC = b"ranksids"
 BLOCK, FILE_IDS = 1 << 16, 1 << 24
 #: Bytes of text of one range of document ids.
 RANGE_BYTES = 32 << 20
+#: Bytes of text that are encoded at once: a larger chunk has fewer different parts for its size.
+TEXT_BYTES = 8 << 20
 
 #: Lengths of the four codes of a control byte, their places, and their bytes together.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -169,8 +171,8 @@ def write_ids(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id",
 
         for b in batches:
             offsets = ta.string_parts(b.column("text"))[1]
-            for i, j in ta.chunks(offsets):
-                own, n = encode(b.column("text").slice(i, j - i).to_pylist())
+            for i, j in ta.chunks(offsets, TEXT_BYTES):
+                own, n = encode(b.column("text").slice(i, j - i))
                 # the end id after each text
                 own = np.insert(own, np.cumsum(n), end_id).astype(np.uint32)
                 key = b.column("id").slice(i, j - i)

@@ -1,6 +1,7 @@
 """Files of token ids against the tokenizer itself and exact round trips."""
 
 import io
+import sys
 import zlib
 
 import numpy as np
@@ -31,6 +32,33 @@ def test_parts_equal_whole_texts(plain):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(x, add_special_tokens=False).ids for x in own]
 
 
+def test_parts_beside_all_white_space():
+    """Cuts and runs are found in bytes; characters of several bytes and slices of arrays must not mislead them."""
+    rng = np.random.default_rng(4)
+    white = [c for c in map(chr, range(0x10000)) if c.isspace()]
+    letters = [*white, *"     aZ09.,'|\n\n", "\u0080", "\u0084", "×", "÷", "ÀÖØö", "øÿ", "\u0100", "\u1681", "\u2010", "\u2027", "\u3001", "\u200b", "日", "😀", "ꀀ"]
+    texts = [*ODD, *(a + " " + b for a in letters for b in letters), *("".join(rng.choice(letters, rng.integers(0, 20))) for _ in range(1000))]
+    tok = parts.load()[0]
+    want = [tok.encode(x, add_special_tokens=False).ids for x in texts]
+    for kind in (pa.string(), pa.large_string()):
+        ids, n = parts.PartEncoder()(pa.array(["before", *texts, "after"], kind).slice(1, len(texts)))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_no_python_call_for_each_part():
+    """op11_token_output: parts and words are found, told apart and counted in arrays, the merges run once for each word."""
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)},{k}" for k in range(i, i + 2000)) for i in range(0, 20_000, 1000)]
+    encode, calls = parts.PartEncoder(), []
+    sys.setprofile(lambda _, event, __: calls.append(event))
+    try:
+        ids, n = encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 2000
+    tok = parts.load()[0]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("top", [1, 200, 1 << 16, 1 << 24, 1 << 32])
 def test_codes_round_trip(top):
     rng = np.random.default_rng(top)
